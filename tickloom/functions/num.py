@@ -76,3 +76,8 @@ def rnd(x: Column | str, digits: int = 4) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     scale = 10.0**digits
     return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
+def money(x: Column | str) -> Column:
+    """Two-decimal text, rounded as :func:`rnd` does."""
+    return F.format_string("%.2f", rnd(x, 2))
