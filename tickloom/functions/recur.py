@@ -18,21 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ts
+
 BLOCK = 512
 
 
-def with_blocks(df: DataFrame, key: str = "symbol", order: str = "date") -> DataFrame:
-    """Add ``bn`` (0-based bar number), ``_blk`` and ``_k`` used by :func:`decay_sums`."""
-    rn = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
-    return df.withColumn("bn", rn).withColumn("_blk", F.floor(F.col("bn") / BLOCK).cast("int")).withColumn(
-        "_k", (F.col("bn") % BLOCK).cast("double")
+def with_blocks(df: DataFrame) -> DataFrame:
+    """Add the block number and the row number inside the block used by :func:`decay_sums`."""
+    return ts.position(df).withColumns(
+        {"_blk": F.floor(F.col("bn") / BLOCK).cast("int"), "_k": (F.col("bn") % BLOCK).cast("double")}
     )
 
 
-def without_blocks(df: DataFrame) -> DataFrame:
-    return df.drop("_blk", "_k")
-
-
 def decay_sums(df: DataFrame, specs: dict[str, tuple[Column, float]], key: str = "symbol") -> DataFrame:
     """For each ``name: (u, r)`` add y[t] = r*y[t-1] + u[t] with y[-1] = 0; NULL inputs count as 0.
 

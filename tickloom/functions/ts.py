@@ -110,6 +110,18 @@ def bar_no() -> Column:
     return F.row_number().over(by_symbol()) - 1
 
 
+def position(df: DataFrame) -> DataFrame:
+    """Add ``bn`` (0-based bar number) and ``n_bars`` of the symbol, unless present."""
+    if "bn" in df.columns:
+        return df
+    return df.withColumns({"bn": bar_no(), "n_bars": F.count(F.lit(1)).over(whole())})
+
+
+def age() -> Column:
+    """Bars from the end (0 = last bar) of a positioned frame."""
+    return F.col("n_bars") - 1 - F.col("bn")
+
+
 def from_end() -> Column:
     """0 for the last bar of a symbol, 1 for the one before, ...; shares the ascending sort."""
     return F.count(F.lit(1)).over(whole()) - F.row_number().over(by_symbol())

@@ -28,7 +28,7 @@ def sma(bars: DataFrame, lengths: tuple[int, ...] = SMA_LENGTHS) -> DataFrame:
 def bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     """Middle = SMA, bands at ``width`` population deviations."""
     return (
-        bars.withColumns({"bb_middle": ts.mean(c.close, n), "_sd": ts.std_pop(c.close, n)})
+        bars.withColumns({"bb_middle": ts.mean(c.close, n), "_sd": ts.std_pop(c.close, n), "std_20": ts.std(c.close, n)})
         .withColumns(
             {
                 "bb_upper": F.col("bb_middle") + width * F.col("_sd"),
@@ -82,6 +82,7 @@ def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14,
     the MACD signal and ADX, which read stage 1.
     """
     fast, slow, sig = macd
+    had = set(bars.columns)
     b = recur.with_blocks(bars)
     bn = F.col("bn")
     b = b.withColumns({"_pc": ts.lag(c.close), "_ph": ts.lag(c.high), "_pl": ts.lag(c.low)})
@@ -158,54 +159,57 @@ def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14,
             f"adx_{n}": recur.from_bar(F.col("_adx"), first_adx),
         }
     )
-    keep = [k for k in b.columns if not k.startswith("_") and k != "bn"]
+    keep = [k for k in b.columns if k in had or not (k.startswith("_") or k in ("bn", "n_bars"))]
     return b.select(*keep)
 
 
+def windows(bars: DataFrame) -> DataFrame:
+    """The indicators that are plain windows, all on the (symbol, date) order."""
+    b = rolling(
+        ts.position(bars),
+        {**{f"sma_{n}": ("mean", "close", n) for n in SMA_LENGTHS}, **_EXTREMES, "high_20": ("max", "high", 20)},
+    )
+    b = cci(bollinger(activity(b)))
+    return b.withColumns({"prev_high_55": ts.lag(c.high_55), "prev_sma_100": ts.lag(c.sma_100)})
+
+
 def indicators(bars: DataFrame) -> DataFrame:
     """Every indicator column at once: one shuffle by symbol feeds all windows."""
-    b = rolling(bars, {**{f"sma_{n}": ("mean", "close", n) for n in SMA_LENGTHS}, **_EXTREMES})
-    b = activity(b)
-    b = cci(bollinger(b))
-    b = recursive(b)
-    return b.withColumns({"prev_high_55": ts.lag(F.col("high_55")), "prev_sma_100": ts.lag(F.col("sma_100"))})
+    return recursive(windows(bars))
 
 
-def divergence(panel: DataFrame, lookback: int = 20) -> DataFrame:
-    """Latest-bar RSI and MACD-histogram divergence over the last ``lookback`` bars.
+def divergence_aggs(lookback: int = 20) -> dict[str, Column]:
+    """Aggregates of :func:`divergence_labels`: the last ``lookback`` bars of the symbol, no more."""
+    bar = F.struct("bn", "close", F.col("rsi_14").alias("r"), F.col("macd_hist").alias("m"))
+    return {"_dv": F.array_sort(F.collect_list(F.when(ts.age() < lookback, bar)))}
 
-    The arrays hold exactly ``lookback`` bars of one symbol.
-    """
-    w = ts.back(lookback)
-    t = ts.latest(
-        panel.withColumns(
-            {
-                "_n": F.count(F.lit(1)).over(w),
-                "_p": F.collect_list(c.close).over(w),
-                "_i": F.collect_list(F.struct(F.col("rsi_14").alias("r"), F.col("macd_hist").alias("m"))).over(w),
-            }
-        )
-    )
+
+def divergence_labels(per_symbol: DataFrame, lookback: int = 20) -> DataFrame:
+    """First lowest (highest) close after the middle against the one before it, and the same bars of the indicator."""
+    per_symbol = per_symbol.withColumn("_p", F.col("_dv.close"))
     half = lookback // 2
 
     def label(field: str) -> Column:
         def side(pick, low: bool) -> Column:
-            at = F.array_position("_p", pick("_p")) - 1
-            earlier = F.slice("_p", F.lit(1), F.greatest(at, F.lit(1)).cast("int"))
-            prev_at = F.array_position(earlier, pick(earlier)) - 1
-            price = lambda i: F.get("_p", i.cast("int"))
-            ind = lambda i: F.get("_i", i.cast("int"))[field]
+            at = (F.array_position("_p", pick("_p")) - 1).cast("int")
+            earlier = F.slice("_p", F.lit(1), F.greatest(at, F.lit(1)))
+            prev_at = (F.array_position(earlier, pick(earlier)) - 1).cast("int")
+            now, then = F.get("_dv", at), F.get("_dv", prev_at)
             if low:
-                cond = (price(at) < price(prev_at)) & (ind(at) > ind(prev_at))
+                cond = (now["close"] < then["close"]) & (now[field] > then[field])
             else:
-                cond = (price(at) > price(prev_at)) & (ind(at) < ind(prev_at))
-            return truth((F.col("_n") == lookback) & (at > half) & cond)
+                cond = (now["close"] > then["close"]) & (now[field] < then[field])
+            return truth((F.size("_p") == lookback) & (at > half) & cond)
 
-        return (
-            F.when(side(F.array_max, False), "Bearish").when(side(F.array_min, True), "Bullish").otherwise("None")
-        )
+        return F.when(side(F.array_max, False), "Bearish").when(side(F.array_min, True), "Bullish").otherwise("None")
 
-    return t.withColumns({"rsi_divergence": label("r"), "macd_divergence": label("m")}).drop("_n", "_p", "_i")
+    return per_symbol.withColumns({"rsi_divergence": label("r"), "macd_divergence": label("m")}).drop("_dv", "_p")
+
+
+def divergence(panel: DataFrame, lookback: int = 20) -> DataFrame:
+    """Latest-bar RSI and MACD-histogram divergence over the last ``lookback`` bars, per symbol."""
+    aggs = divergence_aggs(lookback)
+    return divergence_labels(ts.position(panel).groupBy("symbol").agg(*[v.alias(k) for k, v in aggs.items()]), lookback)
 
 
 def tech_score(panel: DataFrame) -> DataFrame:

@@ -60,70 +60,74 @@ def bar_strategies(panel: DataFrame) -> DataFrame:
     )
 
 
-def vcp(panel: DataFrame, lookback: int = 250, swing: int = 5) -> DataFrame:
-    """Volatility contraction per symbol: the legs between the last four swing peaks must tighten.
+def vcp_columns(panel: DataFrame, swing: int = 5) -> DataFrame:
+    """Mark swing peaks and how many peaks are still to come (0 = after the last peak)."""
+    p = ts.position(panel).withColumn("_peak", truth(c.high == ts.centred_max(c.high, swing)))
+    p = p.withColumn("_seg", F.sum(F.col("_peak").cast("int")).over(ts.sofar()))
+    return p.withColumn("_peaks", F.max("_seg").over(ts.whole())).withColumn("_ahead", F.col("_peaks") - F.col("_seg"))
 
-    A running peak count splits a symbol into segments; a leg is one segment plus the
-    next peak bar, so the legs come from a grouped minimum instead of a range join.
-    """
-    p = panel.withColumn("_peak", truth(c.high == ts.centred_max(c.high, swing)))
-    p = p.withColumns(
-        {
-            "_seg": F.sum(F.col("_peak").cast("int")).over(ts.sofar()),
-            "_n": F.count(F.lit(1)).over(ts.whole()),
-            "_fe": ts.from_end(),
-        }
-    )
-    seg = p.groupBy("symbol", "_seg").agg(
-        F.max("_n").alias("n"),
-        F.min("low").alias("seg_low"),
-        F.min_by("low", "date").alias("peak_low"),
-        F.min_by("high", "date").alias("peak_high"),
-        F.max_by(F.struct("close", "sma_50", "sma_200"), "date").alias("tail"),
-        F.max(F.when(F.col("_fe") < 252, c.high)).alias("year_high"),
-    )
-    per = seg.groupBy("symbol").agg(
-        F.max("n").alias("n"),
-        F.max_by("tail", "_seg").alias("t"),
-        F.max("year_high").alias("year_high"),
-        F.max("_seg").alias("peaks"),
-        F.array_sort(F.collect_list(F.when(F.col("_seg") > 0, F.struct("_seg", "peak_high", "seg_low", "peak_low")))).alias("s"),
-    )
-    per = per.withColumn("s", F.when(F.size("s") > 4, F.slice("s", -4, 4)).otherwise(c.s))
-    legs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("s") - 2, F.lit(0))),
-        lambda i: (F.get("s", i)["peak_high"] - F.least(F.get("s", i)["seg_low"], F.get("s", i + 1)["peak_low"])) / F.get("s", i)["peak_high"] * 100.0,
-    )
-    per = per.withColumn("legs", F.when(c.peaks >= 3, legs))
-    last = F.element_at("legs", -1)
-    tight = F.forall(F.sequence(F.lit(0), F.size("legs") - 2), lambda i: F.get("legs", i + 1) <= F.get("legs", i) * 1.1) & (last < 10.0)
-    stage2 = (c.t.close >= c.t.sma_50) & (c.t.close >= c.t.sma_200)
-    legs_text = F.array_join(F.transform("legs", lambda x: F.format_string("%.1f%%", rnd(x, 1))), ", ")
-    ok = (c.n >= lookback) & stage2 & (c.t.close >= 0.75 * c.year_high) & (c.peaks >= 3) & tight
+
+def vcp_aggs() -> dict[str, Column]:
+    """Only the last four peaks matter, so each leg is a conditional minimum: no arrays, no range join."""
+    at = lambda k: F.col("_peak") & (F.col("_ahead") == k)
+    return {
+        "_vn": F.count(F.lit(1)),
+        "_vp": F.max("_peaks"),
+        "_vy": F.max(F.when(ts.age() < 252, c.high)),
+        **{f"_ph{k}": F.max(F.when(at(k), c.high)) for k in range(4)},
+        **{f"_pl{k}": F.max(F.when(at(k), c.low)) for k in range(4)},
+        **{f"_ml{k}": F.min(F.when(F.col("_ahead") == k, c.low)) for k in (1, 2, 3)},
+    }
+
+
+def vcp_labels(per_symbol: DataFrame, lookback: int = 250) -> DataFrame:
+    """Needs the latest close, sma_50 and sma_200 beside the aggregates.  A leg runs from peak to next peak, both included."""
+    leg = lambda k: (F.col(f"_ph{k}") - F.least(F.col(f"_ml{k}"), F.col(f"_pl{k - 1}"))) / F.col(f"_ph{k}") * 100.0
+    n, peaks, high = F.col("_vn"), F.col("_vp"), F.col("_vy")
+    s = per_symbol.withColumns({f"_leg{k}": leg(k) for k in (3, 2, 1)})
+    l3, l2, l1 = (F.col(f"_leg{k}") for k in (3, 2, 1))
+    tight = (l3.isNull() | (l2 <= l3 * 1.1)) & (l1 <= l2 * 1.1) & (l1 < 10.0)
+    stage2 = (c.close >= c.sma_50) & (c.close >= c.sma_200)
+    pct = lambda x: F.when(x.isNotNull(), F.format_string("%.1f%%", rnd(x, 1)))
+    text = F.concat_ws(", ", pct(l3), pct(l2), pct(l1))
+    ok = (n >= lookback) & stage2 & (c.close >= 0.75 * high) & (peaks >= 3) & tight
     reason = (
-        F.when(c.n < lookback, F.format_string(f"Insufficient data (%d < {lookback})", c.n))
-        .when(c.t.sma_50.isNull() | c.t.sma_200.isNull(), "SMA data unavailable")
+        F.when(n < lookback, F.format_string(f"Insufficient data (%d < {lookback})", n))
+        .when(c.sma_50.isNull() | c.sma_200.isNull(), "SMA data unavailable")
         .when(~stage2, "Price below SMA-50 or SMA-200 (Not in Stage 2 uptrend)")
-        .when(c.t.close < 0.75 * c.year_high, F.format_string("Price too far from 52W High (%s < 75%% of %s)", money(c.t.close), money(c.year_high)))
-        .when(c.peaks < 3, "Not enough price peaks found to detect contraction")
-        .when(tight, F.concat(F.lit("VCP Tightening Detected: Legs("), legs_text, F.lit(")")))
-        .otherwise(F.concat(F.lit("No VCP (Legs: "), legs_text, F.lit(")")))
+        .when(c.close < 0.75 * high, F.format_string("Price too far from 52W High (%s < 75%% of %s)", money(c.close), money(high)))
+        .when(peaks < 3, "Not enough price peaks found to detect contraction")
+        .when(tight, F.concat(F.lit("VCP Tightening Detected: Legs("), text, F.lit(")")))
+        .otherwise(F.concat(F.lit("No VCP (Legs: "), text, F.lit(")")))
     )
-    return per.select("symbol", _act(truth(ok), "VCP Tightening", "No VCP").alias("vcp_action"), reason.alias("vcp_reason"))
+    return s.withColumns({"vcp_action": _act(truth(ok), "VCP Tightening", "No VCP"), "vcp_reason": reason}).drop(
+        *vcp_aggs(), "_leg1", "_leg2", "_leg3"
+    )
+
+
+def _agg(df: DataFrame, aggs: dict[str, Column], latest: tuple[str, ...] = ()) -> DataFrame:
+    last = [F.max_by(x, "date").alias(x) for x in latest]
+    return df.groupBy("symbol").agg(*last, *[v.alias(k) for k, v in aggs.items()])
+
+
+def vcp(panel: DataFrame, lookback: int = 250, swing: int = 5) -> DataFrame:
+    """Volatility contraction per symbol: the legs between the last four swing peaks must tighten."""
+    return vcp_labels(_agg(vcp_columns(panel, swing), vcp_aggs(), ("close", "sma_50", "sma_200")), lookback)
 
 
 def squeeze(panel: DataFrame, n: int = 20, bb: float = 2.0, kc: float = 1.5) -> DataFrame:
     """Bollinger bands inside Keltner channels (for every bar); ATR-14 is used when the column exists."""
-    p = panel.withColumns({"_m": ts.mean(c.close, n), "_s": ts.std(c.close, n), "_bn": ts.bar_no(), "_pc": ts.lag(c.close)})
+    p = ts.position(panel).withColumns({"_m": ts.mean(c.close, n), "_s": ts.std(c.close, n)})
     if "atr_14" in panel.columns:
-        p = p.withColumn("_a", c.atr_14)
-    else:
-        p = p.withColumn("_tr", F.greatest(c.high - c.low, F.abs(c.high - F.col("_pc")), F.abs(c.low - F.col("_pc"))))
-        p = p.withColumn("_a", ts.mean(F.col("_tr"), n))
-    m, s, a = F.col("_m"), F.col("_s"), F.col("_a")
-    ready = truth((F.col("_bn") >= n + 13) & all_present(m, s, a))
+        return squeeze_columns(p, F.col("_m"), F.col("_s"), c.atr_14, n, bb, kc).drop("_m", "_s")
+    p = p.withColumn("_a", ts.mean(_true_range(ts.lag(c.close)), n))
+    return squeeze_columns(p, F.col("_m"), F.col("_s"), F.col("_a"), n, bb, kc).drop("_m", "_s", "_a")
+
+
+def squeeze_columns(p: DataFrame, m: Column, s: Column, a: Column, n: int = 20, bb: float = 2.0, kc: float = 1.5) -> DataFrame:
+    ready = truth((c.bn >= n + 13) & all_present(m, s, a))
     on = truth((m + bb * s < m + kc * a) & (m - bb * s > m - kc * a))
-    p = p.withColumns(
+    return p.withColumns(
         {
             "squeeze_on": ready & on,
             "squeeze_momentum": F.when(ready, c.close - m),
@@ -133,58 +137,72 @@ def squeeze(panel: DataFrame, n: int = 20, bb: float = 2.0, kc: float = 1.5) ->
             .otherwise("No Squeeze"),
         }
     )
-    return p.drop("_m", "_s", "_a", "_bn", "_pc", "_tr")
 
 
-def supertrend(bars: DataFrame, n: int = 10, factor: float = 3.0) -> DataFrame:
-    """Direction of the two last bars per symbol: -1 up, 1 down.
+def _true_range(prev: Column) -> Column:
+    return F.greatest(c.high - c.low, F.abs(c.high - prev), F.abs(c.low - prev))
+
+
+def supertrend_columns(bars: DataFrame, n: int = 10) -> DataFrame:
+    b = ts.position(bars).withColumn("_tr", _true_range(ts.lag(c.close)))
+    return b.withColumn("_st_atr", F.coalesce(ts.mean(F.col("_tr"), n), F.lit(0.0))).drop("_tr")
 
-    The band carry depends on the direction so far, so this is a true fold: one
-    ordered array per symbol (at most one entry per calendar day) reduced in the JVM
-    with a constant-size accumulator.
+
+def supertrend_aggs(factor: float = 3.0, name: str = "_st") -> dict[str, Column]:
+    """The ordered bars of one symbol (at most one per calendar day) for the fold."""
+    mid, width = (c.high + c.low) / 2.0, factor * F.col("_st_atr")
+    return {name: F.array_sort(F.collect_list(F.struct("bn", "close", (mid + width).alias("up"), (mid - width).alias("dn"))))}
+
+
+def supertrend_fold(bars: Column, n: int = 10) -> Column:
+    """Direction of the last bar and of the one before (-1 up, 1 down).
+
+    The band carry depends on the direction so far, so this is a true fold, with a
+    constant-size accumulator in the JVM.
     """
-    b = bars.withColumns({"_pc": ts.lag(c.close), "_i": ts.bar_no()})
-    b = b.withColumn("_tr", F.greatest(c.high - c.low, F.abs(c.high - F.col("_pc")), F.abs(c.low - F.col("_pc"))))
-    b = b.withColumn("_atr", F.coalesce(ts.mean(F.col("_tr"), n), F.lit(0.0)))
-    mid = (c.high + c.low) / 2.0
-    b = b.select("symbol", F.struct(F.col("_i").alias("i"), "close", (mid + factor * F.col("_atr")).alias("up"), (mid - factor * F.col("_atr")).alias("dn")).alias("x"))
     start = F.struct(F.lit(1).alias("d"), F.lit(1).alias("p"), F.lit(0.0).alias("up"), F.lit(0.0).alias("dn"))
 
     def step(acc: Column, x: Column) -> Column:
-        flip = F.when(x["i"] < n, 1).when(x["close"] > acc["up"], -1).when(x["close"] < acc["dn"], 1)
+        flip = F.when(x["bn"] < n, 1).when(x["close"] > acc["up"], -1).when(x["close"] < acc["dn"], 1)
         d = F.coalesce(flip, acc["d"])
         up = F.when(flip.isNull() & (d == 1), F.least(x["up"], acc["up"])).otherwise(x["up"])
         dn = F.when(flip.isNull() & (d == -1), F.greatest(x["dn"], acc["dn"])).otherwise(x["dn"])
         return F.struct(d.alias("d"), acc["d"].alias("p"), up.alias("up"), dn.alias("dn"))
 
-    return (
-        b.groupBy("symbol")
-        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("x")).alias("a"))
-        .select("symbol", "n", F.aggregate("a", start, step).alias("r"))
-        .select("symbol", "n", F.when(c.n >= n + 2, c.r.d).alias("dir"), F.when(c.n >= n + 2, c.r.p).alias("prev_dir"))
+    r = F.aggregate(bars, start, step)
+    return F.when(F.size(bars) >= n + 2, F.struct(r["d"].alias("d"), r["p"].alias("p")))
+
+
+def supertrend_labels(per_symbol: DataFrame, buy: str, sell: str) -> DataFrame:
+    b, s = F.col(buy), F.col(sell)
+    return per_symbol.withColumns(
+        {
+            "buy_dir": b["d"],
+            "sell_dir": s["d"],
+            "supertrend_action": F.when(b["d"].isNull() | s["d"].isNull(), "Insufficient Data")
+            .when((b["d"] == -1) & (b["p"] == 1), "Long Entry")
+            .when((s["d"] == 1) & (s["p"] == -1), "Close Long")
+            .otherwise("Hold"),
+        }
     )
 
 
 def dual_supertrend(bars: DataFrame, buy: tuple[int, float] = (10, 3.0), sell: tuple[int, float] = (10, 3.0)) -> DataFrame:
     """Long Entry when the buy line turns up on the last bar, Close Long when the sell line turns down."""
-    b = supertrend(bars, *buy).select("symbol", F.col("dir").alias("buy_dir"), F.col("prev_dir").alias("_bp"))
-    if buy == sell:
-        t = b.withColumns({"sell_dir": c.buy_dir, "_sp": F.col("_bp")})
-    else:
-        t = b.join(supertrend(bars, *sell).select("symbol", F.col("dir").alias("sell_dir"), F.col("prev_dir").alias("_sp")), "symbol")
-    return t.withColumn(
-        "supertrend_action",
-        F.when(c.buy_dir.isNull() | c.sell_dir.isNull(), "Insufficient Data")
-        .when((c.buy_dir == -1) & (F.col("_bp") == 1), "Long Entry")
-        .when((c.sell_dir == 1) & (F.col("_sp") == -1), "Close Long")
-        .otherwise("Hold"),
-    ).drop("_bp", "_sp")
+
+    def line(n: int, factor: float, name: str) -> DataFrame:
+        g = _agg(supertrend_columns(bars, n), supertrend_aggs(factor))
+        return g.select("symbol", supertrend_fold(F.col("_st"), n).alias(name))
+
+    t = line(*buy, "_b")
+    t = t.withColumn("_s", F.col("_b")) if buy == sell else t.join(line(*sell, "_s"), "symbol")
+    return supertrend_labels(t, "_b", "_s").drop("_b", "_s")
 
 
 def candles(bars: DataFrame) -> DataFrame:
     """Doji, engulfing, hammer, shooting star and morning star per bar (public candle definitions)."""
     body, rng = F.abs(c.close - c.open), c.high - c.low
-    b = bars.withColumns({"_b": body, "_r": rng, "_n": ts.bar_no(), "_hi": F.greatest(c.open, c.close), "_lo": F.least(c.open, c.close)})
+    b = ts.position(bars).withColumns({"_b": body, "_r": rng, "_hi": F.greatest(c.open, c.close), "_lo": F.least(c.open, c.close)})
     past = lambda n: ts.by_symbol().rowsBetween(-n, -1)
     b = b.withColumns({"_ab": F.avg("_b").over(past(10)), "_ar": F.avg("_r").over(past(10)), "_a5": F.avg("_r").over(past(5))})
     b = b.withColumns(
@@ -194,62 +212,70 @@ def candles(bars: DataFrame) -> DataFrame:
     g = lambda k: F.col(f"_{k}")
     upper, lower = c.high - g("hi"), g("lo") - c.low
     white, black1 = c.close >= c.open, g("c1") < g("o1")
-    doji = (g("n") >= 10) & (g("b") <= 0.1 * g("ar"))
+    doji = (c.bn >= 10) & (g("b") <= 0.1 * g("ar"))
     bull = white & black1 & (c.close > g("o1")) & (c.open < g("c1"))
     bear = (c.close < c.open) & (g("c1") >= g("o1")) & (c.open > g("c1")) & (c.close < g("o1"))
     small = g("b") < g("ab")
-    hammer = (g("n") >= 11) & small & (lower > g("b")) & (upper < 0.1 * g("ar")) & (g("lo") <= g("w1") + 0.2 * g("q1"))
-    star = (g("n") >= 11) & small & (upper > g("b")) & (lower < 0.1 * g("ar")) & (g("lo") > g("h1"))
+    hammer = (c.bn >= 11) & small & (lower > g("b")) & (upper < 0.1 * g("ar")) & (g("lo") <= g("w1") + 0.2 * g("q1"))
+    star = (c.bn >= 11) & small & (upper > g("b")) & (lower < 0.1 * g("ar")) & (g("lo") > g("h1"))
     morning = (
-        (g("n") >= 12) & (g("bd2") > g("m2")) & (g("c2") < g("o2")) & (g("bd1") <= g("m1")) & (g("h1") < g("l2"))
+        (c.bn >= 12) & (g("bd2") > g("m2")) & (g("c2") < g("o2")) & (g("bd1") <= g("m1")) & (g("h1") < g("l2"))
         & (g("b") > g("ab")) & white & (c.close > g("c2") + 0.3 * g("bd2"))
     )
     hit = lambda cond, name: F.when(truth(cond), name)
     names = F.concat_ws(
         ", ",
         hit(doji, "Doji"),
-        F.coalesce(hit((g("n") >= 2) & bull, "Bullish Engulfing"), hit((g("n") >= 2) & bear, "Bearish Engulfing")),
+        F.coalesce(hit((c.bn >= 2) & bull, "Bullish Engulfing"), hit((c.bn >= 2) & bear, "Bearish Engulfing")),
         hit(hammer, "Hammer"), hit(star, "Shooting Star"), hit(morning, "Morning Star"),
     )
-    return b.withColumn("candle_pattern", F.when(names == "", "None").otherwise(names)).select(*bars.columns, "candle_pattern")
+    return b.withColumn("candle_pattern", F.when(names == "", "None").otherwise(names)).drop(*[x for x in b.columns if x.startswith("_") and x not in bars.columns])
 
 
 KNN_FEATURES = ["rsi_14", "adx_14", "cci_14", "macd_hist"]
 
 
-def knn_direction(panel: DataFrame, k: int = 8, rows: int = 2000, min_bars: int = 50, min_rows: int = 20, literal: bool = False) -> DataFrame:
-    """Direction vote of the ``k`` bars most similar to the latest bar (L1 on min-max scaled features).
+def knn_columns(panel: DataFrame, rows: int = 2000) -> DataFrame:
+    """L1 distance of each bar to the latest one on min-max scaled features.
 
-    The latest bar is compared through per-symbol window values, not a self-join.
-    ``literal`` keeps the latest bar in its own neighbourhood (its label is always
-    down), otherwise it is left out.
+    Range and reference values are window values of the symbol, so no self-join.
     """
-    p = panel.withColumn("_bars", F.count(F.lit(1)).over(ts.whole())).withColumn("_up", truth(F.lead("close").over(ts.by_symbol()) > c.close).cast("int"))
-    p = p.filter(all_present(*[F.col(f) for f in KNN_FEATURES]))
-    p = ts.tail(p, rows)
-    p = p.withColumn("_fe", ts.from_end()).withColumn("_n", F.count(F.lit(1)).over(ts.whole()))
-    scaled = {}
+    p = ts.position(panel)
+    ready = all_present(*[F.col(f) for f in KNN_FEATURES]) & (ts.age() < rows)
+    parts = {}
     for f in KNN_FEATURES:
-        lo, hi = F.min(f).over(ts.whole()), F.max(f).over(ts.whole())
-        scaled[f"_s_{f}"] = F.coalesce(sdiv(F.col(f) - lo, hi - lo), F.lit(0.0))
-    p = p.withColumns(scaled)
-    ref = {f"_q_{f}": F.max(F.when(F.col("_fe") == 0, F.col(f"_s_{f}"))).over(ts.whole()) for f in KNN_FEATURES}
-    p = p.withColumns(ref)
-    dist = sum((F.abs(F.col(f"_s_{f}") - F.col(f"_q_{f}")) for f in KNN_FEATURES), F.lit(0.0))
-    p = p.withColumn("_d", dist)
-    if not literal:
-        p = p.filter(F.col("_fe") > 0)
-    # k smallest distances, newest first on ties
-    near = p.withColumn("_k", F.row_number().over(W.partitionBy("symbol").orderBy("_d", "_fe"))).filter(F.col("_k") <= k)
-    zero = F.count_if(F.col("_d") == 0)
-    up0, up = F.count_if((F.col("_d") == 0) & (F.col("_up") == 1)), F.sum(sdiv(F.col("_up").cast("double"), F.col("_d")))
-    per = near.groupBy("symbol").agg(
-        F.max("_n").alias("n"),
-        F.max("_bars").alias("bars"),
-        F.when(zero > 0, up0 / zero).otherwise(sdiv(up, F.sum(sdiv(F.lit(1.0), F.col("_d"))))).alias("knn_up"),
-    )
-    return per.select(
-        "symbol",
-        "knn_up",
-        _act((c.bars >= min_bars) & (c.n >= min_rows) & (c.knn_up > 0.5), "Lorentzian Buy", "No Signal").alias("knn_action"),
+        x = F.when(ready, F.col(f))
+        spread = F.max(x).over(ts.whole()) - F.min(x).over(ts.whole())
+        latest = F.max(F.when(ts.age() == 0, x)).over(ts.whole())
+        parts[f] = F.when(ready, F.coalesce(F.abs(sdiv(F.col(f) - latest, spread)), F.lit(0.0)))
+    return p.withColumn("_dist", sum(parts.values(), F.lit(0.0)))
+
+
+def knn_aggs(literal: bool = False) -> dict[str, Column]:
+    """At most 2000 (distance, age, went up) entries; ``literal`` keeps the latest bar, whose label is always down."""
+    entry = F.struct(F.col("_dist").alias("d"), ts.age().alias("age"), F.col("_up").alias("up"))
+    use = F.col("_dist").isNotNull() & (F.lit(True) if literal else ts.age() > 0)
+    return {"_kn": F.array_sort(F.collect_list(F.when(use, entry))), "_kv": F.count("_dist"), "_kb": F.count(F.lit(1))}
+
+
+def knn_labels(per_symbol: DataFrame, k: int = 8, min_bars: int = 50, min_rows: int = 20) -> DataFrame:
+    near = F.slice("_kn", 1, k)
+    same = F.filter(near, lambda x: x["d"] == 0)
+    add = lambda arr, fn: F.aggregate(arr, F.lit(0.0), lambda a, x: a + fn(x))
+    up = lambda x: x["up"].cast("double")
+    share = F.when(F.size(same) > 0, sdiv(add(same, up), F.size(same))).otherwise(
+        sdiv(add(near, lambda x: up(x) / x["d"]), add(near, lambda x: 1.0 / x["d"]))
     )
+    s = per_symbol.withColumn("knn_up", share)
+    ok = (F.col("_kb") >= min_bars) & (F.col("_kv") >= min_rows) & (c.knn_up > 0.5)
+    return s.withColumn("knn_action", _act(truth(ok), "Lorentzian Buy", "No Signal")).drop("_kn", "_kv", "_kb")
+
+
+def went_up() -> Column:
+    """1 when the next close is higher, 0 otherwise (also on the last bar)."""
+    return truth(F.lead("close").over(ts.by_symbol()) > c.close).cast("int")
+
+
+def knn_direction(panel: DataFrame, k: int = 8, rows: int = 2000, literal: bool = False) -> DataFrame:
+    """Direction vote of the ``k`` bars most similar to the latest bar, per symbol."""
+    return knn_labels(_agg(knn_columns(panel.withColumn("_up", went_up()), rows), knn_aggs(literal)), k)

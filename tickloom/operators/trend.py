@@ -51,33 +51,43 @@ def trend_status_simple(panel: DataFrame, cap: float = 10.0) -> DataFrame:
     )
 
 
-def car_rating(bars: DataFrame) -> DataFrame:
-    """Cumulative-average rating per symbol: ``car_rating`` and the stricter rising-mean ``car_rising``.
-
-    The average starts at the first bar with the highest high.  That bar is where the
-    running maximum is last raised, so one ascending pass finds it: no self-join.
-    """
-    w = ts.by_symbol()
-    b = bars.filter(all_present(c.high, c.close))
-    b = b.withColumns({"_top": F.max("high").over(ts.whole()), "_n": F.count(F.lit(1)).over(ts.whole())})
-    b = b.withColumn("_peak_at", F.min(F.when(c.high == F.col("_top"), c.date)).over(ts.whole()))
-    b = b.withColumn("_in", c.date >= F.col("_peak_at"))
-    b = b.withColumn("_avg", F.when(F.col("_in"), F.avg(F.when(F.col("_in"), c.close)).over(ts.sofar())))
-    b = b.withColumns({"_prev": F.lag("_avg").over(w), "_fe": ts.from_end()})
-    per = b.groupBy("symbol").agg(
-        F.max("_n").alias("n"),
-        F.count_if(F.col("_in")).alias("since"),
-        F.count_if((F.col("_fe") < 10) & F.col("_in") & (c.close > F.col("_avg"))).alias("above"),
-        F.count_if((F.col("_fe") < 9) & F.col("_in") & (F.col("_avg") > F.col("_prev"))).alias("rising"),
-    )
-    short = (c.n < 10) | (c.since < 10)
+def car_columns(bars: DataFrame) -> DataFrame:
+    """Running mean of the close since the first bar with the highest high (NULL before it)."""
+    b = ts.position(bars.filter(all_present(c.high, c.close)))
+    b = b.withColumn("_top", F.max("high").over(ts.whole()))
+    b = b.withColumn("_at", F.min(F.when(c.high == F.col("_top"), c.bn)).over(ts.whole()))
+    since = c.bn >= F.col("_at")
+    b = b.withColumn("car_avg", F.when(since, F.avg(F.when(since, c.close)).over(ts.sofar())))
+    return b.withColumn("car_prev", ts.lag(c.car_avg)).drop("_top", "_at")
+
+
+def car_aggs() -> dict[str, Column]:
+    return {
+        "_cn": F.count(F.lit(1)),
+        "_cs": F.count("car_avg"),
+        "_above": F.count_if((ts.age() < 10) & (c.close > c.car_avg)),
+        "_rising": F.count_if((ts.age() < 9) & (c.car_avg > c.car_prev)),
+    }
+
+
+def car_labels(per_symbol: DataFrame) -> DataFrame:
+    short = (F.col("_cn") < 10) | (F.col("_cs") < 10)
     label = lambda ok: F.when(short, "Short History").when(ok, "Buy/Average Out").otherwise("Avoid/Hold")
-    return per.select("symbol", label(c.above >= 8).alias("car_rating"), label(c.rising == 9).alias("car_rising"))
+    return per_symbol.withColumns({"car_rating": label(F.col("_above") >= 8), "car_rising": label(F.col("_rising") == 9)}).drop(*car_aggs())
+
+
+def car_rating(bars: DataFrame) -> DataFrame:
+    """Cumulative-average rating per symbol: ``car_rating`` and the stricter rising-mean ``car_rising``."""
+    return car_labels(car_columns(bars).groupBy("symbol").agg(*[v.alias(k) for k, v in car_aggs().items()]))
 
 
 def bottom_out(bars: DataFrame, tolerance: float = 0.5, buffer: float = 1.0, n: int = 20) -> DataFrame:
     """Test of the n-bar low and the bounce from it, for every bar."""
-    b = rolling(bars, {"high_20d": ("max", "high", n), "low_20d": ("min", "low", n)})
+    return bottom_out_columns(rolling(bars, {"high_20d": ("max", "high", n), "low_20d": ("min", "low", n)}), tolerance, buffer)
+
+
+def bottom_out_columns(b: DataFrame, tolerance: float = 0.5, buffer: float = 1.0) -> DataFrame:
+    """:func:`bottom_out` where ``high_20d`` and ``low_20d`` are already there."""
     b = b.withColumn("gtt_trigger", c.high_20d)
     off_floor = sdiv(F.abs(c.low - c.low_20d), c.low_20d) * 100.0
     b = b.withColumn("bounce_pct", sdiv(c.close - c.low_20d, c.low_20d) * 100.0)

@@ -10,6 +10,7 @@ from ..operators import consensus as con
 from ..operators import indicators as ind
 from ..operators import strategies as st
 from ..operators import trend as tr
+from ..operators.snapshot import snapshot as full_snapshot
 from ..sources import bars as B
 from .catalog import query
 from .q_windows import _DIV
@@ -241,22 +242,8 @@ def v14(spark, d):
 
 
 def snapshot(spark, d, kind=supplier_bars):
-    """One row per symbol: latest bar with every indicator, classifier and strategy."""
-    b = kind(spark, d)
-    p = ind.indicators(b)
-    bar_wise = st.bar_strategies(tr.market_state(tr.trend_status_sl(tr.trend_status(tr.circuit(st.squeeze(p)), cap=1000.0), cap=1000.0)))
-    s = ts.latest(ind.tech_score(tr.bottom_out(bar_wise)))
-    parts = [
-        tr.car_rating(b),
-        ind.divergence(p).select("symbol", "rsi_divergence", "macd_divergence"),
-        st.vcp(p),
-        st.dual_supertrend(b),
-        ts.latest(st.candles(b)).select("symbol", "candle_pattern"),
-        st.knn_direction(p).select("symbol", "knn_action"),
-    ]
-    for x in parts:
-        s = s.join(x, "symbol", "left")
-    return s.withColumn("knn_action", F.coalesce("knn_action", F.lit("No Signal"))).withColumn("traded_value", c.close * c.volume)
+    """Latest-bar snapshot; the cap on the distance from the 200-bar mean is widened for this data."""
+    return full_snapshot(kind(spark, d), cap=1000.0)
 
 
 SNAP_CTES = (D200, ACT, CAR, BOTTOM, CIRCUIT, VCP, SQUEEZE, "panel_src AS (SELECT * FROM panel)", SUPER, CANDLE, KNN, _DIV)
