@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import recur, ts
-from ..functions.num import c, flag, sdiv, truth
+from ..functions.num import c, flag, rnd, sdiv, truth
 from ..functions.rolling import rolling
 
 SMA_LENGTHS = (20, 50, 100, 150, 200)
@@ -229,3 +229,27 @@ def tech_score(panel: DataFrame) -> DataFrame:
         F.when(s >= 80, "STRONG BUY").when(s >= 60, "BUY").when(s >= 40, "NEUTRAL").when(s >= 20, "SELL").otherwise("STRONG SELL"),
     )
 
+
+
+def latest_labels(snap: DataFrame) -> DataFrame:
+    """Dashboard labels of the latest bar: moving-average side, RSI, MACD, band, ADX, ATR and CCI zones."""
+    side = lambda m: F.when(F.col(m).isNull(), "N/A").when(c.close > F.col(m), "ABOVE").otherwise("BELOW")
+    zone = lambda x, *cases, last: _zone(F.col(x), cases, last)
+    width = c.bb_upper - c.bb_lower
+    return snap.select(
+        "symbol",
+        *[side(m).alias(f"vs_{m}") for m in ("ema_20", "sma_50", "sma_200")],
+        zone("rsi_14", (c.rsi_14 >= 70, "OVERBOUGHT"), (c.rsi_14 <= 30, "OVERSOLD"), (c.rsi_14 >= 50, "BULLISH"), (c.rsi_14 >= 40, "NEUTRAL-BULLISH"), last="BEARISH").alias("rsi_zone"),
+        zone("macd_hist", (c.macd > c.macd_signal, "BULLISH"), last="BEARISH").alias("macd_state"),
+        F.when(width > 0, rnd((c.close - c.bb_lower) / width * 100, 1)).alias("bb_position_pct"),
+        zone("adx_14", (c.adx_14 > 25, "STRONG"), last="WEAK").alias("adx_state"),
+        rnd(c.atr_14 / c.close * 100, 2).alias("atr_pct"),
+        zone("cci_14", (c.cci_14 >= 100, "OVERBOUGHT"), (c.cci_14 <= -100, "OVERSOLD"), last="NEUTRAL").alias("cci_zone"),
+    )
+
+
+def _zone(x: Column, cases: tuple, last: str) -> Column:
+    out = F.when(x.isNull(), "N/A")
+    for cond, label in cases:
+        out = out.when(cond, label)
+    return out.otherwise(last)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ts
+from ..functions import rank, ts
 from ..functions.num import c, rnd
 from ..operators import indicators as ind
 from ..sources import bars as B
@@ -235,3 +235,22 @@ RATING = "CASE WHEN tech_score >= 80 THEN 'STRONG BUY' WHEN tech_score >= 60 THE
 @query("t12_tech_score", panel("s", f"sc AS (SELECT *, {SCORE} AS tech_score FROM panel)", body=f"SELECT symbol, date, tech_score, {RATING} AS tech_rating FROM sc"))
 def t12(spark, d):
     return ind.tech_score(supplier_panel(spark, d)).select("symbol", "date", "tech_score", "tech_rating")
+
+
+@query("w7_percent_rank", with_(BARS["s"], body="""SELECT symbol, date, round((rank() OVER (PARTITION BY date ORDER BY close) + (count(*) OVER (PARTITION BY date, close) - 1) / 2.0) / count(*) OVER (PARTITION BY date) * 100, 4) AS pct FROM bars"""))
+def w7(spark, d):
+    b = supplier_bars(spark, d)
+    return rounded(rank.percent_rank_avg(b.select("symbol", "date", "close"), "close", "pct", within=["date"]).select("symbol", "date", "pct"))
+
+
+@query("w8_min_rank", with_(BARS["s"], body="SELECT symbol, date, rank() OVER (ORDER BY volume DESC) AS rank FROM bars"))
+def w8(spark, d):
+    return rank.min_rank(supplier_bars(spark, d).select("symbol", "date", "volume"), "volume", "rank").select("symbol", "date", "rank")
+
+
+@query("t13_latest_labels", panel("s", body="""SELECT symbol, CASE WHEN ema_20 IS NULL THEN 'N/A' WHEN close > ema_20 THEN 'ABOVE' ELSE 'BELOW' END AS vs_ema_20, CASE WHEN sma_50 IS NULL THEN 'N/A' WHEN close > sma_50 THEN 'ABOVE' ELSE 'BELOW' END AS vs_sma_50,
+  CASE WHEN sma_200 IS NULL THEN 'N/A' WHEN close > sma_200 THEN 'ABOVE' ELSE 'BELOW' END AS vs_sma_200, CASE WHEN rsi_14 IS NULL THEN 'N/A' WHEN rsi_14 >= 70 THEN 'OVERBOUGHT' WHEN rsi_14 <= 30 THEN 'OVERSOLD' WHEN rsi_14 >= 50 THEN 'BULLISH' WHEN rsi_14 >= 40 THEN 'NEUTRAL-BULLISH' ELSE 'BEARISH' END AS rsi_zone,
+  CASE WHEN macd_hist IS NULL THEN 'N/A' WHEN macd > macd_signal THEN 'BULLISH' ELSE 'BEARISH' END AS macd_state, CASE WHEN bb_upper > bb_lower THEN round((close - bb_lower) / (bb_upper - bb_lower) * 100, 1) END AS bb_position_pct,
+  CASE WHEN adx_14 IS NULL THEN 'N/A' WHEN adx_14 > 25 THEN 'STRONG' ELSE 'WEAK' END AS adx_state, round(atr_14 / close * 100, 2) AS atr_pct, CASE WHEN cci_14 IS NULL THEN 'N/A' WHEN cci_14 >= 100 THEN 'OVERBOUGHT' WHEN cci_14 <= -100 THEN 'OVERSOLD' ELSE 'NEUTRAL' END AS cci_zone FROM panel WHERE is_last"""))
+def t13(spark, d):
+    return ind.latest_labels(ts.latest(supplier_panel(spark, d)))

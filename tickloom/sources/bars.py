@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import ts
-
 BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume", "turnover"]
 
 
@@ -173,6 +171,3 @@ def latest_partition(df: DataFrame, day: str = "date") -> DataFrame:
     newest = df.agg(F.max(day).alias("_d"))
     return df.join(F.broadcast(newest), F.col(day) == F.col("_d"), "left_semi")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = ts
