@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,13 @@ def rnd(x: Column | str, digits: int = 4) -> Column:
 def money(x: Column | str) -> Column:
     """Two-decimal text, rounded as :func:`rnd` does."""
     return F.format_string("%.2f", rnd(x, 2))
+
+
+def evaluated(df: DataFrame) -> DataFrame:
+    """Compute the columns once before later steps read them.
+
+    Without it the optimizer substitutes long label expressions into every later use,
+    which multiplies work and plan size.  A one-row ``inline`` per row stops that and
+    moves no data.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ts
-from ..functions.num import c
+from ..functions.num import c, evaluated
 from . import indicators as ind
 from . import strategies as st
 from . import trend as tr
 
-_HELPERS = {"bn", "n_bars"}
-
 
 def snapshot(bars: DataFrame, cap: float = 20.0) -> DataFrame:
     """Snapshot of all symbols in one shuffle.
@@ -33,11 +31,12 @@ def snapshot(bars: DataFrame, cap: float = 20.0) -> DataFrame:
     s = s.select("symbol", "_last.*", *aggs)
     s = st.knn_labels(ind.divergence_labels(st.vcp_labels(tr.car_labels(s))))
     s = st.supertrend_labels(s.withColumn("_d", st.supertrend_fold(F.col("_st"))), "_d", "_d").drop("_st", "_d")
+    s = evaluated(s)
     s = st.squeeze_columns(s, c.sma_20, c.std_20, c.atr_14)
     s = tr.bottom_out_columns(s.withColumns({"high_20d": c.high_20, "low_20d": c.low_20}))
     s = tr.market_state(tr.trend_status_sl(tr.trend_status(tr.circuit(s), cap), cap))
     s = ind.tech_score(st.bar_strategies(s))
-    return s.withColumn("traded_value", c.close * c.volume).drop("bn", "high_20", "car_avg", "car_prev")
+    return evaluated(s.withColumn("traded_value", c.close * c.volume).drop("bn", "high_20", "car_avg", "car_prev"))
 
 
 def with_universe(universe: DataFrame, snap: DataFrame, counts: DataFrame) -> DataFrame:

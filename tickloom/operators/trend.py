@@ -70,15 +70,16 @@ def car_aggs() -> dict[str, Column]:
     }
 
 
-def car_labels(per_symbol: DataFrame) -> DataFrame:
+def car_labels(per_symbol: DataFrame, need: int = 8) -> DataFrame:
+    """Buy when at least ``need`` of the last ten closes lie above the running mean."""
     short = (F.col("_cn") < 10) | (F.col("_cs") < 10)
     label = lambda ok: F.when(short, "Short History").when(ok, "Buy/Average Out").otherwise("Avoid/Hold")
-    return per_symbol.withColumns({"car_rating": label(F.col("_above") >= 8), "car_rising": label(F.col("_rising") == 9)}).drop(*car_aggs())
+    return per_symbol.withColumns({"car_rating": label(F.col("_above") >= need), "car_rising": label(F.col("_rising") == 9)}).drop(*car_aggs())
 
 
-def car_rating(bars: DataFrame) -> DataFrame:
+def car_rating(bars: DataFrame, need: int = 8) -> DataFrame:
     """Cumulative-average rating per symbol: ``car_rating`` and the stricter rising-mean ``car_rising``."""
-    return car_labels(car_columns(bars).groupBy("symbol").agg(*[v.alias(k) for k, v in car_aggs().items()]))
+    return car_labels(car_columns(bars).groupBy("symbol").agg(*[v.alias(k) for k, v in car_aggs().items()]), need)
 
 
 def bottom_out(bars: DataFrame, tolerance: float = 0.5, buffer: float = 1.0, n: int = 20) -> DataFrame:
