@@ -133,7 +133,7 @@ def q16(spark, d):
     return q.heal(b, f).select("symbol", "date", "volume", rnd("turnover", 2).alias("turnover"))
 
 
-@query("q17_indicator_parity", "SELECT CAST(0 AS DOUBLE) AS mean_rsi, CAST(0 AS DOUBLE) AS max_rsi, CAST(0 AS DOUBLE) AS mean_sma, CAST(0 AS DOUBLE) AS max_sma, CAST(0 AS DOUBLE) AS mean_atr, CAST(0 AS DOUBLE) AS max_atr FROM lineitem LIMIT 1")
+@query("q17_indicator_parity")
 def q17(spark, d):
     return rounded(q.parity(ind.recursive(ind.sma(supplier_bars(spark, d), (50,)))), 6)
 
