@@ -88,7 +88,7 @@ def cointegrated_pairs(bars: DataFrame, max_p: float = 0.05, z_entry: float = 2.
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     t = t.select("*", other.alias("o")).select("symbol", "d", "v", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
 
-    def test_block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def test_block(key, pdf):
         b1, b2 = key
         rows = [(s, np.asarray(d), np.asarray(v), b) for s, d, v, b in zip(pdf.symbol, pdf.d, pdf.v, pdf.b)]
         out = []

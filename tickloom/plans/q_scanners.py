@@ -83,7 +83,7 @@ l1 AS (SELECT *, {_lag('m200', 30)} AS p200, {_lag('m50', 9)} AS p50, {full('max
 l2 AS (SELECT *, {_lag('v20', 39)} AS pv20 FROM l1),
 ld AS (SELECT symbol, round(rs, 8) AS rs, CAST(close > m50 AS INTEGER) + CAST(close > m150 AS INTEGER) + CAST(close > m200 AS INTEGER) + CAST(m50 > m150 AS INTEGER) + CAST(m50 > m200 AS INTEGER) + CAST(m150 > m200 AS INTEGER)
   + CAST(close >= lo * 1.3 AS INTEGER) + CAST(close >= hi * 0.75 AS INTEGER) + CAST(m200 > p200 AS INTEGER) AS template_score, volume / vm AS rvol, close / hi AS high_proximity, coalesce(close > m150 AND m150 > m200 AND m50 > p50, false) AS stage2,
-  base AS pivot, coalesce(close > base, false) AS breakout, coalesce(volume > mdv, false) AS pocket_pivot, coalesce(v20 < pv20, false) AS contraction FROM l2 WHERE is_last AND n >= 256),
+  base, coalesce(close > base, false) AS breakout, coalesce(volume > mdv, false) AS pocket_pivot, coalesce(v20 < pv20, false) AS contraction FROM l2 WHERE is_last AND n >= 256),
 lr AS (SELECT *, (rank() OVER (ORDER BY rs) + (count(*) OVER (PARTITION BY rs) - 1) / 2.0) / count(*) OVER () * 100 AS rs_rating FROM ld)"""
 
 
@@ -97,7 +97,7 @@ _lead("x6_rs_rating", ["rs_rating"], "round(rs_rating, 4) AS rs_rating")
 _lead("x7_trend_template", ["template_score"], "template_score")
 _lead("x8_rvol_proximity", ["rvol", "high_proximity"], "round(rvol, 4) AS rvol, round(high_proximity, 4) AS high_proximity")
 _lead("x9_stage2", ["stage2"], "stage2")
-_lead("x10_pivots", ["pivot", "breakout", "pocket_pivot", "contraction"], "round(pivot, 4) AS pivot, breakout, pocket_pivot, contraction")
+_lead("x10_pivots", ["pivot", "breakout", "pocket_pivot", "contraction"], "round(base, 4) AS "pivot", breakout, pocket_pivot, contraction")
 
 
 @query("x11_candidates", with_(BARS["s"], _LEAD, body="SELECT symbol, round(rs_rating, 4) AS rs_rating, round(least(1.0, greatest(0.0, (rs_rating - 70) / 30.0)), 2) AS conviction FROM lr WHERE rs_rating >= 30 AND template_score >= 3 AND high_proximity >= 0.05 AND rvol >= 0.2 AND stage2"))
