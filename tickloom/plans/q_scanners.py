@@ -97,7 +97,7 @@ _lead("x6_rs_rating", ["rs_rating"], "round(rs_rating, 4) AS rs_rating")
 _lead("x7_trend_template", ["template_score"], "template_score")
 _lead("x8_rvol_proximity", ["rvol", "high_proximity"], "round(rvol, 4) AS rvol, round(high_proximity, 4) AS high_proximity")
 _lead("x9_stage2", ["stage2"], "stage2")
-_lead("x10_pivots", ["pivot", "breakout", "pocket_pivot", "contraction"], "round(base, 4) AS "pivot", breakout, pocket_pivot, contraction")
+_lead("x10_pivots", ["pivot", "breakout", "pocket_pivot", "contraction"], 'round(base, 4) AS "pivot", breakout, pocket_pivot, contraction')
 
 
 @query("x11_candidates", with_(BARS["s"], _LEAD, body="SELECT symbol, round(rs_rating, 4) AS rs_rating, round(least(1.0, greatest(0.0, (rs_rating - 70) / 30.0)), 2) AS conviction FROM lr WHERE rs_rating >= 30 AND template_score >= 3 AND high_proximity >= 0.05 AND rvol >= 0.2 AND stage2"))
