@@ -47,7 +47,8 @@ def decay_sums(df: DataFrame, specs: dict[str, tuple[Column, float]], key: str =
     df = df.withColumns(ends)
     out = {}
     for n, (_, r) in specs.items():
-        carry = F.aggregate(F.col(f"_e_{n}"), F.lit(0.0), _fold(float(r) ** BLOCK))
+        seen = F.col(f"_e_{n}")
+        carry = F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), _fold(float(r) ** BLOCK))).otherwise(0.0)
         out[n] = F.col(f"_l_{n}") + F.pow(F.lit(r), k + 1) * carry
     return df.withColumns(out).drop(*local, *ends)
 

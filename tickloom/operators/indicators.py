@@ -25,18 +25,23 @@ def sma(bars: DataFrame, lengths: tuple[int, ...] = SMA_LENGTHS) -> DataFrame:
     return rolling(bars, {f"sma_{n}": ("mean", "close", n) for n in lengths})
 
 
+# Each of the next three operators is a set of windows on raw bar columns plus a
+# finishing projection, so that windows() can evaluate all of them in one operator.
+
+
+def _bollinger_raw(n: int) -> dict[str, Column]:
+    return {"bb_middle": ts.mean(c.close, n), "_bsd": ts.std_pop(c.close, n), "std_20": ts.std(c.close, n)}
+
+
+def _bollinger_finish(b: DataFrame, width: float) -> DataFrame:
+    return b.withColumns(
+        {"bb_upper": c.bb_middle + width * F.col("_bsd"), "bb_lower": c.bb_middle - width * F.col("_bsd")}
+    ).drop("_bsd")
+
+
 def bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     """Middle = SMA, bands at ``width`` population deviations."""
-    return (
-        bars.withColumns({"bb_middle": ts.mean(c.close, n), "_sd": ts.std_pop(c.close, n), "std_20": ts.std(c.close, n)})
-        .withColumns(
-            {
-                "bb_upper": F.col("bb_middle") + width * F.col("_sd"),
-                "bb_lower": F.col("bb_middle") - width * F.col("_sd"),
-            }
-        )
-        .drop("_sd")
-    )
+    return _bollinger_finish(bars.withColumns(_bollinger_raw(n)), width)
 
 
 def extremes(bars: DataFrame) -> DataFrame:
@@ -44,31 +49,48 @@ def extremes(bars: DataFrame) -> DataFrame:
     return rolling(bars, _EXTREMES)
 
 
-def cci(bars: DataFrame, n: int = 14) -> DataFrame:
-    tp = (c.high + c.low + c.close) / 3.0
-    b = bars.withColumn("_tp", tp)
-    win = F.collect_list("_tp").over(ts.back(n))
-    b = b.withColumns({"_w": F.when(F.count("_tp").over(ts.back(n)) == n, win), "_m": ts.mean(F.col("_tp"), n)})
-    m = F.col("_m")
-    mad = F.aggregate("_w", F.lit(0.0), lambda a, x: a + F.abs(x - m)) / n
+def _cci_raw(n: int) -> dict[str, Column]:
+    tp, w = F.col("_tp"), ts.back(n)
+    return {"_tw": F.when(F.count(tp).over(w) == n, F.collect_list(tp).over(w)), "_tm": ts.mean(tp, n)}
+
+
+def _cci_finish(b: DataFrame, n: int) -> DataFrame:
+    m = F.col("_tm")
     dev = F.col("_tp") - m
-    b = b.withColumn("_mad", mad)
-    out = F.when(F.col("_mad").isNotNull(), F.when((F.col("_mad") != 0) & (dev != 0), sdiv(dev, 0.015 * F.col("_mad"))).otherwise(0.0))
-    return b.withColumn(f"cci_{n}", out).drop("_tp", "_w", "_m", "_mad")
+    b = b.withColumn("_mad", F.aggregate("_tw", F.lit(0.0), lambda a, x: a + F.abs(x - m)) / n)
+    mad = F.col("_mad")
+    out = F.when(mad.isNotNull(), F.when((mad != 0) & (dev != 0), sdiv(dev, 0.015 * mad)).otherwise(0.0))
+    return b.withColumn(f"cci_{n}", out).drop("_tp", "_tw", "_tm", "_mad")
 
 
-def activity(bars: DataFrame, n: int = 20) -> DataFrame:
-    """Daily change, return z-score and volume spike; 0 where they are not defined."""
-    b = bars.withColumns({"prev_close": ts.lag(c.close), "_r": ts.pct_change(c.close), "_va": ts.mean(c.volume, n)})
+def cci(bars: DataFrame, n: int = 14) -> DataFrame:
+    """(tp - mean) / (0.015 * mean absolute deviation) of the typical price; 0 when either part is 0."""
+    return _cci_finish(with_typical_price(bars).withColumns(_cci_raw(n)), n)
+
+
+def with_typical_price(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("_tp", (c.high + c.low + c.close) / 3.0)
+
+
+def _activity_raw(n: int) -> dict[str, Column]:
+    return {"prev_close": ts.lag(c.close), "_r": ts.pct_change(c.close), "_va": ts.mean(c.volume, n)}
+
+
+def _activity_finish(b: DataFrame, n: int) -> DataFrame:
     r = F.col("_r")
-    b = b.withColumns({"_mu": ts.mean(r, n), "_sd": ts.std(r, n)})
+    b = b.withColumns({"_mu": ts.mean(r, n), "_rsd": ts.std(r, n)})
     return b.withColumns(
         {
-            "z_score": F.coalesce(sdiv(r - F.col("_mu"), F.col("_sd")), F.lit(0.0)),
+            "z_score": F.coalesce(sdiv(r - F.col("_mu"), F.col("_rsd")), F.lit(0.0)),
             "vol_spike": F.when(F.col("_va") > 0, c.volume / F.col("_va")).otherwise(0.0),
-            "change_pct": F.when(F.col("prev_close") > 0, (c.close - F.col("prev_close")) * 100.0 / F.col("prev_close")).otherwise(0.0),
+            "change_pct": F.when(c.prev_close > 0, (c.close - c.prev_close) * 100.0 / c.prev_close).otherwise(0.0),
         }
-    ).drop("_r", "_va", "_mu", "_sd")
+    ).drop("_r", "_va", "_mu", "_rsd")
+
+
+def activity(bars: DataFrame, n: int = 20) -> DataFrame:
+    """Daily change, return z-score and volume spike; 0 where they are not defined."""
+    return _activity_finish(bars.withColumns(_activity_raw(n)), n)
 
 
 def _true_range(prev: Column) -> Column:
@@ -165,11 +187,10 @@ def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14,
 
 def windows(bars: DataFrame) -> DataFrame:
     """The indicators that are plain windows, all on the (symbol, date) order."""
-    b = rolling(
-        ts.position(bars),
-        {**{f"sma_{n}": ("mean", "close", n) for n in SMA_LENGTHS}, **_EXTREMES, "high_20": ("max", "high", 20)},
-    )
-    b = cci(bollinger(activity(b)))
+    b = with_typical_price(bars).withColumns({"bn": ts.bar_no(), **_activity_raw(20), **_bollinger_raw(20), **_cci_raw(14)})
+    b = _bollinger_finish(_cci_finish(b, 14), 2.0)
+    b = _activity_finish(b, 20).withColumn("n_bars", F.count(F.lit(1)).over(ts.whole()))
+    b = rolling(b, {**{f"sma_{n}": ("mean", "close", n) for n in SMA_LENGTHS}, **_EXTREMES, "high_20": ("max", "high", 20)})
     return b.withColumns({"prev_high_55": ts.lag(c.high_55), "prev_sma_100": ts.lag(c.sma_100)})
 
 

@@ -25,9 +25,9 @@ def snapshot(bars: DataFrame, cap: float = 20.0) -> DataFrame:
     p = st.knn_columns(ind.recursive(p))
     aggs = {**tr.car_aggs(), **st.vcp_aggs(), **st.supertrend_aggs(), **st.knn_aggs(), **ind.divergence_aggs()}
     latest = [x for x in p.columns if not x.startswith("_") and x not in ("symbol", "n_bars")]
-    s = p.groupBy("symbol").agg(
-        F.max_by(F.struct(*latest), "date").alias("_last"), *[v.alias(k) for k, v in aggs.items()]
-    )
+    # the wide row is built for the last bar only
+    last = F.first(F.when(ts.age() == 0, F.struct(*latest)), ignorenulls=True)
+    s = p.groupBy("symbol").agg(last.alias("_last"), *[v.alias(k) for k, v in aggs.items()])
     s = s.select("symbol", "_last.*", *aggs)
     s = st.knn_labels(ind.divergence_labels(st.vcp_labels(tr.car_labels(s))))
     s = st.supertrend_labels(s.withColumn("_d", st.supertrend_fold(F.col("_st"))), "_d", "_d").drop("_st", "_d")
