@@ -178,8 +178,8 @@ def correlation_matrix(bars: DataFrame, symbols: list[str]) -> DataFrame:
     ret = ret.na.drop()
     n = len(symbols)
     pairs = [(i, j) for i in range(n) for j in range(n)]
-    agg = ret.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs if i < j] or [F.count(F.lit(1)).alias("_n")])
-    cell = lambda i, j: F.lit(1.0) if i == j else F.col(f"c{min(i, j)}_{max(i, j)}")
+    agg = ret.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs if i < j])
+    cell = lambda i, j: F.when(F.col("_n") > 1, 1.0) if i == j else F.col(f"c{min(i, j)}_{max(i, j)}")
     rows = F.array(*[F.struct(F.lit(symbols[i]).alias("symbol_a"), F.lit(symbols[j]).alias("symbol_b"), cell(i, j).alias("corr")) for i, j in pairs])
     return agg.select(F.inline(rows))
 

@@ -107,7 +107,9 @@ _SEG = ["AF", "AO", "NF", "NO", "RF", "RO"]
 ix AS (SELECT b.symbol, b.date, c.i, close, lag(c.i) OVER (PARTITION BY symbol ORDER BY b.date) AS pi, close / lag(close) OVER (PARTITION BY symbol ORDER BY b.date) - 1 AS ret FROM bars b JOIN cal c USING (date)),
 ok AS (SELECT * FROM ix WHERE pi = i - 1), full_days AS (SELECT date FROM ok GROUP BY date HAVING count(*) = {len(_SEG)}),
 x AS (SELECT ok.* FROM ok JOIN full_days USING (date))""",
-  body="SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, CASE WHEN a.symbol = b.symbol THEN 1.0 ELSE round(corr(a.ret, b.ret), 4) END AS corr FROM x a JOIN x b ON a.date = b.date GROUP BY a.symbol, b.symbol"))
+  "k AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, CASE WHEN a.symbol = b.symbol THEN CASE WHEN count(*) > 1 THEN 1.0 END ELSE round(corr(a.ret, b.ret), 4) END AS corr FROM x a JOIN x b ON a.date = b.date GROUP BY a.symbol, b.symbol)",
+  f"s6 AS (SELECT unnest({_SEG}) AS s)",
+  body="SELECT p.s AS symbol_a, q.s AS symbol_b, k.corr FROM s6 p CROSS JOIN s6 q LEFT JOIN k ON k.symbol_a = p.s AND k.symbol_b = q.s"))
 def r11(spark, d):
     return rounded(risk.correlation_matrix(segment_bars(spark, d), _SEG))
 
