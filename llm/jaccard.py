@@ -391,7 +391,7 @@ def _block_pairs(rows: DataFrame, r: float) -> DataFrame:
     other = rings.select("grp", F.col("settled").alias("settled2"), F.col("ring").alias("ring2"), F.col("blocks").alias("blocks2"))
     near = rows.join(other, "grp").where("abs(ring - ring2) <= 2 AND NOT (settled AND settled2)")
     near = near.withColumn("block2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks2") - 1)))
-    one, two = F.struct("settled", "ring", "block"), F.struct("settled2", "ring2", "block2")
+    one, two = F.concat_ws("/", "settled", "ring", "block"), F.concat_ws("/", "settled2", "ring2", "block2")
     return near.select(F.xxhash64("grp", F.least(one, two), F.greatest(one, two)).alias("grp"), "rid")
 
 
