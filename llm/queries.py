@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import jaccard
+from llm import jaccard, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +28,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of 4-word shingle sets at a Jaccard similarity of 0.85."""
     return jaccard.components_of(documents(spark, sf_dir), words=4, num=85, den=100)
+
+
+@query("op8_hypergeometric_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform shuffle of all documents into eight shards of exact sizes."""
+    return sharding.shard_query(documents(spark, sf_dir))
+
+
+@query("op9_systematic_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source targets by systematic sampling."""
+    return mixing.mix_query(documents(spark, sf_dir))
+
+
+SQL["op9_systematic_mix"] = mixing.SQL
