@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import jaccard, mixing, sharding
+from llm import bpe, jaccard, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_systematic_mix"] = mixing.SQL
+
+
+@query("op4_bpe_round_trip")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by the public word tokenizer."""
+    return bpe.round_trip(documents(spark, sf_dir), bpe.tokenizer_path(spark))
