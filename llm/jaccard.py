@@ -33,6 +33,7 @@ from llm.store import written
 COUNTERS = 1 << 18  # of the count of frequent shingles: fixed size, so its broadcast is 32 KB whatever the input
 HOT_LIST = 256  # documents of a shingle's region whose pairs are counted; a larger region is one group
 REGION, REGION_SHINGLES, PIVOTS, DEPTH, BLOCK = 512, 1 << 21, 16, 3, 256
+CHOSEN = "s long, k1 long, n int, near boolean, hot long, l long, central double"
 FAR = 0.7  # a document farther than this from every pivot stays for other pivots
 
 
@@ -129,94 +130,141 @@ def _entries(n: int, num: int, den: int, heavy: bytes):
 
 
 
+def _whole_runs(key: str, columns: list[str], work, passed=None):
+    """Batches sorted by key as calls of work(arrays) on whole runs of the key, some hundred thousand rows at a time. A
+    run that alone fills the buffer goes piece by piece to passed(arrays, first row of the run)."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows, first = 0, None
+        for batch in batches:
+            held.append(batch.select(columns))
+            rows += batch.num_rows
+            if rows < 300_000:
+                continue
+            at = {c: x.to_numpy() for c, x in zip(columns, pa.Table.from_batches(held).columns, strict=True)}
+            cut, start = int(np.searchsorted(at[key], at[key][-1])), 0
+            if first is not None:
+                start = int(np.searchsorted(at[key], first[0], side="right"))
+                yield from passed({c: x[:start] for c, x in at.items()}, first[1]) if start else ()
+            if start < len(at[key]) and cut > start:
+                yield from work({c: x[start:cut] for c, x in at.items()})
+                first = None
+            elif start == len(at[key]):
+                cut = start
+            elif passed is not None:
+                first = (at[key][start], {c: x[start] for c, x in at.items()})
+                yield from passed({c: x[start:] for c, x in at.items()}, first[1])
+                cut = len(at[key])
+            else:
+                cut = start
+            held = [pa.RecordBatch.from_arrays([pa.array(at[c][cut:]) for c in columns], columns)]
+            rows = len(at[key]) - cut
+        if rows:
+            at = {c: x.to_numpy() for c, x in zip(columns, pa.Table.from_batches(held).columns, strict=True)}
+            start = int(np.searchsorted(at[key], first[0], side="right")) if first is not None else 0
+            yield from passed({c: x[:start] for c, x in at.items()}, first[1]) if start else ()
+            if start < rows:
+                yield from work({c: x[start:] for c, x in at.items()})
+
+    return run
+
+
+def _record(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
+def _shared(at: dict) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by (s, k1): those whose region has two documents or more, with the region's size."""
+    keep = np.ones(len(at["s"]), bool)
+    keep[1:] = (at["s"][1:] != at["s"][:-1]) | (at["k1"][1:] != at["k1"][:-1])
+    at = {c: x[keep] for c, x in at.items()}
+    begin = _begins(at["s"])
+    length = np.diff(np.append(begin, len(at["s"])))
+    many = np.repeat(length, length)
+    yield _record({c: x[many > 1] for c, x in at.items()} | {"l": many[many > 1]})
+
+
+def _shared_long(at: dict, first: dict) -> Iterator[pa.RecordBatch]:
+    yield _record(at | {"l": np.full(len(at["s"]), 1 << 40)})
+
+
+def _chosen(num: int, den: int):
+    """Of entries sorted by (k1, l, s): those of documents that share enough regions to have a partner at all. near marks
+    a document's regions but for its largest ones, which may be as many as a partner shares at least less one: two linked
+    documents have a near region in common. hot counts its regions of more than HOT_LIST documents."""
+
+    def work(at):
+        begin = _begins(at["k1"])
+        m = np.diff(np.append(begin, len(at["k1"])))
+        need = np.maximum(1, (at["n"][begin].astype(np.int64) * num // den) // 20)
+        hot = np.add.reduceat((at["l"] > HOT_LIST).astype(np.int64), begin)
+        central = np.add.reduceat(np.minimum(at["l"], 1 << 20), begin) / m
+        near = np.arange(len(at["k1"])) - np.repeat(begin, m) < np.repeat(m - need + 1, m)
+        keep = np.repeat(m >= need, m)
+        yield _record({"s": at["s"][keep], "k1": at["k1"][keep], "n": at["n"][keep], "near": near[keep], "hot": np.repeat(hot, m)[keep], "l": at["l"][keep], "central": np.repeat(central, m)[keep]})
+
+    return work
+
+
 def _lists(num: int, den: int):
-    """From entries sorted by (s, k1), three kinds of rows (a, b, shared, need): a pair and the regions it shares (it
-    needs ``need`` of them), a star of a region with more than HOT_LIST documents (need 0), and with null b the members
-    of all regions that a is in, and their number."""
+    """From chosen entries sorted by (s, k1), rows (a, b, shared, need, central): a pair and the regions it shares, of
+    which it needs ``need``; a star of the near members of a hot region (need 0)."""
 
-    def clean(s, k, n):
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-        return s[keep], k[keep], n[keep]
+    def star(at, anchor):
+        some = at["near"] & (at["k1"] != anchor["k1"])
+        return _rows(at["k1"][some], np.full(some.sum(), anchor["k1"]), np.ones(some.sum()), np.zeros(some.sum()))
 
-    def pairs(k, n, i, j):
-        low, high = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+    def pairs(at, i, j):
+        k, n, hot = at["k1"], at["n"].astype(np.int64), at["hot"]
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = (low * den >= high * num) & (k[i] != k[j])
         i, j, low = i[ok], j[ok], low[ok]
+        need = np.maximum(1, low // 20 - np.minimum(hot[i], hot[j]))
         x, y = np.minimum(k[i], k[j]), np.maximum(k[i], k[j])
         order = np.lexsort((y, x))
-        x, y, low = x[order], y[order], low[order]
-        first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(x)])
-        return _rows(x[first], y[first], np.diff(np.append(first, len(x))), np.maximum(1, low[first] // 20))
-
-    def regions(s, k, n):
-        """Of whole lists."""
-        begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        length = np.diff(np.append(begin, len(s)))
-        many, at = np.repeat(length, length), np.arange(len(s)) - np.repeat(begin, length)
-        if (many >= 2).any():
-            u, back = np.unique(k[many >= 2], return_inverse=True)
-            yield _rows(u, None, np.bincount(back, many[many >= 2]).astype(np.int64), np.bincount(back))
-        hot = (many > HOT_LIST) & (at > 0)
-        if hot.any():
-            yield _rows(k[hot], np.repeat(k[begin], length)[hot], np.ones(hot.sum()), np.zeros(hot.sum()))
+        x, y, need = x[order], y[order], need[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        return _rows(x[first], y[first], np.diff(np.append(first, len(x))), need[first])
+
+    def regions(at):
+        begin = _begins(at["s"])
+        length = np.diff(np.append(begin, len(at["s"])))
+        place = np.arange(len(at["s"])) - np.repeat(begin, length)
+        is_hot = at["l"] > HOT_LIST
+        for b, m in zip(begin[is_hot[begin]], length[is_hot[begin]], strict=True):
+            part = {c: x[b : b + m] for c, x in at.items()}
+            if part["near"].any():
+                yield star(part, {"k1": part["k1"][np.flatnonzero(part["near"])[0]]})
+        many = np.repeat(length, length)
         i, waiting = [], 0
-        left = np.flatnonzero((many >= 2) & (many <= HOT_LIST))
+        left = np.flatnonzero((many >= 2) & ~is_hot)
         for d in range(1, HOT_LIST):
-            left = left[at[left] + d < many[left]]
+            left = left[place[left] + d < many[left]]
             if not len(left):
                 break
             i.append((left, d))
             waiting += len(left)
             if waiting > 1_000_000:
-                yield pairs(k, n, np.concatenate([x for x, _ in i]), np.concatenate([x + d for x, d in i]))
+                yield pairs(at, np.concatenate([x for x, _ in i]), np.concatenate([x + d for x, d in i]))
                 i, waiting = [], 0
         if i:
-            yield pairs(k, n, np.concatenate([x for x, _ in i]), np.concatenate([x + d for x, d in i]))
+            yield pairs(at, np.concatenate([x for x, _ in i]), np.concatenate([x + d for x, d in i]))
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows, anchor = 0, None
+    def long(at, first):
+        yield star(at, first)
+        yield star({c: x[:1] for c, x in at.items()} | {"near": np.array([True])}, first)
 
-        def take():
-            t = pa.Table.from_batches(held)
-            return clean(*(t[c].to_numpy() for c in ("s", "k1", "n")))
-
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 300_000:
-                continue
-            s, k, n = take()
-            cut = int(np.searchsorted(s, s[-1]))
-            if anchor is not None and len(s) and s[0] != anchor[0]:
-                anchor = None
-            if cut:
-                end = int(np.searchsorted(s, anchor[0], side="right")) if anchor is not None else 0
-                if end:
-                    yield _rows(k[:end], np.full(end, anchor[1]), np.ones(end), np.zeros(end))
-                yield from regions(s[end:cut], k[end:cut], n[end:cut]) if cut > end else ()
-                anchor = None
-            else:  # one region fills the buffer: its star is passed on piece by piece
-                anchor = anchor or (s[0], k[0])
-                yield _rows(k, np.full(len(k), anchor[1]), np.ones(len(k)), np.zeros(len(k)))
-                yield _rows(k, None, np.full(len(k), len(k)), np.ones(len(k)))
-                cut = len(s)
-            held = [pa.RecordBatch.from_arrays([pa.array(s[cut:]), pa.array(k[cut:]), pa.array(n[cut:])], ["s", "k1", "n"])]
-            rows = len(s) - cut
-        if rows:
-            s, k, n = take()
-            end = int(np.searchsorted(s, anchor[0], side="right")) if anchor is not None and s[0] == anchor[0] else 0
-            if end:
-                yield _rows(k[:end], np.full(end, anchor[1]), np.ones(end), np.zeros(end))
-            yield from regions(s[end:], k[end:], n[end:]) if end < len(s) else ()
-
-    return run
+    return _whole_runs("s", ["s", "k1", "n", "near", "hot", "l"], regions, long)
 
 
 def _rows(a, b, shared, need) -> pa.RecordBatch:
     a = np.asarray(a, np.int64)
-    b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(np.asarray(b, np.int64))
+    b = pa.array(np.asarray(b, np.int64))
     return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.asarray(shared, np.int64)), pa.array(np.asarray(need, np.int64))], ["a", "b", "shared", "need"])
 
 
@@ -409,13 +457,13 @@ def components_of(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
     docs = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "text")
     rows = written(docs.mapInArrow(_narrow(words), "doc_id long, rid long, n_shingles long, k1 long, k2 long"))
     entries = docs.select("text").mapInArrow(_entries(words, num, den, _heavy(docs, words)), "s long, k1 long, n int")
-    found = written(
-        entries.repartition("s").sortWithinPartitions("s", "k1").mapInArrow(_lists(num, den), "a long, b long, shared long, need long")
-        .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min(F.when(F.col("b").isNotNull(), F.col("need"))).alias("need"), F.sum("need").alias("regions"))
-        .where("b IS NULL OR shared >= need")
-    )
-    groups = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("k1"), F.col("root").alias("grp"))
-    central = found.where("b IS NULL").select(F.col("a").alias("k1"), (F.col("shared") / F.col("regions")).alias("central"))
+    shared = entries.repartition("s").sortWithinPartitions("s", "k1").mapInArrow(_whole_runs("s", ["s", "k1", "n"], _shared, _shared_long), "s long, k1 long, n int, l long")
+    chosen = shared.repartition("k1").sortWithinPartitions("k1", "l", "s").mapInArrow(_whole_runs("k1", ["s", "k1", "n", "l"], _chosen(num, den)), CHOSEN)
+    chosen = written(chosen)
+    found = chosen.repartition("s").sortWithinPartitions("s", "k1").mapInArrow(_lists(num, den), "a long, b long, shared long, need long")
+    found = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    groups = components(found).select(F.col("node").alias("k1"), F.col("root").alias("grp"))
+    central = chosen.groupBy("k1").agg(F.first("central").alias("central"))
     nodes = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     nodes = written(nodes.join(groups, "k1", "left"))
     size = nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
