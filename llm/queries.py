@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, jaccard, mixing, sharding
+from llm import bpe, jaccard, mixing, sharding, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,9 @@ SQL["op9_systematic_mix"] = mixing.SQL
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded by the public word tokenizer."""
     return bpe.round_trip(documents(spark, sf_dir), bpe.tokenizer_path(spark))
+
+
+@query("op10_winnowing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of all documents, their edited texts and their neighbours."""
+    return winnow.edited(documents(spark, sf_dir))
