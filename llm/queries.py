@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, jaccard, mixing, sharding, winnow
+from llm import bpe, jaccard, mixing, quality, sharding, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowing fingerprints of all documents, their edited texts and their neighbours."""
     return winnow.edited(documents(spark, sf_dir))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query("op5_ftrl_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    return toxicity.toxic_query(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op3_bradley_terry_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from preference pairs of the labels that are not held out."""
+    return quality.quality_query(documents(spark, sf_dir), labels(spark, sf_dir))

@@ -57,14 +57,15 @@ class Slice:
     row: np.ndarray
     words: np.ndarray  # rows + 1: the words of row i are words[i]:words[i+1]
 
-    def hashes(self, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hash of each word; with lower, A-Z count as a-z."""
+    def hashes(self, lower: bool = False, first: int | None = None) -> np.ndarray:
+        """64-bit hash of each word, or of its first bytes; with lower, A-Z count as a-z."""
         n = len(self.data)
         letters = _LETTER[_LOWER] if lower else _LETTER
         with np.errstate(over="ignore"):
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(letters[self.data] * powers(_BASE, n), out=total[1:])
-            return mix((total[self.end] - total[self.start]) * powers(_INVERSE, n + 1)[self.start])
+            end = self.end if first is None else np.minimum(self.end, self.start + first)
+            return mix((total[end] - total[self.start]) * powers(_INVERSE, n + 1)[self.start])
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +78,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Slice]:
-    """The rows of a string column in slices of about limit bytes."""
+SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])  # all ASCII but letters and digits
+
+
+def slices(column: pa.Array, limit: int = SLICE, between: np.ndarray = SPACE) -> Iterator[Slice]:
+    """The rows of a string column in slices of about limit bytes; between marks the bytes that are in no word."""
     data, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -86,7 +91,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Slice]:
         part = data[offsets[i] : offsets[j]]
         at = offsets[i : j + 1] - offsets[i]
         inside = np.ones(len(part) + 2, bool)
-        space = (part == 32) | ((part >= 9) & (part <= 13))
+        space = between[part]
         inside[0] = inside[-1] = False
         inside[1:-1] = ~space
         # a word also ends where its row does
