@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, jaccard, mixing, quality, sharding, toxicity, winnow
+from llm import bpe, jaccard, linededup, mixing, quality, sharding, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +71,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from preference pairs of the labels that are not held out."""
     return quality.quality_query(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op7_chunk_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the chunks of lines that occur before."""
+    return linededup.without_repeats(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
