@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, jaccard, linededup, mixing, quality, sharding, toxicity, winnow
+from llm import bpe, jaccard, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the chunks of lines that occur before."""
     return linededup.without_repeats(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op2_kneser_ney_perplexity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and perplexity bands for all documents, under a model of all documents."""
+    return perplexity.rules(documents(spark, sf_dir))
