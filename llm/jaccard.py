@@ -32,7 +32,7 @@ from llm.store import written
 
 COUNTERS = 1 << 18  # of the count of frequent shingles: fixed size, so its broadcast is 32 KB whatever the input
 HOT_LIST = 256  # documents of a shingle's region whose pairs are counted; a larger region is one group
-REGION, REGION_SHINGLES, PIVOTS, DEPTH, BLOCK = 512, 1 << 21, 16, 3, 256
+REGION, REGION_SHINGLES, PIVOTS, DEPTH, BLOCK = 512, 1 << 21, 16, 3, 1024
 CHOSEN = "s long, k1 long, n int, near boolean, hot long, l long, central double"
 FAR = 0.7  # a document farther than this from every pivot stays for other pivots
 
@@ -303,7 +303,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         x[row[i:j], at[i:j] - c] = 1
         out += x @ x.T
     out[np.diag_indices(len(sets))] = [len(s) for s in sets]
-    return out.astype(np.int64)
+    return out  # whole numbers, exact in 24 bits
 
 
 def _exact(num: int, den: int):
@@ -318,7 +318,6 @@ def _exact(num: int, den: int):
             return
         size = np.array([len(s) for s in sets])
         inter = overlaps(sets)
-        linked = den * inter >= num * (size[:, None] + size[None, :] - inter)
         seen = np.zeros(len(sets), bool)
         for i in range(len(sets)):
             if seen[i]:
@@ -326,7 +325,7 @@ def _exact(num: int, den: int):
             seen[i], front = True, [i]
             while front:
                 x = front.pop()
-                new = np.flatnonzero(linked[x] & ~seen)
+                new = np.flatnonzero(((num + den) * inter[x].astype(np.int64) >= num * (size[x] + size)) & ~seen)
                 seen[new] = True
                 front.extend(new.tolist())
                 for y in new:
