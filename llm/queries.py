@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, jaccard, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
+from llm import bpe, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and perplexity bands for all documents, under a model of all documents."""
     return perplexity.rules(documents(spark, sf_dir))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all documents as files, their own or the nearest directory's."""
+    return licenses.license_query(documents(spark, sf_dir))
