@@ -481,3 +481,17 @@ def components_of(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
     named = nodes.join(least, "root").select("k1", "k2", "component_id")
     out = rows.join(named, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each component: its least doc_id. Texts without words all stay.
+
+    Rows without doc_id are known by their text, so equal ones are one node; of several rows with one doc_id the one with
+    the least text stays. Own columns may have any names: they ride along in one struct."""
+    surrogate = F.coalesce("doc_id", -F.abs(F.shiftright(F.xxhash64("text"), 1)) - (1 << 62))
+    keyed = docs.select(surrogate.alias("node"), "text", F.struct("*").alias("whole"))
+    found = written(components_of(keyed.select(F.col("node").alias("doc_id"), "text"), words, num, den))
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    rows = keyed.join(kept, "node")
+    several = rows.where("rows > 1 AND n > 0").withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("text")))
+    return rows.where("rows = 1 OR n = 0").select("whole.*").union(several.where("nth = 1").select("whole.*"))

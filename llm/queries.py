@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from llm import bpe, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +90,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses of all documents as files, their own or the nearest directory's."""
     return licenses.license_query(documents(spark, sf_dir))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
