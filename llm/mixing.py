@@ -8,16 +8,29 @@ target by about one large document at most. Sums are whole numbers of 2^-24 copi
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from llm import words as W
+from llm.store import written
+
 UNIT = 1 << 24
-WORD = r"[^\x20\x09-\x0D]+"
 BUCKET = 20_000  # documents that are ordered together
 
 
-def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def _sized(batches):
+    for batch in batches:
+        n = [np.diff(p.words) for p in W.slices(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64))], [*batch.schema.names[1:], "size"])
+
+
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text_md5, source, ..., size) of docs(doc_id, text, source): size is the number of words, 0 for null."""
+    rows = docs.select("text", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "source", *more)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(_sized, f"{kind}, size long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -77,8 +90,8 @@ def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2,
     """docs(doc_id, text, source, ...) as the mix itself: each row as often as it is taken, all columns kept.
 
     Column names that clash with the operator's own are no matter: the columns ride along in one struct."""
-    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "source", words(F.col("text")).alias("size"), F.struct("*").alias("whole"))
-    taken = copies(keyed.select("doc_id", "text_md5", "source", "size"), seed, weights, cap)
+    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "source", F.struct("*").alias("whole"))
+    taken = copies(written(sized(docs)), seed, weights, cap)
     # equal rows: the first have one copy more, as their places in the sum have it
     per = taken.groupBy("doc_id", "text_md5", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     per = per.where("copies > 0")
@@ -93,8 +106,7 @@ def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2,
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
-    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "source", words(F.col("text")).alias("size"))
-    return copies(keyed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return copies(written(sized(docs))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = r"""
