@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from llm import words as W
 
 LONG = 50  # words
-MASK = np.uint64(1)  # a chunk ends at every other line in the mean
+MASK = np.uint64(1)  # every other line in the mean may end a chunk
+LEAST = 2  # lines of a chunk, unless it is at the end of its text or beside a long line
 CLASSES = 1 << 22  # of chunk hashes whose repeats are looked for: fixed, so that the broadcast is 512 KB
 
 
@@ -59,12 +60,16 @@ def chunks(part: W.Slice) -> Chunks:
         before = np.concatenate((np.zeros(1, np.uint64), line[:-1]))
         before[np.concatenate(([True], row[1:] != row[:-1]))] = 0
         rolled = W.mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + line)
-    cut = (rolled & MASK) == 0
     long = words >= LONG
-    cut |= long
-    cut[:-1] |= long[1:] | (row[1:] != row[:-1])
-    cut[-1] = True
-    last = np.flatnonzero(cut) + 1
+    forced = long.copy()
+    forced[:-1] |= long[1:] | (row[1:] != row[:-1])
+    forced[-1] = True
+    maybe = np.flatnonzero(forced | ((rolled & MASK) == 0))
+    last = []
+    for i, must in zip((maybe + 1).tolist(), forced[maybe].tolist(), strict=True):
+        if must or i - (last[-1] if last else 0) >= LEAST:
+            last.append(i)
+    last = np.array(last)
     first = np.concatenate(([0], last[:-1]))
     with np.errstate(over="ignore"):
         h1, h2 = _folded(line, first, last), _folded(W.mix(line ^ np.uint64(0x2545F4914F6CDD1D)), first, last)
