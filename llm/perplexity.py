@@ -24,7 +24,7 @@ from llm import signals as S
 from llm import words as W
 from llm.store import written
 
-RARE, PAIR = 21, 22
+RARE, PAIR = 19, 22
 LOW, HIGH = 12.0, 6.0  # quartile distances below and above the median that are still kept
 MIN_WORDS, MAX_REPEATED = 50, 50  # base rules: words at least, per cent of words in repeated windows at most
 BIN = 100  # classes of log perplexity for each unit
@@ -113,8 +113,9 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [max(0.0, 1 - 2 * y * n2 / n1), max(0.0, 2 - 3 * y * n3 / n2), max(0.0, 3 - 4 * y * n4 / n3)]
 
 
-def _less(n, d: list[float]):
-    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+def _less(n: np.ndarray, d: list[float]) -> np.ndarray:
+    """What is taken off each count, never more than the count."""
+    return np.minimum(n, np.choose(np.minimum(n, 3) - 1, d)) if len(n) else np.zeros(0)
 
 
 @dataclass
@@ -126,37 +127,50 @@ class Model:
     log_p: np.ndarray
 
 
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(int(p.words[-1]) for p in W.slices(batch.column("text")))], pa.int64())], ["n"])
+
+
 def train(docs: DataFrame) -> Model:
-    """The model of docs(text, lang). Empty corpora have one with the unknown word alone."""
-    counts = written(word_counts(docs))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where(F.col("n") >= max(1, -(-total >> RARE))).select("word")  # at most 2^RARE rows
+    """The model of docs(text, lang). Empty corpora have one with the unknown word alone.
+
+    All that the discounts need is counted in one job: for each context its words by their counts, for each word its
+    contexts, and the pairs that stay; so the pairs are never written."""
+    total = docs.select("text").mapInArrow(_sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    frequent = word_counts(docs).where(F.col("n") >= max(1, -(-total >> RARE))).select("word")  # at most 2^RARE rows
     vocabulary = np.sort(frequent.toArrow().column("word").to_numpy().view(np.uint64)) if total else np.zeros(0, np.uint64)
-    size = len(vocabulary) + 1
-    pairs = written(pair_counts(docs, vocabulary))
-    of = lambda c, k: F.count(F.when(F.col(c) == k, 1))
-    d2 = _discounts(*pairs.agg(*[of("n", k) for k in (1, 2, 3, 4)]).first())
-    into = written(pairs.groupBy("w").agg(F.count("*").alias("n")))  # words before each word, at most 2^RARE rows
-    d1 = _discounts(*into.agg(*[of("n", k) for k in (1, 2, 3, 4)]).first())
-    types, left = into.agg(F.sum("n"), F.sum(F.least(F.col("n").cast("double"), _less(F.col("n"), d1)))).first()
-    unigram = np.full(size, (left or 1.0) / (types or 1) / size)
-    t = into.select("w", (F.greatest(F.lit(0.0), F.col("n") - _less(F.col("n"), d1)) / (types or 1)).alias("p")).toArrow()
-    unigram[t.column("w").to_numpy()] += t.column("p").to_numpy()
-    kept = F.col("n") >= max(1, -(-total >> PAIR))
-    least = F.greatest(F.lit(0.0), F.col("n") - _less(F.col("n"), d2))
-    contexts = pairs.groupBy("v").agg(F.sum("n").alias("c"), F.sum(F.when(kept, least).otherwise(0.0)).alias("kept"))
-    backoff = np.ones(size)
-    t = contexts.toArrow()
-    c = t.column("c").to_numpy()
-    backoff[t.column("v").to_numpy()] = np.maximum(1 - t.column("kept").to_numpy() / c, 1e-9)
-    context = np.zeros(size)
-    context[t.column("v").to_numpy()] = c
-    t = pairs.where(kept).select("v", "w", least.alias("n")).toArrow()  # at most 2^PAIR rows
-    v, w, n = (t.column(x).to_numpy() for x in ("v", "w", "n"))
-    p = n / context[v] + backoff[v] * unigram[w] if len(v) else np.zeros(0)
-    key = v << 32 | w
+    size, kept = len(vocabulary) + 1, F.col("n") >= max(1, -(-total >> PAIR))
+    nothing = F.lit(0).cast("long")
+    context = F.struct(F.lit(0).alias("kind"), F.col("v").alias("id"), "n", kept.alias("kept"))
+    before = F.struct(F.lit(1).alias("kind"), F.col("w").alias("id"), "n", kept.alias("kept"))
+    pair = F.struct(F.lit(2).alias("kind"), F.shiftleft("v", 32).bitwiseOR(F.col("w")).alias("id"), "n", kept.alias("kept"))
+    rows = pair_counts(docs, vocabulary).select(F.explode(F.when(kept, F.array(context, before, pair)).otherwise(F.array(context, before))).alias("r")).select("r.*")
+    of = [F.sum(F.when(F.col("n") == k, 1).otherwise(nothing)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    gone = [F.sum(F.when(F.col("kept") & (F.col("n") == k), 1).otherwise(nothing)).alias(f"k{k}") for k in (1, 2)]
+    more = [F.sum(F.when(F.col("kept"), F.col("n")).otherwise(nothing)).alias("kept_n"), F.sum(F.when(F.col("kept"), 1).otherwise(nothing)).alias("kept_types")]
+    rows = written(rows.groupBy("kind", "id").agg(F.sum("n").alias("n"), F.count("*").alias("types"), *of, *gone, *more))
+
+    def column(kind, *names):
+        t = rows.where(F.col("kind") == kind).select("id", *names).toArrow()  # at most 2^RARE or 2^PAIR rows
+        return [t.column(x).to_numpy() for x in ("id", *names)]
+
+    unigram, backoff, count = np.full(size, 1.0), np.ones(size), np.zeros(size)
+    v, n, types, n1, n2, n3, n4, k1, k2, kept_n, kept_types = column(0, "n", "types", "n1", "n2", "n3", "n4", "k1", "k2", "kept_n", "kept_types")
+    d = _discounts(*(int(x.sum()) for x in (n1, n2, n3, n4)))
+    count[v] = n
+    backoff[v] = np.maximum(1 - (kept_n - d[0] * k1 - d[1] * k2 - d[2] * (kept_types - k1 - k2)) / n, 1e-9)
+    w, types = column(1, "types")
+    low = _discounts(*(int((types == k).sum()) for k in (1, 2, 3, 4)))
+    less = _less(types, low)
+    unigram[:] = (less.sum() or 1.0) / (types.sum() or 1) / size
+    unigram[w] += (types - less) / max(1, types.sum())
+    key, n = column(2, "n")
     order = np.argsort(key)
-    return Model(vocabulary, np.log(unigram).astype(np.float32), np.log(backoff).astype(np.float32), key[order], np.log(p[order]).astype(np.float32))
+    key, n = key[order], n[order]
+    v, w = key >> 32, key & ((1 << 32) - 1)
+    p = (n - _less(n, d)) / count[v] + backoff[v] * unigram[w]
+    return Model(vocabulary, np.log(unigram).astype(np.float32), np.log(backoff).astype(np.float32), key, np.log(p).astype(np.float32))
 
 
 def log_perplexity(part: W.Slice, keys: np.ndarray, m: Model) -> np.ndarray:
