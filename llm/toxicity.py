@@ -22,8 +22,9 @@ from llm.store import written
 
 BITS = 20  # of a coordinate: at most 2^20 weights, 8 MB, whatever the corpus
 SAMPLE = 20_000  # labelled documents at most that the model is fitted on
+SEEN = 4  # documents of the sample that a coordinate needs
 STEMS = (4, 7)  # bytes
-SHARDS, ROUNDS, PASSES = 4, 8, 1
+SHARDS, ROUNDS, PASSES = 4, 4, 1
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 
 
@@ -64,22 +65,51 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("place"), pa.array(out, pa.binary())], ["label", "place", "features"])
 
 
-def _fit_shard(z0: np.ndarray, n0: np.ndarray):
-    """FTRL over one shard of the sample, from the averaged state of the round before."""
+def _document_counts(batches):
+    total = np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for f in batch.column("features").to_pylist():
+            total[np.frombuffer(f, np.int32)] += 1
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+
+def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+
+def _packed(known):
+    """One row for a shard of the sample: its labels, and its rows' places in the known coordinates behind each other."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, n = z0.copy(), n0.copy()
-        rows = [(np.append(np.frombuffer(f, np.int32), 1 << BITS), y) for f, y in pdf.sort_values("place")[["features", "label"]].itertuples(index=False)]
-        for _ in range(PASSES):
-            for at, y in rows:
-                zi, ni = z[at], n[at]
-                root = np.sqrt(ni)
-                w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + root) / ALPHA + L2))
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
-                z[at] = zi + g - (np.sqrt(ni + g * g) - root) / ALPHA * w
-                n[at] = ni + g * g
-        used = np.flatnonzero(n)
-        return pd.DataFrame({"at": used, "z": z[used], "n": n[used]})
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[known.value] = np.arange(len(known.value))
+        pdf = pdf.sort_values("place")
+        at = [place[np.frombuffer(f, np.int32)] for f in pdf.features]
+        at = [np.append(x[x >= 0], len(known.value)).astype(np.int32) for x in at]
+        return pd.DataFrame({"labels": [pdf.label.to_numpy(np.float64).tobytes()], "sizes": [np.array([len(x) for x in at], np.int64).tobytes()], "at": [np.concatenate(at).tobytes()]})
+
+    return pack
+
+
+def _fit_shards(state):
+    """FTRL over each shard, from the averaged state (z, n) of the round before; the bias is behind the last coordinate."""
+
+    def fit(frames):
+        for pdf in frames:
+            out = []
+            for y, sizes, at in pdf[["labels", "sizes", "at"]].itertuples(index=False):
+                z, n = (x.copy() for x in state.value)
+                rows = np.split(np.frombuffer(at, np.int32), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+                for _ in range(PASSES):
+                    for i, label in zip(rows, np.frombuffer(y), strict=True):
+                        zi, ni = z[i], n[i]
+                        w = _weights(zi, ni)
+                        g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label
+                        z[i] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
+                        n[i] = ni + g * g
+                out.append((z.tobytes(), n.tobytes()))
+            yield pd.DataFrame(out, columns=["z", "n"])
 
     return fit
 
@@ -96,14 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
     seen = {r.label for r in rows.select("label").distinct().collect()}
     if seen != {0.0, 1.0}:
         return Weights(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0)
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    counted = rows.mapInArrow(_document_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).select("at")
+    known = np.sort(counted.toArrow().column("at").to_numpy())  # at most 2^BITS rows
+    places = docs.sparkSession.sparkContext.broadcast(known)
+    shards = written(rows.groupBy(F.pmod("place", F.lit(SHARDS))).applyInPandas(_packed(places), "labels binary, sizes binary, at binary"))
+    z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for _ in range(ROUNDS):
-        states = rows.groupBy(F.pmod("place", F.lit(SHARDS)).alias("shard")).applyInPandas(_fit_shard(z, n), "at long, z double, n double")
-        mean = states.groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
-        z[mean["at"].to_numpy()], n[mean["at"].to_numpy()] = mean["z"].to_numpy(), mean["n"].to_numpy()
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        state = docs.sparkSession.sparkContext.broadcast((z, n))
+        # a few rows, each of at most 2^BITS numbers
+        states = shards.mapInPandas(_fit_shards(state), "z binary, n binary").collect()
+        z, n = (np.mean([np.frombuffer(r[c]) for r in states], axis=0) for c in ("z", "n"))
+        state.destroy()
+    w = _weights(z, n)
     at = np.flatnonzero(w[:-1])
-    return Weights(at, w[at].astype(np.float32), float(w[-1]))
+    return Weights(known[at], w[at].astype(np.float32), float(w[-1]))
 
 
 def scored(docs: DataFrame, weights: Weights) -> DataFrame:
