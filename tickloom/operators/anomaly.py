@@ -1,17 +1,20 @@
 """Isolation-forest anomalies.
 
-Each tree needs only a few hundred rows, so the forest is grown from a fixed-size
-sample (trees * sample rows, independent of the data size) and every row is scored
-in parallel.
+Each tree draws its own few hundred rows from all rows and is grown in a task; the
+forest, of a size that does not depend on the data, is broadcast and every row is
+scored once, in parallel.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -41,28 +44,66 @@ def _depths(tree: tuple, x: np.ndarray, rows: np.ndarray, depth: int, out: np.nd
             _depths(sub, x, r, depth + 1, out)
 
 
+def _forest(df: DataFrame, features: list[str], trees: int, sample: int, seed: int) -> list[tuple]:
+    """One tree for each group of rows; a row is drawn for a tree by a hash of the row and the tree's number."""
+    n = df.count()
+    if not n:
+        return []
+    keyed = df.select(*[F.col(f).cast("double") for f in features], F.struct(*df.columns).alias("_row"))
+    # about twice the rows wanted pass the threshold, of which the least hashes are taken
+    share = min(1.0, 2.0 * sample / n + 20.0 / n)
+    draw = lambda k: F.xxhash64(F.lit(seed), k, "_row") / 2.0**64 + 0.5
+    drawn = keyed.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: draw(k) <= share)).alias("tree"))
+    place = F.row_number().over(W.partitionBy("tree").orderBy(draw(F.col("tree")), *features))
+    drawn = drawn.withColumn("_n", place).filter(F.col("_n") <= sample).select("tree", *features)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[features].to_numpy(float)
+        x = x[np.lexsort(x.T)]
+        k = int(pdf["tree"].iloc[0])
+        tree = _grow(x, np.random.default_rng([seed, k]), 0, math.ceil(math.log2(max(len(x), 2))))
+        return pd.DataFrame({"tree": [k], "grown": [pickle.dumps((len(x), tree))]})
+
+    grown = drawn.groupBy("tree").applyInPandas(grow, "tree long, grown binary").collect()  # one row per tree
+    return [pickle.loads(r.grown) for r in sorted(grown, key=lambda r: r.tree)]
+
+
+def exact_cut(scored: DataFrame, share: float, bins: int = 1 << 16) -> float | None:
+    """The ``share`` quantile of column score (between -1 and 0), with linear interpolation.
+
+    Counts by equal bins say which bins hold the two order statistics around it; only the distinct scores of those bins
+    are looked at."""
+    at = F.floor((F.col("score") + 1) * bins).alias("bin")
+    counts = scored.groupBy(at).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # at most ``bins`` rows
+    n = sum(r.n for r in counts)
+    if not n:
+        return None
+    low = math.floor(share * (n - 1))
+    found, before, need = {}, 0, [low, min(low + 1, n - 1)]
+    for r in counts:
+        inside = [k for k in need if before <= k < before + r.n]
+        if inside:
+            values = scored.filter(at == r.bin).groupBy("score").agg(F.count(F.lit(1)).alias("n")).orderBy("score")
+            upto = F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, 0))
+            for k in inside:
+                found[k] = values.withColumn("_u", upto).filter(F.col("_u") > k - before).agg(F.min("score")).first()[0]
+        before += r.n
+    return found[need[0]] + (share * (n - 1) - low) * (found[need[1]] - found[need[0]])
+
+
 def isolation_anomalies(df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.01, seed: int = 42) -> DataFrame:
-    """Rows whose score is in the lowest ``contamination`` share, lowest first.
-
-    Fetches trees * sample feature rows (the same number at any data size), chosen by
-    a hash order so the choice does not depend on partitioning.
-    """
-    pick = df.select(*features, F.xxhash64(F.lit(seed), *features).alias("_h")).orderBy("_h").limit(trees * sample)
-    pool = np.array([[r[f] for f in features] for r in pick.collect()], dtype=float)
-    rng = np.random.default_rng(seed)
-    n = min(sample, len(pool))
-    forest = [_grow(pool[rng.choice(len(pool), n, replace=False)], rng, 0, math.ceil(math.log2(max(n, 2)))) for _ in range(trees)]
-    norm = _c(n) * trees
+    """Rows whose score lies below the exact ``contamination`` quantile of all scores; lower is stranger."""
+    forest = df.sparkSession.sparkContext.broadcast(_forest(df, features, trees, sample, seed))
 
     @F.pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([s.to_numpy(float) for s in cols])
-        total = np.zeros(len(x))
-        for t in forest:
+        total, norm = np.zeros(len(x)), 0.0
+        for n, t in forest.value:
             _depths(t, x, np.arange(len(x)), 0, total)
-        return pd.Series(-np.exp2(-total / norm))
+            norm += _c(n)
+        return pd.Series(-np.exp2(-total / norm) if norm else np.zeros(len(x)))
 
-    scored = df.withColumn("score", score(*features))
-    # the cut from a mergeable quantile sketch of 1/10000 accuracy: constant memory per task
-    cut = scored.agg(F.percentile_approx("score", contamination, 10000).alias("_cut"))
-    return scored.join(F.broadcast(cut), F.col("score") <= F.col("_cut")).drop("_cut").orderBy("score")
+    scored = df.withColumn("score", score(*features)).persist(StorageLevel.DISK_ONLY)
+    cut = exact_cut(scored, contamination)
+    return scored.filter(F.col("score") < F.lit(cut)).orderBy("score")

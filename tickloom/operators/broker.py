@@ -65,11 +65,6 @@ CASH_FILES = {"NSE_CM": ([0, 9], "NSE"), "BSE_CM": ([0, 4, 50], "BSE")}
 DERIVATIVE_FILES = {"NSE_FO": "NFO", "NSE_CD": "CDS", "BSE_FO": "BFO", "MCX_COM": "MCX"}
 
 
-def read_contracts(spark, path: str) -> DataFrame:
-    """Headerless contract CSV with declared types."""
-    return spark.read.schema(CONTRACT_COLUMNS).csv(path)
-
-
 def _common(raw: DataFrame, symbol: Column, exchange: Column, brexchange: Column, instrument: Column, expiry: Column) -> DataFrame:
     return raw.select(
         symbol.alias("symbol"), F.col("ticker").alias("brsymbol"), F.col("details").alias("name"), exchange.alias("exchange"), brexchange.alias("brexchange"),
@@ -86,16 +81,20 @@ def cash_contracts(raw: DataFrame, file: str) -> DataFrame:
 
 
 def derivative_contracts(raw: DataFrame, file: str) -> DataFrame:
-    """Futures and options: epoch expiry as dd-MON-yy, type XX means a future, symbol tokens re-ordered to NAME+YY... form."""
+    """Futures and options: epoch expiry as dd-MON-yy, type XX means a future.
+
+    The details "NAME dd Mon yy LAST" become NAME + yy + MON + dd + LAST, and options have their type behind it.  A missing
+    option type is a future in the BSE file; in the others the contract keeps no type and no symbol.
+    """
     ex = DERIVATIVE_FILES[file]
-    fut = c.option_type == "XX"
-    kind = F.when(fut, "FUT").otherwise(c.option_type)
+    option = F.coalesce("option_type", F.lit("XX")) if file == "BSE_FO" else c.option_type
+    kind = F.when(option == "XX", "FUT").otherwise(option)
     when = F.upper(F.date_format(F.timestamp_seconds(c.expiry_epoch.try_cast("long")), "dd-MMM-yy"))
     t = F.split(c.details, r"\s+")
-    tok = lambda i: F.upper(F.get(t, F.lit(i)))
-    future = F.concat(F.get(t, F.lit(0)), tok(1), tok(2), tok(3), tok(4))
-    option = F.concat(F.get(t, F.lit(0)), tok(1), tok(2), tok(3), tok(4), tok(5))
-    return _common(raw, F.when(fut, future).otherwise(option), F.lit(ex), F.lit(ex), kind, when)
+    tok = lambda i: F.get(t, F.lit(i))
+    plain = F.concat(tok(0), tok(3), F.upper(tok(2)), tok(1), tok(4))
+    symbol = F.when(option == "XX", plain).when(option.isin("CE", "PE"), F.concat(plain, option))
+    return _common(raw, symbol, F.lit(ex), F.lit(ex), kind, when)
 
 
 def new_contracts(parsed: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -72,8 +72,8 @@ def weighted(snapshot: DataFrame) -> DataFrame:
 
 # fixed values: display name of each voter in the explanation
 VOTER_NAMES = {
-    "rsi_ladder": "RSI Ladder", "buy_low": "Buy Low Sell High", "turtle": "Turtle (55D Breakout)", "rdx": "RDX Momentum",
-    "sma100": "100 SMA Breakout", "dma20": "20 DMA Retracement", "super_bo": "Super BO Breakout", "dma_rev": "DMA Reverse",
+    "rsi_ladder": "Nifty Shop", "buy_low": "Buy Low Sell High", "turtle": "Turtle (55D Breakout)", "rdx": "RDX Momentum",
+    "sma100": "100 SMA Breakout", "dma20": "ETF Shop", "super_bo": "Super BO Breakout", "dma_rev": "DMA Reverse",
     "dma_nosl": "DMA No-SL", "vcp": "Volatility Contraction Pattern (VCP)", "squeeze": "TTM Squeeze",
     "supertrend": "Dual Supertrend", "knn": "Lorentzian ML Classification",
 }

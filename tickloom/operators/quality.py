@@ -29,16 +29,29 @@ def status_table(requested: DataFrame, cov: DataFrame, healthy: float = 95.0) ->
     return j.withColumns({"rows": F.coalesce("rows", F.lit(0)), "healthy": truth(c.coverage_pct >= healthy)})
 
 
-def integrity(bars: DataFrame) -> DataFrame:
-    """Integrity counts per symbol in one pass of conditional aggregates."""
-    b = bars.withColumns({"_gap": F.datediff("date", ts.lag(c.date)), "_ret": ts.pct_change(c.close)})
+PRICES, CELLS = ("open", "high", "low", "close"), ("open", "high", "low", "close", "volume")
+
+
+def integrity(rows: DataFrame) -> DataFrame:
+    """Integrity counts per symbol of raw rows, each fault counted by itself.
+
+    Repeated dates, missing (null or NaN) and infinite cells by column, prices that are not positive, broken bounds, moves
+    above 50 % and gaps of more than 7 days between rows in the order of date, close and volume.
+    """
+    w = W.partitionBy("symbol").orderBy("date", "close", "volume")
+    num = {x: F.col(x).cast("double") for x in CELLS}
+    missing = lambda x: F.col(x).isNull() | F.isnan(num[x])
+    b = rows.withColumns({"_gap": F.datediff("date", F.lag("date").over(w)), "_ret": sdiv(c.close, F.lag("close").over(w)) - 1})
     n = lambda cond: F.count_if(truth(cond))
+    bounds = [c.high < c.low, c.open > c.high, c.close > c.high, c.open < c.low, c.close < c.low]
     return b.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"),
-        n(F.greatest(*[F.col(x).isNull() for x in ("open", "high", "low", "close", "volume")])).alias("null_rows"),
-        n(F.least("open", "high", "low", "close") <= 0).alias("non_positive"),
-        n((c.high < c.low) | (c.high < c.open) | (c.high < c.close) | (c.low > c.open) | (c.low > c.close)).alias("bound_violations"),
-        n(F.abs(F.col("_ret")) > 0.5).alias("extreme_returns"),
+        (F.count(F.lit(1)) - F.count_distinct("date")).alias("duplicate_rows"),
+        *[n(missing(x)).alias(f"null_{x}") for x in CELLS],
+        *[n(F.abs(num[x]) == float("inf")).alias(f"inf_{x}") for x in CELLS],
+        sum((n(F.col(x) <= 0) for x in PRICES[1:]), n(F.col(PRICES[0]) <= 0)).alias("non_positive"),
+        sum((n(x) for x in bounds[1:]), n(bounds[0])).alias("bound_violations"),
+        n((F.abs(F.col("_ret")) > 0.5) & ~F.isnan("_ret")).alias("extreme_returns"),
         n(F.col("_gap") > 7).alias("long_gaps"),
     )
 
@@ -63,19 +76,43 @@ def outlier_features(bars: DataFrame, n: int = 20) -> DataFrame:
     ).drop("_g", "_r", "_m", "_s")
 
 
-def bar_gate(bars: DataFrame, lookback: int = 252) -> DataFrame:
-    """OK / BAD_TICK / CORP_ACTION for each bar against the bars before it."""
-    b = bars.withColumns({"_pc": ts.lag(c.close), "_r": ts.pct_change(c.close)})
-    w = ts.by_symbol().rowsBetween(-lookback, -1)
-    b = b.withColumns({"_mu": F.avg("_r").over(w), "_sd": F.stddev_samp("_r").over(w)})
-    ratio = sdiv(c.close, F.col("_pc"))
-    extreme = (ratio < 0.8) | (ratio > 1.2)
-    # fixed values: price ratios of common splits and bonuses
-    standard = [0.5, 0.2, 0.1, 0.6667, 0.8, 0.3333, 0.25]
-    near = F.exists(F.array(*[F.lit(x) for x in standard]), lambda x: F.abs(ratio - x) <= 0.05)
-    z = F.abs(sdiv(F.col("_r") - F.col("_mu"), F.col("_sd")))
-    verdict = F.when(truth(extreme & near), "CORP_ACTION").when(truth(z > 5.0) | truth(extreme), "BAD_TICK").otherwise("OK")
-    return b.withColumn("verdict", verdict).drop("_pc", "_r", "_mu", "_sd")
+# fixed values: price factors of splits and bonuses, first match wins
+ADJUST_FACTORS = [0.5, 0.2, 0.1, 1 / 1.5, 0.8, 1 / 3, 0.25]
+
+
+def _near_standard(ratio: Column) -> Column:
+    return F.exists(F.array(*[F.lit(x) for x in ADJUST_FACTORS]), lambda x: F.abs(ratio - x) < 0.05)
+
+
+def _rule(ratio: Column) -> Column:
+    """The decision without a model: a fall below 0.8 or a rise above 2 is checked against the standard ratios."""
+    return F.when(truth((ratio < 0.8) | (ratio > 2.0)) & truth(_near_standard(ratio)), "CORP_ACTION").when(truth(ratio < 0.8), "BAD_TICK").otherwise("OK")
+
+
+def bar_gate(bars: DataFrame, flagged: Column | None = None, lookback: int = 252, least: int = 50) -> DataFrame:
+    """OK / BAD_TICK / CORP_ACTION for each bar against the bars before it.
+
+    A bar is looked at if the model flags it (``flagged``) or it moves by more than 20 %.  Near a standard ratio it is a
+    corporate action; else it is bad if extreme or more than five deviations off the mean return of the last ``lookback``
+    bars, whose first return counts as 0.  With less than ``least`` bars before it the plain rule decides.
+    """
+    b = bars.withColumns({"_pc": ts.lag(c.close), "_r": ts.pct_change(c.close), "_flag": F.lit(False) if flagged is None else truth(flagged)})
+    rows, moves = (ts.by_symbol().rowsBetween(-k, -1) for k in (lookback, lookback - 1))
+    b = b.withColumns({"_all": F.count(F.lit(1)).over(ts.by_symbol().rowsBetween(W.unboundedPreceding, -1)), "_n": F.count(F.lit(1)).over(rows), "_s": F.sum("_r").over(moves), "_ss": F.sum(F.col("_r") * F.col("_r")).over(moves)})
+    mean = sdiv(F.col("_s"), F.col("_n"))
+    dev = F.sqrt(sdiv(F.col("_ss") - F.col("_s") * mean, F.col("_n") - 1))
+    ratio = F.when((c.close > 0) & (F.col("_pc") > 0), sdiv(c.close, F.col("_pc")))
+    extreme = truth((ratio < 0.8) | (ratio > 1.2))
+    look = ratio.isNotNull() & (F.col("_flag") | extreme)
+    z = F.abs(sdiv(ratio - 1 - mean, dev))
+    model = F.when(look & truth(_near_standard(ratio)), "CORP_ACTION").when(look & truth(dev > 0) & (extreme | truth(z > 5.0)), "BAD_TICK").otherwise("OK")
+    verdict = F.when(F.col("_all") < least, _rule(ratio)).otherwise(model)
+    return b.withColumn("verdict", verdict).drop("_pc", "_r", "_flag", "_all", "_n", "_s", "_ss")
+
+
+def gate_fallback(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(symbol, ratio, decision) of the first new close against the last old one, by the plain rule."""
+    return append_ratio(old, new).select("symbol", "ratio", _rule(c.ratio).alias("decision"))
 
 
 def append_ratio(old: DataFrame, new: DataFrame, low: float = 0.8, high: float = 2.0) -> DataFrame:
@@ -102,10 +139,6 @@ def missing_days(last_bars: DataFrame, last_day: Column, days_back: int = 30) ->
     return days.filter(~F.dayofweek("day").isin(1, 7))
 
 
-# fixed values: price factors of splits and bonuses, first match wins
-ADJUST_FACTORS = [0.5, 0.2, 0.1, 1 / 1.5, 0.8, 1 / 3, 0.25]
-
-
 def adjust_factors(old: DataFrame, new: DataFrame, band: float = 0.05) -> DataFrame:
     """Per symbol: factor for the old prices (1 = none), or ``refresh`` when the jump matches no standard factor."""
     o = old.select("symbol", "date", F.col("close").alias("_oc"))

@@ -30,10 +30,28 @@ def q2(spark, d):
     return q.status_table(req, q.coverage(supplier_bars(spark, d)), healthy=20.0).select("symbol", "rows", "healthy")
 
 
-@query("q3_integrity", with_(BARS["s"], f"x AS (SELECT *, date_diff('day', lag(date) {W}, date) AS gap, close / lag(close) {W} - 1 AS ret FROM bars)", body="""SELECT symbol, count(*) AS rows, count(*) FILTER (WHERE open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS null_rows, count(*) FILTER (WHERE least(open, high, low, close) <= 0) AS non_positive,
-  count(*) FILTER (WHERE high < low OR high < open OR high < close OR low > open OR low > close) AS bound_violations, count(*) FILTER (WHERE abs(ret) > 0.5) AS extreme_returns, count(*) FILTER (WHERE gap > 7) AS long_gaps FROM x GROUP BY symbol"""))
+_RAW = """raw AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS open, l_extendedprice * (1 + l_tax) / l_quantity AS high, l_extendedprice * (1 - l_discount) / l_quantity AS low,
+  CASE WHEN l_linenumber = 7 AND l_quantity > 40 THEN CAST('Infinity' AS DOUBLE) WHEN l_linenumber = 6 AND l_quantity > 40 THEN -1.0 ELSE l_extendedprice * (1.03 - l_discount) / l_quantity END AS close, CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS volume FROM lineitem)"""
+_CELLS = ("open", "high", "low", "close", "volume")
+
+
+def raw_rows(spark, d):
+    """One row per trade in the shape of a bar: dates repeat, some cells are missing, infinite or out of bounds."""
+    t = table(spark, d, "lineitem")
+    p = c.l_extendedprice
+    close = F.when((c.l_linenumber == 7) & (c.l_quantity > 40), float("inf")).when((c.l_linenumber == 6) & (c.l_quantity > 40), -1.0).otherwise(p * (1.03 - c.l_discount) / c.l_quantity)
+    return t.select(
+        c.l_suppkey.cast("string").alias("symbol"), c.l_shipdate.cast("date").alias("date"), (p / c.l_quantity).alias("open"), (p * (1 + c.l_tax) / c.l_quantity).alias("high"), (p * (1 - c.l_discount) / c.l_quantity).alias("low"),
+        close.alias("close"), F.when((c.l_returnflag == "R") & (c.l_quantity > 45), None).otherwise(c.l_quantity.cast("double")).alias("volume"),
+    )
+
+
+@query("q3_integrity", with_(_RAW, "x AS (SELECT *, date_diff('day', lag(date) OVER w, date) AS gap, close / lag(close) OVER w - 1 AS ret FROM raw WINDOW w AS (PARTITION BY symbol ORDER BY date, close, volume NULLS FIRST))", body="SELECT symbol, count(*) AS rows, count(*) - count(DISTINCT date) AS duplicate_rows, "
+  + ", ".join(f"count(*) FILTER (WHERE {x} IS NULL OR isnan({x})) AS null_{x}, count(*) FILTER (WHERE isinf({x})) AS inf_{x}" for x in _CELLS)
+  + ", " + " + ".join(f"count(*) FILTER (WHERE {x} <= 0)" for x in _CELLS[:4]) + " AS non_positive, " + " + ".join(f"count(*) FILTER (WHERE {x})" for x in ("high < low", "open > high", "close > high", "open < low", "close < low"))
+  + " AS bound_violations, count(*) FILTER (WHERE abs(ret) > 0.5 AND NOT isnan(ret)) AS extreme_returns, count(*) FILTER (WHERE gap > 7) AS long_gaps FROM x GROUP BY symbol"))
 def q3(spark, d):
-    return q.integrity(supplier_bars(spark, d))
+    return q.integrity(raw_rows(spark, d))
 
 
 @query("q4_bad_row_filter", with_(BARS["s"], f"x AS (SELECT *, lag(close) {W} AS pc FROM bars WHERE volume > 0)", body="SELECT symbol, date, round(close, 4) AS close FROM x WHERE (pc IS NULL OR abs(open / pc - 1) < 0.25) AND close > 0"))
@@ -49,12 +67,20 @@ def q5(spark, d):
     return rounded(q.outlier_features(supplier_bars(spark, d)).select("symbol", "date", *q.OUTLIER_FEATURES))
 
 
-_GATE = f"""g0 AS (SELECT *, lag(close) {W} AS pc, close / lag(close) {W} - 1 AS r FROM bars), g1 AS (SELECT *, close / pc AS ratio, abs((r - avg(r) OVER w) / nullif(stddev_samp(r) OVER w, 0)) AS z FROM g0 WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING))"""
+_NEAR = "least(" + ", ".join(f"abs(ratio - {x})" for x in ("0.5", "0.2", "0.1", "CAST(1 AS DOUBLE) / 1.5", "0.8", "CAST(1 AS DOUBLE) / 3", "0.25")) + ") < 0.05"
+_RULE = f"CASE WHEN (ratio < 0.8 OR ratio > 2) AND {_NEAR} THEN 'CORP_ACTION' WHEN ratio < 0.8 THEN 'BAD_TICK' ELSE 'OK' END"
+_GATE = f"""g0 AS (SELECT *, lag(close) {W} AS pc, close / lag(close) {W} - 1 AS r, (high - low) / close > 0.6 AS flag FROM bars),
+g1 AS (SELECT *, close / pc AS ratio, count(*) OVER a AS before, count(*) OVER k AS n, sum(r) OVER m AS s, sum(r * r) OVER m AS ss FROM g0
+  WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), k AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING), m AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND 1 PRECEDING)),
+g2 AS (SELECT *, s / n AS mean, CASE WHEN n > 1 AND ss - s * (s / n) >= 0 THEN sqrt((ss - s * (s / n)) / (n - 1)) END AS dev, ratio < 0.8 OR ratio > 1.2 AS extreme FROM g1)"""
 
 
-@query("q7_bar_gate", with_(BARS["s"], _GATE, body="SELECT symbol, date, CASE WHEN (ratio < 0.8 OR ratio > 1.2) AND least(abs(ratio - 0.5), abs(ratio - 0.2), abs(ratio - 0.1), abs(ratio - 0.6667), abs(ratio - 0.8), abs(ratio - 0.3333), abs(ratio - 0.25)) <= 0.05 THEN 'CORP_ACTION' WHEN z > 5 OR ratio < 0.8 OR ratio > 1.2 THEN 'BAD_TICK' ELSE 'OK' END AS verdict FROM g1"))
+@query("q7_bar_gate", with_(BARS["s"], _GATE, body=f"""SELECT symbol, date, CASE WHEN before < 50 THEN {_RULE} WHEN (flag OR extreme) AND {_NEAR} THEN 'CORP_ACTION'
+  WHEN (flag OR extreme) AND dev > 0 AND (extreme OR abs((ratio - 1 - mean) / dev) > 5) THEN 'BAD_TICK' ELSE 'OK' END AS verdict FROM g2"""))
 def q7(spark, d):
-    return q.bar_gate(supplier_bars(spark, d)).select("symbol", "date", "verdict")
+    """The model's flag stands in as a wide high-low spread, which SQL can say too; q6 has the forest's own flags."""
+    b = supplier_bars(spark, d)
+    return q.bar_gate(b, flagged=(c.high - c.low) / c.close > 0.6).select("symbol", "date", "verdict")
 
 
 _OLD, _NEW = "date <= DATE '2000-12-31'", "date > DATE '2000-12-31'"
@@ -68,9 +94,9 @@ def _split(spark, d):
 _RATIO = f"ap AS (SELECT symbol, arg_max(close, date) FILTER (WHERE {_OLD}) AS lo, arg_min(close, date) FILTER (WHERE {_NEW}) AS fn FROM bars GROUP BY symbol)"
 
 
-@query("q8_gate_fallback", with_(BARS["s"], _RATIO, body="SELECT symbol, round(fn / lo, 4) AS ratio, coalesce(fn / lo < 0.8 OR fn / lo > 2, false) AS refresh FROM ap WHERE fn IS NOT NULL"))
+@query("q8_gate_fallback", with_(BARS["s"], _RATIO, "rt AS (SELECT symbol, fn / lo AS ratio FROM ap WHERE fn IS NOT NULL)", body=f"SELECT symbol, round(ratio, 4) AS ratio, {_RULE} AS decision FROM rt"))
 def q8(spark, d):
-    return rounded(q.append_ratio(*_split(spark, d)).select("symbol", "ratio", "refresh"))
+    return rounded(q.gate_fallback(*_split(spark, d)))
 
 
 @query("q9_missing_days", with_(BARS["s"], "lb AS (SELECT symbol, max(date) AS d FROM bars GROUP BY symbol), x AS (SELECT DISTINCT CAST(unnest(generate_series(greatest(CAST(d + 1 AS TIMESTAMP), TIMESTAMP '2001-11-01'), TIMESTAMP '2001-12-01', INTERVAL 1 DAY)) AS DATE) AS day FROM lb)",

@@ -1,4 +1,4 @@
-"""Scanners, anomaly detection and learning."""
+"""Scanners, anomalies and classifiers."""
 
 from __future__ import annotations
 

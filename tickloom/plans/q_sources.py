@@ -10,9 +10,10 @@ from ..operators import broker as bk
 from ..operators import indicators as ind
 from ..sources import bars as B
 from ..sources import files as fl
+from ..session import work_folder
 from .catalog import query
 from .sqltext import BARS, MASTER, panel, with_
-from .tables import rounded, segment_bars, supplier_bars, suppliers, table
+from .tables import latest_supplier_bars, rounded, segment_bars, supplier_bars, suppliers, table
 
 
 @query("s1_symbol_from_file", "SELECT 'lineitem' AS symbol, l_returnflag, count(*) AS n, sum(l_quantity) AS volume FROM lineitem GROUP BY l_returnflag")
@@ -32,29 +33,44 @@ def s3(spark, d):
     return rounded(B.prices(supplier_bars(spark, d), start="1996-01-01", end="1998-12-31").select("symbol", "date", "open", "close", "volume"))
 
 
-def _raw_daily(spark, d):
-    """Daily-file shaped text rows: blanks in headers, text numbers, two series."""
+def daily_files(spark, d):
+    """Folder of daily CSV files written from the supplier bars: one folder and file name per day, old headers (blanks, turnover
+    in lacs) up to 1997 and new ones after."""
     b = supplier_bars(spark, d)
-    s = lambda x: F.col(x).cast("string")
-    return b.select(
-        F.concat(F.lit(" S"), "symbol").alias(" SYMBOL"), F.when(c.volume > 5, " EQ").otherwise("BE").alias(" SERIES"), "date",
-        s("open").alias(" OPEN_PRICE"), s("high").alias(" HIGH_PRICE"), F.when(c.volume % 7 == 0, "-").otherwise(s("low")).alias(" LOW_PRICE"), s("close").alias(" CLOSE_PRICE"),
-        F.when(c.volume % 5 == 0, "").otherwise((rnd("turnover", 2) / 100000.0).cast("string")).alias(" TURNOVER_LACS"), s("volume").alias(" TTL_TRD_QNTY"), F.lit("-").alias(" DELIV_QTY"), s("deliv_pct").alias(" DELIV_PER"),
-    )
-
-
-@query("s4_normalise_daily", with_(BARS["s"], body="SELECT 'S' || symbol AS symbol, date, round(round(turnover, 2) / 100000.0 * 100000.0, 2) AS turnover, round(close, 4) AS close, CAST(NULL AS DOUBLE) AS deliv_qty, round(deliv_pct, 4) AS deliv_pct FROM bars WHERE volume > 5 AND volume % 5 <> 0"))
+    t = lambda x: F.col(x).cast("string")
+    old = c.date < "1998-01-01"
+    cells = [
+        F.concat(F.lit("S"), "symbol"), F.when(c.volume > 5, "EQ").otherwise("BE"), t("open"), t("high"), F.when(c.volume % 7 == 0, "-").otherwise(t("low")), t("close"),
+        F.when(c.volume % 5 == 0, "").otherwise(F.when(old, (rnd("turnover", 2) / 100000.0).cast("string")).otherwise(rnd("turnover", 2).cast("string"))), t("volume"), F.lit("-"), t("deliv_pct"),
+    ]
+    heads = [
+        " SYMBOL, SERIES, OPEN_PRICE, HIGH_PRICE, LOW_PRICE, CLOSE_PRICE, TURNOVER_LACS, TTL_TRD_QNTY, DELIV_QTY, DELIV_PER",
+        "TckrSymb,SctySrs,OpnPric,HghPric,LwPric,ClsPric,TtlTrfVal,TtlTradgVol,DlvrbleQty,PctOfDlvrbleQtyTltTrdQty",
+    ]
+    line = F.struct(F.lit(1).alias("k"), F.concat_ws(",", *cells).alias("text"))
+    head = F.struct(F.lit(0).alias("k"), F.when(old, heads[0]).otherwise(heads[1]).alias("text"))
+    # one line of text per day file, header first: a day has one row per symbol
+    days = b.groupBy("date").agg(F.sort_array(F.collect_set(head)).alias("h"), F.sort_array(F.collect_list(line)).alias("r"))
+    text = days.select(F.date_format("date", "yyyyMMdd").alias("day"), F.array_join(F.concat(F.transform("h", lambda x: x["text"]), F.transform("r", lambda x: x["text"])), "\n").alias("value"))
+    at = work_folder(spark)
+    text.repartition("day").write.partitionBy("day").text(at)
+    return at
+
+
+def _daily(spark, d):
+    # Spark names its own files, so the day is in the folder's name here
+    return fl.read_daily_files(spark, daily_files(spark, d), day_pattern=r"day=(\d{8})", day_in="path")
+
+
+@query("s4_normalise_daily", with_(BARS["s"], body="SELECT 'S' || symbol AS symbol, date, round(CASE WHEN date < DATE '1998-01-01' THEN round(turnover, 2) / 100000.0 * 100000.0 ELSE round(turnover, 2) END, 2) AS turnover, round(close, 4) AS close, CAST(NULL AS DOUBLE) AS deliv_qty, round(deliv_pct, 4) AS deliv_pct FROM bars WHERE volume > 5 AND volume % 5 <> 0"))
 def s4(spark, d):
-    raw = _raw_daily(spark, d)
-    # the day travels inside the symbol text, as normalise_daily keeps only the file's own columns
-    raw = raw.withColumn(" SYMBOL", F.concat_ws("@", F.col("` SYMBOL`"), "date"))
-    t = fl.normalise_daily(raw)
-    return t.select(F.split("symbol", "@")[0].alias("symbol"), F.split("symbol", "@")[1].cast("date").alias("date"), rnd("turnover", 2).alias("turnover"), rnd("close").alias("close"), "deliv_qty", rnd("deliv_pct").alias("deliv_pct"))
+    t = fl.normalise_daily(_daily(spark, d), keep=["day"])
+    return t.select("symbol", F.col("day").alias("date"), rnd("turnover", 2).alias("turnover"), rnd("close").alias("close"), "deliv_qty", rnd("deliv_pct").alias("deliv_pct"))
 
 
 @query("s5_daily_ohlcv", with_(BARS["s"], body="SELECT 'S' || symbol AS symbol, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM bars WHERE volume > 5 AND volume % 7 <> 0"))
 def s5(spark, d):
-    return rounded(fl.daily_ohlcv(_raw_daily(spark, d), F.col("date")).select("symbol", "date", "open", "high", "low", "close", "volume"))
+    return rounded(fl.daily_ohlcv(_daily(spark, d), F.col("day")).select("symbol", "date", "open", "high", "low", "close", "volume"))
 
 
 @query("s6_top_by_turnover", with_(BARS["s"], body="SELECT symbol, round(sum(turnover), 2) AS turnover FROM bars GROUP BY symbol ORDER BY turnover DESC, symbol LIMIT 50"))
@@ -70,8 +86,8 @@ def s7(spark, d):
 
 @query("s8_delivery_history", with_(BARS["s"], body="SELECT symbol, date, round(deliv_pct, 4) AS deliv_pct FROM bars"))
 def s8(spark, d):
-    b = supplier_bars(spark, d).withColumn("file", F.concat(F.lit("top_250_"), F.date_format("date", "yyyyMMdd"), F.lit(".csv")))
-    return rounded(b.select("symbol", fl.date_in_name(F.col("file"), r"top_250_(\d{8})").alias("date"), "deliv_pct"))
+    t = _daily(spark, d)
+    return rounded(t.select(F.substring("SYMBOL", 2, 100).alias("symbol"), F.col("day").alias("date"), F.col(fl.ALIASES["deliv_pct"][0]).try_cast("double").alias("deliv_pct")))
 
 
 @query("s9_candle_arrays", with_(BARS["s"], body="SELECT symbol, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM bars"))
@@ -105,8 +121,10 @@ def s12(spark, d):
 
 @query("s13_report_sink", with_(BARS["g"], body="SELECT symbol, count(*) AS n, sum(volume) AS volume FROM bars GROUP BY symbol"))
 def s13(spark, d):
-    """The rows a sink writes; writing and reading back is covered by a test."""
-    return segment_bars(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+    """The report as it is read back from the sink."""
+    at = work_folder(spark)
+    fl.save(segment_bars(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume")), at)
+    return spark.read.parquet(at)
 
 
 def contract_rows(spark, d):
@@ -123,7 +141,7 @@ def contract_rows(spark, d):
 
 
 _CON = """con AS (SELECT 'T' || p_partkey AS token, p_partkey % 3 AS k, p_partkey % 2 AS h, upper(split_part(p_name, ' ', 2)) AS u, p_size, p_partkey, p_retailprice FROM part),
-contracts AS (SELECT token, CASE WHEN k = 0 THEN u WHEN k = 1 THEN u || '26JUN25FUT' ELSE u || '26JUN25' || p_size || 'CE' END AS symbol, 'NSE:' || u || p_partkey AS brsymbol, CASE WHEN k = 0 THEN CASE WHEN h = 0 THEN 'NSE' ELSE 'NSE_INDEX' END ELSE 'NFO' END AS exchange,
+contracts AS (SELECT token, CASE WHEN k = 0 THEN u WHEN k = 1 THEN u || '25JUN26FUT' ELSE u || '25JUN26' || p_size || 'CE' END AS symbol, 'NSE:' || u || p_partkey AS brsymbol, CASE WHEN k = 0 THEN CASE WHEN h = 0 THEN 'NSE' ELSE 'NSE_INDEX' END ELSE 'NFO' END AS exchange,
   CASE WHEN k = 0 THEN '1750896000' ELSE '26-JUN-25' END AS expiry, CASE WHEN k = 0 THEN CASE WHEN h = 0 THEN 'EQ' ELSE 'INDEX' END WHEN k = 1 THEN 'FUT' ELSE 'CE' END AS instrumenttype, p_size AS lotsize FROM con)"""
 
 
@@ -181,6 +199,6 @@ def s19(spark, d):
 
 @query("s20_latest_dataset", with_(BARS["s"], body="SELECT symbol, date, round(close, 4) AS close FROM bars WHERE date = (SELECT max(date) FROM bars)"))
 def s20(spark, d):
-    return rounded(B.latest_partition(supplier_bars(spark, d)).select("symbol", "date", "close"))
+    return rounded(latest_supplier_bars(spark, d).select("symbol", "date", "close"))
 
 

@@ -19,7 +19,9 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*[rnd(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_TIE = ["l_orderkey", "l_linenumber", "l_partkey"]
+# order of trades inside a day: order, line, part, price to four places (digits of each)
+def _tie() -> tuple:
+    return ((F.col("l_orderkey"), 13), (F.col("l_linenumber"), 3), (F.col("l_partkey"), 11), (F.round(F.col("l_extendedprice") / F.col("l_quantity") * 10000), 11))
 
 
 def _bars(lines: DataFrame, symbol: Column) -> DataFrame:
@@ -30,7 +32,7 @@ def _bars(lines: DataFrame, symbol: Column) -> DataFrame:
         price=sdiv(F.col("l_extendedprice"), F.col("l_quantity")),
         qty=F.col("l_quantity"),
         amount=F.col("l_extendedprice"),
-        tie=_TIE,
+        tie=B.packed(*_tie()),
         extra={"deliv_pct": F.avg(F.col("l_discount") * 100.0 * 5)},
     )
 
@@ -40,6 +42,11 @@ def supplier_bars(spark: SparkSession, d: str) -> DataFrame:
     return _bars(table(spark, d, "lineitem"), F.col("l_suppkey").cast("string"))
 
 
+def latest_supplier_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The bars of the newest day, from the trades of that day alone."""
+    return _bars(B.latest_partition(table(spark, d, "lineitem"), "l_shipdate"), F.col("l_suppkey").cast("string"))
+
+
 def segment_bars(spark: SparkSession, d: str) -> DataFrame:
     """Symbol = return flag + line status (6 of them); real intraday ranges."""
     return _bars(table(spark, d, "lineitem"), F.concat("l_returnflag", "l_linestatus"))

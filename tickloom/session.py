@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,10 +28,7 @@ def local_session(app: str = "tickloom", cpus: int | None = None, memory: str =
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Reliable checkpoint folder: the cluster's setting wins, ``fallback`` only where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or fallback
-    if target and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(target)
-    return target
+def work_folder(spark: SparkSession) -> str:
+    """A new folder path under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"tickloom-{os.getpid()}")
+    return f"{base}/{uuid.uuid4().hex}"

@@ -10,8 +10,8 @@ BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume", "turn
 
 
 def _fold_bars(trades: DataFrame, keys: list[str], tie: Column, extra: dict[str, Column] | None = None) -> DataFrame:
-    # every aggregate is a fixed-size buffer, so Spark combines map-side before the
-    # shuffle: a symbol with a third of all trades ships one row per (task, date)
+    # every aggregate has a fixed-width buffer, so Spark hashes on both sides of the shuffle
+    # and never sorts the trades; a symbol with a third of them ships one row per (task, date)
     return trades.groupBy(*keys).agg(
         F.min_by("price", tie).alias("open"),
         F.max("price").alias("high"),
@@ -30,10 +30,10 @@ def to_bars(
     price: Column,
     qty: Column,
     amount: Column,
-    tie: list[str],
+    tie: Column,
     extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Trades to one OHLCV row per (symbol, date); ``tie`` columns order trades inside a day."""
+    """Trades to one OHLCV row per (symbol, date); ``tie``, a number or timestamp, orders trades inside a day."""
     t = trades.select(
         "*",
         symbol.alias("symbol"),
@@ -41,9 +41,17 @@ def to_bars(
         price.alias("price"),
         qty.cast("double").alias("qty"),
         amount.alias("amount"),
+        tie.alias("_tie"),
     )
-    order = F.struct(*[F.col(c) for c in tie], F.col("price"))
-    return _fold_bars(t, ["symbol", "date"], order, extra)
+    return _fold_bars(t, ["symbol", "date"], F.col("_tie"), extra)
+
+
+def packed(*parts: tuple[Column, int]) -> Column:
+    """Whole numbers of at most the given digits as one decimal of 38 digits, which orders like their tuple."""
+    out = F.lit(0).cast("decimal(38,0)")
+    for col, digits in parts:
+        out = (out * F.lit(str(10**digits)).cast("decimal(38,0)") + col.cast("decimal(38,0)")).cast("decimal(38,0)")
+    return out
 
 
 def week_ending_friday(d: Column) -> Column:
@@ -71,13 +79,14 @@ def resample(bars: DataFrame, every: str) -> DataFrame:
 def intraday_bars(ticks: DataFrame, every: str, ts_col: str = "ts", price: str = "price", qty: str | None = None) -> DataFrame:
     """Ticks to bars of a fixed width ('5 seconds' .. '4 hours').  Works on batch and streaming input."""
     q = F.col(qty) if qty else F.lit(1.0)
+    ticks = ticks.withColumn("_tie", packed((F.unix_micros(ts_col), 18), (F.col("seq"), 19)))
     return (
         ticks.groupBy("symbol", F.window(ts_col, every).alias("w"))
         .agg(
-            F.min_by(price, F.struct(ts_col, "seq")).alias("open"),
+            F.min_by(price, "_tie").alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
-            F.max_by(price, F.struct(ts_col, "seq")).alias("close"),
+            F.max_by(price, "_tie").alias("close"),
             F.sum(q).alias("volume"),
             F.count(F.lit(1)).alias("ticks"),
         )
@@ -167,7 +176,8 @@ def with_provisional(bars: DataFrame, quotes: DataFrame, day: str) -> DataFrame:
 
 
 def latest_partition(df: DataFrame, day: str = "date") -> DataFrame:
-    """Rows of the newest day only (scalar subquery, so a day-partitioned table is pruned)."""
-    newest = df.agg(F.max(day).alias("_d"))
-    return df.join(F.broadcast(newest), F.col(day) == F.col("_d"), "left_semi")
-
+    """Rows of the newest day only: a scalar subquery over that one column, so the scan is pruned by it."""
+    newest = F.max(day)
+    if dict(df.dtypes)[day] != "date":
+        newest = F.date_trunc("day", newest).cast(dict(df.dtypes)[day])
+    return df.where(F.col(day) >= df.agg(newest).scalar())

@@ -23,9 +23,30 @@ ALIASES = {
 
 
 def read_symbol_files(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files as one table with the symbol taken from the file name."""
+    """Parquet files, or folders of part files, as one table with the symbol from the first part of the path that ends in .parquet."""
     t = spark.read.parquet(path)
-    return t.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"([^/\\]+)\.parquet$", 1).alias("symbol"))
+    return t.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/\\]+)\.parquet(?:/|$)", 1).alias("symbol"))
+
+
+DAILY_FIELDS = ("symbol", "series", "open", "high", "low", "close", "volume", "deliv_qty", "deliv_pct")
+
+
+def read_daily_files(spark: SparkSession, path: str, day_pattern: str = r"(\d{8})", day_in: str = "name") -> DataFrame:
+    """Many daily CSV files at once, each with its own header, as text columns named by the first alias of a field.
+
+    The day comes from the file's name, or with ``day_in="path"`` from its whole path (yyyyMMdd folders).  Cells are found by each file's header, so generations of headers mix; TURNOVER
+    is in full units, whatever the file's own unit.  Cells hold no quoted commas, and headers may carry blanks.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col(f"_metadata.file_{day_in}").alias("_name"))
+    cells = lambda x: F.transform(F.split(x, ","), lambda v: F.trim(v))
+    is_header = F.exists(cells(F.col("value")), lambda x: x.isin(ALIASES["symbol"]))
+    headers = lines.filter(is_header).groupBy("_f").agg(F.first("value").alias("_h"))  # one row per file
+    rows = lines.filter(~is_header & (F.trim("value") != "")).join(headers, "_f")
+    rows = rows.filter(F.size(F.split("_h", ",")) == F.size(F.split("value", ","))).withColumn("_m", F.map_from_arrays(cells(F.col("_h")), cells(F.col("value"))))
+    get = lambda names: F.coalesce(*[F.try_element_at("_m", F.lit(n)) for n in names])
+    lacs = clean(F.try_element_at("_m", F.lit("TURNOVER_LACS")).try_cast("double")) * 100000.0
+    turnover = F.coalesce(get([n for n in ALIASES["turnover"] if n != "TURNOVER_LACS"]), lacs.cast("string"))
+    return rows.select(date_in_name(F.col("_name"), day_pattern).alias("day"), turnover.alias(ALIASES["turnover"][0]), *[get(ALIASES[f]).alias(ALIASES[f][0]) for f in DAILY_FIELDS])
 
 
 def resolve(raw: DataFrame, wanted: list[str], required: list[str]) -> dict[str, str]:
@@ -46,13 +67,13 @@ def _number(h: str) -> Column:
     return clean(_text(h).try_cast("double"))
 
 
-def normalise_daily(raw: DataFrame) -> DataFrame:
-    """symbol, turnover, close, delivery quantity and percent of the EQ rows that have a turnover."""
+def normalise_daily(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """symbol, turnover, close, delivery quantity and percent of the EQ rows that have a turnover; ``keep`` rides along."""
     got = resolve(raw, ["symbol", "series", "turnover", "close", "deliv_qty", "deliv_pct"], ["symbol", "series", "turnover", "close"])
     scale = 100000.0 if got["turnover"].strip() == "TURNOVER_LACS" else 1.0
     num = lambda f: _number(got[f]) if f in got else F.lit(None).cast("double")
     return raw.filter(_text(got["series"]) == "EQ").select(
-        _text(got["symbol"]).alias("symbol"), (num("turnover") * scale).alias("turnover"), num("close").alias("close"), num("deliv_qty").alias("deliv_qty"), num("deliv_pct").alias("deliv_pct")
+        *(keep or []), _text(got["symbol"]).alias("symbol"), (num("turnover") * scale).alias("turnover"), num("close").alias("close"), num("deliv_qty").alias("deliv_qty"), num("deliv_pct").alias("deliv_pct")
     ).filter("turnover is not null")
 
 

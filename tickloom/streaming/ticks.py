@@ -132,9 +132,29 @@ def drop_repeats(t: DataFrame, price: str = "price") -> DataFrame:
 
 
 def drop_repeats_stream(t: DataFrame, price: str = "price", delay: str = "10 seconds") -> DataFrame:
-    """Streaming form: one tick per (symbol, price, second) within the watermark."""
-    x = t.withColumn("_sec", F.date_trunc("second", "ts")).withWatermark("ts", delay)
-    return x.dropDuplicatesWithinWatermark(["symbol", price, "_sec"]).drop("_sec")
+    """Streaming form of :func:`drop_repeats`: a tick goes if the tick before it in its symbol's second has its price.
+
+    The state of a (symbol, second) is its last tick; it goes once the watermark has passed the second by ``delay``, and
+    the ticks of one second are all that a task holds.
+    """
+    x = t.withColumn("_sec", F.date_trunc("second", "ts")).withWatermark("_sec", delay)
+    names = t.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema.fields)
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        before = rows[price].shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        last = rows[price].iloc[-1]
+        state.update((None if pd.isna(last) else float(last),))
+        state.setTimeoutTimestamp(int(pd.Timestamp(key[1]).timestamp() * 1000) + 1000)
+        yield rows[~(rows[price] == before)][names]
+
+    return x.groupBy("symbol", "_sec").applyInPandasWithState(step, schema, "price double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def topic_key(exchange: Column, symbol: Column, mode: Column) -> Column:
