@@ -43,7 +43,8 @@ def integrity(rows: DataFrame) -> DataFrame:
     missing = lambda x: F.col(x).isNull() | F.isnan(num[x])
     b = rows.withColumns({"_gap": F.datediff("date", F.lag("date").over(w)), "_ret": sdiv(c.close, F.lag("close").over(w)) - 1})
     n = lambda cond: F.count_if(truth(cond))
-    bounds = [c.high < c.low, c.open > c.high, c.close > c.high, c.open < c.low, c.close < c.low]
+    real = {x: F.nanvl(num[x], F.lit(None).cast("double")) for x in PRICES}  # NaN is above nothing
+    bounds = [real[a] < real[b] for a, b in (("high", "low"), ("high", "open"), ("high", "close"), ("open", "low"), ("close", "low"))]
     return b.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"),
         (F.count(F.lit(1)) - F.count_distinct("date")).alias("duplicate_rows"),
