@@ -7,23 +7,34 @@ and read again as the next one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import bpe, jaccard, linededup, mixing, toxicity
 from llm.store import written
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and own, a struct of all columns but text: what operators add cannot clash with what docs has."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """rows with the columns of docs again; text is the rows' own."""
+    new = {"text": F.col("text")} | changed
+    return rows.select(*[(new[c] if c in new else F.col("own")[c]).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the toxicity model, learned from the labels that are not held out, scores 1/2 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = labels.where(toxicity.remainder(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.scored(docs, toxicity.fit(docs, rows)).where("score < 0.5").select(*docs.columns)
+    return unpacked(toxicity.scored(packed(docs), toxicity.fit(docs, rows)).where("score < 0.5"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with the repeated chunks of lines cut from their texts; all rows stay, n_chars follows the text."""
-    return linededup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return unpacked(linededup.without_repeats(packed(docs)), docs, n_chars=F.length("text").cast("long"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,3 +201,15 @@ def test_registry_without_the_subpackage(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "op1_jaccard_components" not in entry.queries() and len(entry.queries()) > 100
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_stages_keep_clashing_columns(spark, sf, odd, empty):
+    import corpus_pipeline as C
+
+    more = odd.selectExpr("*", "'mine' AS score", "7 AS n_lines", "'k' AS key", "'b' AS body", "'g' AS gone")
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, more, sf)
+        assert got.columns == more.columns, name
+        assert {(r.score, r.n_lines, r.key, r.body, r.gone) for r in got.collect()} == {("mine", 7, "k", "b", "g")}, name
+        assert stage(spark, empty, sf).count() == 0, name
+    assert C.STAGES[-1][1](spark, more, sf).count() == 12
