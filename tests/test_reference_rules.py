@@ -131,3 +131,12 @@ def test_workers_import_the_package(tmp_path):
     code = "from tickloom.session import local_session; s = local_session('w', 1)\nfrom tickloom.plans.catalog import CATALOG\nimport tickloom.plans.q_scanners\nprint('rows', CATALOG['q6_anomalies'].build(s, '/root/testdata/sf0.001').count())"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))}, capture_output=True, text=True, timeout=300)
     assert "rows 54" in out.stdout, out.stderr[-2000:]
+
+
+def test_order_codes_and_bans(spark):
+    o = spark.createDataFrame([("BUY", "MARKET", "CNC"), ("HOLD", "??", "??")], "action string, pricetype string, product string")
+    known, unknown = broker.encode_orders(o).collect()
+    assert known.side == 1 and unknown.side is None and unknown.type == 2 and unknown.product_code == "INTRADAY"
+    rows = spark.createDataFrame([(" acme.ns",), ("Other",)], "symbol string")
+    got = fl.flag_banned(rows, spark.createDataFrame([("ACME",)], "symbol string"))
+    assert sorted((r.symbol, r.banned) for r in got.collect()) == [(" acme.ns", True), ("Other", False)]

@@ -72,10 +72,11 @@ def engle_granger(a: np.ndarray, b: np.ndarray) -> float:
 _OUT = "symbol_a string, symbol_b string, p_value double, z_score double"
 
 
-def cointegrated_pairs(bars: DataFrame, max_p: float = 0.05, z_entry: float = 2.0, lookback: int = 252, z_window: int = 60, per_block: int = 48) -> DataFrame:
+def cointegrated_pairs(bars: DataFrame, max_p: float = 0.05, z_entry: float = 2.0, lookback: int = 252, z_window: int = 60, per_block: int = 8) -> DataFrame:
     """Pairs with at least ``lookback`` common bars whose p-value is at most ``max_p``, with the spread z-score.
 
-    One number is fetched first: how many symbols there are, to size the blocks.
+    One number is fetched first: how many symbols there are, to size the blocks (about ``per_block`` symbols each, so a
+    task tests about 64 pairs).
     """
     packed = (
         bars.filter("close is not null").groupBy("symbol")

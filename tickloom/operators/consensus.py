@@ -119,15 +119,6 @@ def signal(df: DataFrame, strategy: str, action: Column, conviction: Column, whe
     )
 
 
-def signals_from_actions(snapshot: DataFrame) -> DataFrame:
-    """Voter actions as signals with conviction 1 (buy +1, sell -1, else 0)."""
-    u = unpivot_actions(snapshot, keep=("symbol", "date"))
-    act = F.when(u.action.isin(BUY_LABELS), 1).when(u.action.isin(SELL_LABELS), -1).otherwise(0)
-    return signal(u.withColumn("_a", act), "", F.col("_a"), F.lit(1.0), F.col("date"), {"label": F.col("action")}).withColumn(
-        "strategy_name", F.col("meta")["label"]
-    )
-
-
 def consensus_mean(signals: DataFrame) -> DataFrame:
     """Average of action * conviction per symbol (map-side partial averages)."""
     return signals.groupBy("symbol").agg(F.avg(F.col("action") * F.col("conviction")).alias("score"))

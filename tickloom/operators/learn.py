@@ -41,8 +41,6 @@ def fit_predict(t: DataFrame, trees: int = 100, depth: int = 5, seed: int = 42)
     """Random forest fitted on the training rows of all symbols, predictions for the rest."""
     v = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(t)
     m = RandomForestClassifier(labelCol="target", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(v.filter("is_train"))
-
-
     p = m.transform(v.filter(~c.is_train))
     return p.select("symbol", "date", "close", "target", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability"))
 

@@ -8,9 +8,11 @@ from ..functions import ts
 from ..functions.num import c, rnd, truth
 from ..operators import anomaly, cointegration, learn
 from ..operators import indicators as ind
+from ..operators import consensus as con
 from ..operators import portfolio as pf
 from ..operators import quality as q
 from ..operators import scanners as sn
+from ..session import written
 from .catalog import query
 from .q_quality import _OUT
 from .sqltext import BARS, MASTER, SOFAR, W, full, panel, with_
@@ -112,6 +114,14 @@ def x12(spark, d):
     return rounded(cointegration.cointegrated_pairs(nation_bars(spark, d), max_p=0.05))
 
 
+@query("x12_pair_signals")
+def x12_signals(spark, d):
+    """Two opposite signals for each actionable pair, without the map column."""
+    pairs = cointegration.cointegrated_pairs(nation_bars(spark, d), max_p=0.05, z_entry=1.0)
+    t = cointegration.pair_signals(pairs, F.lit(None).cast("date"), z_entry=1.0)
+    return rounded(con.flatten_meta(t, ["pair_id", "pair_symbol", "trade"]))
+
+
 _ROT = f"""bench AS (SELECT date, avg(close) AS bench FROM bars GROUP BY date), ro0 AS (SELECT symbol, date, close / bench AS rs FROM bars JOIN bench USING (date)), ro1 AS (SELECT symbol, date, rs / {full('avg', 'rs', 40)} * 100 AS ratio FROM ro0),
 ro2 AS (SELECT *, (ratio / lag(ratio, 10) {W} - 1) * 100 AS mom, lead(date) {W} IS NULL AS is_last FROM ro1)"""
 
@@ -156,9 +166,26 @@ def m1(spark, d):
     return rounded(_features(spark, d).select("symbol", "date", *learn.FEATURES, "target"))
 
 
+def _predicted(spark, d):
+    # the fit passes over its rows many times: the features are written first
+    return learn.fit_predict(written(learn.chronological(_features(spark, d))))
+
+
 @query("m2_random_forest")
 def m2(spark, d):
-    return learn.fit_predict(learn.chronological(_features(spark, d)))
+    return _predicted(spark, d)
+
+
+@query("m3_forest_evaluation")
+def m3_forest(spark, d):
+    """The forest's own test rows, evaluated."""
+    return rounded(learn.evaluate(_predicted(spark, d)))
+
+
+@query("m4_forest_return")
+def m4_forest(spark, d):
+    """Return of holding where the forest expects a rise."""
+    return rounded(pf.strategy_vs_hold(_predicted(spark, d), "prediction").select("symbol", "strategy_return", "hold_return"))
 
 
 _SPLIT = "sp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM feat), te AS (SELECT *, CAST(rsi_14 > 50 AS INTEGER) AS prediction FROM sp WHERE rn > floor(n * 0.8))"

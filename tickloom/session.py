@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tickloom", cpus: int | None = None, memory: str = "12g") -> SparkSession:
@@ -32,3 +32,10 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder path under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"tickloom-{os.getpid()}")
     return f"{base}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a new work folder: computed once, whatever reads it and however often."""
+    at = work_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
