@@ -38,6 +38,10 @@ def swing_target(t: DataFrame) -> DataFrame:
 IDLE = {**{v: "Hold" for v in BAR_WISE}, "rsi_ladder": "No Action", "turtle": "No need to fresh start"}
 
 
+# value columns of the report that the grouped view shows once per symbol
+GROUP_VALUES = ("traded_value", "close", "change_pct", "z_score", "vol_spike", "rsi_14", "tech_score", "diff_pct")
+
+
 def strategy_rows(t: DataFrame) -> DataFrame:
     """One row per (row, strategy) whose action is not idle, with its target and stop."""
     cols = set(t.columns)
@@ -46,21 +50,23 @@ def strategy_rows(t: DataFrame) -> DataFrame:
         F.lit(i).alias("ord"), F.lit(v).alias("strategy"), F.col(f"{v}_action").alias("action"), pick(v, "target").alias("target"), pick(v, "sl").alias("stop_loss"), F.lit(IDLE[v]).alias("idle")
     )
     rows = F.filter(F.array(*[entry(i, v) for i, v in enumerate(BAR_WISE)]), lambda x: x["action"] != x["idle"])
-    keep = [x for x in ("symbol", "date", "close", "traded_value", "rsi_14", "z_score", "vol_spike", "change_pct") if x in cols]
+    keep = [x for x in ("symbol", "date", *GROUP_VALUES) if x in cols]
     return t.select(*keep, F.explode(rows).alias("_s")).select(*keep, "_s.ord", "_s.strategy", "_s.action", "_s.target", "_s.stop_loss")
 
 
 def grouped_view(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Strategies of a symbol on one row: joined names, actions, targets and stops in strategy order.
+    """Strategies of a symbol on one row: joined names, actions, targets and stops in strategy order, and the first known
+    value of each value column that the rows have.
 
     A group has at most one entry per strategy, so its arrays are bounded.
     """
+    values = [x for x in GROUP_VALUES if x in rows.columns]
     parts = F.array_sort(F.collect_list(F.struct("ord", "strategy", "action", "target", "stop_loss")))
-    g = rows.groupBy(*keys).agg(F.min_by("traded_value", "ord").alias("traded_value"), F.min_by("close", "ord").alias("close"), parts.alias("_p"))
+    g = rows.groupBy(*keys).agg(*[F.min_by(x, F.when(F.col(x).isNotNull(), F.col("ord"))).alias(x) for x in values], parts.alias("_p"))
     text = lambda f: F.concat_ws(" | ", F.transform("_p", lambda x: x[f]))
     nums = lambda f: F.concat_ws(" | ", F.transform(F.filter("_p", lambda x: x[f].isNotNull()), lambda x: money(x[f])))
     return g.select(
-        *keys, "traded_value", "close", text("strategy").alias("strategies"), text("action").alias("actions"), nums("target").alias("targets"), nums("stop_loss").alias("stop_losses")
+        *keys, *values, text("strategy").alias("strategies"), text("action").alias("actions"), nums("target").alias("targets"), nums("stop_loss").alias("stop_losses")
     )
 
 

@@ -17,8 +17,9 @@ from ..operators.snapshot import with_universe
 from ..sources import bars as B
 from .catalog import query
 from .q_trend import A_MAS, ACT, BOTTOM, CAR, D200, SL_MAS, VOTES, in_list, snap_sql, snapshot, status_sql
+from .q_windows import SCORE
 from .sqltext import BARS, MASTER, W, panel, with_
-from .tables import index_close, rounded, segment_bars, supplier_bars, suppliers, table
+from .tables import index_close, rounded, segment_bars, supplier_bars, supplier_panel, suppliers, table
 
 # classified bars: every bar with trend, swing and CAR labels; the distance cap is widened for this data
 _LISTS = f"""lists AS (SELECT d2.symbol, d2.date, d2.close, d2.volume, d2.turnover, d2.prev_close, d2.diff_200, d2.close * d2.volume AS traded_value, {status_sql(A_MAS, 100000).replace('diff_200', 'd2.diff_200').replace('close', 'd2.close').replace('sma_', 'd2.sma_')} AS trend_status,
@@ -180,11 +181,13 @@ def a2(spark, d):
     return m.select("symbol", con.recommendation(20 * rnd("score", 6)).alias("recommendation"))
 
 
-@query("a3_grouped_view", panel("s", ACT, _ROWS, body="""SELECT symbol, date, round(arg_min(traded_value, ord), 2) AS traded_value, round(arg_min(close, ord), 4) AS close, string_agg(strategy, ' | ' ORDER BY ord) AS strategies, string_agg(action, ' | ' ORDER BY ord) AS actions,
-  coalesce(string_agg(CASE WHEN target IS NOT NULL THEN printf('%.2f', round(target, 2)) END, ' | ' ORDER BY ord), '') AS targets, coalesce(string_agg(CASE WHEN stop_loss IS NOT NULL THEN printf('%.2f', round(stop_loss, 2)) END, ' | ' ORDER BY ord), '') AS stop_losses FROM rows_ GROUP BY symbol, date"""))
+@query("a3_grouped_view", panel("s", ACT, _ROWS, f"sc AS (SELECT *, {SCORE} AS tech_score FROM panel)", """gr AS (SELECT symbol, date, round(arg_min(traded_value, ord), 2) AS traded_value, round(arg_min(close, ord), 4) AS close, string_agg(strategy, ' | ' ORDER BY ord) AS strategies, string_agg(action, ' | ' ORDER BY ord) AS actions,
+  coalesce(string_agg(CASE WHEN target IS NOT NULL THEN printf('%.2f', round(target, 2)) END, ' | ' ORDER BY ord), '') AS targets, coalesce(string_agg(CASE WHEN stop_loss IS NOT NULL THEN printf('%.2f', round(stop_loss, 2)) END, ' | ' ORDER BY ord), '') AS stop_losses FROM rows_ GROUP BY symbol, date)""",
+  body="SELECT gr.*, round(change_pct, 4) AS change_pct, round(z_score, 4) AS z_score, round(vol_spike, 4) AS vol_spike, round(rsi_14, 4) AS rsi_14, tech_score FROM gr JOIN sc USING (symbol, date)"))
 def a3(spark, d):
-    g = rp.grouped_view(_strategy_rows(spark, d), ("symbol", "date"))
-    return g.withColumns({"traded_value": rnd("traded_value", 2), "close": rnd("close")}).orderBy(F.desc("traded_value"))
+    p = ind.tech_score(supplier_panel(spark, d)).withColumn("traded_value", c.close * c.volume)
+    g = rp.grouped_view(rp.strategy_rows(st.bar_strategies(p)), ("symbol", "date"))
+    return g.withColumns({"traded_value": rnd("traded_value", 2), **{x: rnd(x) for x in ("close", "change_pct", "z_score", "vol_spike", "rsi_14")}}).orderBy(F.desc("traded_value"))
 
 
 @query("a4_buy_counts", panel("s", ACT, body=" UNION ALL ".join(f"SELECT '{v}' AS strategy, count(*) FILTER (WHERE {v}_action IN {in_list(con.BUY_LABELS)}) AS buys FROM act" for v in st.BAR_WISE)))
