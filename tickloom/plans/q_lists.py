@@ -190,10 +190,9 @@ def a3(spark, d):
     return g.withColumns({"traded_value": rnd("traded_value", 2), **{x: rnd(x) for x in ("close", "change_pct", "z_score", "vol_spike", "rsi_14")}}).orderBy(F.desc("traded_value"))
 
 
-@query("a4_buy_counts", panel("s", ACT, body=" UNION ALL ".join(f"SELECT '{v}' AS strategy, count(*) FILTER (WHERE {v}_action IN {in_list(con.BUY_LABELS)}) AS buys FROM act" for v in st.BAR_WISE)))
+@query("a4_buy_counts", snap_sql(VOTES, body=" UNION ALL ".join(f"SELECT '{v}' AS strategy, count(*) FILTER (WHERE {v}_action IN {in_list(con.BUY_LABELS)}) AS buys FROM votes" for v in st.VOTERS)))
 def a4(spark, d):
-    p = st.bar_strategies(ind.recursive(ind.windows(supplier_bars(spark, d))))
-    return rp.buy_counts(p, st.BAR_WISE)
+    return rp.buy_counts(snapshot(spark, d), st.VOTERS)
 
 
 @query("a5_kpis", snap_sql(VOTES, body=f"""SELECT count(*) FILTER (WHERE trend_status = 'In Bull Run') AS bull_run, count(*) FILTER (WHERE consensus_score >= 4) AS high_conviction, count(*) FILTER (WHERE bottom_out_status IN ('Start GTT', 'Start GTT (Basic)')) AS gtt_setups,
