@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from llm import words as W
 from llm.store import written
 
-BITS = 20  # of a coordinate: at most 2^20 weights, 8 MB, whatever the corpus
+BITS = 22  # of a coordinate: at most 2^22 weights, 16 MB, whatever the corpus
 SAMPLE = 20_000  # labelled documents at most that the model is fitted on
-SEEN = 4  # documents of the sample that a coordinate needs
+SEEN = 20  # documents of the sample that a coordinate needs, in a small sample one in 500
 STEMS = (4, 7)  # bytes
 SHARDS, ROUNDS, PASSES = 4, 4, 1
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
@@ -55,23 +55,40 @@ def _coordinates(part: W.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(batches):
     for batch in batches:
-        out = []
         for part in W.slices(batch.column("text"), between=W.NO_LETTER):
             row, at = _coordinates(part)
             key = np.unique(row << BITS | at)
             bounds = np.searchsorted(key >> BITS, np.arange(part.rows + 1))
             key = (key & ((1 << BITS) - 1)).astype(np.int32)
-            out += [key[bounds[i] : bounds[i + 1]].tobytes() for i in range(part.rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("place"), pa.array(out, pa.binary())], ["label", "place", "features"])
+            out = [key[bounds[i] : bounds[i + 1]].tobytes() for i in range(part.rows)]
+            some = batch.slice(part.first, part.rows)
+            yield pa.RecordBatch.from_arrays([some.column("label"), some.column("place"), pa.array(out, pa.binary())], ["label", "place", "features"])
+
+
+CHUNKS = 64
 
 
 def _document_counts(batches):
-    total = np.zeros(1 << BITS, np.int64)
+    total = np.zeros(1 << BITS, np.uint16)
     for batch in batches:
-        for f in batch.column("features").to_pylist():
-            total[np.frombuffer(f, np.int32)] += 1
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+        for f in batch.column("features"):
+            at = np.frombuffer(f.as_py(), np.int32)
+            total[at] = np.minimum(total[at], 65534) + 1
+    for i, x in enumerate(np.split(total, CHUNKS)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["i", "counts"])
+
+
+def _known(least: int):
+    """Of one chunk of coordinates: those in ``least`` documents or more."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << BITS) // CHUNKS, np.int64)
+        for x in pdf.counts:
+            total += np.frombuffer(x, np.uint16)
+        i = int(pdf.i.iloc[0])
+        return pd.DataFrame({"i": [i], "known": [(np.flatnonzero(total >= least) + i * len(total)).astype(np.int32).tobytes()]})
+
+    return add
 
 
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -126,8 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
     seen = {r.label for r in rows.select("label").distinct().collect()}
     if seen != {0.0, 1.0}:
         return Weights(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0)
-    counted = rows.mapInArrow(_document_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).select("at")
-    known = np.sort(counted.toArrow().column("at").to_numpy())  # at most 2^BITS rows
+    least = max(2, min(SEEN, rows.count() // 500))
+    counted = rows.mapInArrow(_document_counts, "i long, counts binary").groupBy("i").applyInPandas(_known(least), "i long, known binary").collect()
+    known = np.concatenate([np.frombuffer(r.known, np.int32) for r in sorted(counted, key=lambda r: r.i)]).astype(np.int64)
     places = docs.sparkSession.sparkContext.broadcast(known)
     shards = written(rows.groupBy(F.pmod("place", F.lit(SHARDS))).applyInPandas(_packed(places), "labels binary, sizes binary, at binary"))
     z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
@@ -142,36 +160,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
     return Weights(known[at], w[at].astype(np.float32), float(w[-1]))
 
 
-def scored(docs: DataFrame, weights: Weights) -> DataFrame:
-    """docs(doc_id, text, ...) with score (0 to 1): a null or empty text has the score of the bias alone. Columns of any
-    name are kept, but a column score is replaced."""
-    docs = docs.drop("score")
-    model = docs.sparkSession.sparkContext.broadcast(weights)
+def _scores(rows: DataFrame, weights: Weights, keep_text: bool) -> DataFrame:
+    """rows(whole, text) with score; whole is any struct."""
+    model = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         w = np.zeros(1 << BITS, np.float32)
         w[model.value.at] = model.value.w
         for batch in batches:
-            out = []
             for part in W.slices(batch.column("text"), between=W.NO_LETTER):
                 row, at = _coordinates(part)
                 found = w[at] != 0
                 key = np.unique(row[found] << BITS | at[found])
                 total = np.bincount(key >> BITS, w[key & ((1 << BITS) - 1)], part.rows) + model.value.bias
-                out.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(np.concatenate(out) if out else np.zeros(0))], ["whole", "score"])
+                some = batch.slice(part.first, part.rows)
+                score = pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+                yield pa.RecordBatch.from_arrays([some.column("whole"), *([some.column("text")] if keep_text else []), score], ["whole", *(["text"] if keep_text else []), "score"])
+
+    kind = f"whole {rows.schema['whole'].dataType.simpleString()}, " + "text string, " * keep_text + "score double"
+    return rows.mapInArrow(run, kind)
 
-    whole = docs.select(F.struct("*").alias("whole"), "text")
-    return whole.mapInArrow(run, f"whole {whole.schema['whole'].dataType.simpleString()}, score double").select("whole.*", "score")
+
+def scored(docs: DataFrame, weights: Weights) -> DataFrame:
+    """docs(text, ...) with score (0 to 1): a null or empty text has the score of the bias alone. Columns of any name are
+    kept, but a column score is replaced."""
+    docs = docs.drop("score")
+    others = [c for c in docs.columns if c != "text"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_"))
+    out = _scores(docs.select(whole.alias("whole"), "text"), weights, True)
+    return out.select(*[F.col("text") if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns], "score")
 
 
 def toxic_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labels.where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
     weights = fit(docs, rows)
-    keyed = docs.select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
-    return scored_narrow(keyed, weights)
-
-
-def scored_narrow(keyed: DataFrame, weights: Weights) -> DataFrame:
-    out = scored(keyed, weights).select("doc_id", "held_out", "score")
+    whole = F.struct("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"))
+    out = _scores(docs.select(whole.alias("whole"), "text"), weights, False).select("whole.*", "score")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
