@@ -492,6 +492,10 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     keyed = docs.select(surrogate.alias("node"), "text", F.struct("*").alias("whole"))
     found = written(components_of(keyed.select(F.col("node").alias("doc_id"), "text"), words, num, den))
     kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
-    rows = keyed.join(kept, "node")
-    several = rows.where("rows > 1 AND n > 0").withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("text")))
-    return rows.where("rows = 1 OR n = 0").select("whole.*").union(several.where("nth = 1").select("whole.*"))
+    kept = written(kept.withColumn("one", (F.col("rows") == 1) | (F.col("n") == 0)))
+    out = keyed.join(kept.where("one").select("node"), "node").select("whole.*")
+    if kept.where("NOT one").limit(1).count():  # else the texts would travel once more for nothing
+        several = keyed.join(kept.where("NOT one").select("node"), "node")
+        several = several.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("text")))
+        out = out.union(several.where("nth = 1").select("whole.*"))
+    return out

@@ -92,16 +92,19 @@ def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2,
     Column names that clash with the operator's own are no matter: the columns ride along in one struct."""
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "source", F.struct("*").alias("whole"))
     taken = copies(written(sized(docs)), seed, weights, cap)
-    # equal rows: the first have one copy more, as their places in the sum have it
     per = taken.groupBy("doc_id", "text_md5", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    per = per.where("copies > 0")
-    same = (keyed["doc_id"].eqNullSafe(per["doc_id"])) & (keyed["text_md5"] == per["text_md5"]) & (keyed["source"].eqNullSafe(per["source"]))
-    joined = keyed.join(per, same).select("whole", per["copies"].alias("n"), per["rows"].alias("rows"))
-    # a row whose copies do not divide among its equals takes the rest by its place among them
-    once = joined.where("rows = 1")
-    several = joined.where("rows > 1").withColumn("k", F.row_number().over(Window.partitionBy(F.to_json("whole")).orderBy(F.lit(1))))
-    several = several.withColumn("n", F.floor(F.col("n") / F.col("rows")) + F.when(F.col("k") <= F.pmod("n", "rows"), 1).otherwise(0))
-    every = once.select("whole", "n").union(several.select("whole", "n").where("n > 0"))
+    per = written(per.where("copies > 0"))
+
+    def joined(some: DataFrame) -> DataFrame:
+        same = keyed["doc_id"].eqNullSafe(some["doc_id"]) & (keyed["text_md5"] == some["text_md5"]) & keyed["source"].eqNullSafe(some["source"])
+        return keyed.join(some, same).select("whole", some["copies"].alias("n"), some["rows"].alias("rows"))
+
+    every = joined(per.where("rows = 1")).select("whole", "n")
+    if per.where("rows > 1").limit(1).count():
+        # equal rows share their copies: the first of them have one more where they do not divide
+        several = joined(per.where("rows > 1")).withColumn("k", F.row_number().over(Window.partitionBy(F.to_json("whole")).orderBy(F.lit(1))))
+        several = several.withColumn("n", F.floor(F.col("n") / F.col("rows")) + F.when(F.col("k") <= F.pmod("n", "rows"), 1).otherwise(0))
+        every = every.union(several.select("whole", "n").where("n > 0"))
     return every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long")))).select("whole.*")
 
 
