@@ -140,3 +140,21 @@ def test_order_codes_and_bans(spark):
     rows = spark.createDataFrame([(" acme.ns",), ("Other",)], "symbol string")
     got = fl.flag_banned(rows, spark.createDataFrame([("ACME",)], "symbol string"))
     assert sorted((r.symbol, r.banned) for r in got.collect()) == [(" acme.ns", True), ("Other", False)]
+
+
+def test_forest_chain(spark):
+    """Forest to evaluation to return: rows split by time, probabilities, and confusion counts that add up."""
+    import tickloom.plans.q_scanners as qs
+    from tickloom.operators import learn, portfolio
+
+    t = learn.chronological(qs._features(spark, SF))
+    p = learn.fit_predict(t.cache(), trees=10).cache()
+    n = {r.symbol: r["count"] for r in t.groupBy("symbol").count().collect()}
+    rows = p.collect()
+    assert all(0 <= r.probability <= 1 and r.prediction == int(r.probability > 0.5) for r in rows if r.probability != 0.5)
+    got = {r.symbol: r for r in learn.evaluate(p).collect()}
+    for s, e in got.items():
+        own = [r for r in rows if r.symbol == s]
+        assert e.n == len(own) == n[s] - math.floor(n[s] * 0.8)
+        assert math.isclose(e.accuracy, sum(r.prediction == r.target for r in own) / e.n)
+    assert {r.symbol for r in portfolio.strategy_vs_hold(p, "prediction").collect()} == set(got)
