@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from llm import words as W
 from llm.components import components
-from llm.store import written
+from llm.store import small_batches, written
 
 COUNTERS = 1 << 18  # of the count of frequent shingles: fixed size, so its broadcast is 32 KB whatever the input
 HOT_LIST = 256  # documents of a shingle's region whose pairs are counted; a larger region is one group
@@ -60,12 +60,14 @@ def _prefix(size: int, num: int, den: int) -> tuple[int, int]:
 def _narrow(n: int):
     def run(batches):
         for batch in batches:
-            rows = list(_sets(batch, n))
-            keys = [_key(s) if len(s) else (None, None) for _, s in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rid"), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                ["doc_id", "rid", "n_shingles", "k1", "k2"],
-            )
+            for part in W.slices(batch.column("text")):
+                sets = list(W.shingle_sets(part, part.hashes(lower=True), n))
+                keys = [_key(s) if len(s) else (None, None) for s in sets]
+                rows = batch.slice(part.first, part.rows)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
+                    ["doc_id", "rid", "n_shingles", "k1", "k2"],
+                )
 
     return run
 
@@ -249,7 +251,7 @@ def _lists(num: int, den: int):
                 break
             i.append((left, d))
             waiting += len(left)
-            if waiting > 1_000_000:
+            if waiting > 300_000:
                 yield pairs(at, np.concatenate([x for x, _ in i]), np.concatenate([x + d for x, d in i]))
                 i, waiting = [], 0
         if i:
@@ -294,7 +296,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     both = df[at] > 1
     row, at = row[both], column[at[both]]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
+    width = 2048
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
     for c in range(0, int(at[-1]) + 1 if len(at) else 0, width):
@@ -453,6 +455,7 @@ def components_of(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
     * a doc_id on several rows: each row has its own set, and all of them are one node
     * repeated texts are one node throughout; other columns are not read
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "text")
     rows = written(docs.mapInArrow(_narrow(words), "doc_id long, rid long, n_shingles long, k1 long, k2 long"))
     entries = docs.select("text").mapInArrow(_entries(words, num, den, _heavy(docs, words)), "s long, k1 long, n int")

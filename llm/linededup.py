@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import words as W
+from llm.store import small_batches
 
 LONG = 50  # words
 MASK = np.uint64(1)  # every other line in the mean may end a chunk
@@ -89,8 +90,8 @@ def _count(batches):
     for batch in batches:
         for part in W.slices(batch.column("text")):
             c = chunks(part)
-            at = np.bincount((c.h1[_asked(c)] >> np.uint64(42)).astype(np.int64), minlength=CLASSES)
-            total = np.minimum(total + np.minimum(at, 2), 2).astype(np.uint8)
+            at, n = np.unique((c.h1[_asked(c)] >> np.uint64(42)).astype(np.int64), return_counts=True)
+            total[at] = np.minimum(total[at] + np.minimum(n, 2), 2)
     for i, x in enumerate(np.split(total, 64)):
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(x >= 1).tobytes()], pa.binary()), pa.array([np.packbits(x >= 2).tobytes()], pa.binary())], ["i", "once", "twice"])
 
@@ -107,49 +108,42 @@ def _candidates(classes):
     def run(batches):
         twice = np.unpackbits(np.frombuffer(classes.value, np.uint8)).astype(bool)
         for batch in batches:
-            rows, nth, h1, h2, body = [], [], [], [], []
             for part in W.slices(batch.column("text")):
                 c = chunks(part)
-                for k in np.flatnonzero(_asked(c) & twice[(c.h1 >> np.uint64(42)).astype(np.int64)]).tolist():
-                    rows.append(part.first + int(c.row[k]))
-                    nth.append(int(c.nth[k]))
-                    h1.append(c.h1[k])
-                    h2.append(c.h2[k])
-                    body.append(part.data[c.start[k] : c.end[k]].tobytes().rstrip(b"\n"))
-            taken = batch.select(["doc_id", "key"]).take(pa.array(rows, pa.int64()))
-            kinds = [pa.array(nth, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(body, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *kinds], ["doc_id", "key", "nth", "h1", "h2", "body"])
+                ks = np.flatnonzero(_asked(c) & twice[(c.h1 >> np.uint64(42)).astype(np.int64)])
+                body = [part.data[c.start[k] : c.end[k]].tobytes().rstrip(b"\n") for k in ks.tolist()]
+                taken = batch.select(["doc_id", "key"]).take(pa.array(part.first + c.row[ks]))
+                kinds = [pa.array(c.nth[ks]), pa.array(c.h1[ks].view(np.int64)), pa.array(c.h2[ks].view(np.int64)), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*taken.columns, *kinds], ["doc_id", "key", "nth", "h1", "h2", "body"])
 
     return run
 
 
 def _rebuilt(batches):
-    """Texts without the chunks whose numbers are in ``gone``."""
+    """Texts without the chunks whose numbers are in ``gone``, a slice of rows at a time."""
     for batch in batches:
-        gone = batch.column("gone").to_pylist()
-        out, lines, cut = batch.column("text").to_pylist(), [], []
         for part in W.slices(batch.column("text")):
+            rows = batch.slice(part.first, part.rows)
+            gone, out = rows.column("gone").to_pylist(), rows.column("text").to_pylist()
             newline = np.concatenate(([0], np.cumsum(part.data == 10)))
-            for i in range(part.rows):
-                a, b = part.offsets[i], part.offsets[i + 1]
-                lines.append(int(newline[b] - newline[a] + (b > a and part.data[b - 1] != 10)))
-                cut.append(0)
-            some = [i for i in range(part.rows) if gone[part.first + i]]
-            if not some:
-                continue
-            c = chunks(part)
-            begin, end = np.searchsorted(c.row, np.arange(part.rows)), np.searchsorted(c.row, np.arange(part.rows), side="right")
+            a, b = part.offsets[:-1], part.offsets[1:]
+            open_end = np.array([y > x and part.data[y - 1] != 10 for x, y in zip(a, b, strict=True)], np.int64)
+            lines, cut = newline[b] - newline[a] + open_end, np.zeros(part.rows, np.int64)
+            some = [i for i in range(part.rows) if gone[i]]
+            if some:
+                c = chunks(part)
+                begin, end = np.searchsorted(c.row, np.arange(part.rows)), np.searchsorted(c.row, np.arange(part.rows), side="right")
             for i in some:
                 drop = np.zeros(end[i] - begin[i], bool)
-                drop[[g for g in gone[part.first + i] if g < len(drop)]] = True
+                drop[[g for g in gone[i] if g < len(drop)]] = True
                 ks = range(begin[i], end[i])
                 kept = b"".join(part.data[c.start[k] : c.end[k]].tobytes() for k, d in zip(ks, drop, strict=True) if not d)
                 dropped = [part.data[c.start[k] : c.end[k]] for k, d in zip(ks, drop, strict=True) if d]
-                cut[part.first + i] = sum(int((x == 10).sum() + (x[-1] != 10)) for x in dropped)
+                cut[i] = sum(int((x == 10).sum() + (x[-1] != 10)) for x in dropped)
                 if drop[-1] and kept.endswith(b"\n"):
                     kept = kept[:-1]
-                out[part.first + i] = kept.decode()
-        yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(cut, pa.int64())], ["whole", "new_text", "n_lines", "n_removed"])
+                out[i] = kept.decode()
+            yield pa.RecordBatch.from_arrays([rows.column("whole"), pa.array(out, pa.string()), pa.array(lines.astype(np.int64)), pa.array(cut)], ["whole", "new_text", "n_lines", "n_removed"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -159,8 +153,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     lines. Null doc_id: after all others in the order of occurrences. Rows equal in doc_id and text are one document and
     keep the same lines. Own columns may have any names but n_lines and n_removed, which are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", F.struct("*").alias("whole"))
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("whole"))
     parts = keyed.select("text").mapInArrow(_count, "i long, once binary, twice binary").groupBy("i").applyInPandas(_add, "i long, twice binary").collect()
     twice = b"".join(r.twice for r in sorted(parts, key=lambda r: r.i)) or bytes(CLASSES // 8)
     classes = docs.sparkSession.sparkContext.broadcast(twice)

@@ -24,7 +24,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def parts(df: DataFrame, rows_per_part: int = 200_000) -> int:
-    """Partitions for df at about rows_per_part rows each, at least the session's own number."""
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(own, -(-df.count() // rows_per_part))
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` whole texts for this session, unless it has a size of its own: a task holds a
+    batch several times over, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)

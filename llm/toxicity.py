@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import words as W
-from llm.store import written
+from llm.store import small_batches, written
 
 BITS = 22  # of a coordinate: at most 2^22 weights, 16 MB, whatever the corpus
 SAMPLE = 20_000  # labelled documents at most that the model is fitted on
@@ -136,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
 
     Null labels and ids are left out; without rows of both labels every score is below one half.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     chosen = chosen.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` narrow rows

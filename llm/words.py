@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20  # bytes of text that are hashed at once; a longer text is a slice of its own
+SLICE = 1 << 19  # bytes of text that are hashed at once; a longer text is a slice of its own
 _SEED = np.random.RandomState(20260101)
 _LETTER = _SEED.randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
