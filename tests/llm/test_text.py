@@ -151,3 +151,25 @@ def test_rules(odd, empty, docs):
     assert perplexity.rules(empty).count() == 0
     rows = perplexity.rules(docs).collect()
     assert sum(r.kept for r in rows) > 0.9 * sum(not r.base_failed for r in rows)
+
+
+def test_every_word_and_pair_counts(spark):
+    """What is sent to the tasks changes no probability, and texts of rare words are improbable."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(9))
+    plain = [word() for _ in range(300)]
+    # a real corpus has a tail of rare words, so each text has some of its own
+    texts = [" ".join(word() if r.random() < 0.05 else r.choice(plain[: r.choice((20, 300))]) for _ in range(120)) for _ in range(300)]
+    junk = [" ".join(word() for _ in range(120)) for _ in range(6)]
+    rows = [(i, t, "en") for i, t in enumerate(texts + junk)]
+    df = spark.createDataFrame([*rows, rows[0], rows[1]], "doc_id long, text string, lang string").repartition(5)
+    got = [{(x.doc_id, x.log_left) for x in perplexity.signals(df, perplexity.train(df, *size), True).collect()} for size in ((19, 22), (8, 6), (0, 0))]
+    for other in got[1:]:
+        assert len(got[0]) == len(other) == 306 and all(abs(a[1] - b[1]) < 1e-4 for a, b in zip(sorted(got[0]), sorted(other)))
+    m = perplexity.train(df, 8, 6)
+    assert m.pairs.where("v != 0").count() == len({p for t in texts + junk for p in zip(t.split(), t.split()[1:])})
+    assert m.words.count() <= len({w for t in texts + junk for w in t.split()})
+    log = dict(got[1])
+    assert min(log[i] for i in range(300, 306)) > max(log[i] for i in range(300))
+    kept = {x.doc_id: x.kept for x in perplexity.rules(df).collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 306))
