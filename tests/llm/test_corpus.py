@@ -164,6 +164,16 @@ def test_licenses(spark, odd, empty):
     assert len(licenses.license_query(odd).collect()) == 12 and licenses.license_query(empty).count() == 0
 
 
+def test_frequent_license_is_found(spark):
+    """A statement that a third of the documents carry, so that all of its words are frequent, beside a rare one."""
+    said = "Licensed under the Apache License, Version 2.0."
+    rows = [(f"d{i}/a.py", f"some code {i}\n{said if i % 3 == 0 else 'Released under the MIT License.' if i == 1 else 'x'}\nmore of it") for i in range(600)]
+    rows += [("d0/sub/b.py", "nothing")]
+    got = {r.path: r for r in licenses.inherited(licenses.scanned(spark.createDataFrame(rows, "path string, text string")), share=0.2).collect()}
+    assert [got[f"d{i}/a.py"].own_license for i in range(600)] == ["Apache-2.0" if i % 3 == 0 else "MIT" if i == 1 else None for i in range(600)]
+    assert got["d0/sub/b.py"].license == "Apache-2.0"
+
+
 def test_sql_twin(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
