@@ -174,6 +174,23 @@ def test_frequent_license_is_found(spark):
     assert got["d0/sub/b.py"].license == "Apache-2.0"
 
 
+def test_license_texts_and_headers(spark):
+    """Headers with copyright notices, wrapped lines, whole license files with a few changes; prose names no license."""
+    texts = dict(licenses.TEXTS)
+    comment = lambda t, n, mark: "\n".join(f"{mark} {' '.join(t.split()[i : i + n])}" for i in range(0, len(t.split()), n))
+    header = dict(reversed(licenses.HEADERS))
+    want = {
+        "one": ("Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0.", "Apache-2.0"), "two": ("Copyright (c) 2021 Jane Doe. All rights reserved.", "All-Rights-Reserved"),
+        "three": ("x = 1\n# Copyright (c) 2021 Jane Doe\n# Licensed under the MIT License\ny = 2", "MIT"), "four": ("/*\n" + comment(header["Apache-2.0"], 7, " *") + "\n */\ncode " * 30, "Apache-2.0"),
+        "five": (comment("Copyright 2001 A. All rights reserved. " + header["GPL-3.0"], 9, "--") + "\nselect 1" * 30, "GPL-3.0"), "six": (comment(header["LGPL-2.1"], 8, "//"), "LGPL-2.1"),
+        "prose": ("the license to print was under all that a version of the rights of man reserved for the public " * 9, None),
+    } | {n: (f"Copyright (c) 1999 Some Body and others\nAll rights reserved.\n\n{t}\n\nOur own remark ends it.", n) for n, t in texts.items()}
+    rows = [(k, t) for k, (t, _) in want.items()] + [(f"f{i}", f"plain words {i} of some text about the weather") for i in range(50)]
+    got = {r.path: r for r in licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: got[k].own_license for k in want} == {k: n for k, (_, n) in want.items()}
+    assert all(got[n].share > 0.8 for n in texts) and all(got[f"f{i}"].own_license is None for i in range(50))
+
+
 def test_sql_twin(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
