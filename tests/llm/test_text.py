@@ -173,3 +173,13 @@ def test_every_word_and_pair_counts(spark):
     assert min(log[i] for i in range(300, 306)) > max(log[i] for i in range(300))
     kept = {x.doc_id: x.kept for x in perplexity.rules(df).collect()}
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 306))
+
+
+def test_model_grows_with_the_corpus(spark):
+    """Pairs and words in Spark grow in proportion; only what is sent to the tasks has a bound."""
+    rows = [(i, " ".join(f"a{i * 50 + k} b" for k in range(50)), "en") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small, large = (perplexity.train(x, 4, 4) for x in (df.where("doc_id < 40"), df))
+    assert [m.pairs.where("v != 0").count() for m in (small, large)] == [40 * 99, 80 * 99]
+    assert [m.words.count() for m in (small, large)] == [40 * 49 + 1, 80 * 49 + 1]
+    assert all(len(m.vocabulary) <= 16 and len(m.keys) <= 16 for m in (small, large))
