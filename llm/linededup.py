@@ -1,9 +1,10 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A hash rolls over the hashes of the last lines; where its lowest bits are 0, a chunk ends. A boundary depends on the lines
-before it alone, so a passage that is shifted or set into another document is cut alike again after its first lines. A
-line of LONG words or more is a chunk of its own. Of each chunk that has several lines (or LONG words) and occurs more
-than once in the corpus, the first occurrence by (doc_id, place) stays and all others go, after their bytes are compared.
+A chunk is two lines that follow each other (blank ones between them do not count), from every line on, or one line of LONG
+words or more. A passage that is shifted or set into another document has the same chunks there, whatever is around it, so
+all of its lines go: a match grows line by line as far as the texts agree. Of each chunk that occurs more than once in the
+corpus, the first occurrence by (doc_id, place) stays and the lines of all others go, after their bytes are compared; a
+chunk that shares a line with its first occurrence stays too.
 """
 
 from __future__ import annotations
@@ -20,19 +21,25 @@ from llm import words as W
 from llm.store import small_batches
 
 LONG = 50  # words
-MASK = np.uint64(1)  # every other line in the mean may end a chunk
-LEAST = 2  # lines of a chunk, unless it is at the end of its text or beside a long line
 CLASSES = 1 << 22  # of chunk hashes whose repeats are looked for: fixed, so that the broadcast is 512 KB
 
 
 @dataclass
-class Chunks:
+class Lines:
     row: np.ndarray
-    nth: np.ndarray  # of the row's chunks
     start: np.ndarray
     end: np.ndarray  # with the line end
-    lines: np.ndarray  # that have words
     words: np.ndarray
+    hash: np.ndarray
+    worded: np.ndarray  # places of the lines with words, which chunks are made of
+
+
+@dataclass
+class Chunks:
+    row: np.ndarray
+    nth: np.ndarray  # twice the number of the first line among the row's lines with words, and 1 for a long line
+    first: np.ndarray  # places of the first and last line
+    last: np.ndarray
     h1: np.ndarray
     h2: np.ndarray
 
@@ -45,52 +52,41 @@ def _folded(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return W.mix((total[last] - total[first]) * W.powers(W._INVERSE, len(x) + 1)[first])
 
 
-def chunks(part: W.Slice) -> Chunks:
+def lines(part: W.Slice) -> Lines:
     data, n = part.data, len(part.data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Chunks(none, none, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Lines(none, none, none, none, none.astype(np.uint64), none)
     newline = data == 10
     ends = np.unique(np.concatenate((np.flatnonzero(newline), part.offsets[1:][part.offsets[1:] > 0] - 1))) + 1
     start = np.concatenate(([0], ends[:-1]))
     row = np.searchsorted(part.offsets, start, side="right") - 1
-    body = ends - newline[ends - 1]
+    words = np.searchsorted(part.start, ends) - np.searchsorted(part.start, start)
     with np.errstate(over="ignore"):
-        line = _folded(W._LETTER[data], start, body)
-        words = np.searchsorted(part.start, ends) - np.searchsorted(part.start, start)
-        before = np.concatenate((np.zeros(1, np.uint64), line[:-1]))
-        before[np.concatenate(([True], row[1:] != row[:-1]))] = 0
-        rolled = W.mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + line)
-    long = words >= LONG
-    forced = long.copy()
-    forced[:-1] |= long[1:] | (row[1:] != row[:-1])
-    forced[-1] = True
-    maybe = np.flatnonzero(forced | ((rolled & MASK) == 0))
-    last = []
-    for i, must in zip((maybe + 1).tolist(), forced[maybe].tolist(), strict=True):
-        if must or i - (last[-1] if last else 0) >= LEAST:
-            last.append(i)
-    last = np.array(last)
-    first = np.concatenate(([0], last[:-1]))
-    with np.errstate(over="ignore"):
-        h1, h2 = _folded(line, first, last), _folded(W.mix(line ^ np.uint64(0x2545F4914F6CDD1D)), first, last)
-    total = np.concatenate(([0], np.cumsum(words)))
-    has = np.concatenate(([0], np.cumsum(words > 0)))
-    at = row[first]
-    begin = np.searchsorted(at, at)
-    return Chunks(at, np.arange(len(at)) - begin, start[first], ends[last - 1], has[last] - has[first], total[last] - total[first], h1, h2)
+        line = _folded(W._LETTER[data], start, ends - newline[ends - 1])
+    return Lines(row, start, ends, words, line, np.flatnonzero(words > 0))
 
 
-def _asked(c: Chunks) -> np.ndarray:
-    return (c.lines >= 2) | (c.words >= LONG)
+def chunks(x: Lines) -> Chunks:
+    w = x.worded
+    row = x.row[w]
+    number = np.arange(len(w)) - np.searchsorted(row, row)
+    pair, long = np.flatnonzero(row[1:] == row[:-1]), np.flatnonzero(x.words[w] >= LONG)
+    first, last = np.concatenate((w[pair], w[long])), np.concatenate((w[pair + 1], w[long]))
+    nth = np.concatenate((2 * number[pair], 2 * number[long] + 1))
+    with np.errstate(over="ignore"):
+        h1 = W.mix(x.hash[first] * np.uint64(0xC2B2AE3D27D4EB4F) + x.hash[last])
+        h2 = W.mix(W.mix(x.hash[first] ^ np.uint64(0x2545F4914F6CDD1D)) + x.hash[last])
+        one = first == last
+        h1[one], h2[one] = W.mix(h1[one]), W.mix(h2[one])  # a long line is no pair of equal lines
+    return Chunks(x.row[first], nth, first, last, h1, h2)
 
 
 def _count(batches):
     total = np.zeros(CLASSES, np.uint8)
     for batch in batches:
         for part in W.slices(batch.column("text")):
-            c = chunks(part)
-            at, n = np.unique((c.h1[_asked(c)] >> np.uint64(42)).astype(np.int64), return_counts=True)
+            at, n = np.unique((chunks(lines(part)).h1 >> np.uint64(42)).astype(np.int64), return_counts=True)
             total[at] = np.minimum(total[at] + np.minimum(n, 2), 2)
     for i, x in enumerate(np.split(total, 64)):
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(x >= 1).tobytes()], pa.binary()), pa.array([np.packbits(x >= 2).tobytes()], pa.binary())], ["i", "once", "twice"])
@@ -109,9 +105,11 @@ def _candidates(classes):
         twice = np.unpackbits(np.frombuffer(classes.value, np.uint8)).astype(bool)
         for batch in batches:
             for part in W.slices(batch.column("text")):
-                c = chunks(part)
-                ks = np.flatnonzero(_asked(c) & twice[(c.h1 >> np.uint64(42)).astype(np.int64)])
-                body = [part.data[c.start[k] : c.end[k]].tobytes().rstrip(b"\n") for k in ks.tolist()]
+                x = lines(part)
+                c = chunks(x)
+                ks = np.flatnonzero(twice[(c.h1 >> np.uint64(42)).astype(np.int64)])
+                text = lambda i: part.data[x.start[i] : x.end[i]].tobytes().rstrip(b"\n")  # noqa: B023, E731
+                body = [text(a) + b"\n" + text(b) if a < b else text(a) for a, b in zip(c.first[ks].tolist(), c.last[ks].tolist(), strict=True)]
                 taken = batch.select(["doc_id", "key"]).take(pa.array(part.first + c.row[ks]))
                 kinds = [pa.array(c.nth[ks]), pa.array(c.h1[ks].view(np.int64)), pa.array(c.h2[ks].view(np.int64)), pa.array(body, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*taken.columns, *kinds], ["doc_id", "key", "nth", "h1", "h2", "body"])
@@ -120,7 +118,7 @@ def _candidates(classes):
 
 
 def _rebuilt(batches):
-    """Texts without the chunks whose numbers are in ``gone``, a slice of rows at a time."""
+    """Texts without the lines of the chunks whose numbers are in ``gone``, a slice of rows at a time."""
     for batch in batches:
         for part in W.slices(batch.column("text")):
             rows = batch.slice(part.first, part.rows)
@@ -128,28 +126,29 @@ def _rebuilt(batches):
             newline = np.concatenate(([0], np.cumsum(part.data == 10)))
             a, b = part.offsets[:-1], part.offsets[1:]
             open_end = np.array([y > x and part.data[y - 1] != 10 for x, y in zip(a, b, strict=True)], np.int64)
-            lines, cut = newline[b] - newline[a] + open_end, np.zeros(part.rows, np.int64)
+            n_lines, cut = newline[b] - newline[a] + open_end, np.zeros(part.rows, np.int64)
             some = [i for i in range(part.rows) if gone[i]]
             if some:
-                c = chunks(part)
-                begin, end = np.searchsorted(c.row, np.arange(part.rows)), np.searchsorted(c.row, np.arange(part.rows), side="right")
+                x = lines(part)
+                begin, end = np.searchsorted(x.row, np.arange(part.rows)), np.searchsorted(x.row, np.arange(part.rows), side="right")
+                worded = np.searchsorted(x.worded, begin)
             for i in some:
                 drop = np.zeros(end[i] - begin[i], bool)
-                drop[[g for g in gone[i] if g < len(drop)]] = True
-                ks = range(begin[i], end[i])
-                kept = b"".join(part.data[c.start[k] : c.end[k]].tobytes() for k, d in zip(ks, drop, strict=True) if not d)
-                dropped = [part.data[c.start[k] : c.end[k]] for k, d in zip(ks, drop, strict=True) if d]
-                cut[i] = sum(int((x == 10).sum() + (x[-1] != 10)) for x in dropped)
+                for g in gone[i]:
+                    k = worded[i] + g // 2
+                    drop[x.worded[k] - begin[i] : x.worded[k + 1 - g % 2] - begin[i] + 1] = True
+                kept = b"".join(part.data[x.start[k] : x.end[k]].tobytes() for k in range(begin[i], end[i]) if not drop[k - begin[i]])
+                cut[i] = drop.sum()
                 if drop[-1] and kept.endswith(b"\n"):
                     kept = kept[:-1]
                 out[i] = kept.decode()
-            yield pa.RecordBatch.from_arrays([rows.column("whole"), pa.array(out, pa.string()), pa.array(lines.astype(np.int64)), pa.array(cut)], ["whole", "new_text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([rows.column("whole"), pa.array(out, pa.string()), pa.array(n_lines.astype(np.int64)), pa.array(cut)], ["whole", "new_text", "n_lines", "n_removed"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with the new text, and n_lines and n_removed (lines before, lines removed).
 
-    All rows stay; a document whose every chunk occurs before has an empty text. Null or empty text: stays as it is, no
+    All rows stay; a document whose every line occurs before, in chunks, has an empty text. Null or empty text: stays as it is, no
     lines. Null doc_id: after all others in the order of occurrences. Rows equal in doc_id and text are one document and
     keep the same lines. Own columns may have any names but n_lines and n_removed, which are replaced.
     """
@@ -166,6 +165,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # all bytes are equal if the least and the greatest are
     first = first.where("least = most AND first != last").select("h1", "h2", "first")
     again = found.select("doc_id", "key", "nth", "h1", "h2").join(first, ["h1", "h2"]).where(place != F.col("first"))
+    # pairs of equal lines in a row share one
+    shared = (F.col("nth") - F.col("first.nth") == 2) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    again = again.where(~shared)
     gone = again.groupBy("doc_id", "key").agg(F.collect_set("nth").alias("gone"))
     same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["key"] == gone["key"])
     joined = keyed.join(gone, same, "left").select("whole", keyed["text"].alias("text"), "gone")

@@ -39,6 +39,27 @@ def test_repeated_passages_go(spark):
             assert got[i].text == t
 
 
+def test_short_passages_go_whole(spark):
+    """Passages of 2 to 8 lines between other lines: every line of the second copy goes, single lines and equal lines stay."""
+    r = random.Random(5)
+    line = lambda n: " ".join(f"u{r.randrange(10**7)}" for _ in range(n))
+    rows, want, some = [], {}, line(8)
+    for k in range(2, 9):
+        for j in range(6):
+            passage = [line(9) for _ in range(k)]
+            if j == 0:
+                passage.insert(1, "")
+            for copy in (0, 1):
+                before, after = [line(7) for _ in range(r.randrange(3, 13))], [line(7), some, *(line(7) for _ in range(r.randrange(3, 13)))]
+                i = len(rows)
+                rows.append((i, "\n".join(before + passage + after)))
+                want[i] = "\n".join(before + after) if copy else rows[-1][1]
+    rows += [(1000, "x y\n" * 5 + "end"), (1001, "only\n\nx y\nz\nx y")]
+    want |= {1000: "x y\nx y\nend", 1001: rows[-1][1]}
+    got = {x.doc_id: x.text for x in linededup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
 def test_line_dedup_odd(odd, empty):
     got = linededup.without_repeats(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_removed"]
