@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import bpe, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
+from llm import bpe, conversations, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,6 +92,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_query(documents(spark, sf_dir))
 
 
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at least cost."""
+    return conversations.repair_query(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+SQL["op13_conversation_repair"] = conversations.SQL
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over all documents."""
