@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import bpe, conversations, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
+from llm import alignment, bpe, conversations, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,6 +92,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_query(documents(spark, sf_dir))
 
 
+@query("op11_interval_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte alignment of two public tokenizers over all documents."""
+    return alignment.align_query(documents(spark, sf_dir), spark)
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by rule and repaired at least cost."""
