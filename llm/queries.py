@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import alignment, bpe, conversations, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
+from llm import alignment, bpe, conversations, forest, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,6 +98,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_query(documents(spark, sf_dir), spark)
 
 
+@query("op12_lsh_forest")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies by 3-word shingle sets at a Jaccard similarity of 0.85, found by an LSH forest."""
+    return forest.near_copies(documents(spark, sf_dir), words=3, num=85, den=100)
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by rule and repaired at least cost."""
