@@ -9,6 +9,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tickloom.operators import anomaly, broker, quality
@@ -147,6 +148,7 @@ def test_forest_chain(spark):
     import tickloom.plans.q_scanners as qs
     from tickloom.operators import learn, portfolio
 
+    spark.range(3).observe(Observation(), F.count("id").alias("n")).collect()  # gives the session an observation manager
     t = learn.chronological(qs._features(spark, SF))
     p = learn.fit_predict(t.cache(), trees=10).cache()
     n = {r.symbol: r["count"] for r in t.groupBy("symbol").count().collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ts
 from ..functions.num import c, sdiv
+from ..session import work_folder
 from .risk import rolling_hurst
 from .strategies import went_up
 
@@ -38,10 +39,15 @@ def chronological(t: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def fit_predict(t: DataFrame, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Random forest fitted on the training rows of all symbols, predictions for the rest."""
+    """Random forest fitted on the training rows of all symbols, predictions for the rest.
+
+    Predictions come from the saved model: a fitted one carries its training summary, and with it the session, into tasks.
+    """
     v = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(t)
     m = RandomForestClassifier(labelCol="target", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(v.filter("is_train"))
-    p = m.transform(v.filter(~c.is_train))
+    at = work_folder(t.sparkSession)
+    m.save(at)
+    p = RandomForestClassificationModel.load(at).transform(v.filter(~c.is_train))
     return p.select("symbol", "date", "close", "target", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability"))
 
 
