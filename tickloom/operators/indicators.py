@@ -97,10 +97,10 @@ def _true_range(prev: Column) -> Column:
     return F.greatest(c.high - c.low, F.abs(c.high - prev), F.abs(c.low - prev))
 
 
-def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14, macd: tuple[int, int, int] = (12, 26, 9)) -> DataFrame:
+def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14, macd: tuple[int, int, int] = (12, 26, 9), internals: bool = False) -> DataFrame:
     """EMA, RSI, MACD, ATR, DI and ADX in three shared stages of block-decayed sums.
 
-    Stage 1 smooths prices, gains/losses, range and directional movement; stage 2
+    With ``internals`` the running sums and smoothed values behind them stay (names with a leading underscore). Stage 1 smooths prices, gains/losses, range and directional movement; stage 2
     the MACD signal and ADX, which read stage 1.
     """
     fast, slow, sig = macd
@@ -181,6 +181,8 @@ def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14,
             f"adx_{n}": recur.from_bar(F.col("_adx"), first_adx),
         }
     )
+    if internals:
+        return b
     keep = [k for k in b.columns if k in had or not (k.startswith("_") or k in ("bn", "n_bars"))]
     return b.select(*keep)
 
