@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions.num import c
+from ..session import work_folder, written
 from ..streaming import ticks as tk
 from .catalog import query
 from .sqltext import TICKS, with_
@@ -88,6 +91,19 @@ def k7(spark, d):
     return tk.merge_deltas(deltas(spark, d), ["ltp", "volume"]).select("topic", "seq", "ltp", "volume")
 
 
+@query("k7_delta_batches", with_(_DELTA, body="SELECT topic, seq, ltp, volume FROM ch WHERE ltp IS DISTINCT FROM pl OR volume IS DISTINCT FROM pv"))
+def k7_batches(spark, d):
+    """The same ticks as micro-batches of ten days, with the state of each topic between them."""
+    t = written(deltas(spark, d))
+    merger = tk.DeltaMerger(["ltp", "volume"], work_folder(spark))
+    first, last = t.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    day, n = first, 0
+    while day <= last:
+        merger(t.filter((F.to_date("ts") >= F.lit(day)) & (F.to_date("ts") < F.date_add(F.lit(day), 10))), n)
+        day, n = day + dt.timedelta(days=10), n + 1
+    return merger.rows(spark).select("topic", "seq", "ltp", "volume")
+
+
 @query("k8_repeat_filter", with_("t AS (SELECT event_type AS symbol, ts, event_id AS seq, floor(value / 50) AS price FROM events), u AS (SELECT *, lag(price) OVER (PARTITION BY symbol, date_trunc('second', ts) ORDER BY ts, seq) AS pp FROM t)", body="SELECT symbol, seq FROM u WHERE pp IS NULL OR pp <> price"))
 def k8(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.floor(c.value / 50).alias("price"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.num import c, truth
+from ..session import written
 from ..sources.bars import intraday_bars
 
 KEEP = -2147483648  # fixed value: "field unchanged" in raw 32-bit ticks
@@ -74,15 +76,19 @@ def valid(t: DataFrame, prices: tuple[str, ...]) -> DataFrame:
     return t.filter(named("symbol") & named("exchange") & some)
 
 
-def merge_deltas(t: DataFrame, fields: list[str], slice_of: str = "1 day") -> DataFrame:
+def merge_deltas(t: DataFrame, fields: list[str], segments: int | None = None) -> DataFrame:
     """Snapshot + delta ticks (topic, ts, seq, fields) to full rows; a row is kept when it changes any field.
 
-    NULL and the sentinel mean "unchanged".  A topic may hold most of all ticks, so it
-    is not one window partition: values are filled inside time slices of a topic, and
-    the last value of each slice (a map-side combined aggregate, one row per slice)
-    is carried over to the next slices and joined back.
+    NULL and the sentinel mean "unchanged". A topic may hold most of all ticks, in one second even, so neither a topic nor
+    a time slice of it is a window partition: ticks are range-cut by (topic, ts, seq) into segments of about equal size,
+    whatever their topics. Values are filled inside a segment; the last value of each field in each segment (a map-side
+    combined aggregate, one row per topic and segment) is scanned over a topic's segments and carried into the next ones.
     """
-    x = t.withColumns({f: F.when(F.col(f) != KEEP, F.col(f)) for f in fields}).withColumn("_s", F.window("ts", slice_of)["start"])
+    x = t.withColumns({f: F.when(F.col(f) != KEEP, F.col(f)) for f in fields})
+    cut = ["topic", "ts", "seq"]
+    placed = x.repartitionByRange(segments, *cut) if segments else x.repartitionByRange(*cut)
+    # written: both uses below have to see the same cut
+    x = written(placed.withColumn("_s", F.spark_partition_id()))
     order = F.struct("ts", "seq")
     ends = x.groupBy("topic", "_s").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f"_e_{f}") for f in fields])
     before = W.partitionBy("topic").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
@@ -100,6 +106,65 @@ def merge_deltas(t: DataFrame, fields: list[str], slice_of: str = "1 day") -> Da
     return j.filter(changed).select("topic", "ts", "seq", *[F.col(f"_f_{f}").alias(f) for f in fields])
 
 
+class DeltaMerger:
+    """``foreachBatch`` form of :func:`merge_deltas`: each micro-batch is merged as a whole, so a hot topic spreads over
+    tasks inside a batch too.
+
+    Between batches there is one state row per topic, its last values and when it was last seen. It goes before the
+    topic's rows of the next batch, whatever their times. Both the merged rows and the new state of batch n are written to
+    places that depend on n alone, so a batch that runs again after a failure leaves the same result. Two slots take turns
+    for the state. Topics not seen for ``ttl`` seconds before the newest tick are forgotten; their next tick starts anew.
+    """
+
+    def __init__(self, fields: list[str], at: str, ttl: float | None = None, segments: int | None = None) -> None:
+        self.fields, self.at, self.ttl, self.segments = fields, at, ttl, segments
+
+    def _slot(self, spark: SparkSession, slot: int) -> tuple[int, DataFrame] | None:
+        try:
+            rows = spark.read.parquet(f"{self.at}/state/{slot}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return rows.agg(F.max("batch")).first()[0] or 0, rows
+
+    def state(self, spark: SparkSession, before: int) -> DataFrame | None:
+        """(topic, seen, fields) after the last batch below ``before``."""
+        have = [x for x in (self._slot(spark, 0), self._slot(spark, 1)) if x is not None and x[0] < before]
+        return max(have, key=lambda x: x[0])[1].filter("topic IS NOT NULL OR seen IS NOT NULL") if have else None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("topic", "ts", "seq", *[F.col(f).cast("double").alias(f) for f in self.fields], F.lit(False).alias("_old"))
+        known = self.state(spark, batch_id)
+        first = F.lit("1901-01-01").cast("timestamp")  # before any tick
+        if known is not None:
+            rows = rows.unionByName(known.select("topic", first.alias("ts"), F.lit(-1).cast("long").alias("seq"), *self.fields, F.lit(True).alias("_old")))
+        rows = written(rows)
+        merged = merge_deltas(rows.drop("_old"), self.fields, self.segments).filter(F.col("ts") > first)
+        merged.write.mode("overwrite").parquet(f"{self.at}/rows/batch={batch_id}")
+        order = F.struct(~F.col("_old"), "ts", "seq")
+        said = lambda f: F.col(f).isNotNull() & (F.col(f) != KEEP)
+        last = rows.groupBy("topic").agg(
+            F.max(F.when(~F.col("_old"), F.col("ts"))).alias("now"), *[F.max_by(f, F.when(said(f), order)).alias(f) for f in self.fields]
+        )
+        if known is not None:
+            last = last.join(known.select("topic", "seen"), "topic", "left").withColumn("seen", F.greatest("now", "seen"))
+        else:
+            last = last.withColumn("seen", F.col("now"))
+        new = last.select("topic", "seen", *self.fields, F.lit(batch_id).cast("long").alias("batch"))
+        if self.ttl is not None:
+            limit = new.agg(F.max("seen")).first()[0]
+            if limit is not None:
+                new = new.filter(F.col("seen") >= F.lit(limit) - F.expr(f"INTERVAL {self.ttl} SECONDS"))
+        new.write.mode("overwrite").parquet(f"{self.at}/state/{batch_id % 2}")
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """All merged rows so far."""
+        schema = "topic string, ts timestamp, seq long, " + ", ".join(f"{f} double" for f in self.fields)
+        return spark.read.schema(schema).parquet(f"{self.at}/rows/*")
+
+
 def merge_deltas_stream(t: DataFrame, fields: list[str]) -> DataFrame:
     """Streaming form of :func:`merge_deltas`: the state of a topic is its last value of each field."""
     schema = "topic string, ts timestamp, seq long, " + ", ".join(f"{f} double" for f in fields)
