@@ -1,9 +1,10 @@
-"""Cointegrated pairs of a symbol universe by blocked all-pairs tests.
+"""Cointegrated pairs of a symbol universe by blocks of pairs.
 
-Every pair has to be tested (no bound on the statistic follows from the prices), so
-the work is quadratic by definition.  Spark splits it: symbols hash into blocks, each
-symbol travels once per block, and a task gets one pair of blocks, i.e. a bounded
-number of price arrays.  Only pairs that pass are emitted.
+Every pair has to be tested (no bound on the statistic follows from the prices), so the work is quadratic by definition.
+Spark splits it: symbols hash into blocks, each symbol travels once per block, and a task gets one pair of blocks, i.e. a
+bounded number of price rows. Inside, all pairs of the two blocks are tested at once: their common days are a product of
+presence masks, their last ``lookback`` common bars two matrices, and every regression of the test one stacked QR. Only
+pairs that pass are emitted.
 """
 
 from __future__ import annotations
@@ -20,64 +21,106 @@ from .consensus import signal
 
 # fixed values: MacKinnon response surface for two variables with a constant
 _SMALL, _LARGE, _STAR, _MIN, _MAX = (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377), -2.62, -18.86, 0.92
+_CELLS = 1 << 22  # numbers of one stacked design: more pairs than fit are tested in parts
+_ERFC = np.frompyfunc(math.erfc, 1, 1)
 
 
-def p_value(t: float) -> float:
-    """Approximate p-value of an Engle-Granger statistic (two variables)."""
-    if t > _MAX:
-        return 1.0
-    if t < _MIN:
-        return 0.0
-    coef = _SMALL if t <= _STAR else _LARGE
-    z = sum(k * t**i for i, k in enumerate(coef))
-    return 0.5 * math.erfc(-z / math.sqrt(2.0))
+def p_values(t: np.ndarray) -> np.ndarray:
+    """Approximate p-values of Engle-Granger statistics (two variables)."""
+    inside = np.clip(t, _MIN, _MAX)
+    z = np.where(inside <= _STAR, np.polyval(_SMALL[::-1], inside), np.polyval(_LARGE[::-1], inside))
+    p = 0.5 * _ERFC(-z / math.sqrt(2.0)).astype(float)
+    return np.where(t > _MAX, 1.0, np.where(t < _MIN, 0.0, p))
 
 
-def _adf_t(x: np.ndarray) -> float:
-    """ADF t statistic without constant; lag order by AIC on a common sample."""
-    n = len(x)
+def _design(x: np.ndarray, lags: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each series: its lagged differences and, last, its level; and the differences they explain."""
+    dx = np.diff(x, axis=1)
+    rows = np.arange(start, dx.shape[1])
+    cols = [dx[:, rows - k] for k in range(1, lags + 1)] + [x[:, rows]]
+    return np.stack(cols, axis=2), dx[:, rows]
+
+
+def adf_t(x: np.ndarray) -> np.ndarray:
+    """ADF t statistic without constant of each row of x; lag order by AIC on a common sample."""
+    n = x.shape[1]
     top = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 1)
-    dx = np.diff(x)
-
-    def design(lags: int, start: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(start, len(dx))
-        cols = [x[rows]] + [dx[rows - k] for k in range(1, lags + 1)]
-        return np.column_stack(cols), dx[rows]
-
-    full, y = design(top, top)
-    best, best_aic = 0, np.inf
-    for k in range(top + 1):
-        a = full[:, : k + 1]
-        res = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
-        m = len(y)
-        aic = m * (math.log(2 * math.pi) + math.log(res @ res / m) + 1) + 2 * (k + 1)
-        if aic < best_aic:
-            best, best_aic = k, aic
-    a, y = design(best, best)
-    coef = np.linalg.lstsq(a, y, rcond=None)[0]
-    res = y - a @ coef
-    s2 = res @ res / (len(y) - a.shape[1])
-    return float(coef[0] / math.sqrt(s2 * np.linalg.inv(a.T @ a)[0, 0]))
-
-
-def engle_granger(a: np.ndarray, b: np.ndarray) -> float:
-    """p-value of no cointegration between two aligned series."""
-    x = np.column_stack([b, np.ones(len(b))])
-    res = a - x @ np.linalg.lstsq(x, a, rcond=None)[0]
-    if np.allclose(res, 0.0):
-        return 0.0
-    return p_value(_adf_t(res))
-
-
-_OUT = "symbol_a string, symbol_b string, p_value double, z_score double"
-
-
-def cointegrated_pairs(bars: DataFrame, max_p: float = 0.05, z_entry: float = 2.0, lookback: int = 252, z_window: int = 60, per_block: int = 8) -> DataFrame:
-    """Pairs with at least ``lookback`` common bars whose p-value is at most ``max_p``, with the spread z-score.
-
-    One number is fetched first: how many symbols there are, to size the blocks (about ``per_block`` symbols each, so a
-    task tests about 64 pairs).
-    """
+    design, y = _design(x, top, top)
+    # columns level, lag 1, lag 2, ...: a QR of the largest model holds those of all smaller ones
+    q, _ = np.linalg.qr(np.concatenate([design[:, :, -1:], design[:, :, :-1]], axis=2))
+    share = np.einsum("pmk,pm->pk", q, y) ** 2
+    rss = np.maximum((y**2).sum(axis=1)[:, None] - np.cumsum(share, axis=1), 1e-300)
+    m = y.shape[1]
+    aic = m * np.log(rss / m) + 2 * np.arange(1, top + 2)
+    best = aic.argmin(axis=1)
+    out = np.empty(len(x))
+    for lags in np.unique(best):  # one stack for each lag order, at most ``top + 1``
+        some = best == lags
+        design, y = _design(x[some], int(lags), int(lags))
+        q, r = np.linalg.qr(design)
+        b = np.einsum("pmk,pm->pk", q, y)
+        rest = np.maximum((y**2).sum(axis=1) - (b**2).sum(axis=1), 1e-300)
+        s = np.sqrt(rest / (y.shape[1] - design.shape[2]))
+        out[some] = np.sign(r[:, -1, -1]) * b[:, -1] / s  # the level's coefficient over its standard error
+    return out
+
+
+def regressed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope, intercept and residuals of a on b, row by row."""
+    ma, mb = a.mean(axis=1, keepdims=True), b.mean(axis=1, keepdims=True)
+    da, db = a - ma, b - mb
+    sxx = (db**2).sum(axis=1)
+    slope = np.where(sxx > 0, (da * db).sum(axis=1) / np.where(sxx > 0, sxx, 1), 0.0)
+    return slope, (ma - slope[:, None] * mb)[:, 0], da - slope[:, None] * db
+
+
+def engle_granger(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """p-values of no cointegration between the rows of two matrices of aligned prices."""
+    _, _, res = regressed(a, b)
+    flat = np.abs(res).max(axis=1) <= 1e-8 * np.maximum(1.0, np.abs(a).max(axis=1))
+    out = np.zeros(len(a))
+    step = max(1, _CELLS // (a.shape[1] * 16))
+    left = np.flatnonzero(~flat)
+    for i in range(0, len(left), step):
+        out[left[i : i + step]] = p_values(adf_t(res[left[i : i + step]]))
+    return out
+
+
+class _Block:
+    """Prices of some symbols on a grid of days."""
+
+    def __init__(self, symbols: list[str], days: list[np.ndarray], values: list[np.ndarray], block: list[int]) -> None:
+        order = np.argsort(np.array(symbols, object))
+        self.symbols = [symbols[i] for i in order]
+        self.block = np.array(block)[order]
+        grid = np.unique(np.concatenate(days))
+        self.price = np.zeros((len(symbols), len(grid)))
+        self.there = np.zeros((len(symbols), len(grid)), bool)
+        for row, i in enumerate(order):
+            at = np.searchsorted(grid, days[i])
+            self.price[row, at], self.there[row, at] = values[i], True
+
+    def pairs(self, diagonal: bool, lookback: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j), i before j, with enough common days; off the diagonal only pairs across the two blocks."""
+        common = self.there.astype(np.float32) @ self.there.T.astype(np.float32)
+        ok = np.triu(common >= lookback, 1)
+        if not diagonal:
+            ok &= self.block[:, None] != self.block[None, :]
+        return np.nonzero(ok)
+
+    def windows(self, i: np.ndarray, j: np.ndarray, lookback: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prices of the last ``lookback`` common days of each pair."""
+        both = self.there[i] & self.there[j]
+        after = np.cumsum(both[:, ::-1], axis=1)[:, ::-1]
+        both &= after <= lookback
+        return self.price[i][both].reshape(len(i), lookback), self.price[j][both].reshape(len(i), lookback)
+
+
+_OUT = "symbol_a string, symbol_b string, p_value double, slope double, intercept double, residual_sd double, z_score double"
+
+
+def _blocks(bars: DataFrame, lookback: int, per_block: int) -> DataFrame:
+    """(b1, b2, symbol, days, prices): each symbol once for every pair of blocks it is in."""
     packed = (
         bars.filter("close is not null").groupBy("symbol")
         .agg(F.array_sort(F.collect_list(F.struct(F.datediff("date", F.lit("1970-01-01").cast("date")).alias("d"), "close"))).alias("s"))
@@ -87,31 +130,49 @@ def cointegrated_pairs(bars: DataFrame, max_p: float = 0.05, z_entry: float = 2.
     blk = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
     t = packed.select("symbol", F.col("s.d").alias("d"), F.col("s.close").alias("v"), blk.alias("b"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    t = t.select("*", other.alias("o")).select("symbol", "d", "v", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
+    return t.select("*", other.alias("o")).select("symbol", "d", "v", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
+
+
+def tested_pairs(bars: DataFrame, max_p: float | None = 0.05, lookback: int = 252, z_window: int = 60, per_block: int = 64, min_z: float = 0.0) -> DataFrame:
+    """Pairs with at least ``lookback`` common bars: regression of the earlier symbol on the later one over their last
+    ``lookback`` common bars, p-value of no cointegration, z-score of the price difference over the last ``z_window``.
+
+    Pairs with a p-value above ``max_p`` or a z-score below ``min_z`` are left out where they are tested; without ``max_p``
+    no test is run and p_value is NULL. One number is fetched first: how many symbols there are, to size the blocks.
+    """
 
     def test_block(key, pdf):
-        b1, b2 = key
-        rows = [(s, np.asarray(d), np.asarray(v), b) for s, d, v, b in zip(pdf.symbol, pdf.d, pdf.v, pdf.b)]
+        names = _OUT.replace(" string", "").replace(" double", "").split(", ")
+        if pdf.empty:
+            return pd.DataFrame([], columns=names)
+        blk = _Block(pdf.symbol.tolist(), [np.asarray(d) for d in pdf.d], [np.asarray(v) for v in pdf.v], pdf.b.tolist())
+        i, j = blk.pairs(key[0] == key[1], lookback)
         out = []
-        for i, (sa, da, va, ba) in enumerate(rows):
-            for sb, db, vb, bb in rows[i + 1 :]:
-                if b1 != b2 and ba == bb:
-                    continue  # that pair belongs to the diagonal block
-                common, ia, ib = np.intersect1d(da, db, assume_unique=True, return_indices=True)
-                if len(common) < lookback:
-                    continue
-                x, y = va[ia][-lookback:], vb[ib][-lookback:]
-                if sa > sb:
-                    x, y = y, x
-                p = engle_granger(x, y)
-                if p <= max_p:
-                    spread = (x - y)[-z_window:]
-                    sd = spread.std(ddof=1)
-                    out.append((min(sa, sb), max(sa, sb), p, (spread[-1] - spread.mean()) / sd if sd > 0 else None))
-        return pd.DataFrame(out, columns=["symbol_a", "symbol_b", "p_value", "z_score"])
-
-    r = t.groupBy("b1", "b2").applyInPandas(test_block, _OUT)
+        step = max(1, _CELLS // max(lookback, blk.price.shape[1]))
+        for k in range(0, len(i), step):
+            x, y = blk.windows(i[k : k + step], j[k : k + step], lookback)
+            spread = (x - y)[:, -z_window:]
+            sd = spread.std(axis=1, ddof=1) if spread.shape[1] > 1 else np.zeros(len(x))
+            z = np.where(sd > 0, (spread[:, -1] - spread.mean(axis=1)) / np.where(sd > 0, sd, 1), np.nan)
+            keep = np.flatnonzero(np.nan_to_num(np.abs(z)) >= min_z)
+            p = np.full(len(x), np.nan)
+            if max_p is not None:
+                p[keep] = engle_granger(x[keep], y[keep])
+                keep = keep[p[keep] <= max_p]
+            slope, intercept, res = regressed(x[keep], y[keep])
+            rsd = np.sqrt((res**2).sum(axis=1) / max(1, lookback - 2))
+            out += [(blk.symbols[i[k + r]], blk.symbols[j[k + r]], p[r], s, c0, e, z[r]) for r, s, c0, e in zip(keep, slope, intercept, rsd, strict=True)]
+        return pd.DataFrame(out, columns=names)
+
+    r = _blocks(bars, lookback, per_block).groupBy("b1", "b2").applyInPandas(test_block, _OUT)
+    null = lambda x: F.when(~F.isnan(x), F.col(x))
+    return r.withColumns({"p_value": null("p_value"), "z_score": null("z_score")})
+
+
+def cointegrated_pairs(bars: DataFrame, max_p: float = 0.05, z_entry: float = 2.0, lookback: int = 252, z_window: int = 60, per_block: int = 64) -> DataFrame:
+    """Pairs with at least ``lookback`` common bars whose p-value is at most ``max_p``, with the spread z-score."""
     z = c.z_score
+    r = tested_pairs(bars, max_p, lookback, z_window, per_block).select("symbol_a", "symbol_b", "p_value", "z_score")
     return r.withColumn("trade", F.when(z > z_entry, "SELL A / BUY B").when(z < -z_entry, "BUY A / SELL B").otherwise("Neutral"))
 
 

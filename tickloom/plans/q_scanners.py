@@ -108,20 +108,36 @@ def x11(spark, d):
     return t.select("symbol", rnd("rs_rating").alias("rs_rating"), "conviction")
 
 
+LOOKBACK = 100  # common bars of a pair: two suppliers trade on 113 common days in the mean
+
+
 @query("x12_cointegrated_pairs")
 def x12(spark, d):
-    """Nation series (25 symbols at any scale), every pair of them."""
-    return rounded(cointegration.cointegrated_pairs(nation_bars(spark, d), max_p=0.05))
+    """Every pair of suppliers with LOOKBACK common bars."""
+    return rounded(cointegration.cointegrated_pairs(supplier_bars(spark, d), max_p=0.05, lookback=LOOKBACK))
 
 
 @query("x12_pair_signals")
 def x12_signals(spark, d):
-    """Two opposite signals for each actionable pair, without the map column."""
-    pairs = cointegration.cointegrated_pairs(nation_bars(spark, d), max_p=0.05, z_entry=1.0)
-    t = cointegration.pair_signals(pairs, F.lit(None).cast("date"), z_entry=1.0)
+    """Two opposite signals for each actionable pair of suppliers, without the map column."""
+    pairs = cointegration.cointegrated_pairs(supplier_bars(spark, d), max_p=0.05, z_entry=2.0, lookback=LOOKBACK)
+    t = cointegration.pair_signals(pairs, F.lit(None).cast("date"), z_entry=2.0)
     return rounded(con.flatten_meta(t, ["pair_id", "pair_symbol", "trade"]))
 
 
+_PAIRS = f"""cp AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, a.close AS x, b.close AS y, row_number() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.date DESC) AS fe, count(*) OVER (PARTITION BY a.symbol, b.symbol) AS n
+  FROM bars a JOIN bars b ON a.date = b.date AND a.symbol < b.symbol),
+cs AS (SELECT symbol_a, symbol_b, regr_slope(x, y) AS slope, regr_intercept(x, y) AS intercept, sqrt((regr_syy(x, y) - regr_slope(x, y) * regr_sxy(x, y)) / {LOOKBACK - 2}) AS residual_sd,
+  (arg_max(x - y, -fe) - avg(x - y) FILTER (fe <= 60)) / nullif(stddev_samp(x - y) FILTER (fe <= 60), 0) AS z_score FROM cp WHERE n >= {LOOKBACK} AND fe <= {LOOKBACK} GROUP BY symbol_a, symbol_b)"""
+
+
+@query("x12_pair_spreads", with_(BARS["s"], _PAIRS, body="SELECT symbol_a, symbol_b, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(residual_sd, 4) AS residual_sd, round(z_score, 4) AS z_score FROM cs WHERE abs(z_score) >= 2"))
+def x12_spreads(spark, d):
+    """Regression and spread of every pair of suppliers that is two deviations apart, whatever its test says."""
+    t = cointegration.tested_pairs(supplier_bars(spark, d), max_p=None, lookback=LOOKBACK, min_z=2.0)
+    return rounded(t.select("symbol_a", "symbol_b", "slope", "intercept", "residual_sd", "z_score"))
+
+
 _ROT = f"""bench AS (SELECT date, avg(close) AS bench FROM bars GROUP BY date), ro0 AS (SELECT symbol, date, close / bench AS rs FROM bars JOIN bench USING (date)), ro1 AS (SELECT symbol, date, rs / {full('avg', 'rs', 40)} * 100 AS ratio FROM ro0),
 ro2 AS (SELECT *, (ratio / lag(ratio, 10) {W} - 1) * 100 AS mom, lead(date) {W} IS NULL AS is_last FROM ro1)"""
 
