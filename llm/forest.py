@@ -325,55 +325,76 @@ def _join(groups: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _probed(num: int, den: int):
-    """The probes of its group that each row is linked to."""
+    """Which probes of its group each row is linked to, as links and as bits; a probe is linked to itself."""
 
     def run(batches):
         group, probes = None, None
         for batch in batches:
-            a, b = [], []
+            masks, linked = [], []
             for g, node, s, p in zip(*(batch.column(c).to_pylist() for c in ("grp", "node", "s", "probes")), strict=True):
                 if g != group:
                     group, probes = g, [(x["node"], np.frombuffer(x["s"], np.uint64)) for x in p]
                 x = np.frombuffer(s, np.uint64)
-                for other, y in probes:
-                    if other != node and min(len(x), len(y)) * den >= max(len(x), len(y)) * num:
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if (num + den) * both >= num * (len(x) + len(y)):
-                            a.append(node)
-                            b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                near = []
+                for k, (other, y) in enumerate(probes):
+                    if other == node or min(len(x), len(y)) * den >= max(len(x), len(y)) * num:
+                        both = len(x) if other == node else len(np.intersect1d(x, y, assume_unique=True))
+                        if other == node or (num + den) * both >= num * (len(x) + len(y)):
+                            near.append(k)
+                masks.append(sum(1 << k for k in near))
+                linked.append([probes[k][0] for k in near if probes[k][0] != node])
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("node"), batch.column("open"), pa.array(masks, pa.int64()), pa.array(linked, pa.list_(pa.int64()))], ["grp", "node", "open", "mask", "linked"])
 
     return run
 
 
+def _main_part(reach: list[int], rows: list[int]) -> int:
+    """Bits of the part of a group that is settled: of bits that rows tie together, those with the settled ones (the last
+    bit), or else with the probe that most rows are linked to."""
+    seed = len(reach) - 1 if rows[-1] else int(np.argmax(rows))
+    main, before = 1 << seed, 0
+    while main != before:
+        before = main
+        for k, bits in enumerate(reach):
+            if main >> k & 1:
+                main |= bits
+    return main
+
+
+def _mains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        mains = [_main_part([x or 0 for x in reach], rows) for reach, rows in zip(batch.column("reach").to_pylist(), batch.column("rows").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(mains, pa.int64())], ["grp", "main"])
+
+
 def _large(sets: DataFrame, num: int, den: int) -> list[DataFrame]:
     """Links of groups (grp, node, s) too large for one matrix.
 
-    Rounds of probes join most of a near-copy group. Then only rows outside the group's largest part are open: they are
-    compared with all of it, in pairs of blocks."""
+    Rounds of probes join most of a near-copy group: what rows tie together among its probes is settled. Then only the
+    other rows are open: they are compared with all of the group, in pairs of blocks."""
     size = sets.groupBy("grp").agg(F.count("*").alias("m"), F.sum(F.length("s") / 8).alias("shingles"))
     size = written(size.select("grp", F.ceil(F.greatest(F.col("m") / GROUP, F.col("shingles") / SHINGLES)).cast("long").alias("salts")))
     sets = written(sets.join(size, "grp").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))))
     out: list[DataFrame] = []
-    state = written(sets.select("grp", "node", F.lit(True).alias("open")))
+    state, some = None, sets.select("grp", "salt", "node", "s", F.lit(True).alias("open"))
     for turn in range(ROUNDS):
-        open_ = sets.join(state.where("open").select("grp", "node"), ["grp", "node"])
         lot = F.xxhash64("node", F.lit(turn))
-        chosen = open_.groupBy("grp", "salt", F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.lit(PROBES)).alias("k")).agg(F.min_by(F.struct("node", "s"), lot).alias("x"))
+        chosen = some.where("open").groupBy("grp", "salt", F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.lit(PROBES)).alias("k")).agg(F.min_by(F.struct("node", "s"), lot).alias("x"))
         rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64(F.col("x.node"), F.lit(turn))))
         probes = chosen.select("grp", "x").withColumn("r", rank).where(F.col("r") <= PROBES).groupBy("grp").agg(F.collect_list("x").alias("probes"))
         spread = probes.join(size, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-        stars = written(sets.join(spread, ["grp", "salt"]).select("grp", "node", "s", "probes").mapInArrow(_probed(num, den), "a long, b long"))
-        out.append(stars)
-        every = out[0]
-        for x in out[1:]:
-            every = every.union(x)
-        label = components(every)
-        now = sets.select("grp", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        most = now.groupBy("grp", "root").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-        state = written(now.join(most, "grp").select("grp", "node", (F.col("root") != F.col("main")).alias("open")))
+        seen = written(some.join(spread, ["grp", "salt"]).select("grp", "node", "open", "s", "probes").mapInArrow(_probed(num, den), "grp long, node long, open boolean, mask long, linked array<long>"))
+        out.append(seen.select(F.col("node").alias("a"), F.explode("linked").alias("b")))
+        bits = F.col("mask") + F.when(F.col("open"), 0).otherwise(1 << PROBES)
+        has = [bits.bitwiseAND(F.lit(1 << k)) != 0 for k in range(PROBES + 1)]
+        reach = seen.groupBy("grp").agg(F.array(*[F.bit_or(F.when(h, bits)) for h in has]).alias("reach"), F.array(*[F.count_if(h) for h in has]).alias("rows"))
+        mains = reach.mapInArrow(_mains, "grp long, main long")
+        now = seen.join(mains, "grp").select("grp", "node", (bits.bitwiseAND(F.col("main")) == 0).alias("open"))
+        # a group without open rows has had no probes in this round and is not in ``seen``
+        state = written(now if state is None else now.union(state.join(mains.select("grp"), "grp", "left_anti")))
         if not state.where("open").limit(1).count():
             return out
+        some = sets.join(state, ["grp", "node"])
     count = state.groupBy("grp").agg(F.count_if("open").alias("o"))
     parts = written(size.join(count, "grp").where("o > 0").select("grp", F.greatest(F.lit(1), F.least(F.col("salts"), F.ceil(F.col("o") * 2 / GROUP))).cast("long").alias("bo"), F.greatest(F.lit(1), F.col("salts") * 2).cast("long").alias("bm")))
     rows = sets.join(state, ["grp", "node"]).join(parts, "grp")
