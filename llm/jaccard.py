@@ -380,9 +380,9 @@ def _distances(num: int, den: int):
                 home = int(d.argmin()) if d.min() <= FAR else -1
                 far = min(d.min() + 2 * r, FAR + r) + 1e-9
                 regions = np.flatnonzero(d <= far).tolist() + ([-1] if home < 0 else [])
-                out.append((g, rid, sum(1 << int(k) for k in np.flatnonzero(near)), [ids[k] for k in np.flatnonzero(near) if ids[k] != rid], regions, float(d[0])))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["grp", "rid", "mask", "linked", "regions", "d"])
+                out.append((g, rid, sum(1 << int(k) for k in np.flatnonzero(near)), [ids[k] for k in np.flatnonzero(near) if ids[k] != rid], home, regions, float(d[0])))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["grp", "rid", "mask", "linked", "home", "regions", "d"])
 
     return run
 
@@ -411,10 +411,13 @@ def _cut(members: DataFrame, num: int, den: int, depth: int) -> list[DataFrame]:
     order = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("central"), "rid"))
     chosen = members.select("grp", "rid", "central").withColumn("k", order).where(F.col("k") <= PIVOTS)
     pivots = chosen.join(members.select("grp", "rid", "s"), ["grp", "rid"]).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("k", "rid", "s"))).alias("pivots"))
-    seen = written(members.select("grp", "rid", "s").join(pivots, "grp").mapInArrow(_distances(num, den), "grp long, rid long, mask long, linked array<long>, regions array<long>, d double"))
+    seen = written(members.select("grp", "rid", "s").join(pivots, "grp").mapInArrow(_distances(num, den), "grp long, rid long, mask long, linked array<long>, home long, regions array<long>, d double"))
     out = [seen.select(F.col("rid").alias("a"), F.explode("linked").alias("b"))]
     settled = seen.groupBy("grp", "mask").agg(F.count("*").alias("n")).groupBy("grp").applyInPandas(_settled, "grp long, mask long, settled boolean")
-    seen = seen.join(settled, ["grp", "mask"]).select("grp", "rid", "settled", "d", F.explode("regions").alias("region"))
+    # two settled rows need not meet; a settled and an open one meet in the settled row's own region, since windows are
+    # wide enough on either side: only open rows are replicated
+    where = F.when(F.col("settled"), F.array("home")).otherwise(F.col("regions"))
+    seen = written(seen.join(settled, ["grp", "mask"]).select("grp", "rid", "settled", "d", F.explode(where).alias("region")))
     cells = seen.groupBy("grp", "region").agg(F.count("*").alias("n"), F.max(~F.col("settled")).alias("open")).where("open").join(size, "grp")
     stuck = (F.col("n") > 0.7 * F.col("size")) if depth < DEPTH else F.lit(True)
     cells = written(cells.withColumn("kind", F.when(F.col("n") <= REGION, 0).when(~stuck, 1).otherwise(2)))
