@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ts
+from ..functions import recur, ts
 from ..functions.num import c, sdiv
 from ..session import work_folder
 from .risk import rolling_hurst
@@ -20,19 +20,32 @@ FEATURES = ["return_1d", "return_5d", "return_10d", "rsi_14", "macd_hist", "vol_
 def feature_table(panel: DataFrame) -> DataFrame:
     """Features and next-day target of every bar of every symbol, complete rows only.
 
-    Without an ``rsi_14`` column the simple-mean form gain / (loss + 1e-9) is used.
+    Without an ``rsi_14`` column the simple-mean form gain / (loss + 1e-9) is used; without ``macd_hist`` the difference of
+    exponential means that start at the first bar.
     """
     b = panel.withColumns({f"return_{n}d": ts.pct_change(c.close, n) for n in (1, 5, 10)}).withColumn("_lr", ts.log_return(c.close))
     if "rsi_14" not in panel.columns:
         d = ts.diff(c.close)
         b = b.withColumns({"_g": F.greatest(d, F.lit(0.0)), "_l": F.greatest(-d, F.lit(0.0))})
         b = b.withColumn("rsi_14", 100 - 100 / (1 + ts.mean(F.col("_g"), 14) / (ts.mean(F.col("_l"), 14) + 1e-9)))
+    if "macd_hist" not in panel.columns:
+        b = _macd_from_first_bar(b)
     if "deliv_pct" not in panel.columns:
         b = b.withColumn("deliv_pct", F.lit(0.0))
     b = rolling_hurst(b.withColumns({"vol_20d": ts.std(F.col("_lr"), 20), "target": went_up()}))
     return b.select("symbol", "date", "close", *FEATURES, "target").na.drop()
 
 
+def _macd_from_first_bar(b: DataFrame, fast: int = 12, slow: int = 26, sig: int = 9) -> DataFrame:
+    """MACD histogram of exponential means whose first value is the first close (no seeding window)."""
+    had = b.columns
+    spec = lambda x, n: (recur.seeded(x, 0, 2.0 / (n + 1), x), 1 - 2.0 / (n + 1))
+    b = recur.decay_sums(recur.with_blocks(b), {"_ef": spec(c.close, fast), "_es": spec(c.close, slow)})
+    b = b.withColumn("_mac", F.col("_ef") - F.col("_es"))
+    b = recur.decay_sums(b, {"_sg": spec(F.col("_mac"), sig)})
+    return b.withColumn("macd_hist", F.col("_mac") - F.col("_sg")).select(*had, "macd_hist")
+
+
 def chronological(t: DataFrame, share: float = 0.8) -> DataFrame:
     """Mark the first ``share`` of each symbol's rows as training rows."""
     return ts.position(t).withColumn("is_train", c.bn < F.floor(c.n_bars * share)).drop("bn", "n_bars")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.num import bands, c, flag, money, sdiv, truth
+from ..session import written
 from .consensus import BUY_LABELS, VOTERS
 from .strategies import BAR_WISE
 
@@ -14,13 +15,25 @@ BULL, BULL_SL, CAR_BUY = "In Bull Run", "In Bull Run (SL)", "Buy/Average Out"
 GTT = ["Start GTT", "Start GTT (Basic)"]
 
 
+def in_final() -> Column:
+    return (c.trend_status == BULL) & (c.car_rating == CAR_BUY)
+
+
+def in_swing() -> Column:
+    return c.bottom_out_status.isin(GTT)
+
+
+def in_bull_sl() -> Column:
+    return (c.trend_status_sl == BULL_SL) & (c.car_rating == CAR_BUY)
+
+
 def final_list(t: DataFrame) -> DataFrame:
     """Bull run and CAR buy, largest traded value first."""
-    return t.filter((c.trend_status == BULL) & (c.car_rating == CAR_BUY)).orderBy(F.desc("traded_value"))
+    return t.filter(in_final()).orderBy(F.desc("traded_value"))
 
 
 def swing_list(t: DataFrame) -> DataFrame:
-    return t.filter(c.bottom_out_status.isin(GTT)).orderBy(F.desc("traded_value"))
+    return t.filter(in_swing()).orderBy(F.desc("traded_value"))
 
 
 def super_list(t: DataFrame) -> DataFrame:
@@ -28,7 +41,7 @@ def super_list(t: DataFrame) -> DataFrame:
 
 
 def bull_sl_list(t: DataFrame) -> DataFrame:
-    return t.filter((c.trend_status_sl == BULL_SL) & (c.car_rating == CAR_BUY)).orderBy("close")
+    return t.filter(in_bull_sl()).orderBy("close")
 
 
 def swing_target(t: DataFrame) -> DataFrame:
@@ -43,15 +56,15 @@ GROUP_VALUES = ("traded_value", "close", "change_pct", "z_score", "vol_spike", "
 
 
 def strategy_rows(t: DataFrame) -> DataFrame:
-    """One row per (row, strategy) whose action is not idle, with its target and stop."""
+    """One row per (row, strategy) whose action is not idle, with its target, stop and, where it has one, difference."""
     cols = set(t.columns)
     pick = lambda v, what: F.col(f"{v}_{what}") if f"{v}_{what}" in cols else F.lit(None).cast("double")
     entry = lambda i, v: F.struct(
-        F.lit(i).alias("ord"), F.lit(v).alias("strategy"), F.col(f"{v}_action").alias("action"), pick(v, "target").alias("target"), pick(v, "sl").alias("stop_loss"), F.lit(IDLE[v]).alias("idle")
+        F.lit(i).alias("ord"), F.lit(v).alias("strategy"), F.col(f"{v}_action").alias("action"), pick(v, "target").alias("target"), pick(v, "sl").alias("stop_loss"), pick(v, "diff").alias("diff_pct"), F.lit(IDLE[v]).alias("idle")
     )
     rows = F.filter(F.array(*[entry(i, v) for i, v in enumerate(BAR_WISE)]), lambda x: x["action"] != x["idle"])
-    keep = [x for x in ("symbol", "date", *GROUP_VALUES) if x in cols]
-    return t.select(*keep, F.explode(rows).alias("_s")).select(*keep, "_s.ord", "_s.strategy", "_s.action", "_s.target", "_s.stop_loss")
+    keep = [x for x in ("symbol", "date", *GROUP_VALUES) if x in cols and x != "diff_pct"]
+    return t.select(*keep, F.explode(rows).alias("_s")).select(*keep, "_s.ord", "_s.strategy", "_s.action", "_s.target", "_s.stop_loss", "_s.diff_pct")
 
 
 def grouped_view(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -179,27 +192,23 @@ def audit_profile(t: DataFrame, numeric: list[str]) -> DataFrame:
     return g.select(F.inline(F.array(*rows)))
 
 
-def movers(latest: DataFrame, n: int = 5, by: str = "index_name") -> DataFrame:
-    """Top ``n`` gainers, losers and most active (by value, by volume) per index.
+def top_of_kinds(t: DataFrame, kinds: dict[str, tuple[Column, bool]], n: int, by: list[str], keep: list[str]) -> DataFrame:
+    """First ``n`` rows of every kind in every group of ``by``, in one pass.
 
-    A large index is never sorted in one task: hash slices keep their own top n first,
-    and only slices * n rows per index meet in the second step.
+    ``kinds`` maps a name to (key, descending). Each row is offered once per kind; the rank limit runs before the shuffle
+    too, so a task sends at most ``n`` rows of a group and kind, and no group is sorted whole in one task. Rows without a
+    key come last. Adds kind, value (the key) and rank.
     """
-    kinds = {"gainer": F.desc, "loser": F.asc, "active_value": F.desc, "active_volume": F.desc}
-    cols = {"gainer": "change_pct", "loser": "change_pct", "active_value": "turnover", "active_volume": "volume"}
-    out = None
-    for kind, order in kinds.items():
-        col = cols[kind]
-        # two-step top-n: inside hash slices of the index first, then over the slices' winners
-        sl = F.pmod(F.xxhash64("symbol"), F.lit(64))
-        w1 = W.partitionBy(by, "_sl").orderBy(order(col), "symbol")
-        w2 = W.partitionBy(by).orderBy(order(col), "symbol")
-        t = latest.select(by, "symbol", F.col(col).alias(col), sl.alias("_sl"))
-        t = t.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n)
-        t = t.withColumn("rank", F.row_number().over(w2)).filter(c.rank <= n)
-        t = t.select(by, F.lit(kind).alias("kind"), "rank", "symbol", F.col(col).alias("value"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    offers = F.array(*[F.struct(F.lit(k).alias("kind"), key.cast("double").alias("value"), (-key if down else key).cast("double").alias("_k")) for k, (key, down) in kinds.items()])
+    each = t.select(*by, *keep, F.inline(offers))
+    w = W.partitionBy(*by, "kind").orderBy(F.asc_nulls_last("_k"), *keep)
+    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("_k")
+
+
+def movers(latest: DataFrame, n: int = 5, by: str = "index_name") -> DataFrame:
+    """Top ``n`` gainers, losers and most active (by value, by volume) per index."""
+    kinds = {"gainer": (c.change_pct, True), "loser": (c.change_pct, False), "active_value": (c.turnover, True), "active_volume": (c.volume, True)}
+    return top_of_kinds(latest, kinds, n, [by], ["symbol"]).select(by, "kind", "rank", "symbol", "value")
 
 
 def breadth(latest: DataFrame, by: str = "index_name") -> DataFrame:
@@ -220,21 +229,18 @@ def heatmap(t: DataFrame) -> DataFrame:
     return t.select("symbol", "open", "high", "low", "close", "change_pct", (c.ffmc / 1e7).alias("market_cap_cr")).orderBy(F.desc("market_cap_cr"))
 
 
-def sections_report(sections: dict[str, tuple[DataFrame, Column]], n: int = 5) -> DataFrame:
-    """First ``n`` rows of each list (symbol, close) with how many more there are.
+def sections_report(t: DataFrame, sections: dict[str, tuple[Column, Column]], n: int = 5) -> DataFrame:
+    """First ``n`` rows (symbol, close) of each list with how many more there are.
 
-    ``sections`` maps a name to (rows, ascending sort key).
+    ``sections`` maps a name to (condition, ascending sort key). All lists come from one pass over ``t``: a row is offered
+    to each list that it is in; that narrow table is written, ranked and counted.
     """
-    out = None
-    for name, (df, key) in sections.items():
-        top = df.select("symbol", "close", key.alias("_k")).orderBy("_k", "symbol").limit(n)
-        top = top.withColumn("position", F.row_number().over(W.orderBy("_k", "symbol")))  # n rows
-        total = df.agg(F.count(F.lit(1)).alias("_n"))
-        part = top.join(F.broadcast(total), F.lit(True)).select(
-            F.lit(name).alias("section"), "position", "symbol", "close", F.greatest(F.col("_n") - n, F.lit(0)).alias("more")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    offers = F.array(*[F.struct(F.lit(k).alias("section"), key.cast("double").alias("_k"), truth(cond).alias("_in")) for k, (cond, key) in sections.items()])
+    each = written(t.select("symbol", "close", F.inline(F.filter(offers, lambda x: x["_in"]))).drop("_in"))
+    w = W.partitionBy("section").orderBy(F.asc_nulls_last("_k"), "symbol")
+    top = each.withColumn("position", F.row_number().over(w)).filter(c.position <= n)
+    total = each.groupBy("section").agg(F.count(F.lit(1)).alias("_n"))  # one row per section
+    return top.join(F.broadcast(total), "section").select("section", "position", "symbol", "close", F.greatest(F.col("_n") - n, F.lit(0)).alias("more"))
 
 
 def membership_flags(members: DataFrame, indexes: list[str]) -> DataFrame:

@@ -78,7 +78,12 @@ def darvas(bars: DataFrame, window: int = 20, min_days: int = 5, spike: float =
 
 
 def momentum_squeeze(bars: DataFrame, n: int = 20, mult: float = 1.5) -> DataFrame:
-    """Squeeze state, regression momentum and colours per bar (band width uses the channel multiplier)."""
+    """Squeeze state, regression momentum and colours per bar that has a momentum (band width uses the channel multiplier)."""
+    return squeeze_columns(bars, n, mult).filter(c.momentum.isNotNull())
+
+
+def squeeze_columns(bars: DataFrame, n: int = 20, mult: float = 1.5) -> DataFrame:
+    """:func:`momentum_squeeze` for every bar; the columns are NULL or false where there is no momentum."""
     prev = ts.lag(c.close)
     b = bars.withColumn("_tr", F.greatest(c.high - c.low, F.abs(c.high - prev), F.abs(c.low - prev)))
     b = b.withColumns({"_m": ts.mean(c.close, n), "_d": ts.std(c.close, n), "_a": ts.mean(F.col("_tr"), n), "_h": ts.highest(c.high, n), "_l": ts.lowest(c.low, n)})
@@ -94,7 +99,7 @@ def momentum_squeeze(bars: DataFrame, n: int = 20, mult: float = 1.5) -> DataFra
             "hist_color": F.when(v > 0, F.when(v > F.col("_pv"), "lime").otherwise("green")).when(v < F.col("_pv"), "red").otherwise("maroon"),
         }
     )
-    return b.filter(v.isNotNull()).drop("_tr", "_m", "_d", "_a", "_h", "_l", "_src", "_pv")
+    return b.drop("_tr", "_m", "_d", "_a", "_h", "_l", "_src", "_pv")
 
 
 def squeeze_signals(sq: DataFrame, last: int = 10) -> DataFrame:
@@ -104,13 +109,22 @@ def squeeze_signals(sq: DataFrame, last: int = 10) -> DataFrame:
 
 
 def leaders(bars: DataFrame, exclude_today: bool = False, pocket_min: int = 10) -> DataFrame:
-    """Relative-strength screen columns of the latest bar (before the cross-sectional rank).
+    """Relative-strength screen columns of the latest bar (before the cross-sectional rank); see :func:`leader_columns`."""
+    keep = ["symbol", "date", "close", *LEADER_COLUMNS, "n_bars"]
+    return ts.latest(leader_columns(ts.position(bars), exclude_today, pocket_min).select(*keep))
+
+
+LEADER_COLUMNS = ("rs", "template_score", "rvol", "high_proximity", "stage2", "pivot", "breakout", "pocket_pivot", "contraction")
+
+
+def leader_columns(bars: DataFrame, exclude_today: bool = False, pocket_min: int = 10) -> DataFrame:
+    """Relative-strength screen columns of every bar.
 
     ``exclude_today`` compares the breakout with the high before today; ``pocket_min``
     is how many down days the 10-bar window needs for a pocket pivot.
     """
     b = rolling(
-        ts.position(bars),
+        bars,
         {
             **{f"_m{n}": ("mean", "close", n) for n in (50, 150, 200)}, "_hi": ("max", "high", 252), "_lo": ("min", "low", 252),
             "_vm": ("mean", "volume", 50), "_base": ("max", "high", 60),
@@ -137,8 +151,7 @@ def leaders(bars: DataFrame, exclude_today: bool = False, pocket_min: int = 10)
             "contraction": truth(x("_v20") < x("_pv20")),
         }
     )
-    keep = ["symbol", "date", "close", "rs", "template_score", "rvol", "high_proximity", "stage2", "pivot", "breakout", "pocket_pivot", "contraction", "n_bars"]
-    return ts.latest(b.select(*keep))
+    return b.select(*bars.columns, *LEADER_COLUMNS)
 
 
 def leader_table(bars: DataFrame, min_bars: int = 256, **kw) -> DataFrame:
@@ -164,9 +177,6 @@ def rotation(bars: DataFrame, bench: DataFrame, mean: int = 40, step: int = 10)
     return t.select("symbol", "rs_ratio", "rs_momentum", "quadrant").orderBy(order, F.desc("rs_ratio"))
 
 
-def scanner_metrics(signals: list[DataFrame]) -> DataFrame:
-    """Union of scanner outputs: signals and buy/sell counts per strategy."""
-    u = signals[0]
-    for s in signals[1:]:
-        u = u.unionByName(s)
-    return u.groupBy("strategy_name").agg(F.count(F.lit(1)).alias("signals"), F.count_if(c.action == 1).alias("buys"), F.count_if(c.action == -1).alias("sells"), F.avg("conviction").alias("avg_conviction"))
+def scanner_metrics(signals: DataFrame) -> DataFrame:
+    """Signals and buy/sell counts of each scanner."""
+    return signals.groupBy("strategy_name").agg(F.count(F.lit(1)).alias("signals"), F.count_if(c.action == 1).alias("buys"), F.count_if(c.action == -1).alias("sells"), F.avg("conviction").alias("avg_conviction"))

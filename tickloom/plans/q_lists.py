@@ -14,9 +14,10 @@ from ..operators import reports as rp
 from ..operators import strategies as st
 from ..operators import trend as tr
 from ..operators.snapshot import with_universe
+from ..session import written
 from ..sources import bars as B
 from .catalog import query
-from .q_trend import A_MAS, ACT, BOTTOM, CAR, D200, SL_MAS, VOTES, in_list, snap_sql, snapshot, status_sql
+from .q_trend import A_MAS, ACT, BOTTOM, CAR, D200, SL_MAS, VOTES, WEEKLY, in_list, snap_sql, snapshot, status_sql
 from .q_windows import SCORE
 from .sqltext import BARS, MASTER, W, panel, with_
 from .tables import index_close, rounded, segment_bars, supplier_bars, supplier_panel, suppliers, table
@@ -77,7 +78,8 @@ def p5(spark, d):
 _ROWS = "rows_ AS (SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT symbol, date, close, close * volume AS traded_value, {i} AS ord, '{v}' AS strategy, {v}_action AS action, "
     + (f"{v}_target" if v != "dma20" else "CAST(NULL AS DOUBLE)") + " AS target, "
-    + (f"{v}_sl" if v not in ("rsi_ladder", "dma20", "dma_nosl") else "CAST(NULL AS DOUBLE)") + f" AS stop_loss FROM act WHERE {v}_action <> '{rp.IDLE[v]}'"
+    + (f"{v}_sl" if v not in ("rsi_ladder", "dma20", "dma_nosl") else "CAST(NULL AS DOUBLE)") + " AS stop_loss, " + ("dma20_diff" if v == "dma20" else "CAST(NULL AS DOUBLE)")
+    + f" AS diff_pct FROM act WHERE {v}_action <> '{rp.IDLE[v]}'"
     for i, v in enumerate(st.BAR_WISE)
 ) + "))"
 
@@ -181,13 +183,13 @@ def a2(spark, d):
     return m.select("symbol", con.recommendation(20 * rnd("score", 6)).alias("recommendation"))
 
 
-@query("a3_grouped_view", panel("s", ACT, _ROWS, f"sc AS (SELECT *, {SCORE} AS tech_score FROM panel)", """gr AS (SELECT symbol, date, round(arg_min(traded_value, ord), 2) AS traded_value, round(arg_min(close, ord), 4) AS close, string_agg(strategy, ' | ' ORDER BY ord) AS strategies, string_agg(action, ' | ' ORDER BY ord) AS actions,
+@query("a3_grouped_view", panel("s", ACT, _ROWS, f"sc AS (SELECT *, {SCORE} AS tech_score FROM panel)", """gr AS (SELECT symbol, date, round(arg_min(traded_value, ord), 2) AS traded_value, round(arg_min(close, ord), 4) AS close, round(arg_min(diff_pct, ord), 4) AS diff_pct, string_agg(strategy, ' | ' ORDER BY ord) AS strategies, string_agg(action, ' | ' ORDER BY ord) AS actions,
   coalesce(string_agg(CASE WHEN target IS NOT NULL THEN printf('%.2f', round(target, 2)) END, ' | ' ORDER BY ord), '') AS targets, coalesce(string_agg(CASE WHEN stop_loss IS NOT NULL THEN printf('%.2f', round(stop_loss, 2)) END, ' | ' ORDER BY ord), '') AS stop_losses FROM rows_ GROUP BY symbol, date)""",
   body="SELECT gr.*, round(change_pct, 4) AS change_pct, round(z_score, 4) AS z_score, round(vol_spike, 4) AS vol_spike, round(rsi_14, 4) AS rsi_14, tech_score FROM gr JOIN sc USING (symbol, date)"))
 def a3(spark, d):
     p = ind.tech_score(supplier_panel(spark, d)).withColumn("traded_value", c.close * c.volume)
     g = rp.grouped_view(rp.strategy_rows(st.bar_strategies(p)), ("symbol", "date"))
-    return g.withColumns({"traded_value": rnd("traded_value", 2), **{x: rnd(x) for x in ("close", "change_pct", "z_score", "vol_spike", "rsi_14")}}).orderBy(F.desc("traded_value"))
+    return g.withColumns({"traded_value": rnd("traded_value", 2), **{x: rnd(x) for x in ("close", "diff_pct", "change_pct", "z_score", "vol_spike", "rsi_14")}}).orderBy(F.desc("traded_value"))
 
 
 @query("a4_buy_counts", snap_sql(VOTES, body=" UNION ALL ".join(f"SELECT '{v}' AS strategy, count(*) FILTER (WHERE {v}_action IN {in_list(con.BUY_LABELS)}) AS buys FROM votes" for v in st.VOTERS)))
@@ -305,7 +307,7 @@ def _mover_sql(kind, col, o):
 @query("a18_movers", with_(BARS["s"], MASTER, _LATEST, body=" UNION ALL ".join(f"({_mover_sql(*x)})" for x in (("gainer", "change_pct", "DESC"), ("loser", "change_pct", "ASC"), ("active_value", "turnover", "DESC"), ("active_volume", "volume", "DESC")))
   + " UNION ALL SELECT index_name, 'advances', 0, '', CAST(count(*) FILTER (WHERE change_pct > 0) AS DOUBLE) FROM li GROUP BY 1 UNION ALL SELECT index_name, 'declines', 0, '', CAST(count(*) FILTER (WHERE change_pct < 0) AS DOUBLE) FROM li GROUP BY 1 UNION ALL SELECT index_name, 'unchanged', 0, '', CAST(count(*) FILTER (WHERE change_pct = 0) AS DOUBLE) FROM li GROUP BY 1"))
 def a18(spark, d):
-    t = latest_change(spark, d)
+    t = written(latest_change(spark, d))  # one row per symbol, read by both parts
     b = rp.breadth(t).unpivot(["index_name"], ["advances", "declines", "unchanged"], "kind", "value")
     b = b.select("index_name", "kind", F.lit(0).alias("rank"), F.lit("").alias("symbol"), F.col("value").cast("double").alias("value"))
     return rounded(rp.movers(t).unionByName(b))
@@ -330,8 +332,8 @@ _SECT = {"final": ("trend_status = 'In Bull Run' AND car_rating = 'Buy/Average O
 @query("a21_sections_report", list_sql(" UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS section, row_number() OVER (ORDER BY {o}, symbol) AS position, symbol, round(close, 4) AS close, greatest(count(*) OVER () - 5, 0) AS more FROM lists WHERE {w}) WHERE position <= 5" for k, (w, o) in _SECT.items())))
 def a21(spark, d):
     t = lists(spark, d)
-    s = {"final": (rp.final_list(t), -c.traded_value), "bull_sl": (rp.bull_sl_list(t), F.col("close")), "swing": (rp.swing_list(t), -c.traded_value)}
-    return rounded(rp.sections_report(s))
+    s = {"final": (rp.in_final(), -c.traded_value), "bull_sl": (rp.in_bull_sl(), F.col("close")), "swing": (rp.in_swing(), -c.traded_value)}
+    return rounded(rp.sections_report(t, s))
 
 
 _IDX = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -402,11 +404,12 @@ def j7(spark, d):
     return rounded(supplier_bars(spark, d).join(bad, "symbol", "left_anti").select("symbol", "date", "close"))
 
 
-@query("j8_weekly_lookup", with_(BARS["s"], body="SELECT symbol, coalesce(max(CASE WHEN wk THEN 1 END) = 1, false) AS confirmed FROM (SELECT symbol, volume > 100 AS wk FROM bars) GROUP BY symbol"))
+@query("j8_weekly_lookup", with_(BARS["s"], WEEKLY, body="SELECT b.symbol, max(b.date) AS date, coalesce(bool_or(weekly_cross), false) AS weekly_cross FROM bars b LEFT JOIN weekly w ON w.symbol = b.symbol AND CAST(b.symbol AS BIGINT) % 7 <> 0 GROUP BY b.symbol"))
 def j8(spark, d):
+    """Latest bars with the cross of a stored weekly table; every seventh supplier has no weekly row and is not confirmed."""
     b = supplier_bars(spark, d)
-    hit = b.filter(c.volume > 100).groupBy("symbol").agg(F.lit(True).alias("confirmed"))
-    return b.select("symbol").distinct().join(hit, "symbol", "left").select("symbol", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+    weekly = written(tr.weekly_cross(b).filter(c.symbol.cast("long") % 7 != 0))
+    return B.latest_bars(b).join(weekly, "symbol", "left").select("symbol", "date", F.coalesce("weekly_cross", F.lit(False)).alias("weekly_cross"))
 
 
 @query("j9_keyword_category", f"SELECT p_partkey, {_KW_SQL} AS category FROM (SELECT p_partkey, p_name AS u FROM part)")

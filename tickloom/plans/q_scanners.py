@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ts
 from ..functions.num import c, rnd, truth
-from ..operators import anomaly, cointegration, learn
+from ..operators import anomaly, cointegration, learn, registry
 from ..operators import indicators as ind
 from ..operators import consensus as con
 from ..operators import portfolio as pf
@@ -148,14 +148,31 @@ def x13(spark, d):
     return rounded(sn.rotation(b, index_close(b)))
 
 
-@query("x14_scanner_metrics", with_(BARS["g"], _MSQ, _DARVAS, """u AS (SELECT 'momentum_squeeze' AS strategy_name, CASE WHEN hist_color IN ('lime', 'green') THEN 1 ELSE -1 END AS action, CASE WHEN hist_color IN ('lime', 'red') THEN 1.0 ELSE 0.5 END AS conviction FROM (SELECT * FROM ms WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 10)
- UNION ALL SELECT 'darvas_box', CASE WHEN darvas_signal LIKE 'Breakout%' THEN 1 ELSE -1 END, CASE WHEN vc THEN 1.0 ELSE 0.5 END FROM dv WHERE darvas_signal LIKE 'Break%')""",
-  body="SELECT strategy_name, count(*) AS signals, count(*) FILTER (WHERE action = 1) AS buys, count(*) FILTER (WHERE action = -1) AS sells, round(CAST(avg(conviction) AS DOUBLE), 4) AS avg_conviction FROM u GROUP BY strategy_name"))
+# limits of the leaders are those of x11, so that the given data have some
+_FIVE = {
+    "rsi_scanner": registry.oversold(), "darvas_box": registry.boxes(), "momentum_squeeze": registry.squeezes(), "liquid_funds": registry.liquid_funds("nation"),
+    "trend_leaders": registry.leaders(min_rs=30.0, min_template=3, min_proximity=0.05, min_rvol=0.2),
+}
+_UNION = """u AS (SELECT 'momentum_squeeze' AS strategy_name, CASE WHEN hist_color IN ('lime', 'green') THEN 1 ELSE -1 END AS action, CASE WHEN hist_color IN ('lime', 'red') THEN 1.0 ELSE 0.5 END AS conviction
+   FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS fe FROM ms) WHERE v IS NOT NULL AND fe <= 10
+ UNION ALL SELECT 'darvas_box', CASE WHEN darvas_signal LIKE 'Breakout%' THEN 1 ELSE -1 END, CASE WHEN vc THEN 1.0 ELSE 0.5 END FROM (SELECT * FROM dv QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) WHERE darvas_signal LIKE 'Break%'
+ UNION ALL SELECT 'rsi_scanner', 1, round(least(1.0, greatest(0.0, (35 - rsi_14) / 25.0)), 2) FROM panel WHERE is_last AND rsi_14 < 35
+ UNION ALL SELECT 'trend_leaders', 1, round(least(1.0, greatest(0.0, (rs_rating - 70) / 30.0)), 2) FROM lr WHERE rs_rating >= 30 AND template_score >= 3 AND high_proximity >= 0.05 AND rvol >= 0.2 AND stage2
+ UNION ALL SELECT 'liquid_funds', 1, round(least(1.0, turnover / max(turnover) OVER ()), 2) FROM (SELECT p.*, nation FROM panel p JOIN master USING (symbol) WHERE is_last QUALIFY row_number() OVER (PARTITION BY nation ORDER BY turnover DESC, symbol DESC) = 1))"""
+_METRICS = "SELECT strategy_name, count(*) AS signals, count(*) FILTER (WHERE action = 1) AS buys, count(*) FILTER (WHERE action = -1) AS sells, round(CAST(avg(conviction) AS DOUBLE), 4) AS avg_conviction FROM u GROUP BY strategy_name"
+
+
+@query("x14_scanner_metrics", panel("s", MASTER, _MSQ, _DARVAS, _LEAD, _UNION, body=_METRICS))
 def x14(spark, d):
-    b = segment_bars(spark, d)
-    dv = sn.darvas(b).filter(c.darvas_signal.startswith("Break"))
-    dv = sn.signal(dv, "darvas_box", F.when(c.darvas_signal.startswith("Breakout"), 1).otherwise(-1), c.conviction, c.date, {"raw": c.darvas_signal})
-    return rounded(sn.scanner_metrics([sn.squeeze_signals(sn.momentum_squeeze(b)), dv]))
+    """Five scanners over all suppliers on one panel."""
+    return rounded(sn.scanner_metrics(registry.scan(supplier_bars(spark, d), suppliers(spark, d), _FIVE)))
+
+
+@query("x14_all_scanners")
+def x14_all(spark, d):
+    """The same with the pair scanner (pairs of LOOKBACK common bars), whose test SQL cannot say."""
+    six = _FIVE | {"pair_scanner": registry.pair_trades(LOOKBACK)}
+    return rounded(sn.scanner_metrics(registry.scan(supplier_bars(spark, d), suppliers(spark, d), six)))
 
 
 @query("q6_anomalies")
@@ -177,6 +194,20 @@ def _features(spark, d):
     return learn.feature_table(ind.recursive(supplier_bars(spark, d)))
 
 
+_FALL = f"""fb AS (SELECT *, row_number() {W} - 1 AS bn, coalesce(greatest(close - lag(close) {W}, 0), 0) AS g, coalesce(greatest(lag(close) {W} - close, 0), 0) AS l FROM bars),
+fe AS (SELECT symbol, bn, close AS ef, close AS es FROM fb WHERE bn = 0
+  UNION ALL SELECT b.symbol, b.bn, e.ef + 2.0 / 13 * (b.close - e.ef), e.es + 2.0 / 27 * (b.close - e.es) FROM fe e JOIN fb b ON b.symbol = e.symbol AND b.bn = e.bn + 1),
+fs AS (SELECT symbol, bn, ef - es AS mac, ef - es AS sig FROM fe WHERE bn = 0
+  UNION ALL SELECT e.symbol, e.bn, e.ef - e.es, s.sig + 2.0 / 10 * (e.ef - e.es - s.sig) FROM fs s JOIN fe e ON e.symbol = s.symbol AND e.bn = s.bn + 1),
+fr AS (SELECT symbol, date, bn, 100 - 100 / (1 + {full('avg', 'g', 14)} / ({full('avg', 'l', 14)} + 1e-9)) AS rsi_14, count(ln(close)) OVER (PARTITION BY symbol) AS n FROM fb)"""
+
+
+@query("m1_fallback_features", with_(BARS["s"], _FALL, body="SELECT fr.symbol, fr.date, round(rsi_14, 4) AS rsi_14, round(mac - sig, 4) AS macd_hist FROM fr JOIN fs USING (symbol, bn) WHERE bn >= 20", recursive=True))
+def m1_fallback(spark, d):
+    """Features of bare bars: RSI of simple means, MACD histogram of exponential means from the first bar."""
+    return rounded(learn.feature_table(supplier_bars(spark, d)).select("symbol", "date", "rsi_14", "macd_hist"))
+
+
 @query("m1_features", panel("s", _H20, _FEAT, body=f"SELECT symbol, date, {_FCOLS}, target FROM feat"))
 def m1(spark, d):
     return rounded(_features(spark, d).select("symbol", "date", *learn.FEATURES, "target"))
