@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ts
 from ..functions.num import c, money, rnd, sdiv
+from . import garch
 
 YEAR = 252
 
@@ -123,47 +124,14 @@ def rolling_hurst(bars: DataFrame, n: int = 20, lags: int = 5) -> DataFrame:
 
 
 def vol_regime(bars: DataFrame, high: float = 35.0, low: float = 15.0, min_obs: int = 60) -> DataFrame:
-    """GARCH(1,1) conditional volatility of the last bar by a two-stage likelihood grid.
-
-    omega follows from variance targeting, so a candidate is (alpha, beta).  Each
-    candidate is one fold over the symbol's own return array (bounded by the
-    calendar): coarse grid first, then a fine grid around its best point.  It
-    approximates the maximum-likelihood fit.
-    """
-    b = bars.withColumn("_r", ts.log_return(c.close) * 100.0).filter("_r is not null")
-    g = b.groupBy("symbol").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("date", "_r"))), lambda x: x["_r"]).alias("r"),
-        F.count(F.lit(1)).alias("n"), F.avg("_r").alias("mu"), F.var_pop("_r").alias("v"),
-    )
-    zero = F.struct(F.col("v").alias("h"), F.lit(0.0).alias("ll"), F.col("v").alias("last"))
-
-    def fit(a: Column, bt: Column) -> Column:
-        omega = F.col("v") * (1.0 - a - bt)
-
-        def step(acc: Column, x: Column) -> Column:
-            e2 = (x - F.col("mu")) * (x - F.col("mu"))
-            return F.struct(
-                (omega + a * e2 + bt * acc["h"]).alias("h"),
-                (acc["ll"] - F.log(acc["h"]) - e2 / acc["h"]).alias("ll"),
-                acc["h"].alias("last"),
-            )
-
-        r = F.aggregate("r", zero, step)
-        return F.struct(r["ll"].alias("ll"), a.alias("a"), bt.alias("b"), F.sqrt(r["last"]).alias("sigma"))
-
-    coarse = [(a, bt) for a in (0.02, 0.06, 0.12, 0.2, 0.3) for bt in (0.1, 0.4, 0.6, 0.75, 0.85, 0.93) if a + bt < 0.999]
-    pts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(bt).alias("b")) for a, bt in coarse])
-    g = g.withColumn("best", F.when((c.n >= min_obs) & (c.v > 0), F.array_max(F.transform(pts, lambda p: fit(p["a"], p["b"])))))
-    near = F.array(*[F.struct(F.lit(da).alias("a"), F.lit(db).alias("b")) for da in (-0.03, -0.015, 0.0, 0.015, 0.03) for db in (-0.06, -0.03, 0.0, 0.03, 0.06)])
-    moved = F.transform(near, lambda p: F.struct((c.best.a + p["a"]).alias("a"), (c.best.b + p["b"]).alias("b")))
-    okay = F.filter(moved, lambda p: (p["a"] > 0.001) & (p["b"] >= 0.0) & (p["a"] + p["b"] < 0.999))
-    g = g.withColumn("fine", F.when(c.best.isNotNull(), F.array_max(F.transform(okay, lambda p: fit(p["a"], p["b"])))))
-    vol = rnd(c.fine.sigma * math.sqrt(YEAR), 4)
-    return g.select(
-        "symbol",
-        vol.alias("garch_vol_pct"),
-        F.when(c.fine.isNull(), "Unknown").when(vol >= high, "High").when(vol <= low, "Low").otherwise("Medium").alias("vol_regime"),
-    )
+    """GARCH(1,1) conditional volatility of the last bar (see ``garch``) and its regime; "Unknown" without a fit."""
+    vol = rnd(c.sigma * math.sqrt(YEAR), 4)
+    fit = garch.fitted(bars, min_obs).select("symbol", vol.alias("garch_vol_pct"))
+    # a symbol with one bar has no return and so no row
+    some = bars.groupBy("symbol").agg(F.count(F.when(c.close > 0, 1)).alias("_n")).filter("_n > 1").select("symbol")
+    v = c.garch_vol_pct
+    label = F.when(v.isNull(), "Unknown").when(v >= high, "High").when(v <= low, "Low").otherwise("Medium")
+    return some.join(fit, "symbol", "left").select("symbol", v, label.alias("vol_regime"))
 
 
 def correlation_matrix(bars: DataFrame, symbols: list[str]) -> DataFrame:

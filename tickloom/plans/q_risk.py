@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rank, ts
 from ..functions.num import c, rnd
 from ..operators import corporate as corp
+from ..operators import garch
 from ..operators import indicators as ind
 from ..operators import portfolio as pf
 from ..operators import risk
@@ -84,6 +85,26 @@ def r8(spark, d):
     return _risk(spark, d).select("symbol", "var_95_pct", F.coalesce(c.var_95_pct > 3, F.lit(False)).alias("severe"))
 
 
+@query("r9_garch_fit")
+def r9_fit(spark, d):
+    """Maximum-likelihood parameters of every supplier."""
+    return rounded(garch.fitted(supplier_bars(spark, d)))
+
+
+_GARCH = f"""gr0 AS (SELECT symbol, date, ln(close / lag(close) {W}) * 100.0 AS r FROM bars), gr1 AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, r, avg(r) OVER (PARTITION BY symbol) AS mu FROM gr0 WHERE r IS NOT NULL),
+gs AS (SELECT symbol, count(*) AS n, any_value(mu) AS mu, avg((r - mu) * (r - mu)) AS v, sum(pow(0.94, i) * (r - mu) * (r - mu)) FILTER (i < 75) / sum(pow(0.94, i)) FILTER (i < 75) AS back FROM gr1 GROUP BY symbol HAVING count(*) >= 60),
+gh AS (SELECT symbol, CAST(-1 AS BIGINT) AS i, back AS h, back AS e2, CAST(0 AS DOUBLE) AS ll FROM gs
+  UNION ALL SELECT g.symbol, g.i, s.v * 0.08 + 0.07 * p.e2 + 0.85 * p.h, (g.r - s.mu) * (g.r - s.mu),
+    p.ll - 0.5 * (ln(2 * pi()) + ln(s.v * 0.08 + 0.07 * p.e2 + 0.85 * p.h) + (g.r - s.mu) * (g.r - s.mu) / (s.v * 0.08 + 0.07 * p.e2 + 0.85 * p.h))
+  FROM gh p JOIN gr1 g ON g.symbol = p.symbol AND g.i = p.i + 1 JOIN gs s ON s.symbol = g.symbol)"""
+
+
+@query("r9_garch_likelihood", with_(BARS["s"], _GARCH, body="SELECT symbol, n, round(mu, 4) AS mu, round(v, 4) AS variance, round(back, 4) AS backcast, round(ll, 4) AS loglik FROM gs JOIN gh USING (symbol) WHERE gh.i = n - 1", recursive=True))
+def r9_likelihood(spark, d):
+    """The likelihood that the fit climbs, at one point (alpha 0.07, beta 0.85) of every supplier."""
+    return rounded(garch.loglik_at(supplier_bars(spark, d), 0.07, 0.85))
+
+
 @query("r9_vol_regime")
 def r9(spark, d):
     return risk.vol_regime(supplier_bars(spark, d))
