@@ -36,7 +36,7 @@ TREES, DEPTH, START = 16, 5, 2
 REGION = 512  # rows of a region that are all compared; a larger one goes deeper
 ENDS = 256  # rows at each end of a task that are compared again with the next task's
 GROUP, SHINGLES = 512, 1 << 20  # documents and shingles of a matrix of intersections
-PROBES, ROUNDS = 16, 3  # members that a large group is compared with first, and how often
+PROBES, ROUNDS = 16, 2  # members that a large group is compared with first, and how often
 VALUES = TREES * DEPTH
 _RANDOM = np.random.RandomState(20260302)
 _FLIP = _RANDOM.randint(1, 1 << 62, VALUES, dtype=np.int64).astype(np.uint64)

@@ -97,3 +97,16 @@ def test_regions_adapt_their_depth():
 
 def test_shingles_are_the_brute_ones():
     assert len(shingles("a b c d", 3)) == 2
+
+
+def test_stars_of_a_task_keep_components():
+    from llm.components import least_labels
+
+    r = np.random.RandomState(2)
+    a, b = r.randint(0, 400, 300), r.randint(0, 400, 300)
+    nodes, root = least_labels(np.maximum(a, b), np.minimum(a, b))
+    want = {i: i for i in range(400)}
+    for _ in range(400):
+        for x, y in zip(a, b, strict=True):
+            want[x] = want[y] = min(want[x], want[y])
+    assert dict(zip(nodes.tolist(), root.tolist(), strict=True)) == {k: v for k, v in want.items() if k != v}
