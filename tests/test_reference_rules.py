@@ -101,6 +101,14 @@ def test_daily_files_of_two_generations(spark, tmp_path):
     assert fl.daily_ohlcv(raw, F.col("day")).count() == 2
 
 
+def test_quoted_cells_and_ragged_lines(spark, tmp_path):
+    (tmp_path / "sec_20240104.csv").write_text('TckrSymb,FinInstrmNm,SctySrs,TtlTrfVal,ClsPric\nAA,"Acme, Ltd",EQ,100,1.5\nBB,Bee,EQ,200\nCC,"See ""C""",EQ,300,2.5,,\nDD,Dee,EQ,400,3.5,9\n\nTckrSymb,ClsPric,SctySrs,TtlTrfVal\nEE,4.5,EQ,500\n')
+    (tmp_path / "sec_20240105.csv").write_text("")
+    got = sorted(map(tuple, fl.normalise_daily(fl.read_daily_files(spark, str(tmp_path))).select("symbol", "turnover", "close").collect()))
+    assert got == [("AA", 100.0, 1.5), ("CC", 300.0, 2.5), ("EE", 500.0, 4.5)]
+    assert [tuple(r) for r in fl.ragged_lines(spark, str(tmp_path)).collect()] == [(dt.date(2024, 1, 4), 5, 2, "BB,Bee,EQ,200")]
+
+
 def test_repeat_filter_stream_equals_batch(spark, tmp_path):
     at = lambda ms: dt.datetime(2024, 1, 1, 9, 0, 0) + dt.timedelta(milliseconds=ms)
     kind = "symbol string, ts timestamp, seq long, price double"

@@ -34,8 +34,8 @@ def s3(spark, d):
 
 
 def daily_files(spark, d):
-    """Folder of daily CSV files written from the supplier bars: one folder and file name per day, old headers (blanks, turnover
-    in lacs) up to 1997 and new ones after."""
+    """Folder of daily CSV files written from the supplier bars: one file per day in a folder named by it, old headers
+    (blanks, turnover in lacs) up to 1997 and new ones, with quoted names, after. Some lines are cut short."""
     b = supplier_bars(spark, d)
     t = lambda x: F.col(x).cast("string")
     old = c.date < "1998-01-01"
@@ -45,15 +45,16 @@ def daily_files(spark, d):
     ]
     heads = [
         " SYMBOL, SERIES, OPEN_PRICE, HIGH_PRICE, LOW_PRICE, CLOSE_PRICE, TURNOVER_LACS, TTL_TRD_QNTY, DELIV_QTY, DELIV_PER",
-        "TckrSymb,SctySrs,OpnPric,HghPric,LwPric,ClsPric,TtlTrfVal,TtlTradgVol,DlvrbleQty,PctOfDlvrbleQtyTltTrdQty",
+        "TckrSymb,SctySrs,OpnPric,HghPric,LwPric,ClsPric,TtlTrfVal,TtlTradgVol,DlvrbleQty,PctOfDlvrbleQtyTltTrdQty,FinInstrmNm",
     ]
-    line = F.struct(F.lit(1).alias("k"), F.concat_ws(",", *cells).alias("text"))
-    head = F.struct(F.lit(0).alias("k"), F.when(old, heads[0]).otherwise(heads[1]).alias("text"))
-    # one line of text per day file, header first: a day has one row per symbol
-    days = b.groupBy("date").agg(F.sort_array(F.collect_set(head)).alias("h"), F.sort_array(F.collect_list(line)).alias("r"))
-    text = days.select(F.date_format("date", "yyyyMMdd").alias("day"), F.array_join(F.concat(F.transform("h", lambda x: x["text"]), F.transform("r", lambda x: x["text"])), "\n").alias("value"))
+    whole = F.when(old, F.concat_ws(",", *cells)).otherwise(F.concat_ws(",", *cells, F.concat(F.lit('"Supplier, '), "symbol", F.lit('"'))))
+    short = F.when(c.volume % 3 == 0, F.concat_ws(",", *cells[:4]))
+    lines = F.array_compact(F.array(F.struct(F.lit(1).alias("k"), whole.alias("value")), F.when(short.isNotNull(), F.struct(F.lit(2).alias("k"), short.alias("value")))))
+    rows = b.select(F.date_format("date", "yyyyMMdd").alias("day"), F.inline(lines))
+    first = b.select(F.date_format("date", "yyyyMMdd").alias("day"), F.lit(0).alias("k"), F.when(old, heads[0]).otherwise(heads[1]).alias("value")).distinct()
     at = work_folder(spark)
-    text.repartition("day").write.partitionBy("day").text(at)
+    # a day's lines are rows of one task and follow their header into one file
+    rows.union(first).repartition("day").sortWithinPartitions("day", "k", "value").select("day", "value").write.partitionBy("day").text(at)
     return at
 
 
@@ -68,6 +69,12 @@ def s4(spark, d):
     return t.select("symbol", F.col("day").alias("date"), rnd("turnover", 2).alias("turnover"), rnd("close").alias("close"), "deliv_qty", rnd("deliv_pct").alias("deliv_pct"))
 
 
+@query("s4_ragged_lines", with_(BARS["s"], body="""SELECT date AS day, count(*) + count(*) FILTER (volume % 3 = 0) AS lines, count(*) FILTER (volume % 3 = 0) AS ragged FROM bars GROUP BY date"""))
+def s4_ragged(spark, d):
+    """Lines of each daily file, and those that do not fit its header."""
+    return fl.ragged_lines(spark, daily_files(spark, d), day_pattern=r"day=(\d{8})", day_in="path").select("day", "lines", "ragged")
+
+
 @query("s5_daily_ohlcv", with_(BARS["s"], body="SELECT 'S' || symbol AS symbol, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM bars WHERE volume > 5 AND volume % 7 <> 0"))
 def s5(spark, d):
     return rounded(fl.daily_ohlcv(_daily(spark, d), F.col("day")).select("symbol", "date", "open", "high", "low", "close", "volume"))

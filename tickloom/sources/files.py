@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +36,74 @@ def read_symbol_files(spark: SparkSession, path: str) -> DataFrame:
 DAILY_FIELDS = ("symbol", "series", "open", "high", "low", "close", "volume", "deliv_qty", "deliv_pct")
 
 
+_LINE = "day_text string, file string, line long, ragged boolean, text string, " + ", ".join(f"{ALIASES[f][0]} string" for f in (*DAILY_FIELDS, "turnover"))
+
+
+def _parsed_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of whole files by each file's own header."""
+    names = [x.strip().split(" ")[0] for x in _LINE.split(",")]
+    for pdf in batches:
+        out: list[tuple] = []
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            header: dict[str, int] = {}
+            width, text = 0, bytes(content).decode("utf-8-sig", errors="replace")
+            for n, cells in enumerate(csv.reader(io.StringIO(text, newline=""), skipinitialspace=True), 1):
+                cells = [x.strip() for x in cells]
+                if not any(cells):
+                    continue
+                if not header or cells[0] in ALIASES["symbol"]:
+                    header, width = {h: k for k, h in reversed(list(enumerate(cells)))}, len(cells)
+                    continue
+                ragged = len(cells) < width or any(cells[width:])  # blank cells behind the last one do no harm
+                get = lambda f: next((cells[header[h]] for h in ALIASES[f] if h in header), None)  # noqa: B023, E731
+                found = [None] * (len(DAILY_FIELDS) + 1) if ragged else [*(get(f) for f in DAILY_FIELDS), _turnover(cells, header)]
+                out.append((path, path.rsplit("/", 1)[-1], n, ragged, ",".join(cells) if ragged else None, *found))
+                if len(out) >= 20_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
+
+
+def _turnover(cells: list[str], header: dict[str, int]) -> str | None:
+    """Turnover in full units."""
+    for name in ALIASES["turnover"]:
+        if name in header:
+            v = cells[header[name]]
+            if name != "TURNOVER_LACS":
+                return v
+            try:
+                return repr(float(v) * 100000.0)
+            except ValueError:
+                return None
+    return None
+
+
+def daily_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line below the headers of many daily CSV files: its cells as text by the first alias of each field, or, if
+    its cells do not fit its file's header, ``ragged`` and its text.
+
+    Each file is read by its own header, so generations of headers mix; cells may be quoted and hold commas, headers may
+    carry blanks, a file may repeat its header. A file is one trading day: a task holds one file at a time.
+    """
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_parsed_files, _LINE)
+
+
 def read_daily_files(spark: SparkSession, path: str, day_pattern: str = r"(\d{8})", day_in: str = "name") -> DataFrame:
-    """Many daily CSV files at once, each with its own header, as text columns named by the first alias of a field.
+    """The lines of many daily CSV files that fit their headers (see :func:`daily_lines`), as text columns.
 
-    The day comes from the file's name, or with ``day_in="path"`` from its whole path (yyyyMMdd folders).  Cells are found by each file's header, so generations of headers mix; TURNOVER
-    is in full units, whatever the file's own unit.  Cells hold no quoted commas, and headers may carry blanks.
+    The day comes from the file's name, or with ``day_in="path"`` from its whole path (yyyyMMdd folders). TURNOVER is in
+    full units, whatever the file's own unit. Lines that do not fit are counted by :func:`ragged_lines`.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col(f"_metadata.file_{day_in}").alias("_name"))
-    cells = lambda x: F.transform(F.split(x, ","), lambda v: F.trim(v))
-    is_header = F.exists(cells(F.col("value")), lambda x: x.isin(ALIASES["symbol"]))
-    headers = lines.filter(is_header).groupBy("_f").agg(F.first("value").alias("_h"))  # one row per file
-    rows = lines.filter(~is_header & (F.trim("value") != "")).join(headers, "_f")
-    rows = rows.filter(F.size(F.split("_h", ",")) == F.size(F.split("value", ","))).withColumn("_m", F.map_from_arrays(cells(F.col("_h")), cells(F.col("value"))))
-    get = lambda names: F.coalesce(*[F.try_element_at("_m", F.lit(n)) for n in names])
-    lacs = clean(F.try_element_at("_m", F.lit("TURNOVER_LACS")).try_cast("double")) * 100000.0
-    turnover = F.coalesce(get([n for n in ALIASES["turnover"] if n != "TURNOVER_LACS"]), lacs.cast("string"))
-    return rows.select(date_in_name(F.col("_name"), day_pattern).alias("day"), turnover.alias(ALIASES["turnover"][0]), *[get(ALIASES[f]).alias(ALIASES[f][0]) for f in DAILY_FIELDS])
+    name = F.col("file" if day_in == "name" else "day_text")
+    t = daily_lines(spark, path).filter("NOT ragged")
+    return t.select(date_in_name(name, day_pattern).alias("day"), *[ALIASES[f][0] for f in ("turnover", *DAILY_FIELDS)])
+
+
+def ragged_lines(spark: SparkSession, path: str, day_pattern: str = r"(\d{8})", day_in: str = "name") -> DataFrame:
+    """For each daily file its lines, those that do not fit its header, and the first of these."""
+    name = F.col("file" if day_in == "name" else "day_text")
+    t = daily_lines(spark, path).withColumn("day", date_in_name(name, day_pattern))
+    return t.groupBy("day").agg(F.count(F.lit(1)).alias("lines"), F.count_if("ragged").alias("ragged"), F.min_by("text", F.when(F.col("ragged"), F.col("line"))).alias("first_ragged"))
 
 
 def resolve(raw: DataFrame, wanted: list[str], required: list[str]) -> dict[str, str]:
