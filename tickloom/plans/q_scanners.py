@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ts
 from ..functions.num import c, rnd, truth
-from ..operators import anomaly, cointegration, learn, registry
+from ..operators import anomaly, cointegration, forests, learn, registry
 from ..operators import indicators as ind
 from ..operators import consensus as con
 from ..operators import portfolio as pf
@@ -235,6 +235,28 @@ def m4_forest(spark, d):
     return rounded(pf.strategy_vs_hold(_predicted(spark, d), "prediction").select("symbol", "strategy_return", "hold_return"))
 
 
+def _by_symbol(spark, d):
+    return forests.fit_predict_by_symbol(learn.chronological(_features(spark, d)))
+
+
+@query("m2_symbol_forests")
+def m2_symbols(spark, d):
+    """One forest per supplier instead of a pooled one."""
+    return _by_symbol(spark, d)
+
+
+@query("m3_symbol_evaluation")
+def m3_symbols(spark, d):
+    """The suppliers' own forests, evaluated on their own test rows."""
+    return rounded(learn.evaluate(_by_symbol(spark, d)))
+
+
+@query("m4_symbol_return")
+def m4_symbols(spark, d):
+    """Return of holding where a supplier's own forest expects a rise."""
+    return rounded(pf.strategy_vs_hold(_by_symbol(spark, d), "prediction").select("symbol", "strategy_return", "hold_return"))
+
+
 _SPLIT = "sp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM feat), te AS (SELECT *, CAST(rsi_14 > 50 AS INTEGER) AS prediction FROM sp WHERE rn > floor(n * 0.8))"
 
 
