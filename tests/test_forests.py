@@ -37,14 +37,22 @@ def test_each_symbol_has_its_own_forest(table):
     assert {r.symbol for r in portfolio.strategy_vs_hold(p, "prediction").collect()} == set(got)
 
 
-def test_a_tree_fits_what_its_depth_can_part():
+def test_trees_fit_what_their_depth_can_part():
     r = np.random.RandomState(0)
     x = r.normal(0, 1, (400, 8))
     y = ((x[:, 0] > 0) & (x[:, 5] > 0)).astype(float)
-    tree = forests.grow(x, y, 8, r)
-    assert ((forests.shares(tree, x) > 0.5) == (y > 0)).mean() > 0.97
-    assert len(forests.grow(x, np.ones(400), 5, r)) == 1
-    assert len(forests.grow(np.zeros((50, 8)), (np.arange(50) % 2).astype(float), 5, r)) == 1  # nothing parts equal rows
+    assert ((forests.Forest(x, y, 50, 8, r).probability(x) > 0.5) == (y > 0)).mean() > 0.97
+    assert (forests.Forest(x, np.ones(400), 5, 5, r).probability(x) == 1.0).all()
+    flat = forests.Forest(np.zeros((50, 8)), (np.arange(50) % 2).astype(float), 40, 5, r).probability(np.zeros((3, 8)))
+    assert len(set(flat.tolist())) == 1 and 0.3 < flat[0] < 0.7  # nothing parts equal rows
+
+
+def test_one_tree_without_sampling_is_the_best_cut():
+    x = np.repeat(np.arange(10.0), 5)[:, None]
+    y = (x[:, 0] > 6).astype(float)
+    f = forests.Forest(x, y, 20, 1, np.random.RandomState(3))
+    assert all(abs(f.cuts[0][k] - 6.5) < 1.01 for k in f.levels[0][1][:, 0])
+    assert set((f.probability(np.array([[0.0], [9.0]])) > 0.5).tolist()) == {False, True}
 
 
 def test_no_rows(table):

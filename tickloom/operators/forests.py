@@ -1,7 +1,8 @@
 """One small random forest per symbol, all symbols in parallel.
 
-A symbol's rows are as many as its bars, so a forest fits one task; Spark spreads the symbols. Trees are grown level by
-level on bootstrap samples, a random subset of features at each node, split by the Gini impurity.
+A symbol's rows are as many as its bars, so a forest fits one task; Spark spreads the symbols. Trees are grown on bootstrap
+samples, level by level and all together, with a random subset of features at each node and the Gini impurity of binned
+features (exact for features of up to ``BINS`` values).
 """
 
 from __future__ import annotations
@@ -15,61 +16,75 @@ from pyspark.sql import DataFrame
 from ..functions.num import c
 from .learn import FEATURES
 
+BINS = 64
 OUT = "symbol string, date date, close double, target int, prediction int, probability double"
 
 
-def _split(x: np.ndarray, y: np.ndarray, features: np.ndarray) -> tuple[int, float] | None:
-    """Feature and threshold of the least impurity among some features; None if nothing parts the rows."""
-    n, best, found = len(y), np.inf, None
-    for f in features:
-        order = np.argsort(x[:, f], kind="stable")
-        v, ups = x[order, f], np.cumsum(y[order])
-        cut = np.flatnonzero(v[1:] > v[:-1])  # a cut lies between different values
-        if not len(cut):
-            continue
-        left, up = cut + 1.0, ups[cut]
-        right, rest = n - left, ups[-1] - up
-        impurity = up * (left - up) / left + rest * (right - rest) / right
-        k = int(impurity.argmin())
-        if impurity[k] < best - 1e-12:
-            best, found = impurity[k], (int(f), (v[cut[k]] + v[cut[k] + 1]) / 2)
-    return found
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int, r: np.random.RandomState) -> list[tuple]:
-    """A tree as nodes (feature, threshold, left, right, share of ones); a leaf has feature -1."""
-    some = max(1, int(np.sqrt(x.shape[1])))
-    nodes: list[tuple] = []
-    todo = [(np.arange(len(y)), 0, -1, 0)]
-    while todo:
-        rows, level, parent, side = todo.pop()
-        at, share = len(nodes), float(y[rows].mean())
-        if parent >= 0:
-            nodes[parent] = (*nodes[parent][: 2 + side], at, *nodes[parent][3 + side :])
-        cut = None
-        if level < depth and 0 < share < 1:
-            order = r.permutation(x.shape[1])
-            for k in range(0, len(order), some):  # further features only where the first ones do not part the rows
-                cut = _split(x[rows], y[rows], order[k : k + some])
-                if cut is not None:
-                    break
-        nodes.append((-1, 0.0, -1, -1, share) if cut is None else (cut[0], cut[1], -1, -1, share))
-        if cut is not None:
-            left = x[rows, cut[0]] <= cut[1]
-            todo += [(rows[~left], level + 1, at, 1), (rows[left], level + 1, at, 0)]
-    return nodes
-
-
-def shares(tree: list[tuple], x: np.ndarray) -> np.ndarray:
-    """The share of ones in the leaf of each row."""
-    feature, cut, left, right, share = (np.array(v) for v in zip(*tree, strict=True))
-    at = np.zeros(len(x), int)
-    while True:
-        inner = feature[at] >= 0
-        if not inner.any():
-            return share[at]
-        go = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= cut[at]
-        at = np.where(inner, np.where(go, left[at], right[at]), at)
+def bins_of(x: np.ndarray) -> list[np.ndarray]:
+    """Up to ``BINS`` cut points of each feature, between values that occur."""
+    out = []
+    for v in x.T:
+        values = np.unique(v)
+        cuts = (values[1:] + values[:-1]) / 2
+        out.append(cuts if len(cuts) < BINS else cuts[np.unique(np.linspace(0, len(cuts) - 1, BINS - 1).astype(int))])
+    return out
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(k, v) for k, v in zip(cuts, x.T, strict=True)], axis=1)
+
+
+class Forest:
+    """All trees of a forest, grown together: one histogram of (tree, node, feature, bin) for each level."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int, depth: int, r: np.random.RandomState) -> None:
+        n, m = x.shape
+        self.cuts, self.depth = bins_of(x), depth
+        rows = r.randint(0, n, (trees, n))
+        b, up = binned(x, self.cuts)[rows], y[rows]
+        node, tree = np.zeros((trees, n), int), np.arange(trees)[:, None]
+        some = max(1, int(np.sqrt(m)))
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for level in range(depth):
+            width = 1 << level
+            key = (((tree * width + node)[:, :, None] * m + np.arange(m)) * BINS + b).ravel()
+            size = trees * width * m * BINS
+            count = np.bincount(key, minlength=size).reshape(trees, width, m, BINS)
+            ones = np.bincount(key, np.repeat(up.ravel(), m), size).reshape(trees, width, m, BINS)
+            left, ups = np.cumsum(count, axis=3), np.cumsum(ones, axis=3)
+            total, rest = left[..., -1:], ups[..., -1:]
+            right, downs = total - left, rest - ups
+            with np.errstate(divide="ignore", invalid="ignore"):
+                impurity = ups * (left - ups) / left + downs * (right - downs) / right
+            open_ = (left > 0) & (right > 0) & (rest > 0) & (rest < total)
+            # features in random order, so many at a time: later ones only where the first do not part the rows
+            turn = r.rand(trees, width, m).argsort(axis=2).argsort(axis=2) // some
+            score = np.where(open_, impurity + turn[..., None] * float(n + 1), np.inf).reshape(trees, width, m * BINS)
+            best = score.argmin(axis=2)
+            none = ~np.isfinite(np.take_along_axis(score, best[..., None], 2)[..., 0])
+            feature, cut = np.where(none, -1, best // BINS), best % BINS
+            self.levels.append((feature, cut))
+            node = self._down(b, node, tree, feature, cut)
+        width = 1 << depth
+        at = (tree * width + node).ravel()
+        count, ones = np.bincount(at, minlength=trees * width), np.bincount(at, up.ravel(), trees * width)
+        self.share = (ones / np.maximum(count, 1)).reshape(trees, width)
+
+    @staticmethod
+    def _down(b: np.ndarray, node: np.ndarray, tree: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Children of the nodes: 2 * node to the left; a node that is not parted goes left as a whole."""
+        f, k = feature[tree, node], cut[tree, node]
+        value = np.take_along_axis(b, np.maximum(f, 0)[:, :, None], 2)[:, :, 0]
+        return 2 * node + ((f >= 0) & (value > k))
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """Mean share of ones over the trees."""
+        trees = len(self.share)
+        b = np.broadcast_to(binned(x, self.cuts), (trees, *x.shape))
+        node, tree = np.zeros((trees, len(x)), int), np.arange(trees)[:, None]
+        for feature, cut in self.levels:
+            node = self._down(b, node, tree, feature, cut)
+        return self.share[tree, node].mean(axis=0)
 
 
 def fit_predict_by_symbol(t: DataFrame, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
@@ -86,11 +101,7 @@ def fit_predict_by_symbol(t: DataFrame, trees: int = 100, depth: int = 5, seed:
             return pd.DataFrame([], columns=["symbol", "date", "close", "target", "prediction", "probability"])
         x, y, z = train[FEATURES].to_numpy(float), train.target.to_numpy(float), test[FEATURES].to_numpy(float)
         r = np.random.RandomState((zlib.crc32(str(key[0]).encode()) ^ seed) & 0x7FFFFFFF)
-        p = np.zeros(len(z))
-        for _ in range(trees):
-            rows = r.randint(0, len(y), len(y))
-            p += shares(grow(x[rows], y[rows], depth, r), z)
-        p /= trees
+        p = Forest(x, y, trees, depth, r).probability(z)
         out = test[["symbol", "date", "close", "target"]].copy()
         return out.assign(prediction=(p > 0.5).astype(int), probability=p)
 
