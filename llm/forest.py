@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm import words as W
-from llm.components import components
 from llm.jaccard import overlaps
+from llm.stars import components
 from llm.store import small_batches, written
 
 TREES, DEPTH, START = 16, 5, 2
@@ -252,7 +252,7 @@ def tied(nodes: DataFrame, num: int, den: int) -> DataFrame:
     ends = walked.where("cut IS NOT NULL").select((F.col("cut") * TREES + F.col("tree")).cast("int").alias("tree"), "key", F.col("a").alias("node"), "n", "cut")
     ends = ends.repartition("cut").sortWithinPartitions("tree", "key").select("tree", "key", "node", "n")
     again = ends.mapInArrow(_walked(num, den, 0, REGION), WALKED)
-    return walked.where("cut IS NULL").union(again).where("a != b").select("a", "b").distinct()
+    return walked.where("cut IS NULL").union(again).where("a != b").select("a", "b")
 
 
 def _sets(n: int):

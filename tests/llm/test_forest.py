@@ -110,3 +110,23 @@ def test_stars_of_a_task_keep_components():
         for x, y in zip(a, b, strict=True):
             want[x] = want[y] = min(want[x], want[y])
     assert dict(zip(nodes.tolist(), root.tolist(), strict=True)) == {k: v for k, v in want.items() if k != v}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_streamed_stars_find_components(spark, seed):
+    from llm import stars
+
+    r = random.Random(seed)
+    edges = [(r.randrange(500), r.randrange(500)) for _ in range(350)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2001 + i) for i in range(300)] + [(7, 7), (None, 3)]
+    want = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    while True:
+        new = dict(want)
+        for x, y in edges:
+            if x in want and y in want:
+                new[x] = new[y] = min(new[x], new[y])
+        if new == want:
+            break
+        want = new
+    got = stars.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()
+    assert len(got) == len(want) and {x.node: x.root for x in got} == want
+    assert stars.components(spark.createDataFrame([], "a long, b long")).count() == 0
