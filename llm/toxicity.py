@@ -2,7 +2,7 @@
 
 A text's features are its distinct words, pairs of adjacent words and pairs with one word between, hashed into a fixed
 number of coordinates. Words are runs of letters and digits, lower-cased; a word also counts as its stems, its first few
-bytes, so that inflected forms share weights. Every coordinate has its own learning rate, and
+bytes, so that inflected forms share weights. Every coordinate has a step size of its own, and
 the L1 term leaves few weights that are not 0, so that the model is small enough to broadcast at any size of the corpus.
 The model is fitted in shards whose states are averaged after each round.
 """

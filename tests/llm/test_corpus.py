@@ -228,7 +228,6 @@ def test_pipeline(spark, sf, docs):
     now, seen = docs, []
     for name, stage in C.STAGES:
         now = stage(spark, now, sf)
-        now.write.parquet(f"file:///tmp/llm-test-{random.getrandbits(60):x}") if False else None
         now = now.cache()
         seen.append((name, now.count()))
         if name != C.STAGES[-1][0]:
