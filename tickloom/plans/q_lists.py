@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ts
-from ..functions.num import c, rnd
+from ..functions.num import c, rnd, truth
 from ..functions.rolling import rolling
 from ..operators import consensus as con
 from ..operators import indicators as ind
@@ -97,11 +97,12 @@ def p6(spark, d):
 @query("p7_dma_variants", list_sql("""SELECT 'A' AS variant, symbol AS code, date, round(turnover, 2) AS turnover, round(prev_close, 4) AS previous_close, round(close, 4) AS cmp, round(diff_200, 4) AS diff_200_dma FROM lists WHERE trend_status = 'In Bull Run' AND car_rating = 'Buy/Average Out'
  UNION ALL SELECT 'B', symbol, date, round(turnover, 2), round(prev_close, 4), round(close, 4), round(diff_200, 4) FROM lists WHERE trend_status_sl = 'In Bull Run (SL)' AND car_rating = 'Buy/Average Out'"""))
 def p7(spark, d):
-    t = lists(spark, d)
-    pick = lambda v, x: x.select(
-        F.lit(v).alias("variant"), F.col("symbol").alias("code"), "date", rnd("turnover", 2).alias("turnover"), rnd("prev_close").alias("previous_close"), rnd("close").alias("cmp"), rnd("diff_200").alias("diff_200_dma")
-    )
-    return pick("A", rp.final_list(t)).unionByName(pick("B", rp.bull_sl_list(t))).orderBy("variant", "cmp")
+    # one pass: a row is offered to each variant that it is in
+    offers = F.array(*[F.struct(F.lit(v).alias("variant"), truth(cond).alias("_in")) for v, cond in (("A", rp.in_final()), ("B", rp.in_bull_sl()))])
+    t = lists(spark, d).select("*", F.inline(F.filter(offers, lambda x: x["_in"])))
+    return t.select(
+        "variant", F.col("symbol").alias("code"), "date", rnd("turnover", 2).alias("turnover"), rnd("prev_close").alias("previous_close"), rnd("close").alias("cmp"), rnd("diff_200").alias("diff_200_dma")
+    ).orderBy("variant", "cmp")
 
 
 _CAP = """cap AS (SELECT *, acctbal > 6000 AS is_large, acctbal > 2000 AND acctbal <= 6000 AS is_mid, acctbal > -500 AND acctbal <= 2000 AS is_small,
@@ -431,8 +432,9 @@ def j10(spark, d):
   body="SELECT u.symbol, CASE WHEN n_bars IS NULL OR n_bars < 2 THEN 'TICKER NOT FOUND' ELSE trend_status END AS trend_status, CASE WHEN n_bars IS NULL OR n_bars < 2 THEN 'TICKER NOT FOUND' ELSE car_rating END AS car_rating, round(close, 4) AS close, CASE WHEN n_bars IS NULL THEN 'MISSING_PARQUET' WHEN n_bars < 2 THEN 'INSUFFICIENT_HISTORY' ELSE 'PRESENT' END AS dq_status FROM u LEFT JOIN n USING (symbol) LEFT JOIN (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) l USING (symbol)"))
 def j11(spark, d):
     u = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"))
-    snap = ts.latest(lists(spark, d).select("symbol", "date", "close", "prev_close", "sma_50", "sma_200", "trend_status", "car_rating", "bottom_out_status"))
-    n = supplier_bars(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    rows = lists(spark, d).select("symbol", "date", "close", "prev_close", "sma_50", "sma_200", "trend_status", "car_rating", "bottom_out_status", F.count(F.lit(1)).over(ts.whole()).alias("n_bars"))
+    snap = written(ts.latest(rows))  # one row per symbol
+    n, snap = snap.select("symbol", "n_bars"), snap.drop("n_bars")
     return with_universe(u, snap, n).select("symbol", "trend_status", "car_rating", rnd("close").alias("close"), "dq_status")
 
 

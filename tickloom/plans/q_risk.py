@@ -13,6 +13,7 @@ from ..operators import portfolio as pf
 from ..operators import risk
 from ..operators import scoring as sc
 from ..operators import trend as tr
+from ..session import written
 from ..sources import bars as B
 from .catalog import query
 from .q_trend import CAR, D200
@@ -59,7 +60,7 @@ def r4(spark, d):
   CASE WHEN beta IS NOT NULL THEN printf('Beta=%.2f', round(beta, 2)) END, CASE WHEN max_drawdown_pct IS NOT NULL THEN printf('MaxDD=%.2f%%', round(max_drawdown_pct, 2)) END) AS risk_badge
   FROM risk LEFT JOIN beta USING (symbol)"""))
 def r5(spark, d):
-    b = supplier_bars(spark, d)
+    b = written(supplier_bars(spark, d))  # trades become bars once, for the risk table, the index and beta
     return risk.risk_badge(risk.risk_table(b).join(risk.beta(b, index_close(b)), "symbol", "left")).select("symbol", "risk_badge")
 
 
@@ -185,7 +186,7 @@ def z3(spark, d):
 @query("z4_sector_exposure", with_(BARS["s"], MASTER, _POS, body="""SELECT 'sector' AS kind, sector AS name, round(sum(qty * current_price), 2) AS value, round(sum(qty * current_price) / max(total), 6) AS share, sum(qty * current_price) / max(total) > 0.25 AS breach FROM pos, tot GROUP BY sector
  UNION ALL SELECT 'single', symbol, round(qty * current_price, 2), round(qty * current_price / total, 6), qty * current_price / total > 0.10 FROM pos, tot"""))
 def z4(spark, d):
-    p = positions(spark, d)
+    p = written(positions(spark, d))
     a = pf.sector_exposure(p, 1_000_000.0).select(F.lit("sector").alias("kind"), F.col("sector").alias("name"), rnd("exposure", 2).alias("value"), rnd("share", 6).alias("share"), "breach")
     b = pf.single_exposure(p, 1_000_000.0).select(F.lit("single").alias("kind"), F.col("symbol").alias("name"), rnd("value", 2).alias("value"), rnd("share", 6).alias("share"), "breach")
     return a.unionByName(b)
@@ -254,7 +255,7 @@ fs AS (SELECT symbol,
 
 def _score_input(spark, d):
     """Latest bar, CAR, risk, and stand-ins for the filings and the volatility from the supplier master."""
-    b = supplier_bars(spark, d)
+    b = written(supplier_bars(spark, d))  # trades become bars once, for the panel, the ratings and the risk table
     s = tr.diff_200(ts.latest(ind.recursive(ind.windows(b))))
     m = suppliers(spark, d).select(
         "symbol",
