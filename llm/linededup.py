@@ -3,12 +3,14 @@
 A chunk is two lines that follow each other (blank ones between them do not count), from every line on, or one line of LONG
 words or more. A passage that is shifted or set into another document has the same chunks there, whatever is around it, so
 all of its lines go: a match grows line by line as far as the texts agree. Of each chunk that occurs more than once in the
-corpus, the first occurrence by (doc_id, place) stays and the lines of all others go, after their bytes are compared; a
-chunk that shares a line with its first occurrence stays too.
+corpus, the first occurrence by (doc_id, place) stays and the lines of all others go, after their bytes are compared by a
+cryptographic digest (the bytes themselves would travel twice for every line); a chunk that shares a line with its first
+occurrence stays too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,6 +102,10 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": [pdf.i.iloc[0]], "twice": [twice.tobytes()]})
 
 
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
 def _candidates(classes):
     def run(batches):
         twice = np.unpackbits(np.frombuffer(classes.value, np.uint8)).astype(bool)
@@ -109,10 +115,10 @@ def _candidates(classes):
                 c = chunks(x)
                 ks = np.flatnonzero(twice[(c.h1 >> np.uint64(42)).astype(np.int64)])
                 text = lambda i: part.data[x.start[i] : x.end[i]].tobytes().rstrip(b"\n")  # noqa: B023, E731
-                body = [text(a) + b"\n" + text(b) if a < b else text(a) for a, b in zip(c.first[ks].tolist(), c.last[ks].tolist(), strict=True)]
+                body = [_digest(text(a) + b"\n" + text(b) if a < b else text(a)) for a, b in zip(c.first[ks].tolist(), c.last[ks].tolist(), strict=True)]
                 taken = batch.select(["doc_id", "key"]).take(pa.array(part.first + c.row[ks]))
                 kinds = [pa.array(c.nth[ks]), pa.array(c.h1[ks].view(np.int64)), pa.array(c.h2[ks].view(np.int64)), pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*taken.columns, *kinds], ["doc_id", "key", "nth", "h1", "h2", "body"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, *kinds], ["doc_id", "key", "nth", "h1", "h2", "digest"])
 
     return run
 
@@ -159,10 +165,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     parts = keyed.select("text").mapInArrow(_count, "i long, once binary, twice binary").groupBy("i").applyInPandas(_add, "i long, twice binary").collect()
     twice = b"".join(r.twice for r in sorted(parts, key=lambda r: r.i)) or bytes(CLASSES // 8)
     classes = docs.sparkSession.sparkContext.broadcast(twice)
-    found = keyed.select("doc_id", "key", "text").mapInArrow(_candidates(classes), "doc_id long, key long, nth long, h1 long, h2 long, body binary")
+    found = keyed.select("doc_id", "key", "text").mapInArrow(_candidates(classes), "doc_id long, key long, nth long, h1 long, h2 long, digest binary")
     place = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "key", "nth")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("body").alias("least"), F.max("body").alias("most"))
-    # all bytes are equal if the least and the greatest are
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+    # all bytes are equal if the least and the greatest digest are
     first = first.where("least = most AND first != last").select("h1", "h2", "first")
     again = found.select("doc_id", "key", "nth", "h1", "h2").join(first, ["h1", "h2"]).where(place != F.col("first"))
     # pairs of equal lines in a row share one
