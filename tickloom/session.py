@@ -31,8 +31,12 @@ def local_session(app: str = "tickloom", cpus: int | None = None, memory: str =
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder path under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"tickloom-{os.getpid()}")
+    """A new folder path under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset and the session is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"tickloom-{os.getpid()}")
     return f"{base}/{uuid.uuid4().hex}"
 
 
