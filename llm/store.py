@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests) a folder of this process."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and the session is local (tests) a folder of this process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"llm-{os.getpid()}")
     return where
 
