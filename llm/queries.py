@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import alignment, bpe, conversations, forest, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, toxicity, winnow
+from llm import alignment, bpe, conversations, forest, jaccard, licenses, linededup, mixing, perplexity, quality, sharding, sqltext, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(documents(spark, sf_dir), words=4, num=85, den=100)
 
 
+SQL["op1_jaccard_components"] = sqltext.components_sql(4)
+
+
 @query("op8_hypergeometric_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform shuffle of all documents into eight shards of exact sizes."""
@@ -104,6 +107,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_copies(documents(spark, sf_dir), words=3, num=85, den=100)
 
 
+SQL["op12_lsh_forest"] = sqltext.components_sql(3, kept=True)
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by rule and repaired at least cost."""
