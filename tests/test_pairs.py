@@ -86,3 +86,12 @@ def test_short_and_flat_series(spark):
     got = co.tested_pairs(spark.createDataFrame(rows, BAR), 1.0, 100).collect()
     assert [(r.symbol_a, r.symbol_b) for r in got] == [("A", "B")] and got[0].slope == 0.0
     assert co.tested_pairs(spark.createDataFrame([], BAR), 1.0, 100).count() == 0
+
+
+def test_a_symbol_lies_on_disk_once_however_many_blocks(spark):
+    """The product of blocks reads them where they lie; no copies of series for each block are shuffled."""
+    bars, _ = universe(spark)
+    r = co.tested_pairs(bars, 1.0, 150, per_block=2)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert r.count() == 60 * 59 // 2 and r.select("symbol_a", "symbol_b").distinct().count() == 60 * 59 // 2

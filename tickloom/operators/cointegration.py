@@ -1,8 +1,9 @@
 """Cointegrated pairs of a symbol universe by blocks of pairs.
 
 Every pair has to be tested (no bound on the statistic follows from the prices), so the work is quadratic by definition.
-Spark splits it: symbols hash into blocks, each symbol travels once per block, and a task gets one pair of blocks, i.e. a
-bounded number of price rows. Inside, all pairs of the two blocks are tested at once: their common days are a product of
+Spark splits it: symbols hash into blocks, a block is one row, and a product of the blocks with themselves hands every two of
+them to a task, i.e. a bounded number of price rows at a time. On disk a symbol lies once, however many blocks there are.
+Inside, all pairs of the two blocks are tested at once: their common days are a product of
 presence masks, their last ``lookback`` common bars two matrices, and every regression of the test one stacked QR. Only
 pairs that pass are emitted.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import c, rnd
+from ..session import written
 from .consensus import signal
 
 # fixed values: MacKinnon response surface for two variables with a constant
@@ -109,28 +111,55 @@ class _Block:
         return np.nonzero(ok)
 
     def windows(self, i: np.ndarray, j: np.ndarray, lookback: int) -> tuple[np.ndarray, np.ndarray]:
-        """Prices of the last ``lookback`` common days of each pair."""
-        both = self.there[i] & self.there[j]
-        after = np.cumsum(both[:, ::-1], axis=1)[:, ::-1]
-        both &= after <= lookback
-        return self.price[i][both].reshape(len(i), lookback), self.price[j][both].reshape(len(i), lookback)
+        """Prices of the last ``lookback`` common days of each pair; i ascends. Only days of the first symbol are looked at."""
+        x, y = np.empty((len(i), lookback)), np.empty((len(i), lookback))
+        firsts, starts = np.unique(i, return_index=True)
+        for first, start, end in zip(firsts, starts, [*starts[1:], len(i)], strict=True):
+            days, others = np.flatnonzero(self.there[first])[::-1], j[start:end]
+            both = self.there[np.ix_(others, days)]
+            both &= np.cumsum(both, axis=1, dtype=np.int32) <= lookback
+            common = days[np.nonzero(both)[1].reshape(len(others), lookback)[:, ::-1]]
+            x[start:end], y[start:end] = self.price[first, common], self.price[others[:, None], common]
+        return x, y
 
 
 _OUT = "symbol_a string, symbol_b string, p_value double, slope double, intercept double, residual_sd double, z_score double"
 
 
+_PACKED = "b int, symbols array<string>, sizes binary, days binary, prices binary"
+_TASKS = 24  # partitions of the blocks where they are many: their square is the number of tasks
+_SHARE = 128  # blocks at most in a partition, in the mean
+
+
+def _pack(key, pdf):
+    """The series of a block behind each other."""
+    days, prices = [np.asarray(x, np.int32) for x in pdf.d], [np.asarray(x, np.float64) for x in pdf.v]
+    sizes = np.array([len(x) for x in days], np.int32)
+    return pd.DataFrame({"b": [key[0]], "symbols": [pdf.symbol.tolist()], "sizes": [sizes.tobytes()], "days": [np.concatenate(days).tobytes()], "prices": [np.concatenate(prices).tobytes()]})
+
+
+def _unpack(b: int, symbols, sizes: bytes, days: bytes, prices: bytes) -> tuple[list[str], list[np.ndarray], list[np.ndarray], list[int]]:
+    at = np.cumsum(np.frombuffer(sizes, np.int32))[:-1]
+    return list(symbols), np.split(np.frombuffer(days, np.int32), at), np.split(np.frombuffer(prices, np.float64), at), [b] * len(symbols)
+
+
 def _blocks(bars: DataFrame, lookback: int, per_block: int) -> DataFrame:
-    """(b1, b2, symbol, days, prices): each symbol once for every pair of blocks it is in."""
-    packed = (
+    """Every two blocks, also each with itself, in one row: columns of ``_PACKED`` for the first, then for the second.
+
+    Each symbol is written and shuffled once; the tasks of the product read the blocks of two partitions each.
+    """
+    packed = written(
         bars.filter("close is not null").groupBy("symbol")
         .agg(F.array_sort(F.collect_list(F.struct(F.datediff("date", F.lit("1970-01-01").cast("date")).alias("d"), "close"))).alias("s"))
         .filter(F.size("s") >= lookback)
+        .select("symbol", F.col("s.d").alias("d"), F.col("s.close").alias("v"))
     )
-    blocks = max(1, math.ceil(bars.select("symbol").distinct().count() / per_block))
-    blk = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
-    t = packed.select("symbol", F.col("s.d").alias("d"), F.col("s.close").alias("v"), blk.alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    return t.select("*", other.alias("o")).select("symbol", "d", "v", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
+    blocks = max(1, math.ceil(packed.count() / per_block))
+    of = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("b")
+    packs = packed.groupBy(of).applyInPandas(_pack, _PACKED)
+    one = packs.repartition(min(blocks, max(_TASKS, blocks // _SHARE)), "b")
+    two = one.toDF(*[f"{x}_2" for x in one.columns])
+    return one.join(two.hint("shuffle_replicate_nl"), F.col("b") <= F.col("b_2"))
 
 
 def tested_pairs(bars: DataFrame, max_p: float | None = 0.05, lookback: int = 252, z_window: int = 60, per_block: int = 64, min_z: float = 0.0) -> DataFrame:
@@ -141,12 +170,13 @@ def tested_pairs(bars: DataFrame, max_p: float | None = 0.05, lookback: int = 25
     no test is run and p_value is NULL. One number is fetched first: how many symbols there are, to size the blocks.
     """
 
-    def test_block(key, pdf):
-        names = _OUT.replace(" string", "").replace(" double", "").split(", ")
-        if pdf.empty:
-            return pd.DataFrame([], columns=names)
-        blk = _Block(pdf.symbol.tolist(), [np.asarray(d) for d in pdf.d], [np.asarray(v) for v in pdf.v], pdf.b.tolist())
-        i, j = blk.pairs(key[0] == key[1], lookback)
+    names = _OUT.replace(" string", "").replace(" double", "").split(", ")
+
+    def test_block(row) -> pd.DataFrame:
+        one, two = _unpack(*row[:5]), _unpack(*row[5:])
+        alone = row[0] == row[5]
+        blk = _Block(*one) if alone else _Block(*[x + y for x, y in zip(one, two, strict=True)])
+        i, j = blk.pairs(alone, lookback)
         out = []
         step = max(1, _CELLS // max(lookback, blk.price.shape[1]))
         for k in range(0, len(i), step):
@@ -164,7 +194,12 @@ def tested_pairs(bars: DataFrame, max_p: float | None = 0.05, lookback: int = 25
             out += [(blk.symbols[i[k + r]], blk.symbols[j[k + r]], p[r], s, c0, e, z[r]) for r, s, c0, e in zip(keep, slope, intercept, rsd, strict=True)]
         return pd.DataFrame(out, columns=names)
 
-    r = _blocks(bars, lookback, per_block).groupBy("b1", "b2").applyInPandas(test_block, _OUT)
+    def test_blocks(frames):
+        for pdf in frames:
+            for row in pdf.itertuples(index=False, name=None):
+                yield test_block(row)
+
+    r = _blocks(bars, lookback, per_block).mapInPandas(test_blocks, _OUT)
     null = lambda x: F.when(~F.isnan(x), F.col(x))
     return r.withColumns({"p_value": null("p_value"), "z_score": null("z_score")})
 
