@@ -57,3 +57,14 @@ def test_one_tree_without_sampling_is_the_best_cut():
 
 def test_no_rows(table):
     assert forests.fit_predict_by_symbol(table.limit(0)).count() == 0
+
+
+def test_only_the_features_in_turn_are_counted(monkeypatch):
+    """A level's histogram holds the first few features of each node, not all of them; the trees are the same."""
+    r = np.random.RandomState(2)
+    x, y = r.normal(0, 1, (300, 8)), (r.rand(300) > 0.5).astype(float)
+    sizes, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda v, *a, **k: sizes.append(len(v)) or count(v, *a, **k))
+    f = forests.Forest(x, y, 20, 4, np.random.RandomState(7))
+    assert max(sizes) <= 20 * 300 * 2  # two of eight features, no row twice
+    assert all((k[0] < 8).all() and (k[1] < forests.BINS).all() for k in f.levels) and (f.levels[0][0] >= 0).all()

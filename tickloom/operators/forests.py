@@ -35,56 +35,76 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 
 
 class Forest:
-    """All trees of a forest, grown together: one histogram of (tree, node, feature, bin) for each level."""
+    """All trees of a forest, grown together: one histogram of (node, feature in turn, bin) for each level.
+
+    A node looks at a few features in random order at a time, at later ones only where the first do not part its rows: so
+    only those are counted. A row drawn several times for a tree is one row with a weight.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int, depth: int, r: np.random.RandomState) -> None:
         n, m = x.shape
         self.cuts, self.depth = bins_of(x), depth
         rows = r.randint(0, n, (trees, n))
-        b, up = binned(x, self.cuts)[rows], y[rows]
-        node, tree = np.zeros((trees, n), int), np.arange(trees)[:, None]
-        some = max(1, int(np.sqrt(m)))
+        b = binned(x, self.cuts)
+        drawn = np.bincount((rows + np.arange(trees)[:, None] * n).ravel(), minlength=trees * n).reshape(trees, n)
+        tree, row = np.nonzero(drawn)
+        weight = drawn[tree, row].astype(float)
+        ups, b = weight * y[row], b[row]
+        node, some = np.zeros(len(row), int), max(1, int(np.sqrt(m)))
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         for level in range(depth):
             width = 1 << level
-            key = (((tree * width + node)[:, :, None] * m + np.arange(m)) * BINS + b).ravel()
-            size = trees * width * m * BINS
-            count = np.bincount(key, minlength=size).reshape(trees, width, m, BINS)
-            ones = np.bincount(key, np.repeat(up.ravel(), m), size).reshape(trees, width, m, BINS)
-            left, ups = np.cumsum(count, axis=3), np.cumsum(ones, axis=3)
-            total, rest = left[..., -1:], ups[..., -1:]
-            right, downs = total - left, rest - ups
-            with np.errstate(divide="ignore", invalid="ignore"):
-                impurity = ups * (left - ups) / left + downs * (right - downs) / right
-            open_ = (left > 0) & (right > 0) & (rest > 0) & (rest < total)
-            # features in random order, so many at a time: later ones only where the first do not part the rows
-            turn = r.rand(trees, width, m).argsort(axis=2).argsort(axis=2) // some
-            score = np.where(open_, impurity + turn[..., None] * float(n + 1), np.inf).reshape(trees, width, m * BINS)
-            best = score.argmin(axis=2)
-            none = ~np.isfinite(np.take_along_axis(score, best[..., None], 2)[..., 0])
-            feature, cut = np.where(none, -1, best // BINS), best % BINS
-            self.levels.append((feature, cut))
-            node = self._down(b, node, tree, feature, cut)
+            turns = r.rand(trees, width, m).argsort(axis=2).reshape(trees * width, m)
+            feature, cut = np.full(trees * width, -1), np.zeros(trees * width, int)
+            at = tree * width + node
+            total, ones = np.bincount(at, weight, trees * width), np.bincount(at, ups, trees * width)
+            open_ = (ones > 0) & (ones < total)
+            for first in range(0, m, some):
+                left = np.flatnonzero(open_)
+                if not len(left):
+                    break
+                inside = np.flatnonzero(open_[at]) if len(left) < len(open_) else slice(None)
+                looked = np.sort(turns[left, first : first + some], axis=1)
+                best, parts = self._best(b[inside], np.searchsorted(left, at[inside]), weight[inside], ups[inside], looked, float(n + 1) * (first // some))
+                feature[left[parts]], cut[left[parts]] = looked[parts, best[parts] // BINS], best[parts] % BINS
+                open_[left[parts]] = False
+            self.levels.append((feature.reshape(trees, width), cut.reshape(trees, width)))
+            node = self._down(b, node, tree, *self.levels[-1])
         width = 1 << depth
-        at = (tree * width + node).ravel()
-        count, ones = np.bincount(at, minlength=trees * width), np.bincount(at, up.ravel(), trees * width)
+        at = tree * width + node
+        count, ones = np.bincount(at, weight, trees * width), np.bincount(at, ups, trees * width)
         self.share = (ones / np.maximum(count, 1)).reshape(trees, width)
 
+    @staticmethod
+    def _best(b: np.ndarray, at: np.ndarray, weight: np.ndarray, ups: np.ndarray, looked: np.ndarray, late: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each node the best (feature looked at, bin) by the Gini impurity, and whether there is one."""
+        nodes, some = looked.shape
+        key = ((at[:, None] * some + np.arange(some)) * BINS + np.take_along_axis(b, looked[at], 1)).ravel()
+        size, shape = nodes * some * BINS, (nodes, some, BINS)
+        left = np.cumsum(np.bincount(key, np.repeat(weight, some), size).reshape(shape), axis=2)
+        up = np.cumsum(np.bincount(key, np.repeat(ups, some), size).reshape(shape), axis=2)
+        right, down = left[..., -1:] - left, up[..., -1:] - up
+        with np.errstate(divide="ignore", invalid="ignore"):
+            impurity = up * (left - up) / left + down * (right - down) / right
+        score = np.where((left > 0) & (right > 0), impurity + late, np.inf).reshape(nodes, some * BINS)
+        best = score.argmin(axis=1)
+        return best, np.isfinite(score[np.arange(nodes), best])
+
     @staticmethod
     def _down(b: np.ndarray, node: np.ndarray, tree: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Children of the nodes: 2 * node to the left; a node that is not parted goes left as a whole."""
         f, k = feature[tree, node], cut[tree, node]
-        value = np.take_along_axis(b, np.maximum(f, 0)[:, :, None], 2)[:, :, 0]
+        value = np.take_along_axis(b, np.maximum(f, 0)[:, None], 1)[:, 0]
         return 2 * node + ((f >= 0) & (value > k))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Mean share of ones over the trees."""
         trees = len(self.share)
-        b = np.broadcast_to(binned(x, self.cuts), (trees, *x.shape))
-        node, tree = np.zeros((trees, len(x)), int), np.arange(trees)[:, None]
+        b, tree = np.tile(binned(x, self.cuts), (trees, 1)), np.repeat(np.arange(trees), len(x))
+        node = np.zeros(len(tree), int)
         for feature, cut in self.levels:
             node = self._down(b, node, tree, feature, cut)
-        return self.share[tree, node].mean(axis=0)
+        return self.share[tree, node].reshape(trees, len(x)).mean(axis=0)
 
 
 def fit_predict_by_symbol(t: DataFrame, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
