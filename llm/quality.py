@@ -8,6 +8,7 @@ documents: the share of those with label 0.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,8 @@ from llm import words as W
 from llm.store import written
 from llm.toxicity import remainder
 
-SAMPLE = 20_000  # labelled documents at most that the scores are fitted on
+RANGE = 20_000  # labelled documents, in the mean, of a range of hashes that is numbered by itself
+BINS, FEW = 1 << 12, 10_000  # of a round of a search for an order statistic; scores that are looked at themselves
 PARTNERS = 8  # preference pairs for each document of the rarer label
 STEEP = 2.0  # scores of the labelled documents, in deviations, for which the chance moves from 1/2 to 0.88
 
@@ -59,16 +61,62 @@ def _rows(batches):
     for batch in batches:
         for part in W.slices(batch.column("text")):
             some = batch.slice(part.first, part.rows)
-            yield pa.RecordBatch.from_arrays([some.column("label"), some.column("place"), pa.array(list(features(part)), pa.list_(pa.float64()))], ["label", "place", "x"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking | None:
-    """Scores from docs(doc_id, text) and labels(doc_id, label): of the labelled rows the first ``sample`` in hash order.
-    None if one of the labels is missing; null labels and ids are left out."""
-    chosen = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
-    chosen = chosen.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` narrow rows
-    rows = written(rows.select("label", "place", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_rows, "label int, place long, x array<double>"))
+            yield pa.RecordBatch.from_arrays([some.column("whole"), pa.array(list(features(part)), pa.list_(pa.float64()))], ["whole", "x"])
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """rows(whole, text) as a written table of whole and x, the features."""
+    return written(rows.select("whole", "text").mapInArrow(_rows, f"whole {rows.schema['whole'].dataType.simpleString()}, x array<double>"))
+
+
+def order_statistic(scores: DataFrame, k: int) -> float:
+    """The value with ``k`` smaller or equal ones before it in column s: counts by equal bins, then again inside one bin,
+    until few are left."""
+    while True:
+        low, high, n = scores.agg(F.min("s"), F.max("s"), F.count("s")).first()
+        if low == high:
+            return low
+        if n <= FEW:
+            return sorted(r.s for r in scores.select("s").collect())[k]
+        at = F.floor((F.col("s") - low) / (high - low) * BINS)
+        counts = scores.groupBy(at.alias("bin")).count().orderBy("bin").collect()  # at most ``BINS`` + 1 rows
+        for r in counts:
+            if k < r["count"]:
+                scores = scores.where(at == r["bin"])
+                break
+            k -= r["count"]
+
+
+def quantile(scores: DataFrame, share: float) -> float:
+    """The exact quantile of column s with linear interpolation."""
+    place = share * (scores.count() - 1)
+    low, high = (order_statistic(scores, k) for k in (math.floor(place), math.ceil(place)))
+    return low + (place - math.floor(place)) * (high - low)
+
+
+def numbered(rows: DataFrame, n: int) -> DataFrame:
+    """rows(label, place, ...), ``n`` in all, with nth: from 0 for each label in order of place. Ranges of places are
+    numbered each by itself; their counts, a few thousand rows, give the offsets."""
+    bits = max(1, math.ceil(math.log2(max(1, n / RANGE))))
+    rows = rows.withColumn("range", F.shiftright("place", 64 - bits))
+    before = F.sum("count").over(Window.partitionBy("label").orderBy("range")) - F.col("count")
+    offsets = rows.groupBy("label", "range").count().select("label", "range", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("label", "range").orderBy("place")) - 1
+    out = rows.withColumn("inside", inside).join(F.broadcast(offsets), ["label", "range"])
+    return out.withColumn("nth", F.col("inside") + F.col("before")).drop("range", "inside", "before")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Ranking | None:
+    """Scores from docs(doc_id, text) and labels(doc_id, label), all labelled rows. None if one of the labels is missing;
+    null labels and ids are left out."""
+    return _fit(measured(docs.select(F.struct("doc_id").alias("whole"), "text")), labels)
+
+
+def _fit(table: DataFrame, labels: DataFrame) -> Ranking | None:
+    """The same from the written features of documents, whole.doc_id and x."""
+    chosen = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+    rows = table.select("whole.doc_id", "x").join(chosen, "doc_id")
+    rows = written(rows.select("label", F.xxhash64("doc_id").alias("place"), "x"))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
@@ -76,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking | N
     stats = rows.agg(*[f(F.col("x")[i]) for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
     mean, scale = np.array(stats[0::2]), np.maximum(np.array(stats[1::2]), 1e-9)
     scaled = F.transform("x", lambda v, i: (v - F.element_at(F.array(*map(F.lit, mean.tolist())), i + 1)) / F.element_at(F.array(*map(F.lit, scale.tolist())), i + 1))
-    ranked = rows.withColumn("x", scaled).withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("place")) - 1)
+    rows = rows.withColumn("x", scaled)
+    ranked = numbered(rows, n[0] + n[1])
     few, many = sorted((0, 1), key=lambda k: n[k])
     k = F.explode(F.sequence(F.lit(0), F.lit(PARTNERS - 1)))
     left = ranked.where(F.col("label") == few).select("x", "nth", k.alias("k")).withColumn("other", F.pmod(F.col("nth") * PARTNERS + F.col("k"), F.lit(n[many])))
@@ -87,27 +136,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking | N
     pairs = pairs.select(array_to_vector(F.when(F.col("side") == 0, F.col("d")).otherwise(F.transform("d", lambda v: -v))).alias("features"), F.when(F.col("side") == 0, 1.0).otherwise(0.0).alias("label"))
     w = LogisticRegression(fitIntercept=False, standardization=False, regParam=1e-3, maxIter=60).fit(written(pairs)).coefficients.toArray()
     score = sum(F.element_at("x", i + 1) * float(v) for i, v in enumerate(w))
-    scores = ranked.select(score.alias("s"))
-    cut, spread = scores.agg(F.percentile("s", F.lit(n[0] / (n[0] + n[1]))), F.stddev_pop("s")).first()
+    scores = written(rows.select(score.alias("s")))
+    cut, spread = quantile(scores, n[0] / (n[0] + n[1])), scores.agg(F.stddev_pop("s")).first()[0]
     return Ranking(mean, scale, w, cut, max(spread, 1e-9))
 
 
-def _scores(rows: DataFrame, ranking: Ranking | None, keep_text: bool) -> DataFrame:
+def _chances(x: np.ndarray, r: Ranking | None) -> np.ndarray:
+    if r is None:
+        return np.full(len(x), 0.5)
+    s = (((x - r.mean) / r.scale) @ r.w - r.cut) / r.spread * STEEP
+    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
+def _scores(rows: DataFrame, ranking: Ranking | None) -> DataFrame:
     """rows(whole, text) with score; whole is any struct."""
     model = rows.sparkSession.sparkContext.broadcast(ranking)
 
     def run(batches):
-        r = model.value
         for batch in batches:
             for part in W.slices(batch.column("text")):
-                score = np.full(part.rows, 0.5)
-                if r is not None:
-                    s = (((features(part) - r.mean) / r.scale) @ r.w - r.cut) / r.spread * STEEP
-                    score = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
                 some = batch.slice(part.first, part.rows)
-                yield pa.RecordBatch.from_arrays([some.column("whole"), *([some.column("text")] if keep_text else []), pa.array(score)], ["whole", *(["text"] if keep_text else []), "score"])
+                yield pa.RecordBatch.from_arrays([some.column("whole"), some.column("text"), pa.array(_chances(features(part), model.value))], ["whole", "text", "score"])
 
-    kind = f"whole {rows.schema['whole'].dataType.simpleString()}, " + "text string, " * keep_text + "score double"
+    kind = f"whole {rows.schema['whole'].dataType.simpleString()}, text string, score double"
     return rows.mapInArrow(run, kind)
 
 
@@ -118,13 +169,25 @@ def scored(docs: DataFrame, ranking: Ranking | None) -> DataFrame:
     docs = docs.drop("score")
     others = [c for c in docs.columns if c != "text"]
     whole = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_"))
-    out = _scores(docs.select(whole.alias("whole"), "text"), ranking, True)
+    out = _scores(docs.select(whole.alias("whole"), "text"), ranking)
     return out.select(*[F.col("text") if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns], "score")
 
 
+def _scores_of_table(table: DataFrame, ranking: Ranking | None) -> DataFrame:
+    """whole and score from whole and x."""
+    model = table.sparkSession.sparkContext.broadcast(ranking)
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(_chances(x, model.value if batch.num_rows else None))], ["whole", "score"])
+
+    return table.mapInArrow(run, f"whole {table.schema['whole'].dataType.simpleString()}, score double")
+
+
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labels.where(remainder(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("label"))
-    ranking = fit(docs, rows)
     whole = F.struct("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
-    out = _scores(docs.select(whole.alias("whole"), "text"), ranking, False).select("whole.*", "score")
+    table = measured(docs.select(whole.alias("whole"), "text"))  # the texts are read once
+    out = _scores_of_table(table, _fit(table, rows)).select("whole.*", "score")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -260,3 +260,22 @@ def test_stages_keep_clashing_columns(spark, sf, odd, empty):
         assert {(r.score, r.n_lines, r.key, r.body, r.gone) for r in got.collect()} == {("mine", 7, "k", "b", "g")}, name
         assert stage(spark, empty, sf).count() == 0, name
     assert C.STAGES[-1][1](spark, more, sf).count() == 12
+
+
+def test_quality_counts_every_labelled_row(spark):
+    """More labelled rows than were once sampled: means, ranks and quantile are those of all of them."""
+    n = 20_600
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word, "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("label"))
+    whole = quality.measured(docs.select(F.struct("doc_id").alias("whole"), "text"))
+    mean = whole.agg(*[F.avg(F.col("x")[i]) for i in range(len(whole.first().x))]).first()
+    got = quality.fit(docs, labels)
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got.mean, mean))
+    rows = labels.select("label", F.xxhash64("doc_id").alias("place"))
+    nth = {}
+    for r in quality.numbered(rows, 100_000 * n).orderBy("place").collect():
+        assert r.nth == nth.get(r.label, 0)
+        nth[r.label] = r.nth + 1
+    scores = spark.range(n).select(F.when(F.col("id") == 5, 1e9).otherwise(F.col("id") * F.col("id") % 9973 / 7.0).alias("s"))
+    for share in (0.0, 0.14, 0.5, 1.0):
+        assert quality.quantile(scores, share) == pytest.approx(scores.agg(F.percentile("s", F.lit(share))).first()[0], rel=1e-12)
