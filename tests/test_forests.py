@@ -68,3 +68,18 @@ def test_only_the_features_in_turn_are_counted(monkeypatch):
     f = forests.Forest(x, y, 20, 4, np.random.RandomState(7))
     assert max(sizes) <= 20 * 300 * 2  # two of eight features, no row twice
     assert all((k[0] < 8).all() and (k[1] < forests.BINS).all() for k in f.levels) and (f.levels[0][0] >= 0).all()
+
+
+def test_rolling_hurst_is_plain_arithmetic(spark):
+    """No interpreted lambda for each bar, and the condition on complete rows does not compute the slope again."""
+    from tickloom.operators import risk
+
+    days = [("A", D0 + dt.timedelta(days=i), 10.0 + (i * 7 % 5)) for i in range(60)]
+    bars = spark.createDataFrame(days, "symbol string, date date, close double")
+    assert "lambdafunction" not in risk.rolling_hurst(bars)._jdf.queryExecution().optimizedPlan().toString()
+    plan = learn.feature_table(bars.withColumns({"rsi_14": bars.close, "macd_hist": bars.close}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and not any("ln(" in line or "LOG(" in line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Filter") and "_s2" in line)
+    xs, ys = np.log([2, 3, 4]), [0.3, 0.9, 0.2]
+    one = spark.createDataFrame([(*ys,), (0.3, None, 0.2), (None, None, 0.2)], "a double, b double, c double")
+    got = [r.s for r in one.select(risk._slope(list(map(float, xs)), [one.a, one.b, one.c]).alias("s")).collect()]
+    assert got[0] == pytest.approx(np.polyfit(xs, ys, 1)[0]) and got[1] == pytest.approx((0.2 - 0.3) / (xs[2] - xs[0])) and got[2] is None

@@ -33,7 +33,8 @@ def feature_table(panel: DataFrame) -> DataFrame:
     if "deliv_pct" not in panel.columns:
         b = b.withColumn("deliv_pct", F.lit(0.0))
     b = rolling_hurst(b.withColumns({"vol_20d": ts.std(F.col("_lr"), 20), "target": went_up()}))
-    return b.select("symbol", "date", "close", *FEATURES, "target").na.drop()
+    # hurst_20 and target always have a value; a condition on them would compute them twice
+    return b.select("symbol", "date", "close", *FEATURES, "target").na.drop(subset=["symbol", "date", "close", *[f for f in FEATURES if f != "hurst_20"]])
 
 
 def _macd_from_first_bar(b: DataFrame, fast: int = 12, slow: int = 26, sig: int = 9) -> DataFrame:

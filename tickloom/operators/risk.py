@@ -81,15 +81,16 @@ def risk_badge(t: DataFrame) -> DataFrame:
 
 def _slope(xs: list[float], ys: list[Column]) -> Column:
     """Least-squares slope through (x, y) for the y that are not NULL."""
-    pts = F.filter(
-        F.array(*[F.when(y.isNotNull(), F.struct(F.lit(x).alias("x"), y.alias("y"))) for x, y in zip(xs, ys)]),
-        lambda p: p.isNotNull(),
-    )
-    tot = lambda fn: F.aggregate(pts, F.lit(0.0), lambda a, p: a + fn(p))
-    n = F.size(pts)
-    mx = tot(lambda p: p["x"]) / n
-    sxx = tot(lambda p: p["x"] * p["x"]) - n * mx * mx
-    sxy = tot(lambda p: p["x"] * p["y"]) - mx * tot(lambda p: p["y"])
+    def tot(fn) -> Column:
+        out = F.lit(0.0)
+        for x, y in zip(xs, ys, strict=True):  # plain sums: a lambda over an array is interpreted, once for each place that names it
+            out = out + F.when(y.isNotNull(), fn(F.lit(x), y)).otherwise(0.0)
+        return out
+
+    n = tot(lambda x, y: F.lit(1.0))
+    mx = tot(lambda x, y: x) / n
+    sxx = tot(lambda x, y: x * x) - n * mx * mx
+    sxy = tot(lambda x, y: x * y) - mx * tot(lambda x, y: y)
     return F.when(n >= 2, sdiv(sxy, sxx))
 
 
@@ -117,10 +118,11 @@ def rolling_hurst(bars: DataFrame, n: int = 20, lags: int = 5) -> DataFrame:
     b = ts.position(bars).withColumns({f"_d{k}": ts.diff(lp, k) for k in ks})
     # the n closes before a bar hold n-k differences of lag k
     b = b.withColumns({f"_s{k}": F.stddev_samp(f"_d{k}").over(ts.by_symbol().rowsBetween(-(n - k), -1)) for k in ks})
-    s = _slope([math.log(k) for k in ks], [F.when(F.col(f"_s{k}") > 0, F.log(f"_s{k}")) for k in ks])
+    b = b.withColumns({f"_y{k}": F.when(F.col(f"_s{k}") > 0, F.log(f"_s{k}")) for k in ks})
+    s = _slope([math.log(k) for k in ks], [F.col(f"_y{k}") for k in ks])
     h = F.when(c.bn >= n, F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
     drop = [x for x in ("bn", "n_bars") if x not in bars.columns]
-    return b.withColumn(f"hurst_{n}", F.coalesce(h, F.lit(0.5))).drop(*drop, *[f"_{p}{k}" for p in "ds" for k in ks])
+    return b.withColumn(f"hurst_{n}", F.coalesce(h, F.lit(0.5))).drop(*drop, *[f"_{p}{k}" for p in "dsy" for k in ks])
 
 
 def vol_regime(bars: DataFrame, high: float = 35.0, low: float = 15.0, min_obs: int = 60) -> DataFrame:
