@@ -43,18 +43,18 @@ def decay_sums(df: DataFrame, specs: dict[str, tuple[Column, float]], key: str =
         for n, (u, r) in specs.items()
     }
     df = df.withColumns(local)
-    ends = {f"_e_{n}": F.collect_list(F.when(k == BLOCK - 1, F.col(f"_l_{n}"))).over(before) for n in specs}
-    df = df.withColumns(ends)
+    # the block ends seen by a row are one list of rows, not a list per series
+    df = df.withColumn("_ends", F.collect_list(F.when(k == BLOCK - 1, F.struct(*local))).over(before))
+    seen = F.col("_ends")
     out = {}
     for n, (_, r) in specs.items():
-        seen = F.col(f"_e_{n}")
-        carry = F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), _fold(float(r) ** BLOCK))).otherwise(0.0)
+        carry = F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), _fold(float(r) ** BLOCK, f"_l_{n}"))).otherwise(0.0)
         out[n] = F.col(f"_l_{n}") + F.pow(F.lit(r), k + 1) * carry
-    return df.withColumns(out).drop(*local, *ends)
+    return df.withColumns(out).drop(*local, "_ends")
 
 
-def _fold(q: float):
-    return lambda acc, x: acc * F.lit(q) + x
+def _fold(q: float, name: str):
+    return lambda acc, x: acc * F.lit(q) + x[name]
 
 
 def seeded(x: Column, first: int, alpha: float, seed: Column) -> Column:
@@ -63,6 +63,15 @@ def seeded(x: Column, first: int, alpha: float, seed: Column) -> Column:
     return F.when(bn == first, seed).when(bn > first, F.lit(alpha) * x)
 
 
+def seed_shares(x: Column, start: int, first: int, r: float, n: int = 1) -> Column:
+    """The seed sum(x of bars start..first) / n at bar ``first`` as inputs of those bars: decayed by r, they add up to it there.
+
+    Smoothing is linear, so no running sum has to be known before it.  NULL on other bars.
+    """
+    bn = F.col("bn")
+    return F.when(bn.between(start, first), x / F.lit(float(n)) * F.pow(F.lit(r), bn - first))
+
+
 def run_sum(x: Column, start: int, key: str = "symbol") -> Column:
     """Running sum of ``x`` from bar ``start`` on: at the seeding bar it is the seed's total."""
     w = W.partitionBy(key).orderBy("_blk", "bn").rowsBetween(W.unboundedPreceding, 0)

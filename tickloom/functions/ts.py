@@ -34,6 +34,11 @@ def whole(key: str = "symbol") -> WindowSpec:
     return W.partitionBy(key)
 
 
+def throughout(key: str = "symbol", order: str = "date") -> WindowSpec:
+    """All rows of the symbol, as a frame on the shared order."""
+    return by_symbol(key, order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
 def full(agg: Column, x: Column, n: int, w: WindowSpec | None = None) -> Column:
     """``agg`` over the last n rows, NULL until n non-null values are present."""
     w = w or back(n)
@@ -114,7 +119,8 @@ def position(df: DataFrame) -> DataFrame:
     """Add ``bn`` (0-based bar number) and ``n_bars`` of the symbol, unless present."""
     if "bn" in df.columns:
         return df
-    return df.withColumns({"bn": bar_no(), "n_bars": F.count(F.lit(1)).over(whole())})
+    # the count runs on the same order, so both are one window operator
+    return df.withColumns({"bn": bar_no(), "n_bars": F.count(F.lit(1)).over(throughout())})
 
 
 def age() -> Column:

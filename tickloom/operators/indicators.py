@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +53,17 @@ def extremes(bars: DataFrame) -> DataFrame:
 
 
 def _cci_raw(n: int) -> dict[str, Column]:
-    tp, w = F.col("_tp"), ts.back(n)
-    return {"_tw": F.when(F.count(tp).over(w) == n, F.collect_list(tp).over(w)), "_tm": ts.mean(tp, n)}
+    return {f"_tp{i}": ts.lag(F.col("_tp"), i) for i in range(1, n)}
 
 
 def _cci_finish(b: DataFrame, n: int) -> DataFrame:
-    m = F.col("_tm")
+    tps = [F.col(f"_tp{i}") for i in range(n - 1, 0, -1)] + [F.col("_tp")]
+    b = b.withColumn("_tm", reduce(add, tps) / n)
+    m, mad = F.col("_tm"), F.col("_mad")
     dev = F.col("_tp") - m
-    b = b.withColumn("_mad", F.aggregate("_tw", F.lit(0.0), lambda a, x: a + F.abs(x - m)) / n)
-    mad = F.col("_mad")
+    b = b.withColumn("_mad", reduce(add, [F.abs(x - m) for x in tps]) / n)
     out = F.when(mad.isNotNull(), F.when((mad != 0) & (dev != 0), sdiv(dev, 0.015 * mad)).otherwise(0.0))
-    return b.withColumn(f"cci_{n}", out).drop("_tp", "_tw", "_tm", "_mad")
+    return b.withColumn(f"cci_{n}", out).drop("_tp", *_cci_raw(n), "_tm", "_mad")
 
 
 def cci(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -78,7 +81,11 @@ def _activity_raw(n: int) -> dict[str, Column]:
 
 def _activity_finish(b: DataFrame, n: int) -> DataFrame:
     r = F.col("_r")
-    b = b.withColumns({"_mu": ts.mean(r, n), "_rsd": ts.std(r, n)})
+    return _activity_labels(b.withColumns({"_mu": ts.mean(r, n), "_rsd": ts.std(r, n)}))
+
+
+def _activity_labels(b: DataFrame) -> DataFrame:
+    r = F.col("_r")
     return b.withColumns(
         {
             "z_score": F.coalesce(sdiv(r - F.col("_mu"), F.col("_rsd")), F.lit(0.0)),
@@ -118,28 +125,28 @@ def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14,
             "_mdm": F.when((dn > 0) & (dn > up), dn).otherwise(0.0),
         }
     )
-    # start values
-    b = b.withColumns(
-        {
-            "_all": recur.run_sum(c.close, 0),
-            "_late": recur.run_sum(c.close, slow - fast),
-            **{f"_t{k}": recur.run_sum(F.col(f"_{k}"), 1) for k in ("g", "d", "tr", "pdm", "mdm")},
-        }
-    )
+    if internals:
+        b = b.withColumns(
+            {
+                "_all": recur.run_sum(c.close, 0),
+                "_late": recur.run_sum(c.close, slow - fast),
+                **{f"_t{k}": recur.run_sum(F.col(f"_{k}"), 1) for k in ("g", "d", "tr", "pdm", "mdm")},
+            }
+        )
     w = (n - 1) / n
+
+    def smoothed(x: Column, start: int, first: int, r: float, m: int, alpha: float) -> tuple[Column, float]:
+        return recur.seed_shares(x, start, first, r, m).when(bn > first, F.lit(alpha) * x), r
+
     specs = {}
-    for m in ema:
-        a = 2.0 / (m + 1)
-        specs[f"ema_{m}"] = (recur.seeded(c.close, m - 1, a, F.col("_all") / m), 1 - a)
-    for name, m, total in (("_fast", fast, F.col("_late")), ("_slow", slow, F.col("_all"))):
+    for name, m, start, first in [(f"ema_{m}", m, 0, m - 1) for m in ema] + [("_fast", fast, slow - fast, slow - 1), ("_slow", slow, 0, slow - 1)]:
         a = 2.0 / (m + 1)
-        specs[name] = (recur.seeded(c.close, slow - 1, a, total / m), 1 - a)
+        specs[name] = smoothed(c.close, start, first, 1 - a, m, a)
     for k in ("g", "d", "tr"):
-        specs[f"_w{k}"] = (recur.seeded(F.col(f"_{k}"), n, 1.0 / n, F.col(f"_t{k}") / n), w)
+        specs[f"_w{k}"] = smoothed(F.col(f"_{k}"), 1, n, w, n, 1.0 / n)
     # Wilder sums: bars 1..n-1 add up, then S = S - S/n + x
     for k in ("pdm", "mdm", "tr"):
-        x = F.col(f"_{k}")
-        specs[f"_z{k}"] = (F.when(bn == n - 1, F.col(f"_t{k}")).when(bn > n - 1, x), w)
+        specs[f"_z{k}"] = smoothed(F.col(f"_{k}"), 1, n - 1, w, 1, 1.0)
     b = recur.decay_sums(b, specs)
 
     pdi = F.coalesce(100.0 * sdiv(F.col("_zpdm"), F.col("_ztr")), F.lit(0.0))
@@ -159,18 +166,19 @@ def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14,
     b = b.withColumn("_dx", F.when(p + m_ > 0, 100.0 * F.abs(p - m_) / (p + m_)))
     first_adx, first_sig = 2 * n - 1, slow + sig - 2
     # DX is undefined only on a leading stretch without any movement, where ADX stays 0
-    b = b.withColumns(
-        {
-            "_ms": recur.run_sum(F.col("_macd"), slow - 1) / sig,
-            "_xs": recur.run_sum(F.coalesce(F.col("_dx"), F.lit(0.0)), n) / n,
-        }
-    )
+    if internals:
+        b = b.withColumns(
+            {
+                "_ms": recur.run_sum(F.col("_macd"), slow - 1) / sig,
+                "_xs": recur.run_sum(F.coalesce(F.col("_dx"), F.lit(0.0)), n) / n,
+            }
+        )
     a = 2.0 / (sig + 1)
     b = recur.decay_sums(
         b,
         {
-            "_sig": (recur.seeded(F.col("_macd"), first_sig, a, F.col("_ms")), 1 - a),
-            "_adx": (recur.seeded(F.col("_dx"), first_adx, 1.0 / n, F.col("_xs")), w),
+            "_sig": smoothed(F.col("_macd"), slow - 1, first_sig, 1 - a, sig, a),
+            "_adx": smoothed(F.col("_dx"), n, first_adx, w, n, 1.0 / n),
         },
     )
     b = b.withColumns(
@@ -201,6 +209,63 @@ def indicators(bars: DataFrame) -> DataFrame:
     return recursive(windows(bars))
 
 
+def latest_columns(bars: DataFrame) -> DataFrame:
+    """The per-bar columns behind :func:`latest_aggs`: position, return and CCI."""
+    return cci(with_typical_price(ts.position(bars.withColumn("_r", ts.pct_change(c.close)))))
+
+
+def latest_aggs() -> dict[str, Column]:
+    """Windows of :func:`windows` and averages of :func:`recursive` at the last bar only, as aggregates over bars by age.
+
+    A row carries no window columns; an exponential average at the last bar is one weighted sum.
+    """
+    age, bn, n_bars = ts.age(), F.col("bn"), F.col("n_bars")
+
+    def back(fn, x: Column, n: int, skip: int = 0) -> Column:
+        x = F.when(age.between(skip, skip + n - 1), x)
+        return F.when(F.count(x) == n, fn(x))
+
+    def ema(m: int) -> Column:
+        a = 2.0 / (m + 1)
+        share = F.when(bn < m, F.pow(F.lit(1 - a), n_bars - m) / m).otherwise(F.lit(a) * F.pow(F.lit(1 - a), age))
+        return F.when(F.max(bn) >= m - 1, F.sum(share * c.close))
+
+    mean = lambda x: F.sum(x) / F.count(x)
+    pick = {"min": F.min, "max": F.max}
+    return {
+        "prev_close": F.max(F.when(age == 1, c.close)),
+        "bb_middle": back(F.avg, c.close, 20),
+        "_bsd": back(F.stddev_pop, c.close, 20),
+        "std_20": back(F.stddev_samp, c.close, 20),
+        "_va": back(F.avg, c.volume, 20),
+        "_mu": back(F.avg, F.col("_r"), 20),
+        "_rsd": back(F.stddev_samp, F.col("_r"), 20),
+        **{f"sma_{n}": back(mean, c.close, n) for n in SMA_LENGTHS},
+        **{k: back(pick[op], F.col(x), n) for k, (op, x, n) in {**_EXTREMES, "high_20": ("max", "high", 20)}.items()},
+        "prev_high_55": back(F.max, c.high, 55, 1),
+        "prev_sma_100": back(mean, c.close, 100, 1),
+        **{f"ema_{m}": ema(m) for m in EMA_LENGTHS},
+    }
+
+
+def latest_finish(per_symbol: DataFrame) -> DataFrame:
+    """The rest of the last bar's columns, from its own ``_r`` and the aggregates."""
+    return _activity_labels(_bollinger_finish(per_symbol, 2.0))
+
+
+def last_row(columns: list[str]) -> Column:
+    """The last bar's columns as one struct; the wide row is built for that bar only."""
+    return F.first(F.when(ts.age() == 0, F.struct(*columns)), ignorenulls=True)
+
+
+def latest_indicators(bars: DataFrame) -> DataFrame:
+    """``ts.latest(indicators(bars))`` without the window columns of earlier bars."""
+    p = recursive(latest_columns(bars), ema=())
+    aggs = latest_aggs()
+    s = p.groupBy("symbol").agg(last_row([x for x in p.columns if x not in ("symbol", "n_bars", "bn")]).alias("_last"), *[v.alias(k) for k, v in aggs.items()])
+    return latest_finish(s.select("symbol", "_last.*", *aggs))
+
+
 def divergence_aggs(lookback: int = 20) -> dict[str, Column]:
     """Aggregates of :func:`divergence_labels`: the last ``lookback`` bars of the symbol, no more."""
     bar = F.struct("bn", "close", F.col("rsi_14").alias("r"), F.col("macd_hist").alias("m"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ts
 from ..functions.num import c, evaluated
 from . import indicators as ind
 from . import strategies as st
@@ -17,18 +16,19 @@ def snapshot(bars: DataFrame, cap: float = 20.0) -> DataFrame:
 
     Every window runs on the (symbol, date) order, the recursive indicators on its
     block-refined form, and a single ``groupBy("symbol")`` on the same partitioning
-    takes the latest row together with all per-symbol aggregates.  Bar-wise labels
-    are computed on the one remaining row per symbol.
+    takes the latest row together with all per-symbol aggregates.  What only the last
+    bar needs (means, bands, extremes, candles, exponential averages) is an aggregate
+    over bars by age, so that no bar carries window columns through the later windows.
+    Bar-wise labels are computed on the one remaining row per symbol.
     """
-    p = ind.windows(bars).withColumn("_up", st.went_up())
-    p = st.supertrend_columns(st.vcp_columns(tr.car_columns(st.candles(p))))
-    p = st.knn_columns(ind.recursive(p))
+    p = ind.latest_columns(bars.withColumn("_up", st.went_up()))
+    p = st.supertrend_columns(st.vcp_columns(tr.car_columns(p)))
+    p = st.knn_columns(ind.recursive(p, ema=()))
     aggs = {**tr.car_aggs(), **st.vcp_aggs(), **st.supertrend_aggs(), **st.knn_aggs(), **ind.divergence_aggs()}
-    latest = [x for x in p.columns if not x.startswith("_") and x not in ("symbol", "n_bars")]
-    # the wide row is built for the last bar only
-    last = F.first(F.when(ts.age() == 0, F.struct(*latest)), ignorenulls=True)
-    s = p.groupBy("symbol").agg(last.alias("_last"), *[v.alias(k) for k, v in aggs.items()])
-    s = s.select("symbol", "_last.*", *aggs)
+    aggs |= {**ind.latest_aggs(), **st.candle_aggs()}
+    latest = ["_r", *[x for x in p.columns if not x.startswith("_") and x not in ("symbol", "n_bars")]]
+    s = p.groupBy("symbol").agg(ind.last_row(latest).alias("_last"), *[v.alias(k) for k, v in aggs.items()])
+    s = st.candle_latest(ind.latest_finish(s.select("symbol", "_last.*", *aggs)))
     s = st.knn_labels(ind.divergence_labels(st.vcp_labels(tr.car_labels(s))))
     s = st.supertrend_labels(s.withColumn("_d", st.supertrend_fold(F.col("_st"))), "_d", "_d").drop("_st", "_d")
     s = evaluated(s)

@@ -209,6 +209,29 @@ def candles(bars: DataFrame) -> DataFrame:
         {f"_{x}{k}": F.lag(src, k).over(ts.by_symbol()) for k in (1, 2) for x, src in
          (("o", "open"), ("c", "close"), ("h", "_hi"), ("l", "_lo"), ("bd", "_b"), ("w", "low"), ("m", "_ab"), ("q", "_a5"))}
     )
+    return candle_labels(b).drop(*[x for x in b.columns if x.startswith("_") and x not in bars.columns])
+
+
+def candle_aggs() -> dict[str, Column]:
+    """What :func:`candle_labels` reads of the bars before the last one, as aggregates over bars by age."""
+    age, body, rng = ts.age(), F.abs(c.close - c.open), c.high - c.low
+    at = lambda k, x: F.max(F.when(age == k, x))
+    mean = lambda lo, hi, x: F.avg(F.when(age.between(lo, hi), x))
+    high, low = F.greatest(c.open, c.close), F.least(c.open, c.close)
+    past = {k: {"o": c.open, "c": c.close, "h": high, "l": low, "bd": body, "w": c.low} for k in (1, 2)}
+    return {
+        "_ab": mean(1, 10, body), "_ar": mean(1, 10, rng), "_m1": mean(2, 11, body), "_m2": mean(3, 12, body), "_q1": mean(2, 6, rng),
+        **{f"_{x}{k}": at(k, src) for k, cols in past.items() for x, src in cols.items()},
+    }
+
+
+def candle_latest(per_symbol: DataFrame) -> DataFrame:
+    """:func:`candles` of the last bar, from its own prices and :func:`candle_aggs`."""
+    own = {"_b": F.abs(c.close - c.open), "_hi": F.greatest(c.open, c.close), "_lo": F.least(c.open, c.close)}
+    return candle_labels(per_symbol.withColumns(own)).drop(*own, *candle_aggs())
+
+
+def candle_labels(b: DataFrame) -> DataFrame:
     g = lambda k: F.col(f"_{k}")
     upper, lower = c.high - g("hi"), g("lo") - c.low
     white, black1 = c.close >= c.open, g("c1") < g("o1")
@@ -229,7 +252,7 @@ def candles(bars: DataFrame) -> DataFrame:
         F.coalesce(hit((c.bn >= 2) & bull, "Bullish Engulfing"), hit((c.bn >= 2) & bear, "Bearish Engulfing")),
         hit(hammer, "Hammer"), hit(star, "Shooting Star"), hit(morning, "Morning Star"),
     )
-    return b.withColumn("candle_pattern", F.when(names == "", "None").otherwise(names)).drop(*[x for x in b.columns if x.startswith("_") and x not in bars.columns])
+    return b.withColumn("candle_pattern", F.when(names == "", "None").otherwise(names))
 
 
 KNN_FEATURES = ["rsi_14", "adx_14", "cci_14", "macd_hist"]
