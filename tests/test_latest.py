@@ -4,9 +4,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.functions import ts
-from tickloom.operators import indicators, strategies
+from tickloom.operators import indicators, portfolio, reports, strategies
 from tickloom.operators.snapshot import snapshot
 
 
@@ -57,3 +58,37 @@ def test_last_bar_equals_the_panel(spark):
 def test_snapshot_windows_are_narrow(spark):
     widths = windows_of(snapshot(bars(spark, (30,))).select("symbol", "vcp_action", "trend_status", "knn_action"))
     assert max(widths) <= 50 and sum(widths) <= 400
+
+
+def nodes(df, name):
+    found, todo = 0, [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        p = todo.pop()
+        found += p.nodeName() == name
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_grouped_bars_need_no_grouping(spark):
+    t = strategies.bar_strategies(indicators.indicators(bars(spark, (3, 230, 300)))).withColumn("traded_value", F.col("close") * F.col("volume"))
+    want = reports.grouped_view(reports.strategy_rows(t), ("symbol", "date"))
+    got = reports.grouped_bars(t)
+    assert got.columns == want.columns and nodes(got, "Aggregate") == 0
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows and rows == sorted(tuple(r) for r in want.collect())
+
+
+def test_rules_share_their_windows(spark):
+    b = bars(spark, (40, 60))
+    rules = {"a": (F.col("close") > F.col("open"), F.col("close") < 50), "b": (F.col("close") < 52, F.col("close") > 48), "c": (F.col("volume") > 500, F.lit(None) > 0)}
+    got = portfolio.rule_positions(b, rules)
+    assert nodes(got, "Window") == 2
+    entry = {"a": lambda r: r.close > r.open, "b": lambda r: r.close < 52, "c": lambda r: r.volume > 500}
+    leave = {"a": lambda r: r.close < 50, "b": lambda r: r.close > 48, "c": lambda r: False}
+    now, symbol = {}, None
+    for r in got.orderBy("symbol", "date").collect():
+        if r.symbol != symbol:
+            now, symbol = dict.fromkeys(rules, 0), r.symbol
+        for k in rules:
+            now[k] = int(entry[k](r)) if now[k] == 0 else int(not leave[k](r))
+            assert r[k] == now[k], (r.symbol, r.date, k)

@@ -205,8 +205,11 @@ def windows(bars: DataFrame) -> DataFrame:
 
 
 def indicators(bars: DataFrame) -> DataFrame:
-    """Every indicator column at once: one shuffle by symbol feeds all windows."""
-    return recursive(windows(bars))
+    """Every indicator column at once: one shuffle by symbol feeds all windows.
+
+    The recursive ones come first: their blocks need a sort of their own, of rows that are still narrow.
+    """
+    return windows(recursive(bars))
 
 
 def latest_columns(bars: DataFrame) -> DataFrame:

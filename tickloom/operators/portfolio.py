@@ -91,12 +91,20 @@ def rule_position(bars: DataFrame, entry: Column, exit_: Column, name: str = "po
     enters, long leaves).  So the state is the last one-sided event, flipped once
     per two-sided bar since.
     """
-    e, x = truth(entry), truth(exit_)
-    b = bars.withColumns({"_set": F.when(e & ~x, 1).when(x & ~e, 0), "_flip": (e & x).cast("int")})
-    b = b.withColumn("_flips", F.sum("_flip").over(ts.sofar()))
-    b = b.withColumn("_at", F.last(F.when(F.col("_set").isNotNull(), F.struct("_set", "_flips")), ignorenulls=True).over(ts.sofar()))
-    state = (F.coalesce(F.col("_at._set"), F.lit(0)) + F.col("_flips") - F.coalesce(F.col("_at._flips"), F.lit(0))) % 2
-    return b.withColumn(name, state.cast("int")).drop("_set", "_flip", "_flips", "_at")
+    return rule_positions(bars, {name: (entry, exit_)})
+
+
+def rule_positions(bars: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """:func:`rule_position` of several rules by column name, in two window operators for all of them."""
+    raw, flips, at, state = {}, {}, {}, {}
+    for k, (entry, exit_) in rules.items():
+        e, x = truth(entry), truth(exit_)
+        raw |= {f"_set_{k}": F.when(e & ~x, 1).when(x & ~e, 0), f"_flip_{k}": (e & x).cast("int")}
+        flips[f"_flips_{k}"] = F.sum(f"_flip_{k}").over(ts.sofar())
+        last = lambda col: F.last(F.when(F.col(f"_set_{k}").isNotNull(), F.col(col)), ignorenulls=True).over(ts.sofar())  # noqa: E731, B023
+        at |= {f"_at_{k}": last(f"_set_{k}"), f"_from_{k}": last(f"_flips_{k}")}
+        state[k] = ((F.coalesce(F.col(f"_at_{k}"), F.lit(0)) + F.col(f"_flips_{k}") - F.coalesce(F.col(f"_from_{k}"), F.lit(0))) % 2).cast("int")
+    return bars.withColumns(raw).withColumns(flips).withColumns(at).withColumns(state).drop(*raw, *flips, *at)
 
 
 def rules() -> dict[str, tuple[Column, Column]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.num import bands, c, flag, money, sdiv, truth
+from ..functions.num import bands, c, evaluated, flag, money, sdiv, truth
 from ..session import written
 from .consensus import BUY_LABELS, VOTERS
 from .strategies import BAR_WISE
@@ -55,16 +55,20 @@ IDLE = {**{v: "Hold" for v in BAR_WISE}, "rsi_ladder": "No Action", "turtle": "N
 GROUP_VALUES = ("traded_value", "close", "change_pct", "z_score", "vol_spike", "rsi_14", "tech_score", "diff_pct")
 
 
-def strategy_rows(t: DataFrame) -> DataFrame:
-    """One row per (row, strategy) whose action is not idle, with its target, stop and, where it has one, difference."""
+def _entries(t: DataFrame) -> Column:
+    """The strategies of a row whose action is not idle, in strategy order."""
     cols = set(t.columns)
     pick = lambda v, what: F.col(f"{v}_{what}") if f"{v}_{what}" in cols else F.lit(None).cast("double")
     entry = lambda i, v: F.struct(
         F.lit(i).alias("ord"), F.lit(v).alias("strategy"), F.col(f"{v}_action").alias("action"), pick(v, "target").alias("target"), pick(v, "sl").alias("stop_loss"), pick(v, "diff").alias("diff_pct"), F.lit(IDLE[v]).alias("idle")
     )
-    rows = F.filter(F.array(*[entry(i, v) for i, v in enumerate(BAR_WISE)]), lambda x: x["action"] != x["idle"])
-    keep = [x for x in ("symbol", "date", *GROUP_VALUES) if x in cols and x != "diff_pct"]
-    return t.select(*keep, F.explode(rows).alias("_s")).select(*keep, "_s.ord", "_s.strategy", "_s.action", "_s.target", "_s.stop_loss", "_s.diff_pct")
+    return F.filter(F.array(*[entry(i, v) for i, v in enumerate(BAR_WISE)]), lambda x: x["action"] != x["idle"])
+
+
+def strategy_rows(t: DataFrame) -> DataFrame:
+    """One row per (row, strategy) whose action is not idle, with its target, stop and, where it has one, difference."""
+    keep = [x for x in ("symbol", "date", *GROUP_VALUES) if x in t.columns and x != "diff_pct"]
+    return t.select(*keep, F.explode(_entries(t)).alias("_s")).select(*keep, "_s.ord", "_s.strategy", "_s.action", "_s.target", "_s.stop_loss", "_s.diff_pct")
 
 
 def grouped_view(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -75,7 +79,18 @@ def grouped_view(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFr
     """
     values = [x for x in GROUP_VALUES if x in rows.columns]
     parts = F.array_sort(F.collect_list(F.struct("ord", "strategy", "action", "target", "stop_loss")))
-    g = rows.groupBy(*keys).agg(*[F.min_by(x, F.when(F.col(x).isNotNull(), F.col("ord"))).alias(x) for x in values], parts.alias("_p"))
+    return _joined(rows.groupBy(*keys).agg(*[F.min_by(x, F.when(F.col(x).isNotNull(), F.col("ord"))).alias(x) for x in values], parts.alias("_p")), keys, values)
+
+
+def grouped_bars(t: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """:func:`grouped_view` of :func:`strategy_rows` where each row is a group of its own (``keys`` are unique): nothing to group."""
+    values = [x for x in GROUP_VALUES if x in t.columns or x == "diff_pct"]
+    g = evaluated(t.select(*keys, *[x for x in values if x != "diff_pct"], _entries(t).alias("_p"))).filter(F.size("_p") > 0)
+    known = F.filter(F.transform("_p", lambda x: x["diff_pct"]), lambda x: x.isNotNull())
+    return _joined(g.withColumn("diff_pct", F.get(known, F.lit(0))), keys, values)
+
+
+def _joined(g: DataFrame, keys: tuple[str, ...], values: list[str]) -> DataFrame:
     text = lambda f: F.concat_ws(" | ", F.transform("_p", lambda x: x[f]))
     nums = lambda f: F.concat_ws(" | ", F.transform(F.filter("_p", lambda x: x[f].isNotNull()), lambda x: money(x[f])))
     return g.select(

@@ -85,7 +85,7 @@ _ROWS = "rows_ AS (SELECT * FROM (" + " UNION ALL ".join(
 
 
 def _strategy_rows(spark, d):
-    p = ind.recursive(ind.windows(supplier_bars(spark, d))).withColumn("traded_value", c.close * c.volume)
+    p = supplier_panel(spark, d).withColumn("traded_value", c.close * c.volume)
     return rp.strategy_rows(st.bar_strategies(p))
 
 
@@ -189,7 +189,7 @@ def a2(spark, d):
   body="SELECT gr.*, round(change_pct, 4) AS change_pct, round(z_score, 4) AS z_score, round(vol_spike, 4) AS vol_spike, round(rsi_14, 4) AS rsi_14, tech_score FROM gr JOIN sc USING (symbol, date)"))
 def a3(spark, d):
     p = ind.tech_score(supplier_panel(spark, d)).withColumn("traded_value", c.close * c.volume)
-    g = rp.grouped_view(rp.strategy_rows(st.bar_strategies(p)), ("symbol", "date"))
+    g = rp.grouped_bars(st.bar_strategies(p))
     return g.withColumns({"traded_value": rnd("traded_value", 2), **{x: rnd(x) for x in ("close", "diff_pct", "change_pct", "z_score", "vol_spike", "rsi_14")}}).orderBy(F.desc("traded_value"))
 
 

@@ -216,10 +216,7 @@ walk AS (SELECT symbol, bn, date, """ + ", ".join(f"CASE WHEN e_{k} THEN 1 ELSE
 
 
 def _rules_panel(spark, d):
-    p = ind.recursive(ind.windows(supplier_bars(spark, d)))
-    for name, (entry, exit_) in pf.rules().items():
-        p = pf.rule_position(p, entry, exit_, f"p_{name}")
-    return p
+    return pf.rule_positions(ind.indicators(supplier_bars(spark, d)), {f"p_{name}": rule for name, rule in pf.rules().items()})
 
 
 @query("z7_rule_positions", panel("s", _WALK, body="SELECT symbol, date, " + ", ".join(f"p_{k}" for k in _RULES_SQL) + " FROM walk"))
@@ -256,7 +253,7 @@ fs AS (SELECT symbol,
 def _score_input(spark, d):
     """Latest bar, CAR, risk, and stand-ins for the filings and the volatility from the supplier master."""
     b = written(supplier_bars(spark, d))  # trades become bars once, for the panel, the ratings and the risk table
-    s = tr.diff_200(ts.latest(ind.recursive(ind.windows(b))))
+    s = tr.diff_200(ind.latest_indicators(b))
     m = suppliers(spark, d).select(
         "symbol",
         F.when(c.acctbal > 0, c.acctbal / 100.0).alias("garch_vol_pct"),
