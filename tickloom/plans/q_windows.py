@@ -253,4 +253,4 @@ def w8(spark, d):
   CASE WHEN macd_hist IS NULL THEN 'N/A' WHEN macd > macd_signal THEN 'BULLISH' ELSE 'BEARISH' END AS macd_state, CASE WHEN bb_upper > bb_lower THEN round((close - bb_lower) / (bb_upper - bb_lower) * 100, 1) END AS bb_position_pct,
   CASE WHEN adx_14 IS NULL THEN 'N/A' WHEN adx_14 > 25 THEN 'STRONG' ELSE 'WEAK' END AS adx_state, round(atr_14 / close * 100, 2) AS atr_pct, CASE WHEN cci_14 IS NULL THEN 'N/A' WHEN cci_14 >= 100 THEN 'OVERBOUGHT' WHEN cci_14 <= -100 THEN 'OVERSOLD' ELSE 'NEUTRAL' END AS cci_zone FROM panel WHERE is_last"""))
 def t13(spark, d):
-    return ind.latest_labels(ts.latest(supplier_panel(spark, d)))
+    return ind.latest_labels(ind.latest_indicators(supplier_bars(spark, d)))
