@@ -92,3 +92,16 @@ def test_rules_share_their_windows(spark):
         for k in rules:
             now[k] = int(entry[k](r)) if now[k] == 0 else int(not leave[k](r))
             assert r[k] == now[k], (r.symbol, r.date, k)
+
+
+def test_block_sort_is_narrow(spark):
+    """The sort by blocks holds prices, bar number and block, no lagged or derived column."""
+    b = indicators.recursive(bars(spark, (30,)).select("symbol", "date", "high", "low", "close")).select("symbol", "date", "adx_14")
+    widths = []
+    plan = [b._jdf.queryExecution().optimizedPlan()]
+    while plan:
+        p = plan.pop()
+        if p.nodeName() == "Window" and "_blk" in p.toString().split("\n")[0]:
+            widths.append(p.children().apply(0).output().size())
+        plan += [p.children().apply(i) for i in range(p.children().size())]
+    assert min(widths) <= 8

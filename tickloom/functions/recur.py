@@ -24,10 +24,13 @@ BLOCK = 512
 
 
 def with_blocks(df: DataFrame) -> DataFrame:
-    """Add the block number and the row number inside the block used by :func:`decay_sums`."""
-    return ts.position(df).withColumns(
-        {"_blk": F.floor(F.col("bn") / BLOCK).cast("int"), "_k": (F.col("bn") % BLOCK).cast("double")}
-    )
+    """Add the bar number and its block, by which :func:`decay_sums` sorts."""
+    return ts.position(df).withColumn("_blk", F.floor(F.col("bn") / BLOCK).cast("int"))
+
+
+def in_blocks(key: str = "symbol"):
+    """The order of bars by block, which is that by date: windows on it share the sort of :func:`decay_sums`."""
+    return W.partitionBy(key).orderBy("_blk", "bn")
 
 
 def decay_sums(df: DataFrame, specs: dict[str, tuple[Column, float]], key: str = "symbol") -> DataFrame:
@@ -36,8 +39,8 @@ def decay_sums(df: DataFrame, specs: dict[str, tuple[Column, float]], key: str =
     All series of one call share the two windows.
     """
     inside = W.partitionBy(key, "_blk").orderBy("bn").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(key).orderBy("_blk", "bn").rowsBetween(W.unboundedPreceding, -1)
-    k = F.col("_k")
+    before = in_blocks(key).rowsBetween(W.unboundedPreceding, -1)
+    k = (F.col("bn") % BLOCK).cast("double")
     local = {
         f"_l_{n}": F.pow(F.lit(r), k) * F.sum(F.coalesce(u, F.lit(0.0)) * F.pow(F.lit(r), -k)).over(inside)
         for n, (u, r) in specs.items()

@@ -114,7 +114,8 @@ def recursive(bars: DataFrame, ema: tuple[int, ...] = EMA_LENGTHS, n: int = 14,
     had = set(bars.columns)
     b = recur.with_blocks(bars)
     bn = F.col("bn")
-    b = b.withColumns({"_pc": ts.lag(c.close), "_ph": ts.lag(c.high), "_pl": ts.lag(c.low)})
+    # after the sort by blocks, so that it holds no column made here
+    b = b.withColumns({f"_p{x[0]}": F.lag(x).over(recur.in_blocks()) for x in ("close", "high", "low")})
     chg, up, dn = c.close - F.col("_pc"), c.high - F.col("_ph"), F.col("_pl") - c.low
     b = b.withColumns(
         {
