@@ -83,3 +83,31 @@ def test_rolling_hurst_is_plain_arithmetic(spark):
     one = spark.createDataFrame([(*ys,), (0.3, None, 0.2), (None, None, 0.2)], "a double, b double, c double")
     got = [r.s for r in one.select(risk._slope(list(map(float, xs)), [one.a, one.b, one.c]).alias("s")).collect()]
     assert got[0] == pytest.approx(np.polyfit(xs, ys, 1)[0]) and got[1] == pytest.approx((0.2 - 0.3) / (xs[2] - xs[0])) and got[2] is None
+
+
+def test_the_pooled_forest_keeps_nothing_per_row_and_tree(spark, table, monkeypatch):
+    """However its rows are dealt the forest is the same, its rows are written once, and nothing is cached; it parts what a rule parts."""
+    from tickloom.operators import pooled_forest
+
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    of = lambda t: {(r.symbol, r.date): (r.prediction, r.probability) for r in learn.fit_predict(t, trees=20).collect()}
+    got = of(table.filter("symbol <> 'C'").repartition(5))
+    assert got == of(table.filter("symbol <> 'C'").coalesce(1)) and len(spark.sparkContext._jsc.getPersistentRDDs()) == kept
+    target = {(r.symbol, r.date): r.target for r in table.collect()}
+    assert len(got) == 101 and sum(got[k][0] == target[k] for k in got if k[0] == "A") > 50
+    assert learn.fit_predict(table.filter("symbol = 'D'")).count() == 0 == learn.fit_predict(table.limit(0)).count()
+    r = np.random.RandomState(0)
+    rows = [(i, *map(float, x), int(x[0] > 0 and x[1] > 0)) for i, x in enumerate(r.normal(0, 1, (2000, 2)))]
+    t = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    f = pooled_forest.grow(t, ["a", "b"], "y", t.id, 10, 3, 1)
+    assert ((f.probability(np.array(rows)[:, 1:3]) > 0.5) == (np.array(rows)[:, 3] == 1)).mean() > 0.97
+    weights = np.array(list(pooled_forest.weights(r.randint(0, 2**62, 4000), 10, 3)))
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.05 and abs(np.corrcoef(weights)[0, 1:]).max() < 0.06
+
+
+def test_leaves_that_vote_alike_are_one():
+    from tickloom.operators import pooled_forest
+
+    leaves = np.array([[[3.0, 1], [5, 1], [1, 4], [9, 2]], [[0, 5], [0, 0], [1, 2], [0, 4]]])
+    got = pooled_forest.merged(leaves)
+    assert got[0].tolist() == [[8, 2], [8, 2], [1, 4], [9, 2]] and got[1].tolist() == [[1, 11]] * 4

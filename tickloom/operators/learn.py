@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import recur, ts
 from ..functions.num import c, sdiv
-from ..session import work_folder
+from . import pooled_forest
 from .risk import rolling_hurst
 from .strategies import went_up
 
@@ -53,16 +52,20 @@ def chronological(t: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def fit_predict(t: DataFrame, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Random forest fitted on the training rows of all symbols, predictions for the rest.
+    """Random forest fitted on the training rows of all symbols, predictions for the rest; none without training rows.
 
-    Predictions come from the saved model: a fitted one carries its training summary, and with it the session, into tasks.
+    A row is told from others by its symbol and date. The forest passes over its training rows once a level.
     """
-    v = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(t)
-    m = RandomForestClassifier(labelCol="target", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(v.filter("is_train"))
-    at = work_folder(t.sparkSession)
-    m.save(at)
-    p = RandomForestClassificationModel.load(at).transform(v.filter(~c.is_train))
-    return p.select("symbol", "date", "close", "target", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability"))
+    key = F.xxhash64("symbol", "date")
+    m = t.sparkSession.sparkContext.broadcast(pooled_forest.grow(t.filter("is_train"), FEATURES, "target", key, trees, depth, seed))
+
+    @F.pandas_udf("double")
+    def probability(*cols: pd.Series) -> pd.Series:
+        return pd.Series(m.value.probability(np.column_stack([x.to_numpy(float) for x in cols])))
+
+    rest = t.filter(~c.is_train) if m.value else t.limit(0)
+    p = rest.select("symbol", "date", "close", "target", probability(*FEATURES).alias("probability"))
+    return p.select("symbol", "date", "close", "target", (c.probability > 0.5).cast("int").alias("prediction"), "probability")
 
 
 def evaluate(p: DataFrame) -> DataFrame:
