@@ -315,3 +315,21 @@ def test_net_position_default(spark):
     p = spark.createDataFrame([("A", "MIS", 5, 1), ("A", "MIS", 9, 2)], "symbol string, product string, net_qty long, row_no int")
     assert reports.net_position(p, "A", "MIS").first().net_qty == "5"
     assert reports.net_position(p, "B", "MIS").first().net_qty == "0"
+
+
+def test_anomalies_read_their_rows_once(spark, monkeypatch):
+    """Bars are aggregated for one written table, no lambda is evaluated for each row and tree, and the paths are those of a walk down each tree."""
+    seen, write = [], anomaly.written
+    monkeypatch.setattr(anomaly, "written", lambda df: seen.append(df) or write(df))
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(r.normal(0, 1, (700, 2)))], "id int, a double, b double")
+    monkeypatch.setattr(anomaly.F, "filter", None)  # the filter by a lambda
+    rows = anomaly.isolation_anomalies(df, ["a", "b"], trees=7, sample=64).collect()
+    assert len(seen) == 2 and len(rows) == 7
+
+    def path(t, x, depth=0):
+        return depth + anomaly._c(t[0]) if len(t) == 1 else path(t[2] if x[t[0]] < t[1] else t[3], x, depth + 1)
+
+    x = np.vstack((r.normal(0, 1, (200, 2)), [[np.nan, 0.0], [np.inf, -np.inf]]))
+    for tree in (anomaly._grow(x[:100], r, 0, 6), anomaly._grow(x[:1], r, 0, 6)):
+        assert anomaly._depths(*anomaly._levels(tree), x.T.ravel(), np.arange(len(x))).tolist() == [path(tree, v) for v in x]
