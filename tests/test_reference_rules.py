@@ -142,6 +142,29 @@ def test_workers_import_the_package(tmp_path):
     assert "rows 54" in out.stdout, out.stderr[-2000:]
 
 
+def test_a_files_day_and_header_are_found_once(spark, tmp_path, monkeypatch):
+    """Not again for each line: the day is parsed before the lines are, and aliases are looked up once for many lines."""
+    looked = []
+
+    class Aliases(dict):
+        def __getitem__(self, k):
+            looked.append(k)
+            return super().__getitem__(k)
+
+    (tmp_path / "day=20240106").mkdir()
+    (tmp_path / "day=20240106" / "a.csv").write_text("SYMBOL,SERIES,CLOSE,TURNOVER\n" + "".join(f"S{i},EQ,{i},{2 * i}\n" for i in range(500)) + "S,EQ\n")
+    raw = fl.read_daily_files(spark, str(tmp_path / "*"), r"day=(\d{8})", "path")
+    assert {(r.day, r.SYMBOL, r.TURNOVER) for r in raw.collect()} == {(dt.date(2024, 1, 6), f"S{i}", str(2 * i)) for i in range(500)}
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("regexp_extract")
+    import pyarrow as pa
+
+    monkeypatch.setattr(fl, "ALIASES", Aliases(fl.ALIASES))
+    batch = pa.RecordBatch.from_arrays([pa.array(["x/a.csv"]), pa.array([dt.date(2024, 1, 6)]), pa.array([b"SYMBOL,SERIES\n" + b"A,EQ\n" * 900 + b"B\n"])], ["path", "day", "content"])
+    got = pa.Table.from_batches(list(fl._parsed_files(iter([batch]))))
+    assert got.num_rows == 901 and len(looked) < 50 and sorted(got.column("line").to_pylist()) == list(range(2, 903))
+
+
 def test_order_codes_and_bans(spark):
     o = spark.createDataFrame([("BUY", "MARKET", "CNC"), ("HOLD", "??", "??")], "action string, pricetype string, product string")
     known, unknown = broker.encode_orders(o).collect()

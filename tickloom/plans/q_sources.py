@@ -51,10 +51,12 @@ def daily_files(spark, d):
     short = F.when(c.volume % 3 == 0, F.concat_ws(",", *cells[:4]))
     lines = F.array_compact(F.array(F.struct(F.lit(1).alias("k"), whole.alias("value")), F.when(short.isNotNull(), F.struct(F.lit(2).alias("k"), short.alias("value")))))
     rows = b.select(F.date_format("date", "yyyyMMdd").alias("day"), F.inline(lines))
-    first = b.select(F.date_format("date", "yyyyMMdd").alias("day"), F.lit(0).alias("k"), F.when(old, heads[0]).otherwise(heads[1]).alias("value")).distinct()
+    # the days of the trades are those of the bars
+    days = table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")).distinct()
+    first = days.select(F.date_format("date", "yyyyMMdd").alias("day"), F.lit(0).alias("k"), F.when(old, heads[0]).otherwise(heads[1]).alias("value"))
     at = work_folder(spark)
     # a day's lines are rows of one task and follow their header into one file
-    rows.union(first).repartition("day").sortWithinPartitions("day", "k", "value").select("day", "value").write.partitionBy("day").text(at)
+    rows.union(first).repartition("day").sortWithinPartitions("day", "k").select("day", "value").write.partitionBy("day").text(at)
     return at
 
 

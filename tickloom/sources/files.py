@@ -6,7 +6,7 @@ import csv
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,56 +36,74 @@ def read_symbol_files(spark: SparkSession, path: str) -> DataFrame:
 DAILY_FIELDS = ("symbol", "series", "open", "high", "low", "close", "volume", "deliv_qty", "deliv_pct")
 
 
-_LINE = "day_text string, file string, line long, ragged boolean, text string, " + ", ".join(f"{ALIASES[f][0]} string" for f in (*DAILY_FIELDS, "turnover"))
+_LINE = "day date, file string, line long, ragged boolean, text string, " + ", ".join(f"{ALIASES[f][0]} string" for f in (*DAILY_FIELDS, "turnover"))
+_NAMES = [x.strip().split(" ")[0] for x in _LINE.split(",")]
+_SYMBOL = frozenset(ALIASES["symbol"])
 
 
-def _parsed_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of whole files by each file's own header."""
-    names = [x.strip().split(" ")[0] for x in _LINE.split(",")]
-    for pdf in batches:
-        out: list[tuple] = []
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+def _parsed_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of whole files by each file's own header, a few thousand of them at a time and a column of these at a time."""
+    for batch in batches:
+        for path, day, content in zip(*(batch.column(x) for x in ("path", "day", "content")), strict=True):
+            text = bytes(memoryview(content.as_buffer())).decode("utf-8-sig", errors="replace")
             header: dict[str, int] = {}
-            width, text = 0, bytes(content).decode("utf-8-sig", errors="replace")
+            width, n, held = 0, 0, []
             for n, cells in enumerate(csv.reader(io.StringIO(text, newline=""), skipinitialspace=True), 1):
-                cells = [x.strip() for x in cells]
-                if not any(cells):
+                if not cells or not (first := cells[0].strip()) and not any(x.strip() for x in cells):
                     continue
-                if not header or cells[0] in ALIASES["symbol"]:
-                    header, width = {h: k for k, h in reversed(list(enumerate(cells)))}, len(cells)
+                if not header or first in _SYMBOL:
+                    if held:
+                        yield from _columns(path.as_py(), day, held, header, width)
+                    cells = [x.strip() for x in cells]
+                    header, width, held = {h: k for k, h in reversed(list(enumerate(cells)))}, len(cells), []
                     continue
-                ragged = len(cells) < width or any(cells[width:])  # blank cells behind the last one do no harm
-                get = lambda f: next((cells[header[h]] for h in ALIASES[f] if h in header), None)  # noqa: B023, E731
-                found = [None] * (len(DAILY_FIELDS) + 1) if ragged else [*(get(f) for f in DAILY_FIELDS), _turnover(cells, header)]
-                out.append((path, path.rsplit("/", 1)[-1], n, ragged, ",".join(cells) if ragged else None, *found))
-                if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        yield pd.DataFrame(out, columns=names)
+                held.append((n, cells))
+                if len(held) >= 20_000:
+                    yield from _columns(path.as_py(), day, held, header, width)
+                    held = []
+            if held:
+                yield from _columns(path.as_py(), day, held, header, width)
+
+
+def _columns(path: str, day: pa.Scalar, lines: list[tuple[int, list[str]]], header: dict[str, int], width: int) -> Iterator[pa.RecordBatch]:
+    """Numbered lines of one header: those that fit it, then those that do not."""
+    fits = lambda x: len(x) == width or len(x) > width and not any(y.strip() for y in x[width:])  # noqa: E731 - blank cells behind the last one do no harm
+    for ragged in (False, True):
+        some = [x for x in lines if fits(x[1]) != ragged]
+        if not some:
+            continue
+        of = lambda k: [x[k].strip() for _, x in some]  # noqa: B023, E731
+        none = pa.nulls(len(some), pa.string())
+        text = pa.array([",".join(y.strip() for y in x) for _, x in some]) if ragged else none
+        at = [None if ragged else next((header[h] for h in ALIASES[f] if h in header), None) for f in DAILY_FIELDS]
+        found = [none if k is None else pa.array(of(k), pa.string()) for k in at]
+        lacs = next((h for h in ALIASES["turnover"] if h in header), None)
+        turnover = none if ragged or lacs is None else pa.array([_turnover(x, lacs) for x in of(header[lacs])], pa.string())
+        names = pa.repeat(day, len(some)), pa.repeat(path.rsplit("/", 1)[-1], len(some))
+        yield pa.RecordBatch.from_arrays([*names, pa.array([n for n, _ in some], pa.int64()), pa.array([ragged] * len(some)), text, *found, turnover], _NAMES)
+
+
+def _turnover(cell: str, name: str) -> str | None:
+    """Turnover in full units."""
+    if name != "TURNOVER_LACS":
+        return cell
+    try:
+        return repr(float(cell) * 100000.0)
+    except ValueError:
+        return None
 
 
-def _turnover(cells: list[str], header: dict[str, int]) -> str | None:
-    """Turnover in full units."""
-    for name in ALIASES["turnover"]:
-        if name in header:
-            v = cells[header[name]]
-            if name != "TURNOVER_LACS":
-                return v
-            try:
-                return repr(float(v) * 100000.0)
-            except ValueError:
-                return None
-    return None
-
-
-def daily_lines(spark: SparkSession, path: str) -> DataFrame:
+def daily_lines(spark: SparkSession, path: str, day_pattern: str = r"(\d{8})", day_in: str = "name") -> DataFrame:
     """Every line below the headers of many daily CSV files: its cells as text by the first alias of each field, or, if
     its cells do not fit its file's header, ``ragged`` and its text.
 
     Each file is read by its own header, so generations of headers mix; cells may be quoted and hold commas, headers may
-    carry blanks, a file may repeat its header. A file is one trading day: a task holds one file at a time.
+    carry blanks, a file may repeat its header. A file is one trading day, found once for all its lines: a task holds one
+    file at a time.
     """
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_parsed_files, _LINE)
+    name = F.substring_index("path", "/", -1) if day_in == "name" else F.col("path")
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", date_in_name(name, day_pattern).alias("day"), "content").mapInArrow(_parsed_files, _LINE)
 
 
 def read_daily_files(spark: SparkSession, path: str, day_pattern: str = r"(\d{8})", day_in: str = "name") -> DataFrame:
@@ -94,15 +112,13 @@ def read_daily_files(spark: SparkSession, path: str, day_pattern: str = r"(\d{8}
     The day comes from the file's name, or with ``day_in="path"`` from its whole path (yyyyMMdd folders). TURNOVER is in
     full units, whatever the file's own unit. Lines that do not fit are counted by :func:`ragged_lines`.
     """
-    name = F.col("file" if day_in == "name" else "day_text")
-    t = daily_lines(spark, path).filter("NOT ragged")
-    return t.select(date_in_name(name, day_pattern).alias("day"), *[ALIASES[f][0] for f in ("turnover", *DAILY_FIELDS)])
+    t = daily_lines(spark, path, day_pattern, day_in).filter("NOT ragged")
+    return t.select("day", *[ALIASES[f][0] for f in ("turnover", *DAILY_FIELDS)])
 
 
 def ragged_lines(spark: SparkSession, path: str, day_pattern: str = r"(\d{8})", day_in: str = "name") -> DataFrame:
     """For each daily file its lines, those that do not fit its header, and the first of these."""
-    name = F.col("file" if day_in == "name" else "day_text")
-    t = daily_lines(spark, path).withColumn("day", date_in_name(name, day_pattern))
+    t = daily_lines(spark, path, day_pattern, day_in)
     return t.groupBy("day").agg(F.count(F.lit(1)).alias("lines"), F.count_if("ragged").alias("ragged"), F.min_by("text", F.when(F.col("ragged"), F.col("line"))).alias("first_ragged"))
 
 
