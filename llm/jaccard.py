@@ -10,8 +10,9 @@ any pivot. The join works in two levels of pivots:
 2. *Documents as pivots.* A group that is too large for one task is cut again: its most central documents are pivots,
    every document goes to the Voronoi region of its nearest one and, as a boundary document, to each region whose pivot
    is at most ``2r`` farther. A document within ``r`` of a pivot is linked to it at once; regions in which all are linked
-   already are done. Regions that are still too large are cut again; what pivots cannot separate (all distances within
-   ``2r``) is joined by pairs of blocks, ordered by distance to a pivot so that far blocks are left out.
+   already are done. Regions that are still too large are cut again. A group whose regions together have more than a
+   quarter of its pairs is not separated by its pivots (most distances are within ``2r``): its rows stay in one cell, not
+   one for each region, and are joined by pairs of blocks, ordered by distance to a pivot so that far blocks are left out.
 
 Regions of bounded size are joined exactly in a task. Equal sets are one node throughout.
 """
@@ -33,6 +34,7 @@ from llm.store import small_batches, written
 COUNTERS = 1 << 18  # of the count of frequent shingles: fixed size, so its broadcast is 32 KB whatever the input
 HOT_LIST = 256  # documents of a shingle's region whose pairs are counted; a larger region is one group
 REGION, REGION_SHINGLES, PIVOTS, DEPTH, BLOCK = 512, 1 << 21, 16, 3, 1024
+WORTH = 4  # regions are used if they have at most 1 / WORTH of their group's pairs; then they hold it 2.1 times at most
 CHOSEN = "s long, k1 long, n int, near boolean, hot long, l long, central double"
 FAR = 0.7  # a document farther than this from every pivot stays for other pivots
 
@@ -417,20 +419,29 @@ def _cut(members: DataFrame, num: int, den: int, depth: int) -> list[DataFrame]:
     # two settled rows need not meet; a settled and an open one meet in the settled row's own region, since windows are
     # wide enough on either side: only open rows are replicated
     where = F.when(F.col("settled"), F.array("home")).otherwise(F.col("regions"))
-    seen = written(seen.join(settled, ["grp", "mask"]).select("grp", "rid", "settled", "d", F.explode(where).alias("region")))
-    cells = seen.groupBy("grp", "region").agg(F.count("*").alias("n"), F.max(~F.col("settled")).alias("open")).where("open").join(size, "grp")
-    stuck = (F.col("n") > 0.7 * F.col("size")) if depth < DEPTH else F.lit(True)
-    cells = written(cells.withColumn("kind", F.when(F.col("n") <= REGION, 0).when(~stuck, 1).otherwise(2)))
+    seen = written(seen.join(settled, ["grp", "mask"]).select("grp", "rid", "settled", "d", where.alias("regions")))
+    alike = seen.groupBy("grp", "regions").agg(F.count("*").alias("n"), F.max(~F.col("settled")).alias("open"))
+    cells = alike.select("grp", "n", "open", F.explode("regions").alias("region")).groupBy("grp", "region").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
+    cells = cells.where("open").join(size, "grp").withColumn("pairs", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("grp")))
+    kind = F.when(F.col("pairs") * WORTH > F.col("size") * F.col("size"), 3).when(F.col("n") <= REGION, 0).when(F.lit(depth < DEPTH), 1).otherwise(2)
+    cells = written(cells.select("grp", "region", kind.alias("kind")))
     kinds = {r.kind for r in cells.select("kind").distinct().collect()}
-    near = seen.join(cells.select("grp", "region", "kind"), ["grp", "region"])
-    cell = F.xxhash64("grp", "region").alias("grp")
     sets = members.select("rid", "central", "s").dropDuplicates(["rid"])
-    if 0 in kinds:
-        out.append(_join_exactly(near.where("kind = 0").select(cell, "rid").join(sets, "rid"), num, den))
-    if 1 in kinds:
-        out += _cut(written(near.where("kind = 1").select(cell, "rid").join(sets, "rid")), num, den, depth + 1)
-    if 2 in kinds:
-        out.append(_join_exactly(_block_pairs(near.where("kind = 2").select(cell, "rid", "settled", "d"), 1 - num / den).join(sets, "rid"), num, den))
+    stuck = []
+    if 3 in kinds:  # regions share so many rows that they are no less work: the group is one cell, no row is replicated
+        stuck.append(seen.join(cells.where("kind = 3").select("grp").distinct(), "grp").select("grp", "rid", "settled", "d"))
+    if kinds & {0, 1, 2}:
+        few = seen.join(cells.where("kind != 3").select("grp").distinct(), "grp", "left_semi")
+        near = few.select("grp", "rid", "settled", "d", F.explode("regions").alias("region")).join(cells, ["grp", "region"])
+        cell = F.xxhash64("grp", "region").alias("grp")
+        if 0 in kinds:
+            out.append(_join_exactly(near.where("kind = 0").select(cell, "rid").join(sets, "rid"), num, den))
+        if 1 in kinds:
+            out += _cut(written(near.where("kind = 1").select(cell, "rid").join(sets, "rid")), num, den, depth + 1)
+        if 2 in kinds:
+            stuck.append(near.where("kind = 2").select(cell, "rid", "settled", "d"))
+    for rows in stuck:
+        out.append(_join_exactly(_block_pairs(rows, 1 - num / den).join(sets, "rid"), num, den))
     return out
 
 

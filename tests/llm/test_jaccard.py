@@ -89,3 +89,26 @@ def test_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_inseparable_group_is_not_replicated(spark, monkeypatch):
+    """Texts around one base, too far apart for links to the pivots and too near to be separated by them."""
+    for k, v in {"REGION": 8, "HOT_LIST": 3, "BLOCK": 16, "PIVOTS": 8, "DEPTH": 1}.items():
+        monkeypatch.setattr(J, k, v)
+    r = random.Random(5)
+    rows = []
+    for i in range(120):
+        t = [f"w{k}" for k in range(120)]
+        for _ in range(r.randrange(2, 9)):
+            t[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    replicas, old = [], J._block_pairs
+
+    def counted(members, distance):
+        replicas.append(members.count() / members.select("rid").distinct().count())
+        return old(members, distance)
+
+    monkeypatch.setattr(J, "_block_pairs", counted)
+    got = {tuple(r) for r in J.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert got == brute(rows, 4, 85, 100)
+    assert replicas and max(replicas) < 2.1
