@@ -5,6 +5,10 @@ Every token of a text is an interval of its bytes. All intervals of a slice of t
 a group breaks: where a start reaches it. Within a group, each distinct start opens one overlap, of the last A and the last
 B interval that began: two tilings overlap exactly there.
 
+Where both tokenizers allow it, a text is cut before a space that follows a visible character: no token of either crosses that
+place, so each segment has the tokens, groups and links that it has in the whole text. A task aligns a segment once and keeps
+the result for the next time it meets it, up to KNOWN segments; a text is put together from its segments.
+
 The counts of id pairs cover all documents. They are not looked up one by one: texts are taken in blocks of bounded size, a
 block asks once for each of its distinct pairs, and the answers come back as an array in the order of the block's own pairs.
 """
@@ -12,7 +16,9 @@ block asks once for each of its distinct pairs, and the answers come back as an
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,11 @@ from llm.store import written
 
 BLOCK = 8 << 20  # bytes of text of a block; a longer text is a block of its own
 SLICE = 1 << 20  # bytes of text that are aligned at once
+JOINED = 1 << 16  # letters of segments that are encoded as one text
+KNOWN, KNOWN_LETTERS = 1 << 18, 1 << 22  # segments that a task keeps, and their letters; then it starts anew
+# what a split of A may take for white space, and some more: such a character has no cut behind it
+WHITE = "\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff"
+_WHITE_SPACE, _ENDS_WHITE = re.compile(f"[{WHITE}] "), re.compile(f"[{WHITE}]\\Z")
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCKS = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, links array<binary>, pairs array<long>, docs array<int>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -64,6 +75,59 @@ class Tokens:
         # the spelling of each id before ',', '|' and ';', B behind A
         ids = [*map(str, range(len(self.a_bytes))), *map(str, range(len(self.b_bytes)))]
         self.spelt = np.array([[i + end for end in ",|;"] for i in ids], object)
+        self.cuts = self._separable(a_path, pieces)
+
+    def _separable(self, a_path: str, pieces: list[str]) -> bool:
+        """Whether no token of A or B reaches over a visible character and the space behind it, nor depends on what is there."""
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        with open(a_path, encoding="utf-8") as f:
+            a = json.load(f)
+        split = a.get("pre_tokenizer") or {}
+        of_a = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and a.get("normalizer") is None
+        of_a = of_a and a["model"].get("type", "BPE") == "BPE" and not a["model"].get("dropout") and all(x["special"] for x in a.get("added_tokens") or [])
+        b = pb.ModelProto()
+        b.ParseFromString(self.b.serialized_model_proto())
+        norm, spec = b.normalizer_spec, b.trainer_spec
+        of_b = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+        of_b = of_b and spec.model_type == spec.BPE and not spec.treat_whitespace_as_suffix and all(x.type in (x.NORMAL, x.UNKNOWN, x.CONTROL, x.BYTE) for x in b.pieces)
+        return bool(of_a and of_b and not any(re.search("[^▁]▁", p) for p in pieces))
+
+    def joined(self, segments: list[str]) -> tuple | None:
+        """(ids, how many of each segment) of A and of B, encoded as one text; None unless both spell all of it back."""
+        text = " ".join(segments)
+        want = f" {text}".encode()
+        end = np.cumsum([len(s.encode()) + 1 for s in segments])
+        out = []
+        for ids, spelling, length in (
+            (self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.a_bytes, self.a_length),
+            (self.b.encode(text), self.b_bytes, self.b_length),
+        ):
+            ends = np.cumsum(length[ids])
+            last = np.searchsorted(ends, end)
+            if b"".join([spelling[k] for k in ids]) != want or not np.array_equal(ends[last], end):
+                return None
+            out.append((np.array(ids, np.int64), np.diff(last + 1, prepend=0)))
+        return tuple(out)
+
+    def segments(self, text: str) -> list[str]:
+        """Parts of a text that are encoded each for itself; joined by a space they are the text."""
+        if not self.cuts:
+            return [text]
+        parts = text.split(" ")
+        if not _WHITE_SPACE.search(f" {text}") and parts[-1]:
+            return parts
+        out: list[str] = []
+        held: list[str] = []
+        for p in parts:
+            held.append(p)
+            if p and not _ENDS_WHITE.search(p):
+                out.append(" ".join(held))
+                held = []
+        if held:  # the text ends in white space, which needs a character before it
+            out.append(" ".join([*out[-1:], *held]))
+            del out[-2:-1]
+        return out
 
     def encoded(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B of each text; both empty unless both spell a space and the text."""
@@ -89,11 +153,17 @@ def tokens(paths: tuple[str, str]) -> Tokens:
     return _loaded[paths]
 
 
-def aligned(t: Tokens, a: list[list[int]], b: list[list[int]]) -> dict[str, np.ndarray | list]:
-    """For a slice of texts: counts and digests of each, and its links as (row, A id << 32 | B id), in text order."""
-    rows = len(a)
-    n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    ids = np.concatenate([np.fromiter((i for x in a for i in x), np.int64, n_a.sum()), np.fromiter((i for x in b for i in x), np.int64, n_b.sum())])
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in one array, and how many of each."""
+    n = np.array([len(x) for x in ids], np.int64)
+    return np.fromiter((i for x in ids for i in x), np.int64, n.sum()), n
+
+
+def aligned(t: Tokens, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray | list]:
+    """For some segments, ids and how many of each: counts and groups of each, its links as (row, A id << 32 | B id), in text order."""
+    n_a, n_b = a[1], b[1]
+    rows = len(n_a)
+    ids = np.concatenate([a[0], b[0]])
     of_b = np.arange(len(ids)) >= n_a.sum()
     row = np.concatenate([np.repeat(np.arange(rows), n_a), np.repeat(np.arange(rows), n_b)])
     length = np.where(of_b, t.b_length[np.where(of_b, ids, 0)], t.a_length[np.where(of_b, 0, ids)])
@@ -121,19 +191,88 @@ def aligned(t: Tokens, a: list[list[int]], b: list[list[int]]) -> dict[str, np.n
     sep[:-1] = np.where(s_group[1:] != s_group[:-1], 2, np.where(s_b[1:] != s_b[:-1], 1, 0))
     text = t.spelt[ids[spell] + s_b * len(t.a_bytes), sep].tolist()
     cut = np.searchsorted(s_row, np.arange(rows + 1)).tolist()
-    digests = [hashlib.sha256("".join(text[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    groups = ["".join(text[i:j])[:-1] for i, j in zip(cut[:-1], cut[1:], strict=True)]
     return {
         "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(row[breaks], minlength=rows), "n_links": np.bincount(row[at], minlength=rows),
-        "groups_sha256": digests, "link_row": row[at], "pair": pair,
+        "groups": groups, "link_row": row[at], "pair": pair,
     }
 
 
-def distinct(link_row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pair, times), ascending, of links of some rows."""
+class Known:
+    """Segments that are aligned already: their counts, groups and links by place."""
+
+    def __init__(self, t: Tokens) -> None:
+        self.t = t
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.letters = 0
+        self.counts = {c: np.zeros(0, np.int64) for c in COUNTS}
+        self.first, self.pair = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, new: list[str]) -> None:
+        # a segment that ends in white space has no cut behind it
+        alone = [s for s in new if not self.t.cuts or _ENDS_WHITE.search(s)]
+        chunks, letters = [alone] if alone else [], JOINED
+        known = set(alone)
+        for s in new:
+            if s in known:
+                continue
+            if letters >= JOINED:
+                chunks.append([])
+                letters = 0
+            chunks[-1].append(s)
+            letters += len(s)
+        for k, chunk in enumerate(chunks):
+            self._keep(chunk, None if alone and k == 0 else self.t.joined(chunk))
+
+    def _keep(self, new: list[str], ids) -> None:
+        some = aligned(self.t, *(ids or map(flat, self.t.encoded(new))))
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.groups += some["groups"]
+        self.letters += sum(map(len, new))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(some["n_links"])))
+        self.pair = np.concatenate((self.pair, some["pair"]))
+        self.counts = {c: np.concatenate((x, some[c])) for c, x in self.counts.items()}
+
+    def places(self, segments: list[str]) -> np.ndarray:
+        if len(self.at) > KNOWN or self.letters > KNOWN_LETTERS:
+            self.clear()
+        found = list(map(self.at.get, segments))
+        if None in found:
+            self._add(list(dict.fromkeys(s for s, i in zip(segments, found, strict=True) if i is None)))
+            found = list(map(self.at.__getitem__, segments))
+        return np.array(found, np.int64)
+
+    def texts(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
+        """For a slice of texts: counts and digests of each, and its distinct links (row, pair, times), ascending."""
+        rows = len(texts)
+        parts = [self.t.segments(x) if x else [] for x in texts]
+        at = self.places([s for p in parts for s in p])
+        row = np.repeat(np.arange(rows), [len(p) for p in parts])
+        # a text has no tokens if one of its segments is not spelled back
+        spelt = (np.bincount(row, self.counts["n_a"][at] == 0, rows) == 0)[row]
+        at, row = at[spelt], row[spelt]
+        out: dict = {c: np.bincount(row, x[at], rows).astype(np.int64) for c, x in self.counts.items()}
+        groups = [self.groups[i] for i in at.tolist()]
+        cut = np.searchsorted(row, np.arange(rows + 1)).tolist()
+        out["groups_sha256"] = [hashlib.sha256(";".join(groups[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        each, times = np.unique(row << 32 | at, return_counts=True)
+        row, at = each >> 32, each & 0xFFFFFFFF
+        many = self.first[at + 1] - self.first[at]
+        of = np.repeat(self.first[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        out["row"], out["pair"], out["times"] = distinct(np.repeat(row, many), self.pair[of], np.repeat(times, many))
+        return out
+
+
+def distinct(link_row: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pair, times), ascending, of links of some rows, each so many times."""
     order = np.lexsort((pair, link_row))
     r, p = link_row[order], pair[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (p[1:] != p[:-1]))))
-    return r[first], p[first], np.diff(np.append(first, len(r)))
+    return r[first], p[first], np.add.reduceat(times[order], first) if len(first) else times[:0]
 
 
 def packed(at: np.ndarray, times: np.ndarray) -> bytes:
@@ -162,7 +301,7 @@ def _blocks(paths: tuple[str, str], block_bytes: int):
     """One row for each block of consecutive texts of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokens(paths)
+        known = Known(tokens(paths))
         block = TaskContext.get().partitionId() << 32
         held: dict[str, list] = {}
 
@@ -192,11 +331,10 @@ def _blocks(paths: tuple[str, str], block_bytes: int):
                     j += 1
                 if held["rows"][0] and held["bytes"][0] + size > block_bytes:
                     yield block_row()
-                some = aligned(t, *t.encoded(texts[i:j]))
-                row, pair, times = distinct(some["link_row"], some["pair"])
-                held["row"].append(row + held["rows"][0])
-                held["pair"].append(pair)
-                held["times"].append(times)
+                some = known.texts(texts[i:j])
+                held["row"].append(some["row"] + held["rows"][0])
+                held["pair"].append(some["pair"])
+                held["times"].append(some["times"])
                 held["doc_id"] += doc_ids[i:j]
                 held["groups_sha256"] += some["groups_sha256"]
                 for c in COUNTS:

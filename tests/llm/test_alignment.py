@@ -95,3 +95,22 @@ def test_packed_places():
     at, times = np.array([0, 5, 70_000, 3_000_000]), np.array([1, 300, 2, 70_000])
     assert [x.tolist() for x in L.unpacked(L.packed(at, times))] == [at.tolist(), times.tolist()]
     assert [x.tolist() for x in L.unpacked(L.packed(at[:0], times[:0]))] == [[], []]
+
+
+def test_segments_are_aligned_once(two, monkeypatch):
+    """Texts put together from segments equal whole texts, and a segment that comes again is not encoded again."""
+    import random
+
+    t = L.Tokens(public_tokenizers.path(L.A_FILE), public_tokenizers.path(L.B_FILE))
+    assert t.cuts
+    r = random.Random(3)
+    some = ["a", "b", " ", "  ", "\n", "\t", "\xa0", "é", "日", "1", "'s", ".", "▁", "<s>", "x y", "\r\n", "​", "\x1c", "\x85"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(1, 20))) for _ in range(1500)]
+    known = L.Known(t)
+    got = known.texts(texts)
+    want = brute(two, list(enumerate(texts)))
+    assert sorted(zip(range(len(texts)), *(got[c].tolist() for c in L.COUNTS), got["groups_sha256"], strict=True)) == sorted((i, n, m, g, k, h) for i, n, m, g, k, _, _, h in want)
+    asked = []
+    monkeypatch.setattr(L.Known, "_add", lambda self, new: asked.append(new))
+    again = known.texts(texts[::-1])
+    assert not asked and again["groups_sha256"] == got["groups_sha256"][::-1]
