@@ -5,7 +5,8 @@ any pivot. The join works in two levels of pivots:
 
 1. *Shingles as pivots.* The pivot of shingle s is the set {s}; a document is nearer than 1 to it only if it has s. All
    pivots share one order, and a document belongs to the regions of its first ``|A| - ceil(t|A|) + l`` pivots: two linked
-   documents then share ``l`` regions at least, so a pair that shares fewer is no link. Very frequent shingles, known from
+   documents then share ``l`` regions at least, so a pair that shares fewer is no link. ``l`` is ``SHARED`` for short texts:
+   with one region in common most short texts of a large corpus hang together. Very frequent shingles, known from
    a count over all documents, come last in the order. This cuts the corpus into groups that share no link.
 2. *Documents as pivots.* A group that is too large for one task is cut again: its most central documents are pivots,
    every document goes to the Voronoi region of its nearest one and, as a boundary document, to each region whose pivot
@@ -33,6 +34,7 @@ from llm.store import small_batches, written
 
 COUNTERS = 1 << 18  # of the count of frequent shingles: fixed size, so its broadcast is 32 KB whatever the input
 HOT_LIST = 256  # documents of a shingle's region whose pairs are counted; a larger region is one group
+SHARED = 8  # regions that two linked documents share at least, as far as they have as many: fewer join unlike short texts
 REGION, REGION_SHINGLES, PIVOTS, DEPTH, BLOCK = 512, 1 << 21, 16, 3, 1024
 WORTH = 4  # regions are used if they have at most 1 / WORTH of their group's pairs; then they hold it 2.1 times at most
 CHOSEN = "s long, k1 long, n int, near boolean, hot long, l long, central double"
@@ -53,10 +55,22 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield part.first + i, s
 
 
+def _share(size, num: int, den: int):
+    """Regions that a document of ``size`` shingles shares with any partner of that size or more; never falls with the size."""
+    size = np.asarray(size, np.int64)
+    return np.minimum(-(-num * size // den), np.maximum(SHARED, size // 20))
+
+
 def _prefix(size: int, num: int, den: int) -> tuple[int, int]:
-    """Length of the part of the order in which a document has regions, and the regions it shares with any partner."""
-    share = max(1, size // 20)
-    return min(size, size - (num * size + den - 1) // den + share), share
+    """Length of the part of the order in which a document has regions, and the regions it shares with any larger partner."""
+    share = int(_share(size, num, den))
+    return size - (num * size + den - 1) // den + share, share
+
+
+def _common(total: np.ndarray) -> np.ndarray:
+    """Classes with far more than the rest: the rest of a class is a sum of rare shingles, near the median whatever the input's size."""
+    middle = np.median(total)
+    return total > middle + max(HOT_LIST, 9 * np.median(np.abs(total - middle)))
 
 
 def _narrow(n: int):
@@ -92,7 +106,7 @@ def _counts(n: int):
 
 
 def _heavy(docs: DataFrame, n: int) -> bytes:
-    """A bit for each of COUNTERS classes of shingles: those in far more documents than the mean class."""
+    """A bit for each of COUNTERS classes of shingles: those in far more documents than other classes."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(COUNTERS // 64, np.int64)
@@ -102,7 +116,7 @@ def _heavy(docs: DataFrame, n: int) -> bytes:
 
     tables = docs.select("text").mapInArrow(_counts(n), "chunk long, counts binary").groupBy("chunk").applyInPandas(add, "chunk long, counts binary").collect()
     total = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(tables, key=lambda r: r.chunk)] or [np.zeros(COUNTERS, np.int64)])
-    return np.packbits(total > max(HOT_LIST, 4 * total.mean())).tobytes()
+    return np.packbits(_common(total)).tobytes()
 
 
 def _entries(n: int, num: int, den: int, heavy: bytes):
@@ -205,7 +219,7 @@ def _chosen(num: int, den: int):
     def work(at):
         begin = _begins(at["k1"])
         m = np.diff(np.append(begin, len(at["k1"])))
-        need = np.maximum(1, (at["n"][begin].astype(np.int64) * num // den) // 20)
+        need = np.maximum(1, _share(at["n"][begin].astype(np.int64) * num // den, num, den))
         hot = np.add.reduceat((at["l"] > HOT_LIST).astype(np.int64), begin)
         central = np.add.reduceat(np.minimum(at["l"], 1 << 20), begin) / m
         near = np.arange(len(at["k1"])) - np.repeat(begin, m) < np.repeat(m - need + 1, m)
@@ -228,7 +242,7 @@ def _lists(num: int, den: int):
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = (low * den >= high * num) & (k[i] != k[j])
         i, j, low = i[ok], j[ok], low[ok]
-        need = np.maximum(1, low // 20 - np.minimum(hot[i], hot[j]))
+        need = np.maximum(1, _share(low, num, den) - np.minimum(hot[i], hot[j]))
         x, y = np.minimum(k[i], k[j]), np.maximum(k[i], k[j])
         order = np.lexsort((y, x))
         x, y, need = x[order], y[order], need[order]

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from llm import jaccard as J
@@ -112,3 +113,33 @@ def test_inseparable_group_is_not_replicated(spark, monkeypatch):
     got = {tuple(r) for r in J.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
     assert got == brute(rows, 4, 85, 100)
     assert replicas and max(replicas) < 2.1
+
+
+def test_short_texts_that_share_passages_are_no_group(spark, monkeypatch):
+    """900 short texts hang together by passages, three of 90 each; they share too few regions to be one group, and copies are found."""
+    r = random.Random(4)
+    passages = [" ".join(f"p{p}w{i}" for i in range(9)) for p in range(90)]
+    texts = list({" ".join(r.sample(passages, 3)) for _ in range(900)})
+    rows = [(i, t) for i, t in enumerate([*texts, *(f"{t} end" for t in texts[:20])])]
+    monkeypatch.setattr(J, "REGION", 64)
+    cut = []
+    monkeypatch.setattr(J, "_cut", lambda *a: cut.append(a[0].count()) or [])
+    got = {tuple(x) for x in J.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert not cut and got == brute(rows, 4, 85, 100) and sum(c < i for i, _, c in got) >= 20
+
+
+def test_frequent_classes_are_found_in_any_number_of_rare_shingles():
+    total = np.random.default_rng(1).poisson(6000, 20_000)
+    total[:50] += 3000
+    assert J._common(total)[:50].all() and J._common(total).sum() < 200
+    assert not J._common(np.zeros(100, np.int64)).any()
+
+
+def test_partners_share_their_regions():
+    """Of two sets at the least similarity the first parts of the order share as many shingles as a pair is asked for."""
+    for n in range(1, 200):
+        for num, den in ((85, 100), (4, 5)):
+            k, share = J._prefix(n, num, den)
+            least = -(-num * n // den)  # a partner's shingles, all of them common
+            assert 1 <= share <= least and k - (n - least) >= share  # the others may all come first
+            assert J._share(n - 1, num, den) <= share
