@@ -95,3 +95,51 @@ def test_a_symbol_lies_on_disk_once_however_many_blocks(spark):
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate" not in plan
     assert r.count() == 60 * 59 // 2 and r.select("symbol_a", "symbol_b").distinct().count() == 60 * 59 // 2
+
+
+def test_only_dependent_series_need_a_qr(monkeypatch):
+    """Sums of products give the statistic of plain series; series whose lags nearly depend on each other go to the QR."""
+    x = np.concatenate([np.random.RandomState(3).normal(0, 1, (30, 100)), walks(8, 30, 100)])
+    want = [plain_adf(v) for v in x]
+    smooth = np.sin(np.arange(100) / 20 + np.arange(5)[:, None]) + np.random.RandomState(6).normal(0, 1e-6, (5, 100))
+    seen, old, smooth_want = [], co._qr_t, co._qr_t(smooth)
+    monkeypatch.setattr(co, "_qr_t", lambda v: seen.append(len(v)) or old(v))
+    monkeypatch.setattr(co, "_FEW", 7)
+    assert np.allclose(co.adf_t(x), want, rtol=1e-8) and not seen
+    assert np.allclose(co.adf_t(np.concatenate([smooth, x])), [*smooth_want, *want], rtol=1e-8) and seen == [5]
+    seen.clear()
+    alternating = np.tile([1.0, -1.0], (3, 50))
+    assert np.isfinite(co.adf_t(alternating)).all() and seen == [3]
+
+
+def test_pairs_within_the_limit_are_not_looked_at(spark, monkeypatch):
+    """A z-score is bounded before the pair's days are gathered; no pair at or above it is lost, also where days lie far apart."""
+    monkeypatch.setattr(co, "_DAYS", 16)
+    bars, _ = universe(spark)
+    rows = [tuple(r) for r in bars.collect()]
+    late = [(s, d + dt.timedelta(days=4000 * (i % 260 > 200)), 1e4 + v) for i, (s, d, v) in enumerate(rows)]
+    for some in (rows, late):
+        by = {}
+        for s, d, v in sorted(some):
+            by.setdefault(s, []).append(((d - dt.date(1970, 1, 1)).days, v))
+        packs = [(b, names, *(np.array(x, k).tobytes() for x, k in (([len(by[s]) for s in names], np.int32), ([d for s in names for d, _ in by[s]], np.int32), ([v for s in names for _, v in by[s]], float)))) for b, names in enumerate(([*by][::2], [*by][1::2]))]
+        for of in ([packs[0]], packs):
+            block = co._unpacked(of)
+            i, j, common = block.pairs(150, 60, 0.0)
+            x, y = block.windows(i, j, common, 150)
+            spread = (x - y)[:, -60:]
+            sd = spread.std(axis=1, ddof=1)
+            z = np.abs(spread[:, -1] - spread.mean(axis=1)) >= 1.5 * sd
+            want = {(a, b) for a, b in zip(i[z].tolist(), j[z].tolist(), strict=True)}
+            got = block.pairs(150, 60, 1.5)
+            assert want <= set(zip(got[0].tolist(), got[1].tolist(), strict=True)) and len(want) <= len(got[0]) <= len(want) + 2 < len(i) / 2
+            assert (got[0] < got[1]).all() and sorted(zip(*map(np.ndarray.tolist, got[:2]), strict=True)) == list(zip(*map(np.ndarray.tolist, got[:2]), strict=True))
+
+
+def test_neutral_pairs_are_left_out_before_the_test(spark):
+    bars, _ = universe(spark)
+    every = {tuple(r) for r in co.cointegrated_pairs(bars, 0.9, 1.0, 150, per_block=20).collect()}
+    some = {tuple(r) for r in co.cointegrated_pairs(bars, 0.9, 1.0, 150, per_block=20, neutral=False).collect()}
+    assert some == {r for r in every if r[4] != "Neutral"} and 0 < len(some) < len(every)
+    plan = co.cointegrated_pairs(bars, 0.9, 1.0, 150, per_block=20)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan

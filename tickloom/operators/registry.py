@@ -104,7 +104,7 @@ def liquid_funds(category: str = "category") -> Scanner:
 
 def pair_trades(lookback: int = 252, z_entry: float = 2.0, **how) -> Scanner:
     def across(latest: DataFrame, bars: DataFrame, master: DataFrame | None) -> DataFrame:
-        pairs = cointegration.cointegrated_pairs(bars, z_entry=z_entry, lookback=lookback, **how)
+        pairs = cointegration.cointegrated_pairs(bars, z_entry=z_entry, lookback=lookback, neutral=False, **how)
         return cointegration.pair_signals(pairs, F.lit(None).cast("date"), z_entry)
 
     return Scanner(across=across)

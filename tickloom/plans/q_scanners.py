@@ -120,7 +120,7 @@ def x12(spark, d):
 @query("x12_pair_signals")
 def x12_signals(spark, d):
     """Two opposite signals for each actionable pair of suppliers, without the map column."""
-    pairs = cointegration.cointegrated_pairs(supplier_bars(spark, d), max_p=0.05, z_entry=2.0, lookback=LOOKBACK)
+    pairs = cointegration.cointegrated_pairs(supplier_bars(spark, d), max_p=0.05, z_entry=2.0, lookback=LOOKBACK, neutral=False)
     t = cointegration.pair_signals(pairs, F.lit(None).cast("date"), z_entry=2.0)
     return rounded(con.flatten_meta(t, ["pair_id", "pair_symbol", "trade"]))
 
