@@ -111,3 +111,50 @@ def test_leaves_that_vote_alike_are_one():
     leaves = np.array([[[3.0, 1], [5, 1], [1, 4], [9, 2]], [[0, 5], [0, 0], [1, 2], [0, 4]]])
     got = pooled_forest.merged(leaves)
     assert got[0].tolist() == [[8, 2], [8, 2], [1, 4], [9, 2]] and got[1].tolist() == [[1, 11]] * 4
+
+
+def test_cuts_are_the_best_of_the_features_in_turn():
+    """Levels by hand: each node's cut has the least Gini impurity of the features it looks at, the first of equal ones."""
+    r = np.random.RandomState(11)
+    x, y = np.round(r.normal(0, 1, (120, 4)), 1), (r.rand(120) > 0.4).astype(float)
+    trees, depth = 6, 3
+    f = forests.Forest(x, y, trees, depth, np.random.RandomState(5))
+    again, b = np.random.RandomState(5), forests.binned(x, f.cuts)
+    rows, node = again.randint(0, 120, (trees, 120)), np.zeros((trees, 120), int)
+    for level in range(depth):
+        turns = again.rand(trees, 1 << level, 4).argsort(axis=2)
+        for t in range(trees):
+            for k in range(1 << level):
+                some = rows[t][node[t] == k]
+                want = (-1, 0)
+                for first in (0, 2):
+                    found = []
+                    for j in sorted(turns[t, k, first : first + 2]):
+                        for cut in range(forests.BINS):
+                            sides = [y[some[b[some, j] <= cut]], y[some[b[some, j] > cut]]]
+                            if all(map(len, sides)) and 0 < y[some].mean() < 1:
+                                found.append((sum(s.sum() * (len(s) - s.sum()) / len(s) for s in sides) + 121.0 * (first // 2), j, cut))
+                    if found:
+                        want = min(found)[1:]
+                        break
+                assert (f.levels[level][0][t, k], f.levels[level][1][t, k]) == want
+        feature, cut = (v[np.arange(trees)[:, None], node] for v in f.levels[level])
+        node = 2 * node + ((feature >= 0) & (b[rows, np.maximum(feature, 0)] > cut))
+
+
+def test_bins_are_read_where_they_lie(spark, table):
+    """No copy of a row's bins for each tree, and a symbol's rows stay in Arrow."""
+    import tracemalloc
+
+    r = np.random.RandomState(2)
+    x, y = r.normal(0, 1, (400, 8)), (r.rand(400) > 0.5).astype(float)
+    tracemalloc.start()
+    f = forests.Forest(x, y, 100, 5, r)
+    fit = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    f.probability(x)
+    predicted = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fit < 9e6 and predicted < 3e6
+    plan = forests.fit_predict_by_symbol(table)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan

@@ -10,7 +10,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.num import c
@@ -38,73 +38,94 @@ class Forest:
     """All trees of a forest, grown together: one histogram of (node, feature in turn, bin) for each level.
 
     A node looks at a few features in random order at a time, at later ones only where the first do not part its rows: so
-    only those are counted. A row drawn several times for a tree is one row with a weight.
+    only those are counted. A row drawn several times for a tree is one row with a weight. Bins are read where they lie,
+    row after row, and a histogram has the nodes of a bin beside each other, so sums over bins run over all nodes at once.
     """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int, depth: int, r: np.random.RandomState) -> None:
         n, m = x.shape
         self.cuts, self.depth = bins_of(x), depth
         rows = r.randint(0, n, (trees, n))
-        b = binned(x, self.cuts)
-        drawn = np.bincount((rows + np.arange(trees)[:, None] * n).ravel(), minlength=trees * n).reshape(trees, n)
-        tree, row = np.nonzero(drawn)
-        weight = drawn[tree, row].astype(float)
-        ups, b = weight * y[row], b[row]
-        node, some = np.zeros(len(row), int), max(1, int(np.sqrt(m)))
+        b = binned(x, self.cuts).ravel()
+        drawn = np.bincount((rows + np.arange(trees)[:, None] * n).ravel(), minlength=trees * n)
+        drawn_at = np.flatnonzero(drawn)
+        weight = drawn.take(drawn_at).astype(float)
+        at, row = np.divmod(drawn_at, n)  # a row's node, those of a tree behind each other; at first its tree
+        one, cell = y.astype(np.intp).take(row), row * m
+        some = max(1, int(np.sqrt(m)))
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         for level in range(depth):
             width = 1 << level
             turns = r.rand(trees, width, m).argsort(axis=2).reshape(trees * width, m)
             feature, cut = np.full(trees * width, -1), np.zeros(trees * width, int)
-            at = tree * width + node
-            total, ones = np.bincount(at, weight, trees * width), np.bincount(at, ups, trees * width)
-            open_ = (ones > 0) & (ones < total)
+            open_ = (self._counts(at, one, weight, trees * width) > 0).all(axis=0)
             for first in range(0, m, some):
                 left = np.flatnonzero(open_)
                 if not len(left):
                     break
-                inside = np.flatnonzero(open_[at]) if len(left) < len(open_) else slice(None)
                 looked = np.sort(turns[left, first : first + some], axis=1)
-                best, parts = self._best(b[inside], np.searchsorted(left, at[inside]), weight[inside], ups[inside], looked, float(n + 1) * (first // some))
-                feature[left[parts]], cut[left[parts]] = looked[parts, best[parts] // BINS], best[parts] % BINS
-                open_[left[parts]] = False
+                if len(left) < len(open_):
+                    inside, place = np.flatnonzero(open_.take(at)), np.zeros(len(open_), np.intp)
+                    place[left] = np.arange(len(left))
+                    rest = place.take(at.take(inside)), *(v.take(inside) for v in (one, cell, weight))
+                else:
+                    rest = at, one, cell, weight
+                best, k, parts = self._best(b, *rest, looked, float(n + 1) * (first // some))
+                parted = left[parts]
+                feature[parted], cut[parted] = best[parts], k[parts]
+                open_[parted] = False
             self.levels.append((feature.reshape(trees, width), cut.reshape(trees, width)))
-            node = self._down(b, node, tree, *self.levels[-1])
-        width = 1 << depth
-        at = tree * width + node
-        count, ones = np.bincount(at, weight, trees * width), np.bincount(at, ups, trees * width)
-        self.share = (ones / np.maximum(count, 1)).reshape(trees, width)
+            at = self._down(b, at, cell, feature, cut)
+        none, ones = self._counts(at, one, weight, trees << depth)
+        self.share = (ones / np.maximum(none + ones, 1)).reshape(trees, 1 << depth)
 
     @staticmethod
-    def _best(b: np.ndarray, at: np.ndarray, weight: np.ndarray, ups: np.ndarray, looked: np.ndarray, late: float) -> tuple[np.ndarray, np.ndarray]:
-        """Of each node the best (feature looked at, bin) by the Gini impurity, and whether there is one."""
+    def _counts(at: np.ndarray, one: np.ndarray, weight: np.ndarray, nodes: int) -> np.ndarray:
+        """(target, node): rows."""
+        return np.bincount(one * nodes + at, weight, 2 * nodes).reshape(2, nodes)
+
+    @staticmethod
+    def _best(b: np.ndarray, at: np.ndarray, one: np.ndarray, cell: np.ndarray, weight: np.ndarray, looked: np.ndarray, late: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each node the best feature looked at and its bin by the Gini impurity, and whether there is one."""
         nodes, some = looked.shape
-        key = ((at[:, None] * some + np.arange(some)) * BINS + np.take_along_axis(b, looked[at], 1)).ravel()
-        size, shape = nodes * some * BINS, (nodes, some, BINS)
-        left = np.cumsum(np.bincount(key, np.repeat(weight, some), size).reshape(shape), axis=2)
-        up = np.cumsum(np.bincount(key, np.repeat(ups, some), size).reshape(shape), axis=2)
-        right, down = left[..., -1:] - left, up[..., -1:] - up
-        with np.errstate(divide="ignore", invalid="ignore"):
-            impurity = up * (left - up) / left + down * (right - down) / right
-        score = np.where((left > 0) & (right > 0), impurity + late, np.inf).reshape(nodes, some * BINS)
-        best = score.argmin(axis=1)
-        return best, np.isfinite(score[np.arange(nodes), best])
+        feature, cut, least = looked[:, 0].copy(), np.zeros(nodes, np.intp), np.full(nodes, np.inf)
+        for k in range(some):
+            key = b.take(cell + looked[:, k].take(at))
+            key += one * BINS
+            key *= nodes
+            key += at
+            left = np.bincount(key, weight, 2 * BINS * nodes).reshape(2, BINS, nodes)
+            for i in range(1, BINS):
+                left[:, i] += left[:, i - 1]
+            right = left[:, -1:] - left
+            n, rest = left[0] + left[1], right[0] + right[1]
+            left[1] *= left[0]
+            right[1] *= right[0]
+            with np.errstate(invalid="ignore"):  # an empty side has 0 / 0
+                score = np.divide(left[1], n, out=n)
+                score += np.divide(right[1], rest, out=rest)
+            score += late
+            np.copyto(score, np.inf, where=np.isnan(score))
+            first = score.argmin(axis=0)
+            value = score[first, np.arange(nodes)]
+            better = value < least
+            feature[better], cut[better], least[better] = looked[better, k], first[better], value[better]
+        return feature, cut, np.isfinite(least)
 
     @staticmethod
-    def _down(b: np.ndarray, node: np.ndarray, tree: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    def _down(b: np.ndarray, at: np.ndarray, cell: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Children of the nodes: 2 * node to the left; a node that is not parted goes left as a whole."""
-        f, k = feature[tree, node], cut[tree, node]
-        value = np.take_along_axis(b, np.maximum(f, 0)[:, None], 1)[:, 0]
-        return 2 * node + ((f >= 0) & (value > k))
+        value = b.take(cell + np.maximum(feature, 0).take(at))
+        return 2 * at + (value > np.where(feature >= 0, cut, BINS).take(at))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Mean share of ones over the trees."""
         trees = len(self.share)
-        b, tree = np.tile(binned(x, self.cuts), (trees, 1)), np.repeat(np.arange(trees), len(x))
-        node = np.zeros(len(tree), int)
+        b, cell = binned(x, self.cuts).ravel(), np.tile(np.arange(len(x)) * x.shape[1], trees)
+        at = np.repeat(np.arange(trees), len(x))
         for feature, cut in self.levels:
-            node = self._down(b, node, tree, feature, cut)
-        return self.share[tree, node].reshape(trees, len(x)).mean(axis=0)
+            at = self._down(b, at, cell, feature.ravel(), cut.ravel())
+        return self.share.ravel().take(at).reshape(trees, len(x)).mean(axis=0)
 
 
 def fit_predict_by_symbol(t: DataFrame, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
@@ -114,16 +135,19 @@ def fit_predict_by_symbol(t: DataFrame, trees: int = 100, depth: int = 5, seed:
     all its training targets are equal they are its prediction.
     """
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        train, test = pdf[pdf.is_train], pdf[~pdf.is_train]
-        if train.empty or test.empty:
-            return pd.DataFrame([], columns=["symbol", "date", "close", "target", "prediction", "probability"])
-        x, y, z = train[FEATURES].to_numpy(float), train.target.to_numpy(float), test[FEATURES].to_numpy(float)
-        r = np.random.RandomState((zlib.crc32(str(key[0]).encode()) ^ seed) & 0x7FFFFFFF)
-        p = Forest(x, y, trees, depth, r).probability(z)
-        out = test[["symbol", "date", "close", "target"]].copy()
-        return out.assign(prediction=(p > 0.5).astype(int), probability=p)
-
+    def one(key, rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("date").to_numpy())
+        at = {f: rows.column(f).to_numpy()[order] for f in [*FEATURES, "target", "is_train"]}
+        train = at["is_train"].astype(bool)
+        if train.all() or not train.any():
+            return empty
+        x, y = np.column_stack([at[f] for f in FEATURES]).astype(float), at["target"].astype(float)
+        r = np.random.RandomState((zlib.crc32(str(key[0].as_py()).encode()) ^ seed) & 0x7FFFFFFF)
+        p = Forest(x[train], y[train], trees, depth, r).probability(x[~train])
+        out = rows.select(["symbol", "date", "close", "target"]).take(pa.array(order[~train]))
+        return out.append_column("prediction", pa.array(p > 0.5).cast(pa.int32())).append_column("probability", pa.array(p)).cast(schema)
+
+    schema = pa.schema([("symbol", pa.string()), ("date", pa.date32()), ("close", pa.float64()), ("target", pa.int32()), ("prediction", pa.int32()), ("probability", pa.float64())])
+    empty = schema.empty_table()
     cols = ["symbol", "date", "close", *FEATURES, "target", "is_train"]
-    return t.select(*cols).filter(c.is_train.isNotNull()).groupBy("symbol").applyInPandas(lambda key, pdf: one(key, pdf), OUT)
+    return t.select(*cols).filter(c.is_train.isNotNull()).groupBy("symbol").applyInArrow(lambda key, rows: one(key, rows), OUT)
